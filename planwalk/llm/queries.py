@@ -25,13 +25,39 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verify_store(spark, path)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lang_id
+
+    documents = _table(spark, sf_dir, "documents").withColumn("held_out", lang_id.held_out("doc_id", 5, 0))
+    model = lang_id.train(documents.where("NOT held_out"))
+    return lang_id.predict(documents.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link
+
+    return link(_table(spark, sf_dir, "documents"), 3, (90, 100))[0]
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_store, op9_token_counts)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.report(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_token_store, op4_source_mix, op8_ngram_jaccard, op9_token_counts, op10_decontamination)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
