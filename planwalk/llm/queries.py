@@ -33,12 +33,43 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(documents.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op3_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import chat, store
+
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digest(store.keep(chat.format_examples(talks.unionByName(odd)), "chat-examples"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lang_id, quality
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", lang_id.held_out("doc_id", 4, 2).alias("held_out"), "text")
+    labels = _table(spark, sf_dir, "labels").where(~lang_id.held_out("doc_id", 4, 2))
+    return quality.predict(documents, quality.train(documents, labels)).drop("text")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(_table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lang_id, suffix_tree
+
+    return suffix_tree.score(_table(spark, sf_dir, "documents"), lang_id.held_out("doc_id", 7, 2))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import link
 
@@ -57,7 +88,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_token_store, op4_source_mix, op8_ngram_jaccard, op9_token_counts, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_token_store, op3_chat_examples, op4_source_mix, op5_quality, op6_media_columns, op7_suffix_tree_scores, op8_ngram_jaccard, op9_token_counts, op10_decontamination)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
