@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from planwalk.plans import catalogue_queries, raster_queries, scoring_queries, semantic_queries, spatial_queries  # noqa: F401
+from planwalk.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
