@@ -24,20 +24,20 @@ def pixel_endpoints(spark, sf_dir):
     return raster.endpoints(b.pixels(spark, sf_dir))
 
 
-_CLOSE = "RECURSIVE walk AS (SELECT route, x, y, x * 1000 + y AS c FROM pix UNION SELECT n.route, n.nx, n.ny, w.c FROM walk w JOIN nbr n ON n.route = w.route AND n.x = w.x AND n.y = w.y), lab AS (SELECT route, x, y, min(c) // 1000 AS cx, min(c) % 1000 AS cy FROM walk GROUP BY route, x, y)"
+_CLOSE = "WITH RECURSIVE walk AS (SELECT route, x, y, x * 1000 + y AS c FROM pix UNION SELECT n.route, n.nx, n.ny, w.c FROM walk w JOIN nbr n ON n.route = w.route AND n.x = w.x AND n.y = w.y), lab AS (SELECT route, x, y, min(c) // 1000 AS cx, min(c) % 1000 AS cy FROM walk GROUP BY route, x, y)"
 
 
-@query("pix nbr", f"WITH {_CLOSE}, fr AS (SELECT route, cx, cy, count(*) AS size, round(avg(x), 1) AS mid_x, round(avg(y), 1) AS mid_y FROM lab GROUP BY route, cx, cy) SELECT *, size < greatest(1, floor(max(size) OVER (PARTITION BY route) * 0.01)) AS is_noise FROM fr")
+@query("pix nbr", f"{_CLOSE}, fr AS (SELECT route, cx, cy, count(*) AS size, round(avg(x), 1) AS mid_x, round(avg(y), 1) AS mid_y FROM lab GROUP BY route, cx, cy) SELECT *, size < greatest(1, floor(max(size) OVER (PARTITION BY route) * 0.01)) AS is_noise FROM fr")
 def pixel_components(spark, sf_dir):
     return raster.fragments(raster.components(b.pixels(spark, sf_dir)))
 
 
-@query("pix nbr", f"WITH {_CLOSE}, fr AS (SELECT route, cx, cy, count(*) AS size FROM lab GROUP BY route, cx, cy) SELECT route, count(*) AS n_fragments, max(size) AS main_size, count(*) = 1 AS is_connected FROM (SELECT *, size < greatest(1, floor(max(size) OVER (PARTITION BY route) * 0.01)) AS noise FROM fr) WHERE NOT noise GROUP BY route")
+@query("pix nbr", f"{_CLOSE}, fr AS (SELECT route, cx, cy, count(*) AS size FROM lab GROUP BY route, cx, cy) SELECT route, count(*) AS n_fragments, max(size) AS main_size, count(*) = 1 AS is_connected FROM (SELECT *, size < greatest(1, floor(max(size) OVER (PARTITION BY route) * 0.01)) AS noise FROM fr) WHERE NOT noise GROUP BY route")
 def route_connectivity(spark, sf_dir):
     return raster.connectivity(raster.fragments(raster.components(b.pixels(spark, sf_dir))))
 
 
-@query("pix nbr", f"WITH {_CLOSE}, pt AS (SELECT l.route, l.cx, l.cy, round(sum(CASE WHEN n.x = n.nx OR n.y = n.ny THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END), 2) AS part FROM nbr n JOIN lab l ON n.route = l.route AND n.x = l.x AND n.y = l.y WHERE (n.x, n.y) < (n.nx, n.ny) GROUP BY l.route, l.cx, l.cy) SELECT r.route, coalesce(round(sum(part), 2), 0.0::DOUBLE) AS length FROM (SELECT DISTINCT route FROM pix) r LEFT JOIN pt ON r.route = pt.route GROUP BY r.route")
+@query("pix nbr", f"{_CLOSE}, pt AS (SELECT l.route, l.cx, l.cy, round(sum(CASE WHEN n.x = n.nx OR n.y = n.ny THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END), 2) AS part FROM nbr n JOIN lab l ON n.route = l.route AND n.x = l.x AND n.y = l.y WHERE (n.x, n.y) < (n.nx, n.ny) GROUP BY l.route, l.cx, l.cy) SELECT r.route, coalesce(round(sum(part), 2), 0.0::DOUBLE) AS length FROM (SELECT DISTINCT route FROM pix) r LEFT JOIN pt ON r.route = pt.route GROUP BY r.route")
 def pixel_length(spark, sf_dir):
     pixels = b.pixels(spark, sf_dir)
     return raster.path_length(pixels, raster.components(pixels))

@@ -13,17 +13,23 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(views: str = "", sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name; `views` names the oracle's views that sql builds on, in order."""
+def query(views: str = "", sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, or `name`; `views` names the oracle's views that sql builds on, in order.
+
+    A sql text may start with a WITH clause of its own, recursive or not."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        key = name or f.__name__
+        QUERIES[key] = f
         if sql is not None:
-            named = [f"{v} AS ({VIEWS[v]})" for v in views.split()]
-            recursive = "WITH RECURSIVE " if "RECURSIVE" in sql else "WITH "
-            head = recursive + ", ".join(named) if named else ""
-            body = sql.replace("RECURSIVE", "").strip()
-            SQL[f.__name__] = head + (", " + body[5:] if named and body.startswith("WITH ") else " " + body) if named else body
+            parts = [f"{v} AS ({VIEWS[v]})" for v in views.split()]
+            body = sql.strip()
+            recursive = body.startswith("WITH RECURSIVE ")
+            if body.startswith("WITH "):
+                own = body.removeprefix("WITH RECURSIVE " if recursive else "WITH ")
+                SQL[key] = ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join([*parts, own])
+            else:
+                SQL[key] = f"WITH {', '.join(parts)} {body}" if parts else body
         return f
 
     return add

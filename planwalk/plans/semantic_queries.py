@@ -46,20 +46,15 @@ def _tables(spark, sf_dir):
 
 
 def _coverage(name):
-    @query(f"{_FACTS} vis tasks match need cover", f"SELECT task, n_required, n_visited, pct, valid FROM cover WHERE kind = '{name}'")
+    @query(f"{_FACTS} vis tasks match need cover", f"SELECT task, n_required, n_visited, pct, valid FROM cover WHERE kind = '{name}'", f"{name}_coverage")
     def run(spark, sf_dir):
+        """Coverage of one constraint."""
         tasks, exhibits, visits = _tables(spark, sf_dir)
         return coverage.coverage(tasks, coverage.required(tasks, exhibits, name), visits)
 
-    return run
-
 
 for _name in (*coverage.CHECKS, "combined"):
-    from planwalk.plans import registry as _r
-
     _coverage(_name)
-    for _held in (_r.QUERIES, _r.SQL):
-        _held[f"{_name}_coverage"] = _held.pop("run")
 
 
 @query(f"{_FACTS} vis tasks cats", "SELECT * FROM cats")
