@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +28,41 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return found.get() if found.isDefined() else None
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; a longer row goes alone.
+BATCH_BYTES = 1 << 24
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes as well as by rows, so that long texts don't add up in a worker."""
+    held = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b"))
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/planwalk/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables that were stored inside when it ends. What it leaves behind must not read them: store the result outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df once to the shared folder and returns the stored table: its lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scopes:
+        _scopes[-1].append((spark, path))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
