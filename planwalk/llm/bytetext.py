@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed at once; arrays of eight bytes for each of them are held.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

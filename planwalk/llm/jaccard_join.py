@@ -28,7 +28,7 @@ from . import store
 SLOTS, SLICES, MAP_BITS = 1 << 20, 64, 1 << 24
 #: Histogram buckets of the suffix filter.
 BINS = 64
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -55,7 +55,13 @@ def slot_counts(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            parts = [x for _, x in _sets(batch.column(0), size)]
+            parts, many = [], 0
+            for _, found in _sets(batch.column(0), size):
+                parts.append(found)
+                many += len(found)
+                if many > BATCH_BYTES:
+                    total += np.bincount(_slot(np.concatenate(parts)), minlength=SLOTS)
+                    parts, many = [], 0
             if parts:
                 total += np.bincount(_slot(np.concatenate(parts)), minlength=SLOTS)
         slices = total.astype("<u4").reshape(SLICES, -1)
@@ -261,6 +267,7 @@ def link(df: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), id_c
     """
     spark: SparkSession = df.sparkSession
     num, den = threshold
+    store.bound_batches(spark)
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(slot_counts(texts, size))
     stage = store.keep(_summaries(texts, size, num, den, counts), "jaccard-stage")
@@ -302,7 +309,10 @@ def link(df: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), id_c
 
 def keep_one(df: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id is their component's id, and those with a null id; of rows that repeat an id, one."""
-    members = store.keep(link(df, size, threshold, id_col, text_col)[0], "jaccard-members")
+    path = store.new_path(df.sparkSession, "jaccard-members")
+    with store.scratch():
+        link(df, size, threshold, id_col, text_col)[0].write.parquet(path)
+    members = df.sparkSession.read.parquet(path)
     gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
     left = df.join(gone, F.col(id_col) == F.col("gone_"), "left_anti")
     again = members.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_"))

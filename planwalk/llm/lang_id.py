@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from . import store
 
 #: Hash buckets for n-grams of SIZES letters.
 BUCKETS, SIZES = 1 << 15, (1, 2, 3)
@@ -109,6 +110,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             some = np.flatnonzero(table)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * (len(some) + 1)), "bucket": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(table[some], docs[x]), pa.int64())})
 
+    store.bound_batches(df.sparkSession)
     labelled = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = labelled.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     labels = sorted(rows["lang"].unique())
@@ -131,6 +133,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", pred: str = "la
     of df named as the new ones are replaced.
     """
     spark = df.sparkSession
+    store.bound_batches(spark)
     held = spark.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c not in (pred, score)]
     where = kept.index(text_col)

@@ -187,6 +187,7 @@ def text_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 html.append(f'<article><p>{escape("Text as media")}</p><figure><img src="cas:{name}" width="{WIDTH}" height="{len(payload) // WIDTH}"><figcaption>{b - a} bytes</figcaption></figure></article>')
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html), pa.array(digests), pa.array(stored, pa.binary())], names=["doc_id", "html", "digest", "media"])
 
+    store.bound_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, html string, digest string, media binary")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from . import store
 
 PASSAGE_WORDS, PAIRS = 64, 256
 SAMPLE, MOST_PASSAGES = 4000, 400
@@ -140,6 +141,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on at most `sample` labelled rows of df, those with the smallest hash of the id; null labels are left out.
 
     An id with several labels or rows counts as so many examples, up to the sample's size."""
+    store.bound_batches(df.sparkSession)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("label_")).orderBy(F.xxhash64("id_"), "id_", "label_").limit(sample)
 
     def encode(batches):
@@ -164,6 +166,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     Null and empty texts are one empty passage and get its score. Each row is scored by itself; columns of df named as the
     new ones are replaced."""
+    store.bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c not in ("score", "predicted")]
     where = kept.index(text_col)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from . import store
 
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 def _piece_lengths(path: str):
@@ -59,4 +60,5 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, id_col: str =
                 n[low:high] = lens
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    store.bound_batches(df.sparkSession)
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col + "_")).mapInArrow(lengths, schema)

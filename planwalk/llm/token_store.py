@@ -28,7 +28,7 @@ from . import store
 
 #: Ids that the rolling hash sees; mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 _STAGE = "kind int, doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, digest binary, width int, ids binary"
 
@@ -137,6 +137,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_co
     gives a store without rows. Columns besides id_col and text_col are not read. Chunks meet by digest, and each task
     hands on a chunk once, so copies cost recipes, not bytes.
     """
+    store.bound_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     stage = store.keep(texts.mapInArrow(_encode(tokenizer, end_id), _STAGE), "token-stage")
     chunks = stage.where("kind = 1").select("digest", "width", "ids")
@@ -229,6 +230,7 @@ def _recipe_facts(batches):
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
     """The recipes, once their shards agree with the manifest."""
+    store.bound_batches(spark)
     bad = _manifest(spark, path).alias("a").join(spark.read.parquet(f"{path}/manifest").alias("b"), "shard", "full_outer").where("NOT (a.root <=> b.root AND a.n_docs <=> b.n_docs AND a.n_tokens <=> b.n_tokens)")
     if bad.take(1):
         raise ValueError("the recipes don't agree with the manifest")
