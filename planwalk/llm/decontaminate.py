@@ -26,7 +26,7 @@ from . import store
 
 SEGMENT_BYTES = 1 << 22
 #: Words of benchmark items that are held in memory and searched for at once; a larger benchmark takes several blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 #: Distinct terms up to which an index can be limited to a benchmark's own; beyond, it holds all terms.
 TERM_LIMIT = 2_000_000
 
@@ -93,6 +93,7 @@ def build_index(df: DataFrame, terms: np.ndarray | None = None, id_col: str = "d
 
     A null or empty text has no words but is in its segment. Rows are documents of their own, repeated or not.
     """
+    store.bound_batches(df.sparkSession)
     held = None if terms is None else df.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
