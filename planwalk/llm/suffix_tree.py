@@ -2,15 +2,17 @@
 
 A token is a word `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, or the one end that closes each text. The symbols are
 the training tokens and one more for every word that isn't among them. The context of a token is the up to DEPTH tokens
-before it in its text. The tree holds a context if it is frequent (a share of at least P_MIN of all training tokens, so
-there are at most 1 / P_MIN of a length) and a divergence test tells its next-symbol distribution from that of the
-context without its first token; what a held context ends in is held too. A context's counts are smoothed towards the
-shorter one's distribution with the weight of its number of distinct next symbols; the root's leaves unknown words the
-share of tokens met once. Each token is scored by the longest suffix of what precedes it that the tree holds.
-
-Everything is learned from counts of all training tokens. Words are 64-bit hashes. Texts go through in segments that hand
-on each distinct word (and word after a context) once, counted; words meet in equi-joins, and a segment gets back the
-counts of its own words. Only the contexts, of which there is a bounded number, are broadcast.
+before it in its text. The tree holds a context if the training texts have it at least MIN_COUNT times, however many
+tokens they are, and a divergence test tells its next-symbol distribution from that of the context without its first
+token; what a held context ends in is held too. A context's counts are smoothed towards the shorter one's distribution
+with the weight of its number of distinct next symbols; the root's leaves unknown words the share of tokens met once.
+Each token is scored by the longest suffix of what precedes it that the tree holds.
+
+Everything is learned from counts of all training tokens. Words and runs of words are 64-bit hashes. Texts are cut into
+segments. For runs of 1, 2, ... DEPTH + 1 tokens, each segment sends its distinct runs that follow a context, counted and
+packed, to the buckets their hashes fall in, and gets the counts over all segments back in the same order. Contexts
+(their divergence, numbers of next symbols, and whether they are held) go the same way. Nothing but three sums reaches
+the driver, and nothing that grows with the texts is broadcast.
 """
 
 from __future__ import annotations
@@ -21,22 +23,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from . import store
 
-DEPTH, P_MIN = 3, 3e-3
+DEPTH, MIN_COUNT = 3, 20
 #: Least bits by which a context must tell more than its suffix, each time it occurs; least G statistic per next symbol.
 GAIN_BITS, G_LEAST = 0.02, 2.0
-SEGMENT_BYTES = 1 << 23
+SEGMENT_BYTES = 1 << 22
 #: The token that ends a text; no word has this hash but by a chance of 2**-64.
 END = np.uint64(0xE4D)
-#: More than the most contexts of a length.
+#: More than the most words of a table of contexts.
 _BASE = 1 << 11
-#: Rows of one task that are put together before they go back to their segments.
-FLUSH = 400_000
+#: Buckets in which the runs of so many segments meet.
+BUCKETS, BUCKET_SEGMENTS = 64, 512
+#: Divergence travels in whole units of 1 / UNIT nats, so that sums don't depend on their order.
+UNIT = 1 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -110,188 +115,228 @@ class Contexts:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    """(h, c): every distinct token of all texts and how often the training texts have it; 0 for those only in others."""
+@dataclass
+class Tree:
+    contexts: Contexts | None
+    held: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+    n_tokens: int
+    n_distinct: int
+    n_once: int
 
-    def run(batches):
-        for batch in batches:
-            for _, _, tokens, _, trained in _segments(batch):
-                names, back = np.unique(tokens, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(back[trained], minlength=len(names)))], names=["h", "c"])
+    def root(self, c: np.ndarray) -> np.ndarray:
+        unknown = max(self.n_once, 1) / max(self.n_tokens + (self.n_once == 0), 1)
+        return np.where(c > 0, (1 - unknown) * c / max(self.n_tokens, 1), unknown)
 
-    return texts.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    def chain(self, p: np.ndarray, steps) -> np.ndarray:
+        """log10 of the probabilities p of tokens at the root, refined by steps of (number of each token's context or -1, times the token was seen after it), shorter contexts first."""
+        for number, seen in steps:
+            some = np.flatnonzero((number >= 0) & self.held[np.maximum(number, 0)]) if len(self.held) else np.zeros(0, np.int64)
+            s = number[some]
+            p[some] = (seen[some] + self.kinds[s] * p[some]) / (self.totals[s] + self.kinds[s])
+        return np.log10(p)
 
+    def log10(self, word: np.ndarray, rows: np.ndarray, place: np.ndarray, c: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of each token; word: its place among the frequent ones or -1; c: counts by place; key: sorted place * contexts + context with n times that it was seen."""
+        many = max(len(self.held), 1)
 
-def find_contexts(texts: DataFrame, counts: DataFrame, total: int, depth: int) -> Contexts:
-    """The frequent contexts: words first, then runs of frequent words, counted over all training texts."""
-    spark = texts.sparkSession
-    rows = counts.where(f"c > 0 AND c >= {P_MIN * total} AND h <> {int(END)}").select("h").toPandas()
-    words = Contexts(np.sort(rows["h"].to_numpy(np.int64).view(np.uint64)), [])
-    held = spark.sparkContext.broadcast(words)
+        def steps():
+            for number in self.contexts.numbers(word, rows):
+                at = np.where(number >= 0, _find(key, place * many + number), -1)
+                yield number, np.where(at >= 0, n[np.maximum(at, 0)], 0) if len(n) else np.zeros(len(number))
 
-    def run(batches):
-        for batch in batches:
-            for _, _, tokens, bounds, trained in _segments(batch):
-                for d, packed in enumerate(held.value.packed(_find(held.value.frequent, tokens), bounds, depth)):
-                    names, n = np.unique(packed[trained & (packed >= 0)], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), d, np.int32)), pa.array(names), pa.array(n)], names=["d", "code", "n"])
+        return self.chain(self.root(c)[place], steps())
 
-    found = texts.where("NOT held_out").mapInArrow(run, "d int, code bigint, n bigint").groupBy("d", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= P_MIN * total).toPandas()
-    codes = [np.sort(found.loc[found["d"] == d, "code"].to_numpy(np.int64)) for d in range(depth)]
-    for d in range(1, depth):  # a run's ends are as frequent as the run
-        codes[d] = codes[d][_find(codes[d - 1], codes[d] % _BASE**d) >= 0]
-    return Contexts(words.frequent, codes)
 
+_STAGE = "segment bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, words binary, places binary"
+_SENT = "bucket int, segment bigint, keys binary, sent array<binary>"
 
-_STAGE = "segment bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, words binary, places binary, often binary, followers array<binary>"
 
+def _stage(batches):
+    """Segments: their distinct tokens, sorted, and each text's tokens as places among them."""
+    from pyspark import TaskContext
 
-def _stage(texts: DataFrame, contexts) -> DataFrame:
-    """Segments: their distinct tokens, each text's tokens as places among them, and (context, place, training count) of
-    every token after a context."""
+    segment = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for ids, held, tokens, rows, _ in _segments(batch):
+            names, place = np.unique(tokens, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([segment], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([np.diff(rows).tolist()], pa.list_(pa.int32())), pa.array([_pack_sorted(names)], pa.binary()), pa.array([pack(place)], pa.binary())],
+                names=["segment", "doc_ids", "held_out", "sizes", "words", "places"],
+            )
+            segment += 1
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        segment = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for ids, held, tokens, rows, trained in _segments(batch):
-                names, place = np.unique(tokens, return_inverse=True)
-                word = _find(contexts.value.frequent, names)
-                often = np.flatnonzero(word >= 0)
-                pairs = [np.zeros((0, 3), np.int64)]
-                for number in contexts.value.numbers(word[place], rows):
-                    some = (number >= 0) & trained
-                    key, n = np.unique(number[some] * len(names) + place[some], return_counts=True)
-                    pairs.append(np.column_stack([key // max(len(names), 1), key % max(len(names), 1), n]))
-                told = np.concatenate(pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([np.diff(rows).tolist()], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (names.tobytes(), pack(place), pack(np.concatenate([often, word[often]])))), pa.array([[pack(np.diff(told[:, 0], prepend=0)), pack(np.diff(told[:, 1], prepend=0)), pack(told[:, 2])]], pa.list_(pa.binary()))],
-                    names=["segment", "doc_ids", "held_out", "sizes", "words", "places", "often", "followers"],
-                )
-                segment += 1
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys.view(np.int64), prepend=0))
 
-    return texts.mapInArrow(run, _STAGE)
 
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data)).view(np.uint64)
 
-def _pairs(batches):
-    """(h, s, n) from segments' (words, followers)."""
-    for batch in batches:
-        for words, told in zip(*(c.to_pylist() for c in batch.columns)):
-            s, place, n = (unpack(x) for x in told)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)[np.cumsum(place)]), pa.array(np.cumsum(s).astype(np.int32)), pa.array(n)], names=["h", "s", "n"])
 
+def _longer(hashes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hashes of runs with one more token."""
+    x = hashes * np.uint64(0x9E3779B97F4A7C15) + tokens
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(k)
+    return x ^ (x >> np.uint64(32))
 
-def _entries(batches):
-    """(h, segment, place) from segments' (segment, words)."""
-    for batch in batches:
-        for segment, words in zip(*(c.to_pylist() for c in batch.columns)):
-            words = np.frombuffer(words, np.int64)
-            for low in range(0, len(words), 100_000):
-                part = words[low : low + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), segment)), pa.array(np.arange(low, low + len(part), dtype=np.int32))], names=["h", "segment", "place"])
-
-
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each value, values) of a list column; null lists are empty."""
-    sizes = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False)
-
-
-def _go_back(batches):
-    """(segment, known) from rows (segment, place, c, s, n): each segment's places and counts, and its (place, s, n), packed."""
-
-    def packed(rows: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(rows).combine_chunks()
-        segment = table.column(0).to_numpy()
-        place, c = (table.column(k).to_numpy().astype(np.int64) for k in (1, 2))
-        owner, s = _lists(pa.concat_arrays(table.column(3).chunks))
-        n = _lists(pa.concat_arrays(table.column(4).chunks))[1]
-        order = np.lexsort((place, segment))
-        names, first = np.unique(segment[order], return_index=True)
-        deep = np.argsort(segment[owner], kind="stable")
-        lows, highs = (np.searchsorted(segment[owner][deep], names, side=x) for x in ("left", "right"))
-        known = []
-        for k, part in enumerate(np.split(order, first[1:])):
-            some = deep[lows[k] : highs[k]]
-            known.append([pack(x) for x in (np.diff(place[part], prepend=0), c[part], place[owner[some]], s[some], n[some])])
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(known, pa.list_(pa.binary()))], names=["segment", "known"])
-
-    rows: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            rows.append(batch)
-        if sum(x.num_rows for x in rows) >= FLUSH:
-            yield packed(rows)
-            rows = []
-    if rows:
-        yield packed(rows)
 
+def _send(segment: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A segment's sorted keys and their values, one row for each bucket that has some."""
+    cuts = np.append(np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)), len(keys))
+    some = np.flatnonzero(np.diff(cuts))
+    pieces = [slice(cuts[b], cuts[b + 1]) for b in some]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), segment)), pa.array([_pack_sorted(keys[x]) for x in pieces], pa.binary()), pa.array([[pack(v[x]) for v in values] for x in pieces], pa.list_(pa.binary()))],
+        names=["bucket", "segment", "keys", "sent"],
+    )
 
-@dataclass
-class Tree:
-    contexts: Contexts
-    held: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray
-    n_tokens: int
-    n_distinct: int
-    n_once: int
 
-    def root(self, c: np.ndarray) -> np.ndarray:
-        unknown = max(self.n_once, 1) / max(self.n_tokens + (self.n_once == 0), 1)
-        return np.where(c > 0, (1 - unknown) * c / max(self.n_tokens, 1), unknown)
+def _meet(table: pa.Table) -> pa.Table:
+    """For each segment's keys in one bucket: 1 in one segment that has the key and 0 in the others, and the sums of the values over all segments."""
+    parts = [_unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    keys = np.concatenate(parts)
+    order = np.argsort(keys, kind="stable")
+    new = np.append(True, keys[order][1:] != keys[order][:-1])
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.cumsum(new) - 1
+    own = np.zeros(len(keys), np.int64)
+    own[order[new]] = 1
+    columns = [own]
+    for sent in zip(*table.column("sent").to_pylist()):
+        columns.append(np.add.reduceat(np.concatenate([unpack(x) for x in sent])[order], np.flatnonzero(new))[group])
+    cuts = np.cumsum([0, *(len(x) for x in parts)])
+    back = [[pack(x[a:b]) for x in columns] for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.table({"segment": table.column("segment"), "bucket": table.column("bucket"), "back": pa.array(back, pa.list_(pa.binary()))})
 
-    def log10(self, word: np.ndarray, rows: np.ndarray, place: np.ndarray, c: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Of each token; word: its place among the frequent ones or -1; c: counts by place; key: sorted place * contexts + context with n times that it was seen."""
-        p = self.root(c)[place]
-        many = max(len(self.held), 1)
-        for number in self.contexts.numbers(word, rows):
-            some = np.flatnonzero((number >= 0) & self.held[np.maximum(number, 0)]) if len(self.held) else np.zeros(0, np.int64)
-            s = number[some]
-            at = _find(key, place[some] * many + s)
-            seen = np.where(at >= 0, n[np.maximum(at, 0)], 0) if len(n) else np.zeros(len(s))
-            p[some] = (seen + self.kinds[s] * p[some]) / (self.totals[s] + self.kinds[s])
-        return np.log10(p)
+
+def _exchange(sent: DataFrame, name: str) -> DataFrame:
+    """(segment, name): what the buckets give each segment back."""
+    met = sent.groupBy("bucket").applyInArrow(_meet, "segment bigint, bucket int, back array<binary>")
+    return store.keep(met.groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name)), f"lm-{name}")
+
+
+def _given(back: list[dict] | None, columns: int) -> list[np.ndarray]:
+    """A segment's columns in the order of its keys."""
+    pieces = [[unpack(x) for x in row["back"]] for row in sorted(back or [], key=lambda x: x["bucket"])]
+    return [np.concatenate(x) for x in zip(*pieces)] if pieces else [np.zeros(0, np.int64)] * columns
 
 
-def grow(counts: DataFrame, contexts: Contexts) -> Tree:
-    """The tree of the contexts whose followers pass the test; counts(h, c, s array, n array). The driver gets one row for each context."""
-    spark = counts.sparkSession
-    many = int(contexts.first[-1])
-    parents = contexts.parents()
-    row = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    total = row["n"] or 0
-    sums = counts.select(F.explode(F.arrays_zip("s", "n")).alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n"), F.count(F.lit(1)).alias("kinds")).toPandas()
-    totals, kinds = np.zeros(many), np.zeros(many)
-    totals[sums["s"].to_numpy(np.int64)], kinds[sums["s"].to_numpy(np.int64)] = sums["n"].to_numpy(), sums["kinds"].to_numpy()
-    held = spark.sparkContext.broadcast((parents, totals))
-
-    def diverge(batches):
-        parents, totals = held.value
-        out = np.zeros(many)
-        for batch in batches:
-            owner, s = _lists(batch.column(1))
-            n = _lists(batch.column(2))[1].astype(np.float64)
-            s = s.astype(np.int64)
-            c = batch.column(0).to_numpy()[owner] / max(total, 1)
-            order = np.argsort(owner * many + s)
-            key = (owner * many + s)[order]
-            up = parents[s]
-            at = _find(key, owner * many + np.maximum(up, 0))
-            q = np.where(up >= 0, n[order[np.maximum(at, 0)]] / totals[np.maximum(up, 0)], c) if len(s) else c
-            out += np.bincount(s, n * np.log(n / totals[s] / q), minlength=many)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(many, dtype=np.int32)), pa.array(out)], names=["s", "nats"])
-
-    nats = np.zeros(many)
-    if many:
-        told = counts.where("size(s) > 0").select("c", "s", "n").mapInArrow(diverge, "s int, nats double").groupBy("s").agg(F.sum("nats").alias("nats")).toPandas()
-        nats[told["s"].to_numpy(np.int64)] = told["nats"].to_numpy()
-    good = (2 * nats >= G_LEAST * kinds) & (nats / np.log(2) >= GAIN_BITS * totals) & (totals > 0)
-    for s in range(many - 1, -1, -1):
-        if good[s] and parents[s] >= 0:
-            good[parents[s]] = True
-    return Tree(contexts, good, totals, kinds, total, row["v"] or 0, row["once"] or 0)
+@dataclass
+class Runs:
+    """Distinct runs of one length: sorted hashes; at: which of them ends at each token, -1 for none that follows a context."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    own: np.ndarray | None = None
+    count: np.ndarray | None = None
+
+    def ends(self) -> np.ndarray:
+        """A place where each run ends."""
+        out, some = np.zeros(len(self.keys), np.int64), np.flatnonzero(self.at >= 0)
+        out[self.at[some]] = some
+        return out
+
+
+class Segment:
+    """A segment's tokens, and its runs of 1, 2, ... tokens up to one more than those whose counts are known, `last` at most."""
+
+    def __init__(self, row: dict, known: int, last: int):
+        self.number, self.doc_ids, self.held = row["segment"], row["doc_ids"], np.array(row["held_out"], bool)
+        self.rows = np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
+        self.trained = np.repeat(~self.held, np.diff(self.rows))
+        words, place = _unpack_sorted(row["words"]), unpack(row["places"])
+        tokens = hashes = words[place]
+        first = np.zeros(len(tokens), bool)
+        first[self.rows[:-1]] = True
+        self.runs = [Runs(words, place)]
+        for n in range(1, known + 1):
+            runs = self.runs[-1]
+            runs.own, runs.count = _given(row[f"n{n}"], 2)
+            if n == last:
+                break
+            follows, at = np.zeros(len(tokens), bool), np.full(len(tokens), -1)
+            if len(runs.keys):
+                follows[1:] = (np.where(runs.at >= 0, runs.count[runs.at], 0)[:-1] >= MIN_COUNT) & ~first[1:]
+            hashes = np.append(np.uint64(0), _longer(hashes[:-1], tokens[1:]))
+            keys, at[follows] = np.unique(hashes[follows], return_inverse=True)
+            self.runs.append(Runs(keys, at))
+
+    def local(self) -> np.ndarray:
+        """How often the segment's training texts have each of the longest runs."""
+        runs = self.runs[-1]
+        return np.bincount(runs.at[self.trained & (runs.at >= 0)], minlength=len(runs.keys))
+
+    def contexts(self) -> None:
+        """Numbers the segment's contexts, shorter ones first: keys, totals, parents; number[d]: of the context of d + 1 tokens that ends in each such run."""
+        self.number_of, keys, totals, parents, first = [], [], [], [], 0
+        for d, (runs, after) in enumerate(zip(self.runs, self.runs[1:])):
+            some, end = np.unique(runs.at[after.ends() - 1], return_index=True) if len(after.keys) else (np.zeros(0, np.int64),) * 2
+            number = np.full(len(runs.keys), -1)
+            number[some] = first + np.arange(len(some))
+            shorter = self.runs[d - 1].at[after.ends()[end] - 1] if d else None
+            parents.append(self.number_of[d - 1][shorter] if d else np.full(len(some), -1))
+            keys.append(runs.keys[some])
+            totals.append(runs.count[some])
+            self.number_of.append(number)
+            first += len(some)
+        self.keys, self.totals, self.parents = (np.concatenate(x) for x in (keys, totals, parents))
+        self.order = np.argsort(self.keys)
+
+    def divergence(self, n_tokens: int) -> list[np.ndarray]:
+        """Of each context, over the next symbols that are the segment's own to count: units of divergence from its parent, and their number."""
+        nats, kinds = np.zeros(len(self.keys)), np.zeros(len(self.keys), np.int64)
+        for d, (runs, after) in enumerate(zip(self.runs, self.runs[1:])):
+            end = after.ends()
+            some = np.flatnonzero((after.own > 0) & (after.count > 0))
+            end, n = end[some], after.count[some]
+            if not len(some):
+                continue
+            total = self.runs[d - 1].count[self.runs[d - 1].at[end - 1]] if d else n_tokens
+            s, p, q = runs.at[end - 1], n / runs.count[runs.at[end - 1]], runs.count[runs.at[end]] / total
+            number = self.number_of[d][s]
+            nats += np.bincount(number, n * np.log(p / q), minlength=len(nats))
+            kinds += np.bincount(number, minlength=len(nats))
+        return [np.rint(nats * UNIT).astype(np.int64), kinds]
+
+    def in_order(self, given: list[np.ndarray]) -> list[np.ndarray]:
+        """Columns of sorted contexts, by number."""
+        out = []
+        for x in given:
+            y = np.empty_like(x)
+            y[self.order] = x
+            out.append(y)
+        return out
+
+    def good(self, units: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The contexts that pass the test, and what those end in."""
+        nats = units / UNIT
+        good = (2 * nats >= G_LEAST * kinds) & (nats / np.log(2) >= GAIN_BITS * self.totals) & (self.totals > 0)
+        for number in reversed(self.number_of):
+            some = number[number >= 0]
+            up = self.parents[some[good[some]]]
+            good[up[up >= 0]] = True
+        return good
+
+
+def _each(batches, known: int, last: int, f) -> Iterator[pa.RecordBatch]:
+    """f(segment, row) of each row; one segment is in memory at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield f(Segment(row, known, last), row)
+
+
+def _tally(batches):
+    """(n, v, once) from what segments were given back of single tokens: training tokens, distinct ones, those met once."""
+    for batch in batches:
+        for back in batch.column(0).to_pylist():
+            own, c = _given(back, 2)
+            c = c[own > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (c.sum(), (c > 0).sum(), (c == 1).sum())], names=["n", "v", "once"])
 
 
 def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -306,41 +351,53 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     """
     spark = df.sparkSession
     store.bound_batches(spark)
-    texts = _texts(df, held_out, id_col, text_col)
-    vocabulary = store.keep(token_counts(texts), "lm-vocabulary")
-    total = vocabulary.agg(F.sum("c")).first()[0] or 0
-    contexts = find_contexts(texts, vocabulary, total, depth)
-    stage = store.keep(_stage(texts, spark.sparkContext.broadcast(contexts)), "lm-segments")
-    pairs = stage.select("words", "followers").mapInArrow(_pairs, "h bigint, s int, n bigint").groupBy("h", "s").agg(F.sum("n").alias("n"))
-    after = pairs.groupBy("h").agg(F.collect_list(F.struct("s", "n")).alias("x")).select("h", F.col("x.s").alias("s"), F.col("x.n").alias("n"))
-    counts = store.keep(vocabulary.join(after, "h", "left"), "lm-counts")
-    tree = spark.sparkContext.broadcast(grow(counts, contexts))
-    entries = stage.select("segment", "words").mapInArrow(_entries, "h bigint, segment bigint, place int")
-    parts = entries.join(counts, "h").select("segment", "place", "c", "s", "n").mapInArrow(_go_back, "segment bigint, known array<binary>")
-    back = parts.groupBy("segment").agg(F.collect_list("known").alias("known"))
-
-    def finish(batches):
-        model = tree.value
-        many = max(len(model.held), 1)
-        base_bottom = model.n_tokens + model.n_distinct + 1
-        for batch in batches:
-            for k in range(batch.num_rows):
-                names, held, sizes = (batch.column(c)[k].values for c in range(3))
-                place = unpack(batch.column(3)[k].as_py())
-                where, frequent = np.split(unpack(batch.column(4)[k].as_py()), 2)
-                known = [[unpack(x) for x in part] for part in batch.column(5)[k].as_py()]
-                at, told, owner, s, n = (np.concatenate(x) for x in zip(*[(np.cumsum(p[0]), *p[1:]) for p in known]))
-                c, word = np.zeros(len(at), np.int64), np.full(len(at), -1)
-                c[at], word[where] = told, frequent
-                key = owner * many + s
-                order = np.argsort(key)
-                rows = np.concatenate(([0], np.cumsum(sizes.to_numpy().astype(np.int64))))
-                value = model.log10(word[place], rows, place, c, key[order], n[order])
-                told = c[place]
-                yield pa.RecordBatch.from_arrays(
-                    [names.cast(pa.int64()), held, pa.array(np.diff(rows)), pa.array(bt.sums((told > 0).astype(np.int64), rows)), pa.array(np.full(len(sizes), model.n_tokens, np.int64)), pa.array(bt.sums(np.log10((told + 1) / base_bottom), rows)), pa.array(bt.sums(value, rows))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    joined = stage.select("segment", "doc_ids", "held_out", "sizes", "places", "often").join(back, "segment").drop("segment")
-    return joined.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame = _texts(df, held_out, id_col, text_col).mapInArrow(_stage, _STAGE).repartition(parts, "segment").persist(StorageLevel.DISK_ONLY)
+    buckets = BUCKETS * max(1, -(-frame.count() // BUCKET_SEGMENTS))
+    last = depth + 1
+
+    def send_runs(known):
+        return lambda batches: _each(batches, known, last, lambda segment, _: _send(segment.number, segment.runs[-1].keys, [segment.local()], buckets))
+
+    for n in range(1, last + 1):
+        back = _exchange(frame.mapInArrow(send_runs(n - 1), _SENT), f"n{n}")
+        if n == 1:
+            row = back.select("n1").mapInArrow(_tally, "n bigint, v bigint, once bigint").agg(F.sum("n"), F.sum("v"), F.sum("once")).first()
+            n_tokens, n_distinct, n_once = (x or 0 for x in row)
+        frame = frame.join(back, "segment", "left")
+
+    def divergence(segment, _):
+        segment.contexts()
+        return _send(segment.number, segment.keys[segment.order], [x[segment.order] for x in segment.divergence(n_tokens)], buckets)
+
+    frame = frame.join(_exchange(frame.mapInArrow(lambda batches: _each(batches, last, last, divergence), _SENT), "told"), "segment", "left")
+
+    def good(segment, row):
+        segment.contexts()
+        _, units, kinds = segment.in_order(_given(row["told"], 3))
+        return _send(segment.number, segment.keys[segment.order], [segment.good(units, kinds)[segment.order]], buckets)
+
+    frame = frame.join(_exchange(frame.mapInArrow(lambda batches: _each(batches, last, last, good), _SENT), "held"), "segment", "left")
+
+    def finish(segment, row):
+        base_bottom = n_tokens + n_distinct + 1
+        segment.contexts()
+        kinds = segment.in_order(_given(row["told"], 3))[2]
+        held = segment.in_order(_given(row["held"], 2))[1] > 0
+        tree = Tree(None, held, segment.totals, kinds, n_tokens, n_distinct, n_once)
+        told = segment.runs[0].count[segment.runs[0].at]
+
+        def steps():
+            for number, runs, after in zip(segment.number_of, segment.runs, segment.runs[1:]):
+                some = np.flatnonzero(after.at >= 0)
+                here, seen = np.full(len(told), -1), np.zeros(len(told), np.int64)
+                here[some], seen[some] = number[runs.at[some - 1]], after.count[after.at[some]]
+                yield here, seen
+
+        value, rows = tree.chain(tree.root(told), steps()), segment.rows
+        return pa.RecordBatch.from_arrays(
+            [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.held), pa.array(np.diff(rows)), pa.array(bt.sums((told > 0).astype(np.int64), rows)), pa.array(np.full(len(segment.held), n_tokens, np.int64)), pa.array(bt.sums(np.log10((told + 1) / base_bottom), rows)), pa.array(bt.sums(value, rows))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return frame.mapInArrow(lambda batches: _each(batches, last, last, finish), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

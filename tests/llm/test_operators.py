@@ -426,3 +426,50 @@ def test_suffix_tree_learns_contexts(spark):
     texts = [" ".join(f"{k} {rng.choice(['x', 'y'])}{k}" for k in (rng.choice("ab") for _ in range(40))) for _ in range(200)]
     rows = suffix_tree.score(docs(spark, texts), lang_id.held_out("doc_id", 7, 2)).collect()
     assert sum(r.score for r in rows if r.held_out) > 0.75 * sum(r.base_score for r in rows if r.held_out)
+
+
+def brute_tree_scores(texts, held):
+    """Scores by the definition, with plain dictionaries over all contexts."""
+    end, most = None, suffix_tree.DEPTH
+    words = [[*re.findall(SPACED, fold(x)), end] for x in texts]
+    after = {}
+    for w, out in zip(words, held):
+        for i, x in enumerate(w if not out else []):
+            for d in range(min(most, i) + 1):
+                seen = after.setdefault(tuple(w[i - d : i]), {})
+                seen[x] = seen.get(x, 0) + 1
+    total = {s: sum(x.values()) for s, x in after.items()}
+    tree = set()
+    for s, x in after.items():
+        if s and total[s] >= 20:
+            nats = sum(n * math.log(n / total[s] / (after[s[1:]][y] / total[s[1:]])) for y, n in x.items())
+            if 2 * nats >= suffix_tree.G_LEAST * len(x) and nats / math.log(2) >= suffix_tree.GAIN_BITS * total[s]:
+                tree |= {s[k:] for k in range(len(s))}
+    n, unknown = total[()], sum(c == 1 for c in after[()].values()) / total[()]
+    scores = []
+    for w in words:
+        value = 0.0
+        for i, x in enumerate(w):
+            p = (1 - unknown) * after[()][x] / n if x in after[()] else unknown
+            for d in range(1, min(most, i) + 1):
+                if (s := tuple(w[i - d : i])) in tree:
+                    p = (after[s].get(x, 0) + len(after[s]) * p) / (total[s] + len(after[s]))
+            value += math.log10(p)
+        scores.append(value)
+    return scores, tree, total
+
+
+def test_suffix_tree_scores_are_those_of_all_counted_contexts(spark):
+    rng = random.Random(21)
+    texts = [None, "", "once only"]
+    for x in prose(22, 400, 700):
+        w = x.split()
+        for _ in range(2):
+            w[(k := rng.randrange(len(w))) : k] = rng.choice(["u v w x", "v v w y", "u u w z", "q v w q"]).split()
+        texts.append(" ".join(w))
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    want, tree, total = brute_tree_scores(texts, held)
+    rare = {len(s) for s in tree if total[s] < 3e-3 * total[()]}
+    assert {len(s) for s in tree} == {1, 2, 3} and 1 in rare
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs(spark, texts), lang_id.held_out("doc_id", 7, 2)).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
