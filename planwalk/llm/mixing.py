@@ -6,7 +6,9 @@
 3. Each output shard draws how many of its slots each source fills from a multinomial over what the sources still have to
    give; the last draws take what is left, so that the shards together meet every source's quota.
 4. A source's slots run through pseudorandom permutations of its block indices, a new one after each pass, and slots and
-   blocks are joined on (source, index). No block is taken twice before all are taken once.
+   blocks are joined on (source, index). No block is taken twice before all are taken once. The joined table is the mix:
+   for each slot of each shard, the spans of documents that its block is packed from. Slots of a shard's sources are
+   interleaved by a permutation of the shard.
 
 The driver holds one number per source and one draw per shard; blocks, slots and documents stay distributed.
 """
@@ -97,14 +99,8 @@ def permuted(index: np.ndarray, n: int, key: bytes) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row (doc_id, size, source_size, target, taken) for each row of df; see the module's text.
-
-    taken counts the document's words in all slots that take a block they lie in. A null text has no words and is not
-    taken; null is a source of its own. Repeated rows and ids are documents of their own, in any order among
-    themselves. An empty table gives an empty result. The same table and seed give the same mix. Other columns are not read.
-    Sources are a mix's configuration: one number for each reaches the driver.
-    """
+def _mixed(df: DataFrame, share: float, most: float, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, slots): df's rows (row, doc_id, code, size, at, source_size, target), and (shard, slot, source, index, spans) of each slot, both stored."""
     spark = df.sparkSession
     sized = store.keep(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "mix-sizes")
     totals = sorted(((r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
@@ -124,32 +120,57 @@ def mix(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK
     shards: list[tuple] = []
     for shard, drawn in enumerate(shard_counts(quota, max(SHARD_SLOTS, -(-sum(quota) // MOST_SHARDS)), seed)):
         for code in np.flatnonzero(drawn).tolist():
-            shards.append((shard, code, used[code], int(drawn[code]), -(-sizes[code] // block)))
+            shards.append((shard, code, used[code], int(drawn[code]), -(-sizes[code] // block), int(drawn[:code].sum()), int(drawn.sum())))
             used[code] += int(drawn[code])
 
     def slots(batches):
         for batch in batches:
-            for shard, code, low, n, blocks in ((s, c, a, min(SHARD_SLOTS, f + m - a), b) for s, c, f, m, b in zip(*(c.to_pylist() for c in batch.columns)) for a in range(f, f + m, SHARD_SLOTS)):
+            for shard, code, low, n, blocks, ahead, many in ((s, c, a, min(SHARD_SLOTS, f + m - a), b, h + a - f, w) for s, c, f, m, b, h, w in zip(*(c.to_pylist() for c in batch.columns)) for a in range(f, f + m, SHARD_SLOTS)):
                 at = np.arange(low, low + n)
                 index = np.zeros(n, np.int64)
                 for turn in np.unique(at // blocks).tolist():
                     some = at // blocks == turn
                     index[some] = permuted(at[some] % blocks, blocks, f"{seed}/{code}/{turn}".encode())
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard)), "code": pa.array(np.full(n, code)), "index": pa.array(index)})
+                slot = permuted(np.arange(ahead, ahead + n), many, f"{seed}/shard/{shard}".encode())
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard)), "slot": pa.array(slot), "code": pa.array(np.full(n, code)), "index": pa.array(index)})
+
+    plan = spark.createDataFrame(pd.DataFrame(shards, columns=["shard", "code", "first", "n", "blocks", "ahead", "many"], dtype=np.int64), "shard bigint, code bigint, first bigint, n bigint, blocks bigint, ahead bigint, many bigint")
+    drawn = plan.repartition("shard", "code").mapInArrow(slots, "shard bigint, slot bigint, code bigint, index bigint")
+    parts = placed.where("size > 0").select("row", "doc_id", "code", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("index"))
+    low = F.greatest(F.col("at"), F.col("index") * block)
+    span = F.struct(low.alias("place"), "row", "doc_id", (low - F.col("at")).alias("first"), (F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * block) - low).alias("n"))
+    packed = parts.groupBy("code", "index").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    packed = packed.withColumn("spans", F.transform("spans", lambda x: F.struct(x["row"].alias("row"), x["doc_id"].alias("doc_id"), x["first"].alias("first"), x["n"].alias("n"))))
+    # slots come of a small plan, by whose size Spark would broadcast them all
+    filled = drawn.join(packed.hint("merge"), ["code", "index"]).join(F.broadcast(config.select("code", "source")), "code")
+    return placed, store.keep(filled.select("shard", "slot", "source", "index", "spans"), "mix-shards")
+
+
+def mix_shards(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, one row (shard, slot, source, index, spans) for each slot; see the module's text.
 
-    plan = spark.createDataFrame(pd.DataFrame(shards, columns=["shard", "code", "first", "n", "blocks"], dtype=np.int64), "shard bigint, code bigint, first bigint, n bigint, blocks bigint")
-    drawn = plan.repartition("shard", "code").mapInArrow(slots, "shard bigint, code bigint, index bigint")
-    taken = drawn.groupBy("code", "index").agg(F.count(F.lit(1)).alias("times"))
-    parts = placed.where("size > 0").select("row", "code", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("index"))
-    inside = F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * block) - F.greatest(F.col("at"), F.col("index") * block)
-    counted = parts.join(taken, ["code", "index"]).groupBy("row").agg(F.sum(inside * F.col("times")).alias("taken"))
-    return placed.join(counted, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    spans: in order, (row, doc_id, first, n) of the n words from word `first` of each document that lies in the source's
+    block `index`; row tells documents that share an id apart."""
+    return _mixed(df, share, most, block, seed, id_col, text_col, source_col)[1]
+
+
+def mix(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row (doc_id, size, source_size, target, taken) for each row of df; see the module's text.
+
+    taken counts the document's words in all slots that take a block they lie in. A null text has no words and is not
+    taken; null is a source of its own. Repeated rows and ids are documents of their own, in any order among
+    themselves. An empty table gives an empty result. The same table and seed give the same mix. Other columns are not read.
+    Sources are a mix's configuration: one number for each reaches the driver.
+    """
+    placed, slots = _mixed(df, share, most, block, seed, id_col, text_col, source_col)
+    counted = slots.select(F.explode("spans").alias("x")).groupBy("x.row").agg(F.sum("x.n").alias("taken"))
+    return placed.join(counted.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def apply_mix(df: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """df as the mix takes it: each document as often as its words are taken on average, the fraction decided by a hash
-    of its id, so a source's words come near its target and whole texts stay whole. Documents that the mix doesn't
-    take, those without words among them, go. Rows that repeat an id are taken alike."""
+    of its id, so a source's words come near its target and whole texts stay whole; one document that holds most of a
+    source can move it off its target by up to that document's words. Documents that the mix doesn't take, those without words among them, go. Rows that repeat an id are taken alike."""
     found = mix(df, share, most, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 32)) / F.lit(float(1 << 32))
     times = found.where("size > 0").select(F.col("doc_id").alias("id_"), F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("times_")).where("times_ > 0")

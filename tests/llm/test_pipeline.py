@@ -74,3 +74,33 @@ def test_stages_keep_the_columns_and_survive_nothing(spark, tmp_path, stage):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.STAGES[stage][1](spark, spark.createDataFrame([], kinds), str(tmp_path))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() == 0
+
+
+def test_mix_shards_hold_the_blocks_that_slots_draw(spark):
+    texts = prose(24, 80)
+    rows = [(k % 70, x, None if k % 5 == 0 else f"s{k % 3}") for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, block = mixing.mix_shards(df, block=16).collect(), 16
+    names = sorted({s for *_, s in rows}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(len(re.findall(SPACED, x)) for _, x, z in rows if z == s) for s in names]
+    quota = mixing.quotas(sizes, mixing.targets(sizes, 1.5, 2.0), block)
+    drawn = list(mixing.shard_counts(quota, max(mixing.SHARD_SLOTS, 1), 0))
+    for shard, counts in enumerate(drawn):
+        here = [r for r in got if r.shard == shard]
+        assert sorted(r.slot for r in here) == list(range(int(counts.sum())))
+        assert [sum(r.source == s for r in here) for s in names] == counts.tolist()
+    assert len(got) == sum(quota)
+    for code, s in enumerate(names):
+        blocks = {r["index"]: [tuple(x) for x in r.spans] for r in got if r.source == s}
+        last = -(-sizes[code] // block) - 1
+        for index, spans in blocks.items():
+            assert sum(n for *_, n in spans) == (block if index < last else sizes[code] - last * block)
+            assert all(first == 0 for _, _, first, _ in spans[1:])
+    taken = {}
+    for r in got:
+        for x in r.spans:
+            taken[x.doc_id] = taken.get(x.doc_id, 0) + x.n
+    want = {}
+    for r in mixing.mix(df, block=16).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert taken == {k: n for k, n in want.items() if n}
