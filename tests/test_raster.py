@@ -82,3 +82,20 @@ def test_colours(spark):
     rgb = spark.createDataFrame([(255, 0, 0), (0, 255, 0), (0, 0, 255), (10, 10, 10), (0, 0, 0)], "r int, g int, b int")
     got = [tuple(x.c) for x in rgb.select(raster.hsv(F.col("r"), F.col("g"), F.col("b")).alias("c")).collect()]
     assert got == [(0, 255, 255), (60, 255, 255), (120, 255, 255), (0, 0, 10), (0, 0, 0)]
+
+
+def test_rasterised_routes_draw_every_stroke(spark, monkeypatch):
+    """Strokes after the third are drawn as well, as by brute force over all strokes."""
+    from planwalk.plans import spatial_queries
+
+    path = [(10, 10), (14, 10), (14, 17), (9, 19), (30, 25), (30, 40), (12, 41)]
+    points = spark.createDataFrame([("l", 1, i, x, y) for i, (x, y) in enumerate(path)], "layout string, route long, i long, x long, y long")
+    monkeypatch.setattr(spatial_queries.b, "points", lambda spark, sf_dir: points)
+    ink = set()
+    for (ax, ay), (bx, by) in zip(path, path[1:]):
+        n = max(abs(bx - ax), abs(by - ay), 1)
+        for k in range(n + 1):
+            x, y = int((ax + (bx - ax) * k / n + 0.5) // 1), int((ay + (by - ay) * k / n + 0.5) // 1)
+            ink |= {(x + dx, y + dy) for dx in range(-2, 3) for dy in range(-2, 3) if dx * dx + dy * dy <= 6}
+    row = spatial_queries.rasterised_routes(spark, "").first()
+    assert (row.n_pixels, row.sum_x, row.sum_y) == (len(ink), sum(x for x, _ in ink), sum(y for _, y in ink))
