@@ -99,3 +99,13 @@ def test_rasterised_routes_draw_every_stroke(spark, monkeypatch):
             ink |= {(x + dx, y + dy) for dx in range(-2, 3) for dy in range(-2, 3) if dx * dx + dy * dy <= 6}
     row = spatial_queries.rasterised_routes(spark, "").first()
     assert (row.n_pixels, row.sum_x, row.sum_y) == (len(ink), sum(x for x, _ in ink), sum(y for _, y in ink))
+
+
+def test_all_annotated_circles_are_matched(spark, monkeypatch):
+    """Circles far from each other: each meets its own shifted one, of odd id or even."""
+    from planwalk.plans import raster_queries
+
+    circles = spark.createDataFrame([(1, k, 100.0 * k, 50.0) for k in range(1, 7)], "layout long, ex_id long, cx double, cy double")
+    monkeypatch.setattr(raster_queries.b, "exhibits", lambda spark, sf_dir: circles)
+    got = {(r.found_id, r.ann_id) for r in raster_queries.circle_matches(spark, "").collect()}
+    assert got == {(k, k) for k in range(1, 7)}
