@@ -162,8 +162,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", pred: str = "la
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
-    """Whether the crc32 of the id's decimal text leaves `fold` when divided by `folds`."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
+    """Whether the crc32 of the id's decimal text leaves `fold` when divided by `folds`; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def accept(df: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.4) -> DataFrame:

@@ -5,8 +5,9 @@ word statistics and a hashed histogram of byte pairs; a hidden layer h, gated at
 a = softmax(w . (tanh(V h) * sigmoid(U h))) and the weighted sum z of h give the document's score sigmoid(c . z + d).
 Only document labels are learned from.
 
-The model is fitted in numpy on a sample of labelled rows (at most SAMPLE, chosen by a hash of the id; of a document
-with more than MOST_PASSAGES passages, so many evenly spaced ones); scoring encodes every passage of every text.
+The model is fitted in numpy on a sample of labelled rows with all their passages: at most SAMPLE rows in the order of a
+hash of their id, without those that would bring the sample above SAMPLE_PASSAGES. Scoring encodes every passage of
+every text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from . import bytetext as bt
 from . import store
 
 PASSAGE_WORDS, PAIRS = 64, 256
-SAMPLE, MOST_PASSAGES = 4000, 400
+#: Bounds on the rows that are fitted, and on the passages of all of them.
+SAMPLE, SAMPLE_PASSAGES = 4000, 60_000
 HIDDEN, GATES = 32, 16
 BATCH_BYTES = 1 << 21
 THRESHOLD = 0.7
@@ -35,11 +37,18 @@ CLASSES = 12
 FEATURES = CLASSES + 6 + PAIRS
 
 
+def n_passages(n_words):
+    """Passages of texts of so many words."""
+    return np.maximum(1, (n_words + PASSAGE_WORDS // 2) // PASSAGE_WORDS)
+
+
 def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, for each row the number of passages before it); every row has a passage at least."""
+    """(features of each passage, for each row the number of passages before it); every row has a passage at least.
+
+    A passage's features come from its own bytes: a byte pair counts if both bytes lie in the passage."""
     start, end, hashes, rows = bt.words(data, bounds, bt.SPACED, bt.EXACT_SYMBOLS)
     n_words = np.diff(rows)
-    many = np.maximum(1, (n_words + PASSAGE_WORDS // 2) // PASSAGE_WORDS)
+    many = n_passages(n_words)
     first = np.concatenate(([0], np.cumsum(many)))
     row = np.repeat(np.arange(len(many)), many)
     turn = np.arange(len(row)) - first[row]
@@ -54,8 +63,13 @@ def passages(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         cuts = np.clip(np.append(at[lo:hi], low + len(part)) - low, 0, len(part))
         own = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         classes[lo:hi] += np.bincount(own * CLASSES + _classes[part], minlength=(hi - lo) * CLASSES).reshape(-1, CLASSES)
-        code = ((part[:-1].astype(np.uint32) * np.uint32(0x9E37) + part[1:] * np.uint32(0x79B9)) >> np.uint32(5)) & np.uint32(PAIRS - 1)
-        pairs[lo:hi] += np.bincount(own[1:] * PAIRS + code, minlength=(hi - lo) * PAIRS).reshape(-1, PAIRS)
+        # pairs that end in this piece; the first may start in the piece before
+        before = np.concatenate((data[low - 1 : low] if low else part[:1], part[:-1]))
+        code = ((before.astype(np.uint32) * np.uint32(0x9E37) + part * np.uint32(0x79B9)) >> np.uint32(5)) & np.uint32(PAIRS - 1)
+        inside = np.ones(len(part), bool)
+        firsts = at[lo:hi] - low
+        inside[firsts[(firsts >= 0) & (firsts < len(part))]] = False
+        pairs[lo:hi] += np.bincount(own[inside] * PAIRS + code[inside], minlength=(hi - lo) * PAIRS).reshape(-1, PAIRS)
     words_in = np.diff(np.append(word, len(start)))
     word_owner = np.repeat(np.arange(count), words_in)
     lens = (end - start).astype(np.float64)
@@ -84,7 +98,8 @@ class Model:
     parts: dict[str, np.ndarray]
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-_forward(self.parts, (x - self.mean) * self.scale, first)["logit"]))
+        """To six decimals: how a product of matrices rounds depends on their size, and equal texts must score equally."""
+        return (1 / (1 + np.exp(-_forward(self.parts, (x.astype(np.float64) - self.mean) * self.scale, first)["logit"]))).round(6)
 
 
 def _forward(p: dict, x: np.ndarray, first: np.ndarray) -> dict:
@@ -134,31 +149,43 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int
                 g = g + decay * p[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean.astype(np.float32), scale.astype(np.float32), {k: x.astype(np.float32) for k, x in p.items()})
+    return Model(mean, scale, p)
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows of df, those with the smallest hash of the id; null labels are left out.
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES) -> Model:
+    """Fits on labelled rows of df: those with the smallest hash of the id, at most `sample` of them; null labels are left out.
 
-    An id with several labels or rows counts as so many examples, up to the sample's size."""
+    Of these, in that order, each is taken with all its passages unless that brings them above `sample_passages`.
+    An id with several labels or rows counts as so many examples, up to the sample's size. Labels without a document
+    take no part."""
     store.bound_batches(df.sparkSession)
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("label_")).orderBy(F.xxhash64("id_"), "id_", "label_").limit(sample)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("label_"))
+    known = known.join(df.select(F.col(id_col).alias("id_")), "id_", "left_semi")
+    chosen = known.orderBy(F.xxhash64("id_"), "id_", "label_").limit(sample)
+    # The sample has at most `sample` rows of two numbers, whatever the tables.
+    text = F.col(text_col).cast("string")
+    rows = df.join(F.broadcast(chosen), F.col(id_col) == F.col("id_")).select(text.alias("text"), F.col("label_").alias("label"), F.xxhash64("id_").alias("key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_key"))
+    sizes = rows.select("key", "label", "text_key", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).alias("n")).orderBy("key", "label", "text_key").limit(sample).collect()
+    taken, total = [], 0
+    for r in sizes:
+        many = int(n_passages(r["n"]))
+        if total + many <= sample_passages:
+            total += many
+            taken.append((r["key"], r["label"], r["text_key"]))
+    wanted = df.sparkSession.createDataFrame(list(dict.fromkeys(taken)), "key bigint, label double, text_key bigint")
 
     def encode(batches):
         for batch in batches:
-            data, bounds = bt.buffers(batch.column(0))
+            data, bounds = bt.buffers(batch.column(3))
             out = []
             for low, high in bt.groups(bounds, BATCH_BYTES):
                 x, first = passages(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
-                for a, b in zip(first[:-1], first[1:]):
-                    pick = np.linspace(a, b - 1, min(b - a, MOST_PASSAGES)).round().astype(np.int64)
-                    out.append(x[pick].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["label", "key", "bag"])
+                out += [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["key", "label", "text_key", "bag"])
 
-    # The sample has at most `sample` rows of two numbers, whatever the tables.
-    rows = df.join(F.broadcast(chosen), F.col(id_col) == F.col("id_")).select(F.col(text_col).cast("string").alias("text"), F.col("label_").alias("label"), F.xxhash64("id_").alias("key"))
-    found = sorted(((r["key"], r["label"], bytes(r["bag"])) for r in rows.mapInArrow(encode, "label double, key bigint, bag binary").toLocalIterator()))[:sample]
-    return fit([np.frombuffer(x, "<f4").reshape(-1, FEATURES) for *_, x in found], np.array([y for _, y, _ in found]))
+    bags = rows.join(F.broadcast(wanted), ["key", "label", "text_key"]).select("key", "label", "text_key", "text").mapInArrow(encode, "key bigint, label double, text_key bigint, bag binary")
+    found = sorted((r["key"], r["label"], r["text_key"], bytes(r["bag"])) for r in bags.toLocalIterator())[: len(taken)]
+    return fit([np.frombuffer(x, "<f4").reshape(-1, FEATURES) for *_, x in found], np.array([r[1] for r in found]))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

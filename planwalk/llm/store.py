@@ -33,7 +33,9 @@ BATCH_BYTES = 1 << 24
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by bytes as well as by rows, so that long texts don't add up in a worker."""
+    """Bounds the session's Arrow batches by bytes as well as by rows, so that long texts don't add up in a worker.
+
+    The bound stays set: plans are carried out after the operator that made them has returned."""
     held = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b"))
     if not 0 < held <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -58,11 +60,14 @@ def scratch() -> Iterator[None]:
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df once to the shared folder and returns the stored table: its lineage ends there, and a lost executor costs no recomputation."""
+def keep(df: DataFrame, name: str, codec: str = "zstd", outer: bool = False) -> DataFrame:
+    """Writes df once to the shared folder and returns the stored table: its lineage ends there, and a lost executor costs no recomputation.
+
+    outer: the table outlives the innermost scratch() and goes with the one around it, if there is one."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _scopes:
-        _scopes[-1].append((spark, path))
+    scopes = _scopes[:-1] if outer else _scopes
+    if scopes:
+        scopes[-1].append((spark, path))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

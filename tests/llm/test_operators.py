@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from planwalk.llm import bytetext, chat, decontaminate, encoder, jaccard_join, lang_id, media, mixing, prefix, quality, store, suffix_tree, token_counts, token_store
+from planwalk.llm import bytetext, chat, decontaminate, encoder, jaccard_join, lang_id, media, mixing, prefix, quality, skew, store, suffix_tree, token_counts, token_store
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,15 +124,41 @@ def test_token_store_of_nothing_and_of_repeated_ids(spark):
     assert rows == [(0, None, 2), (2, 0, 1), (3, 1, 3), (6, 1, 3)]
 
 
-def test_token_store_notices_damage(spark):
+def test_token_store_notices_damage(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 4)
     path = store.new_path(spark, "t")
-    token_store.write_store(docs(spark, prose(5, 5)), path, BPE)
-    bad = store.new_path(spark, "t")
-    spark.read.parquet(f"{path}/chunks").selectExpr("digest", "width", "unhex('0100') AS ids").write.parquet(f"{bad}/chunks")
-    for part in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{part}").write.parquet(f"{bad}/{part}")
-    with pytest.raises(Exception, match="damaged"):
-        token_store.verify_store(spark, bad).collect()
+    root = token_store.write_store(docs(spark, prose(5, 9)), path, BPE)
+    tables = {x: spark.read.parquet(f"{path}/{x}") for x in ("chunks", "recipes", "manifest")}
+    assert tables["manifest"].agg({"level": "max"}).first()[0] == 1
+    assert token_store.verify_store(spark, path, root).count() == 9
+
+    def refused(asked=None, **changed):
+        bad = store.new_path(spark, "t")
+        for name, table in tables.items():
+            changed.get(name, table).coalesce(1).write.parquet(f"{bad}/{name}")
+        with pytest.raises(Exception, match="damaged|missing|agree|chunks|asked"):
+            token_store.verify_store(spark, bad, asked).collect()
+
+    recipes, manifest = tables["recipes"], tables["manifest"]
+    refused(chunks=tables["chunks"].selectExpr("digest", "width", "unhex('0100') AS ids"))
+    refused(chunks=tables["chunks"].limit(3))
+    for column, value in (("doc_id", "doc_id + 100"), ("start", "start * 2"), ("n_tokens", "n_tokens + 1"), ("root", "unhex('00')"), ("number", "8 - number"), ("chunks", "reverse(array_repeat(chunks[0], 2))")):
+        refused(recipes=recipes.selectExpr(*(f"{value} AS {column}" if c == column else c for c in recipes.columns)))
+    refused(recipes=recipes.where("number <> 8"))
+    refused(recipes=recipes.where("number >= 4"), manifest=manifest.where("NOT (level = 0 AND node = 0)"))
+    refused(manifest=manifest.where("NOT (level = 0 AND node = 0)"))
+    refused(manifest=manifest.selectExpr("level", "node", "n_docs", "n_tokens", "unhex('00') AS root"))
+    refused(manifest=manifest.unionByName(manifest.selectExpr("level", "node + 7 AS node", "n_docs", "n_tokens", "root")))
+    refused(asked=b"another")
+    refused(asked=root, recipes=recipes.limit(0), manifest=manifest.limit(0))
+
+
+def test_split_join_is_the_plain_join(spark):
+    many = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 20}") for k in range(300)] + [(300, None)], "id long, key string")
+    one = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("other", 4)], "key string, v int")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, many.join(one, "key", how).select("id", "key", "v").collect()))
+        assert sorted(map(tuple, skew.split_join(many, one, "key", ["id"], how, piece=7).select("id", "key", "v").collect())) == want
 
 
 def test_language(spark):
@@ -232,6 +258,63 @@ def test_quality(spark):
     assert {r.score for r in quality.predict(df, blank).collect()} == {0.5}
 
 
+def plain_passages(text):
+    """A text's passages as strings of bytes, with their words."""
+    raw = (text or "").encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    many = max(1, (len(spans) + 32) // 64)
+    firsts = [k * len(spans) // many for k in range(many)] + [len(spans)]
+    starts = [0, *(spans[k][0] for k in firsts[1:-1]), len(raw)]
+    return [(raw[a:b], [raw[x:y] for x, y in spans[p:q]]) for a, b, p, q in zip(starts, starts[1:], firsts, firsts[1:])]
+
+
+def plain_features(passage, words):
+    classes, pairs = np.zeros(quality.CLASSES), np.zeros(quality.PAIRS)
+    for x in passage:
+        classes[quality._classes[x]] += 1
+    for a, b in zip(passage, passage[1:]):
+        pairs[((a * 0x9E37 + b * 0x79B9) >> 5) % quality.PAIRS] += 1
+    n, size = max(len(words), 1), max(len(passage), 1)
+    stats = [len(set(words)) / n, sum(map(len, words)) / n / 10, sum(len(w) <= 2 for w in words) / n, sum(len(w) >= 12 for w in words) / n, sum(6 <= quality._classes[w[-1]] <= 9 for w in words) / n, min(len(words), 64) / 64]
+    return np.concatenate([classes / size, stats, 4 * np.sqrt(pairs / size)]).astype(np.float32)
+
+
+def test_quality_scores_are_those_of_each_text_alone(spark, monkeypatch):
+    texts = [*ODD[:7], *prose(31, 40), "ab " * 150_000 + "é" * 400_000, *ODD[7:], *prose(31, 5), ""]
+    rng = np.random.default_rng(3)
+    sizes = {"W": (quality.FEATURES, 4), "b": 4, "V": (4, 3), "U": (4, 3), "w": 3, "c": 4, "d": 1}
+    model = quality.Model(rng.normal(0, 0.1, quality.FEATURES), rng.uniform(1, 3, quality.FEATURES), {k: rng.normal(0, 1, v) for k, v in sizes.items()})
+
+    def plain(text):
+        p, e, h = model.parts, [], []
+        for passage, words in plain_passages(text):
+            h.append(np.tanh((plain_features(passage, words) - model.mean) * model.scale @ p["W"] + p["b"]))
+            e.append((np.tanh(h[-1] @ p["V"]) / (1 + np.exp(-(h[-1] @ p["U"])))) @ p["w"])
+        a = np.exp(np.array(e) - max(e))
+        return 1 / (1 + np.exp(-((a / a.sum()) @ np.array(h) @ p["c"] + p["d"][0])))
+
+    df = docs(spark, texts)
+    got = {r.doc_id: r.score for r in quality.predict(df, model).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx([plain(x) for x in texts], abs=2e-6)
+    for other in (df.orderBy("doc_id").coalesce(1), df.orderBy(df.doc_id.desc()).coalesce(1), df.repartition(40)):
+        assert {r.doc_id: r.score for r in quality.predict(other, model).collect()} == got
+    seen = {}
+    assert all(seen.setdefault(x or "", got[k]) == got[k] for k, x in enumerate(texts))
+    monkeypatch.setattr(bytetext, "PIECE", 1000)
+    assert {r.doc_id: r.score for r in quality.predict(df, model).collect()} == got
+
+
+def test_quality_sample_is_bounded_by_rows_and_passages(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: held.append([len(x) for x in bags]))
+    df = docs(spark, ["word " * (64 * k) for k in (1, 2, 3, 50)] * 5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    for most, passages in ((100, 1000), (6, 1000), (100, 40), (0, 10)):
+        quality.train(df, labels, sample=most, sample_passages=passages)
+        assert len(held[-1]) <= most and sum(held[-1]) <= passages
+    assert sorted(held[0]) == sorted([1, 2, 3, 50] * 5) and held[2] and 50 not in held[2]
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     x, first, y = rng.normal(size=(6, quality.FEATURES)), np.array([0, 2, 6]), np.array([1.0, 0.0])
