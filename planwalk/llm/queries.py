@@ -21,8 +21,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import store, token_store
 
     path = store.new_path(spark, "token-store")
-    token_store.write_store(_table(spark, sf_dir, "documents"), path, _tokenizer())
-    return token_store.verify_store(spark, path)
+    root = token_store.write_store(_table(spark, sf_dir, "documents"), path, _tokenizer())
+    return token_store.verify_store(spark, path, root)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,15 @@ A rolling hash over the last WINDOW ids cuts each document's stream into chunks,
 chunks wherever they stand. The store is three Parquet tables in one folder:
 
 - chunks(digest, width, ids): each distinct chunk once; ids are little-endian unsigned integers of `width` bytes.
-- recipes(doc_id, start, n_tokens, root, chunks): documents in ascending doc_id order; `chunks` are the digests to
-  put end to end, `root` their Merkle root, `start` the number of ids of all documents before.
-- manifest(shard, n_docs, n_tokens, root): the Merkle root of each recipes file's document roots.
-
-Digests are 16-byte BLAKE2b over the ids as unsigned 32-bit integers. Reading checks every chunk against its
-digest, every recipe against its root and every shard against its manifest, and fails on the first mismatch.
+- recipes(number, doc_id, start, n_tokens, root, chunks): documents in ascending doc_id order, numbered from 0; `chunks`
+  are the digests to put end to end, `root` their Merkle root, `start` the number of ids of all documents before.
+- manifest(level, node, n_docs, n_tokens, root): the hash tree over all recipes. A node of level 0 covers FAN documents
+  that follow each other; its leaves hash doc_id, start, n_tokens and root of each. A node of the next level covers FAN
+  nodes. The last level has one node; its root stands for the whole store and is what `write_store` returns.
+
+Digests are 16-byte BLAKE2b over the ids as unsigned 32-bit integers. Reading puts the tree together again from the
+recipes and compares every node, checks every chunk against its digest and every document against its root and its
+number of ids, and fails on the first mismatch. Who keeps the store's root notices a store that was exchanged as a whole.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .prefix import running_sum
+from .skew import split_join
 from . import store
 
 #: Ids that the rolling hash sees; mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
+#: Children of a node of the manifest.
+FAN = 4096
 BATCH_BYTES = 1 << 20
 
 _STAGE = "kind int, doc_id bigint, n_tokens bigint, root binary, chunks array<binary>, digest binary, width int, ids binary"
@@ -120,155 +126,129 @@ def _encode(tokenizer: str, end_id: int):
     return run
 
 
-def _first_of_each(batches):
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for name in batch.column(0).to_pylist():
-            keep.append(name not in seen)
-            seen.add(name)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
-def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> bytes | None:
     """Encodes every whole text (null: empty), appends end_id, and writes the store to `path`, a folder all machines share.
 
-    Rows with equal ids each keep their own recipe, in the order of their roots; a null id comes first. An empty table
-    gives a store without rows. Columns besides id_col and text_col are not read. Chunks meet by digest, and each task
-    hands on a chunk once, so copies cost recipes, not bytes.
+    Returns the store's root; None for an empty table, whose store has no rows. Rows with equal ids each keep their own
+    recipe, in the order of their roots; a null id comes first. Ids are whole numbers. Columns besides id_col and
+    text_col are not read. Chunks meet by digest, and each task hands on a chunk once, so copies cost recipes, not bytes.
     """
-    store.bound_batches(df.sparkSession)
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    stage = store.keep(texts.mapInArrow(_encode(tokenizer, end_id), _STAGE), "token-stage")
-    chunks = stage.where("kind = 1").select("digest", "width", "ids")
-    chunks.repartition("digest").mapInArrow(_first_of_each, "digest binary, width int, ids binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    docs = stage.where("kind = 0").select("doc_id", "n_tokens", "root", "chunks")
-    placed = running_sum(docs, ["doc_id", "root"], "n_tokens", "start", "token-recipes")
-    placed.repartitionByRange("start", "root").sortWithinPartitions("start", "root").select("doc_id", "start", "n_tokens", "root", "chunks", F.spark_partition_id().cast("bigint").alias("shard")).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(df.sparkSession, path).write.parquet(f"{path}/manifest")
-
-
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Roots by recipes file, made anew from the recipes."""
-    rows = spark.read.parquet(f"{path}/recipes").select("shard", "start", "doc_id", "n_tokens", "root")
-    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "doc_id", "root"))).alias("docs")).select("shard", "n_docs", "n_tokens", F.sha2(F.concat_ws("", F.transform("docs", lambda x: F.hex(x["root"]))), 256).alias("root"))
-
-
-def _chunk_facts(batches):
-    """(digest, n, crc) of each stored chunk; fails where the ids don't have the digest."""
-    for batch in batches:
-        out: list[tuple] = []
-        for name, width, data in zip(*(c.to_pylist() for c in batch.columns)):
-            wide = np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()
-            if digest(wide) != name:
-                raise ValueError(f"chunk {name.hex()} was damaged")
-            out.append((name, len(wide) // 4, zlib.crc32(wide)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["digest", "n", "crc"])
-
-
-def _shift_tables(count: int) -> np.ndarray:
-    """Tables that append 2**k zero bytes to what a crc32 has seen, for k below count: [k][byte of the crc][its value]."""
-    one = np.zeros(32, np.uint32)
-    one[0] = 0xEDB88320
-    one[1:] = np.uint32(1) << np.arange(31, dtype=np.uint32)
-
-    def times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(v)
-        for bit in range(32):
-            out ^= np.where(v >> np.uint32(bit) & np.uint32(1), m[bit], np.uint32(0)).astype(np.uint32)
-        return out
-
-    for _ in range(3):
-        one = times(one, one)
-    tables = []
-    for _ in range(count):
-        values = np.arange(256, dtype=np.uint32)
-        tables.append([times(one, values << np.uint32(8 * k)) for k in range(4)])
-        one = times(one, one)
-    return np.array(tables, dtype=np.uint32)
-
-
-_tables: list[np.ndarray] = []
-
-
-def join_crcs(crcs: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """crc32 of each row's parts end to end, from the parts' own crc32 and bytes."""
-    if not _tables:
-        _tables.append(_shift_tables(44))
-    behind = np.cumsum(sizes)
-    last = behind[np.maximum(bounds[1:], 1) - 1] if len(sizes) else np.zeros(len(bounds) - 1, np.int64)
-    behind = np.repeat(last, np.diff(bounds)) - behind
-    v = crcs.astype(np.uint32)
-    k = 0
-    while (behind >> k).any():
-        odd = np.flatnonzero(behind >> k & 1)
-        x = v[odd]
-        v[odd] = _tables[0][k][0][x & 255] ^ _tables[0][k][1][x >> 8 & 255] ^ _tables[0][k][2][x >> 16 & 255] ^ _tables[0][k][3][x >> 24]
-        k += 1
-    out = np.zeros(len(bounds) - 1, np.uint32)
-    np.bitwise_xor.at(out, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), v)
-    return out.astype(np.int64)
-
-
-def _recipe_facts(batches):
-    """(root, n_tokens, ids_crc32) of each recipe from the facts of its chunks; fails where they don't give the root."""
-    for batch in batches:
-        roots, parts = batch.column(0).to_pylist(), batch.column(1)
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-        flat = parts.flatten()
-        names, n, crc = (flat.field(k) for k in ("digest", "n", "crc"))
-        names, n = names.to_pylist(), n.to_pylist()
-        if None in n:
-            raise ValueError("a chunk is missing from the store")
-        n = np.array(n, np.int64)
-        for k, root in enumerate(roots):
-            if merkle(names[bounds[k] : bounds[k + 1]]) != root:
-                raise ValueError(f"recipe {root.hex()} was damaged")
-        crcs = join_crcs(crc.to_numpy(zero_copy_only=False).astype(np.int64), 4 * n, bounds)
-        yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(bt.sums(n, bounds)), pa.array(crcs)], names=["root", "n_tokens", "ids_crc32"])
-
-
-def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    """The recipes, once their shards agree with the manifest."""
+    spark = df.sparkSession
     store.bound_batches(spark)
-    bad = _manifest(spark, path).alias("a").join(spark.read.parquet(f"{path}/manifest").alias("b"), "shard", "full_outer").where("NOT (a.root <=> b.root AND a.n_docs <=> b.n_docs AND a.n_tokens <=> b.n_tokens)")
-    if bad.take(1):
-        raise ValueError("the recipes don't agree with the manifest")
-    return spark.read.parquet(f"{path}/recipes")
+    with store.scratch():
+        texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        stage = store.keep(texts.mapInArrow(_encode(tokenizer, end_id), _STAGE), "token-stage")
+        chunks = stage.where("kind = 1").select("digest", "width", "ids").dropDuplicates(["digest"])
+        chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+        docs = stage.where("kind = 0").select("doc_id", "n_tokens", "root", "chunks")
+        placed = running_sum(docs, ["doc_id", "root"], "n_tokens", "start", "token-recipes", "number")
+        placed.repartitionByRange("number").sortWithinPartitions("number").select("number", "doc_id", "start", "n_tokens", "root", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    level, nodes = 0, _tree_level(_leaves(spark.read.parquet(f"{path}/recipes")))
+    while True:
+        nodes.select(F.lit(level).alias("level"), "node", "n_docs", "n_tokens", "root").write.mode("append").parquet(f"{path}/manifest")
+        held = spark.read.parquet(f"{path}/manifest").where(F.col("level") == level)
+        top = held.select("root").limit(2).collect()
+        if len(top) < 2:
+            return bytes(top[0][0]) if top else None
+        level, nodes = level + 1, _tree_level(_inner(held))
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    leaf = F.concat_ws(",", F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", F.hex("root"))
+    return recipes.select("number", "n_tokens", F.lit(1).cast("bigint").alias("n_docs"), leaf.cast("binary").alias("leaf"))
+
+
+def _inner(nodes: DataFrame) -> DataFrame:
+    leaf = F.concat_ws(",", F.lit("node"), "n_docs", "n_tokens", F.hex("root"))
+    return nodes.select(F.col("node").alias("number"), "n_tokens", "n_docs", leaf.cast("binary").alias("leaf"))
+
+
+def _tree_level(below: DataFrame) -> DataFrame:
+    """(node, n_docs, n_tokens, root): the nodes over rows (number, n_tokens, n_docs, leaf), FAN numbers each."""
+
+    def roots(batches):
+        for batch in batches:
+            made = [merkle([x["leaf"] for x in leaves]) for leaves in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], names=["node", "n_docs", "n_tokens", "root"])
 
+    grouped = below.groupBy(F.expr(f"number div {FAN}").alias("node")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("number", "leaf"))).alias("leaves"))
+    return grouped.mapInArrow(roots, "node bigint, n_docs bigint, n_tokens bigint, root binary")
 
-def _parts(spark: SparkSession, path: str, recipes: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """(root, parts): the chunks of each distinct recipe in order."""
-    apart = recipes.select("root", "chunks").dropDuplicates(["root"]).select("root", F.posexplode("chunks").alias("pos", "digest"))
-    return apart.join(chunks, "digest", "left").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", *columns))).alias("parts"))
 
+def _documents(with_ids: bool):
+    """(root, n, crc, ids) of each distinct recipe from its chunks; fails where they don't have their digests or don't give the root."""
 
-def verify_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the stored files alone.
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for root, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names, pieces = [], []
+                for x in parts.as_py():
+                    if x["ids"] is None:
+                        raise ValueError("a chunk is missing from the store")
+                    wide = np.frombuffer(x["ids"], f"<u{x['width']}").astype("<u4").tobytes()
+                    if digest(wide) != x["digest"]:
+                        raise ValueError(f"chunk {x['digest'].hex()} was damaged")
+                    names.append(x["digest"])
+                    pieces.append(wide)
+                if merkle(names) != root:
+                    raise ValueError(f"recipe {root.hex()} was damaged")
+                whole = b"".join(pieces)
+                out.append((root, len(whole) // 4, zlib.crc32(whole), whole if with_ids else None))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["root", "n", "crc", "ids"])
 
-    Every chunk's bytes are read and checked where they lie; the document's crc32 is put together from its chunks'
-    (crc32 of parts end to end follows from theirs and their lengths), so ids don't move between machines.
-    """
-    recipes = _recipes(spark, path)
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "width", "ids").mapInArrow(_chunk_facts, "digest binary, n bigint, crc bigint")
-    facts = _parts(spark, path, recipes, chunks, ["n", "crc"]).mapInArrow(_recipe_facts, "root binary, n_tokens bigint, ids_crc32 bigint")
-    return recipes.select("doc_id", "start", "root").join(facts, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return run
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def check_manifest(spark: SparkSession, path: str, root: bytes | None = None) -> DataFrame:
+    """The recipes, once the hash tree over them is the stored one, up to its root (`root` if given)."""
+    store.bound_batches(spark)
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    below, level = _leaves(recipes), 0
+    while True:
+        held = manifest.where(F.col("level") == level).select("node", "n_docs", "n_tokens", "root")
+        if _tree_level(below).exceptAll(held).take(1) or held.groupBy("node").count().where("count > 1").take(1):
+            raise ValueError("the recipes don't agree with the manifest")
+        top = held.limit(2).collect()
+        if len(top) < 2:
+            break
+        below, level = _inner(held), level + 1
+    last = manifest.agg(F.max("level")).first()[0] or 0
+    extra = top and (top[0]["node"] != 0 or last != level)
+    rows = recipes.agg(F.count(F.lit(1)), F.max("number") + 1, F.count_distinct("number")).first()
+    if extra or (not top and last) or (top and top[0]["n_docs"] != rows[0]) or rows[0] != (rows[1] or 0) or rows[0] != rows[2]:
+        raise ValueError("the recipes don't agree with the manifest")
+    if root is not None and (not top or bytes(top[0]["root"]) != root):
+        raise ValueError("the store doesn't have the root that was asked for")
+    return recipes
+
+
+def _read(spark: SparkSession, path: str, root: bytes | None, with_ids: bool) -> DataFrame:
+    """(doc_id, start, n_tokens, crc, ids) of each recipe."""
+    recipes = check_manifest(spark, path, root)
+    parts = store.keep(recipes.select("root", "chunks").dropDuplicates(["root"]).select("root", F.posexplode("chunks").alias("pos", "digest")), "token-parts")
+    met = split_join(parts, spark.read.parquet(f"{path}/chunks"), "digest", ["root", "pos"], "left")
+    whole = met.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "width", "ids"))).alias("parts"))
+    whole = whole.mapInArrow(_documents(with_ids), "root binary, n bigint, crc bigint, ids binary")
+    found = split_join(recipes.select("number", "doc_id", "start", "n_tokens", "root"), whole, "root", ["number"], "left")
+    checked = F.when(F.col("n") == F.col("n_tokens"), F.col("n")).otherwise(F.raise_error(F.lit("a recipe's number of ids is not that of its chunks")).cast("bigint"))
+    return found.select("doc_id", "start", checked.alias("n_tokens"), "crc", "ids")
+
+
+def verify_store(spark: SparkSession, path: str, root: bytes | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from its ids as they are put together from the stored files."""
+    with store.scratch():
+        found = _read(spark, path, root, False).select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+        return store.keep(found, "token-facts", outer=True)
+
+
+def read_documents(spark: SparkSession, path: str, root: bytes | None = None) -> DataFrame:
     """(doc_id, start, ids array<bigint>) of every document; chunks are checked, joined to their recipes and put end to end."""
 
-    def whole(batches):
+    def wide(batches):
         for batch in batches:
-            rows = []
-            for root, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = [np.frombuffer(x["ids"], f"<u{x['width']}").astype("<u4") for x in parts]
-                if merkle([digest(x.tobytes()) for x in ids]) != root:
-                    raise ValueError(f"recipe {root.hex()} was damaged")
-                rows.append((root, np.concatenate(ids).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.list_(pa.int64()))], names=["root", "ids"])
+            ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    recipes = _recipes(spark, path)
-    chunks = spark.read.parquet(f"{path}/chunks")
-    found = _parts(spark, path, recipes, chunks, ["width", "ids"]).mapInArrow(whole, "root binary, ids array<bigint>")
-    return recipes.select("doc_id", "start", "root").join(found, "root").select("doc_id", "start", "ids")
+    return _read(spark, path, root, True).select("doc_id", "start", "n_tokens", "ids").mapInArrow(wide, "doc_id bigint, start bigint, ids array<bigint>")
