@@ -35,8 +35,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = store.new_path(spark, "pipeline-tokens")
-    token_store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_store.verify_store(spark, path)
+    root = token_store.write_store(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.verify_store(spark, path, root)
 
 
 STAGES = [
