@@ -1,15 +1,19 @@
 """N-gram Jaccard join: documents whose word-shingle sets overlap enough, and the components they form.
 
-1. A table of SLOTS counters says how many documents hold each shingle hash's slot. It is summed on the executors and
-   broadcast; its size is fixed. (slot count, hash) orders all shingles rare-first, the same for every document.
-2. Documents with equal sets become one node. A set's prefix is so long that two sets that link share one of their
-   prefix shingles at least. Prefixes meet in an equi-join on the shingle.
+1. A table of counters says how many documents hold each shingle hash's slot. It is summed on the executors and
+   broadcast; it has a slot for every 64 bytes of text, but LEAST_SLOTS at least and MOST_SLOTS at most (16 MB).
+   (slot count, hash) orders all shingles rare-first, the same for every document; shingles that share a slot cost
+   selectivity, not results.
+2. Documents with equal sets become one node, known by the set's digest. A set's prefix is so long that two sets that
+   link share one of their prefix shingles at least. Prefixes meet in an equi-join on the shingle.
 3. A pair is left out if lengths or positions rule it out (at its first shared prefix shingle), or a histogram of the
    two sets' hashes does (the suffix filter: half their bucket-wise difference bounds the symmetric difference).
    What remains is verified on the two sets, once.
-4. Pairs in a shingle's group are first taken between one member and the others, twice with different members, and those that pass are verified; pairs
-   whose ends already are in one component are then needless for the components. All remaining pairs of different
-   components in a group are verified, so no link is lost; the two first turns only keep groups of copies linear.
+4. Pairs in a shingle's group are first taken between one member and the others, twice with different members, and those
+   that pass are verified; pairs whose ends already are in one component are then needless for the components. In the
+   groups that still hold several components, sets that link must share two shingles at least of prefixes that are one
+   longer, so members meet on (group, second shingle), each pair at the first such shingle only. All pairs that meet and
+   pass the filters are verified, so no link is lost. Hot shingles are split over tasks.
 """
 
 from __future__ import annotations
@@ -23,9 +27,12 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from . import store
+from .skew import split_join
 
-#: Counters of the shingle table; slices in which its parts travel; bits of the map of needed documents.
-SLOTS, SLICES, MAP_BITS = 1 << 20, 64, 1 << 24
+#: Counters of the shingle table; bits of the map of needed documents; slices in which both travel.
+LEAST_SLOTS, MOST_SLOTS, LEAST_BITS, MOST_BITS, SLICES = 1 << 20, 1 << 22, 1 << 20, 1 << 27, 64
+#: Members outside its largest component up to which a group's pairs are taken without a second shingle.
+FEW = 32
 #: Histogram buckets of the suffix filter.
 BINS = 64
 BATCH_BYTES = 1 << 20
@@ -45,68 +52,100 @@ def _sets(batch_column: pa.Array, size: int):
             yield low + k, shingle_set(hashes[rows[k] : rows[k + 1]], size)
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _power(n: float, least: int, most: int) -> int:
+    """The least power of two from n on, within bounds that are powers of two."""
+    return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
+
+
+def _sum_slices(parts: DataFrame, join, kind: str) -> bytes:
+    """SLICES rows (slice, data) of each task put together on the executors by `join`; what reaches the driver has a fixed size."""
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(x, kind)
+                total[k] = join(total[k], part) if k in total else part
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "data": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    found = {r["slice"]: bytes(r["data"]) for r in parts.repartition(SLICES, "slice").mapInArrow(merge, "slice int, data binary").collect()}
+    return b"".join(found[k] for k in range(SLICES)) if found else b""
+
+
+def _slices(whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "data": pa.array([x.tobytes() for x in whole.reshape(SLICES, -1)], pa.binary())})
 
 
 def slot_counts(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents' shingles fall into each slot, over all documents."""
+    slots = _power((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 64, LEAST_SLOTS, MOST_SLOTS)
 
     def count(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.uint32)
         for batch in batches:
             parts, many = [], 0
             for _, found in _sets(batch.column(0), size):
                 parts.append(found)
                 many += len(found)
                 if many > BATCH_BYTES:
-                    total += np.bincount(_slot(np.concatenate(parts)), minlength=SLOTS)
+                    total += np.bincount(_slot(np.concatenate(parts), slots), minlength=slots).astype(np.uint32)
                     parts, many = [], 0
             if parts:
-                total += np.bincount(_slot(np.concatenate(parts)), minlength=SLOTS)
-        slices = total.astype("<u4").reshape(SLICES, -1)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([x.tobytes() for x in slices], pa.binary())})
+                total += np.bincount(_slot(np.concatenate(parts), slots), minlength=slots).astype(np.uint32)
+        yield _slices(total)
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(x, "<u4").astype(np.int64)
-                total[k] = total[k] + part if k in total else part
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())})
+    # a full counter stays full
+    add = lambda x, y: np.minimum(x.astype(np.int64) + y, 2**32 - 1).astype("<u4")
+    whole = np.frombuffer(_sum_slices(texts.select("text").mapInArrow(count, "slice int, data binary"), add, "<u4"), "<u4")
+    return whole if len(whole) else np.zeros(slots, np.uint32)
 
-    made = texts.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
-    out = np.zeros((SLICES, SLOTS // SLICES), np.uint32)
-    for k, x in made.collect():  # SLICES rows of fixed size
-        out[k] = np.frombuffer(bytes(x), "<u4")
-    return out.reshape(-1)
+
+def _node(found: np.ndarray) -> int:
+    """The number by which a set is known: 64 bits of its digest."""
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _summaries(texts: DataFrame, size: int, num: int, den: int, counts) -> DataFrame:
-    """(doc_id, n, key, bins, prefix) of each document: set size, the set's digest, its histogram, its rarest shingles in order."""
+    """(doc_id, n, node, bins, prefix) of each document: set size, the set's number, its histogram, its rarest shingles in
+    order, one more than those of which a linked set has one."""
 
     def run(batches):
         weights = counts.value
         for batch in batches:
-            n, keys, bins, prefixes = [], [], [], []
+            n, nodes, bins, prefixes = [], [], [], []
             for _, found in _sets(batch.column(1), size):
                 n.append(len(found))
                 if not len(found):
-                    keys.append(None)
+                    nodes.append(None)
                     bins.append(None)
                     prefixes.append(None)
                     continue
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                nodes.append(_node(found))
                 bins.append(np.minimum(np.bincount((found >> np.uint64(32)).astype(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
-                order = np.argsort(weights[_slot(found)], kind="stable")
-                least = -(-num * len(found) // den)
-                prefixes.append(found[order[: len(found) - least + 1]].view(np.int64))
+                order = np.argsort(weights[_slot(found, len(weights))], kind="stable")
+                prefixes.append(found[order[: len(found) - -(-num * len(found) // den) + 2]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bins, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "bins", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "node", "bins", "prefix"],
             )
 
-    return texts.mapInArrow(run, "doc_id bigint, n bigint, key binary, bins binary, prefix array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, n bigint, node bigint, bins binary, prefix array<bigint>")
+
+
+def _with_ends(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pairs (a, b), stored, with columns of table (node, ...) for both ends, named by end; a hot end is split."""
+    for end, other in ("ab", "ba"):
+        side = table.select(F.col("node").alias(end), *(F.col(c).alias(short + end) for c, short in columns.items()))
+        pairs = split_join(pairs, side, end, [other], counts=None if end == "a" else _pair_counts(pairs, end))
+    return pairs
+
+
+def _pair_counts(pairs: DataFrame, end: str) -> DataFrame:
+    return pairs.select(end).groupBy(end).count()
 
 
 def _suffix_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -120,56 +159,42 @@ def _suffix_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
             least = -(-num * (na + nb) // (num + den))
             yield batch.filter(pa.array(apart <= na + nb - 2 * least)).select([0, 1])
 
-    one = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"))
-    two = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+    return _with_ends(pairs, nodes, {"n": "n", "bins": "x"}).select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (bt.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (bt.mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def needed_map(ids: DataFrame) -> bytes:
-    """A map of MAP_BITS bits with the bit of each id set; of a fixed size, made on the executors."""
-    width = MAP_BITS // SLICES
+def needed_map(ids: DataFrame, bits: int) -> np.ndarray:
+    """A map of so many bits with the bit of each id set, made on the executors."""
 
     def mark(batches):
-        bits = np.zeros(MAP_BITS, bool)
-        some = False
+        held = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            bits[_bit(batch.column(0).to_numpy())] = True
-            some = some or batch.num_rows > 0
-        if some:
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits.reshape(SLICES, width)], pa.binary())})
+            at = _bit(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        if held.any():
+            yield _slices(held)
 
-    def join(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(x, np.uint8)
-                total[k] = total[k] | part if k in total else part
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "bits": pa.array([x.tobytes() for x in total.values()], pa.binary())})
-
-    out = np.zeros((SLICES, width // 8), np.uint8)
-    for k, x in ids.mapInArrow(mark, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(join, "slice int, bits binary").collect():
-        out[k] = np.frombuffer(bytes(x), np.uint8)
-    return out.tobytes()
+    whole = np.frombuffer(_sum_slices(ids.mapInArrow(mark, "slice int, data binary"), np.bitwise_or, "u1"), np.uint8)
+    return whole if len(whole) else np.zeros(bits // 8, np.uint8)
 
 
-def _needed_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles) of the documents in ids, made from their texts again: sets of all documents would be as large as the texts."""
-    bits = texts.sparkSession.sparkContext.broadcast(needed_map(ids))
+def _needed_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of wanted (node, low), made again from the texts of the ids `low`: sets of all documents would be
+    as large as the texts. Beyond MOST_BITS / 16 ids the map passes more documents than those needed, which costs work only."""
+    bits = _power(16 * wanted.count(), LEAST_BITS, MOST_BITS)
+    held = texts.sparkSession.sparkContext.broadcast(needed_map(wanted.select("low"), bits))
 
     def run(batches):
-        marks = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
         for batch in batches:
-            names = batch.column(0)
-            some = pa.array(marks[_bit(names.to_numpy())])
-            names, column = names.filter(some), batch.column(1).filter(some)
-            sets = [x.tobytes() for _, x in _sets(column, size)]
-            yield pa.RecordBatch.from_arrays([names, pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            at = _bit(batch.column(0).to_numpy(), bits)
+            some = pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).cast(pa.bool_())
+            sets = [x for _, x in _sets(batch.column(1).filter(some), size) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "rep bigint, shingles binary").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+    return texts.mapInArrow(run, "node bigint, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -185,8 +210,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 good.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    one, two = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return _with_ends(pairs, sets, {"shingles": "s"}).select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -196,9 +220,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     labels are stored in the shared folder after each round. Nothing but a count of changes reaches the driver.
     """
     both = store.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct(), name)
+    counts = store.keep(both.groupBy("b").count(), name)
     labels = store.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name)
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        near = split_join(both, labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b", ["a"], counts=counts).groupBy("a").agg(F.min("c").alias("c"))
         lower = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("top"))
         new = lower.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("top", "component")).alias("component"))
@@ -220,36 +245,108 @@ def _least(na: str, nb: str, num: int, den: int) -> str:
     return f"(({num} * ({na} + {nb}) + {num + den - 1}) div {num + den})"
 
 
-def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Length and position filter on rows (a, na, pa, b, nb, pb) of different sets; the ends in order, each pair once."""
+def _possible(pairs: DataFrame, num: int, den: int, shared: int = 1) -> DataFrame:
+    """Length and position filter on rows (a, na, pa, b, nb, pb) of different sets, whose `shared`-th common shingle is
+    at pa and pb or before; the ends in order, each pair once."""
     least = _least("na", "nb", num, den)
     fit = pairs.where(f"a <> b AND {den} * least(na, nb) >= {num} * greatest(na, nb)")
-    fit = fit.where(f"least(na - pa, nb - pb) >= {least} AND {least} <= least(na, nb) - if(na = nb, 1, 0)")
+    fit = fit.where(f"least(na - pa, nb - pb) + {shared - 1} >= {least} AND {least} <= least(na, nb) - if(na = nb, 1, 0)")
     return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _ends(table: DataFrame, end: str, *more: str) -> DataFrame:
-    """(h, end, its set size and position) of a table of prefix rows."""
-    return table.select("h", F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("pos").alias(f"p{end}"), *(F.col(c).alias(c + end) for c in more))
+def _ends(table: DataFrame, end: str, key: str, *more: str) -> DataFrame:
+    """(key, end, its set size and position) of a table of prefix rows."""
+    return table.select(key, F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("pos").alias(f"p{end}"), *(F.col(c).alias(c + end) for c in more))
+
+
+def _apart(table: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, node, n, pos, c) of a stored table whose key several components c have; and of those keys, stored,
+    their rows (`count`) and their largest component (`most`, with `in_most` rows)."""
+    each = table.groupBy(key, "c").agg(F.count(F.lit(1)).alias("in_most"))
+    groups = each.groupBy(key).agg(F.sum("in_most").alias("count"), F.count(F.lit(1)).alias("kinds"), F.max_by("c", F.struct("in_most", "c")).alias("most"), F.max("in_most").alias("in_most"))
+    groups = store.keep(groups.where("kinds > 1").drop("kinds"), name)
+    return split_join(table, groups, key, ["node"], counts=groups.select(key, "count")), groups
+
 
+def _of_different(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Pairs in each group between a member outside its largest component and those of other components."""
+    outside = rows.where("c <> most")
+    return split_join(_ends(rows, "b", key, "c"), _ends(outside, "a", key, "c"), key, ["b"], counts=groups.select(key, "count")).where("ca <> cb")
 
-def _candidates(turn: int, met: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+
+def _candidates(turn: int, met: DataFrame, shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame | None:
     """Pairs to look at in a turn, from the prefix rows whose shingle several sets have; None if none can be left."""
     if turn == 0:
-        hubs = _ends(met.where("rep = low"), "a")
-        return _ends(met, "b").join(hubs, "h")
-    marked = _label(met.select("h", "rep", "n", "pos"), labels, "rep", "c")
-    wide = marked.groupBy("h").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c")).where("least_c < most_c").select("h")
-    apart = store.keep(marked.join(wide, "h"), "jaccard-open")
-    if apart.isEmpty():
+        return _possible(split_join(_ends(met, "b", "h"), _ends(met.where("node = low"), "a", "h"), "h", ["b"], counts=shared.select("h", "count")), num, den)
+    marked = store.keep(_label(met.select("h", "node", "n", "pos"), labels, "node", "c"), "jaccard-marked")
+    rows, groups = _apart(marked, "h", "jaccard-groups")
+    if groups.isEmpty():
         return None
+    rows = store.keep(rows, "jaccard-open")
     if turn == 1:
-        hub = apart.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep")).alias("hub"))
-        hubs = _ends(apart.join(hub, "h").where("rep = hub"), "a", "c")
-    else:
-        largest = apart.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-        hubs = _ends(apart.join(largest, "h").where("c <> most"), "a", "c")
-    return _ends(apart, "b", "c").join(hubs, "h").where("ca <> cb")
+        hub = rows.groupBy("h").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
+        hubs = rows.join(hub, "h").where("node = hub")
+        return _possible(split_join(_ends(rows, "b", "h", "c"), _ends(hubs, "a", "h", "c"), "h", ["b"], counts=groups.select("h", "count")).where("ca <> cb"), num, den)
+    if 2 * num <= den:  # two sets may then link by a single shingle
+        return _possible(_of_different(rows, groups, "h"), num, den)
+    small = f"count - in_most <= {FEW}"
+    direct = _possible(_of_different(rows.where(small), groups.where(small), "h"), num, den)
+    again = rows.where(f"NOT ({small})").select("h", "node", "n", "c", F.col("pos").alias("pos1"))
+    second = again.join(nodes.select("node", F.posexplode("prefix").alias("pos", "h2")), "node").where("pos > pos1")
+    second = store.keep(second.select(F.xxhash64("h", "h2").alias("hh"), "node", "n", "pos", "c"), "jaccard-second")
+    if second.isEmpty():
+        return direct
+    rows, groups = _apart(second, "hh", "jaccard-groups")
+    return direct.union(_possible(_of_different(rows, groups, "hh"), num, den, 2)).distinct()
+
+
+def _linked(df: DataFrame, size: int, threshold: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(members, links), stored: members (doc_id, n, node, component, low) of each row of df, `low` being the smallest id
+    of its component; links (a, b) of nodes, with their smallest ids."""
+    spark: SparkSession = df.sparkSession
+    num, den = threshold
+    store.bound_batches(spark)
+    with store.scratch():
+        texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        counts = spark.sparkContext.broadcast(slot_counts(texts, size))
+        stage = store.keep(_summaries(texts, size, num, den, counts), "jaccard-stage")
+        known = stage.where("node IS NOT NULL AND doc_id IS NOT NULL")
+        nodes = store.keep(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("prefix").alias("prefix")), "jaccard-nodes")
+        # Smaller sets link with equal ones only, and those are one node.
+        rows = nodes.where(f"{num} * (2 * n + 1) <= {num + den} * n").select("node", "n", F.posexplode("prefix").alias("pos", "h")).where(f"pos <= n - ({num} * n + {den - 1}) div {den}")
+        shared = store.keep(rows.groupBy("h").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("count")).where("count > 1"), "jaccard-shared")
+        met = store.keep(split_join(rows, shared.select("h", "low"), "h", ["node"], counts=shared.select("h", "count")), "jaccard-met")
+        slim = nodes.select("node", "n", "bins")
+        edges = labels = sets = tried = None
+        for turn in range(3):
+            pairs = _candidates(turn, met, shared, nodes, labels, num, den)
+            if pairs is None:
+                break
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            likely = store.keep(_suffix_filter(store.keep(pairs, "jaccard-possible"), slim, num, den), "jaccard-pairs")
+            if likely.isEmpty():
+                continue
+            tried = likely if tried is None else tried.unionByName(likely)
+            ids = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+            if sets is not None:
+                ids = ids.join(sets.select("node"), "node", "left_anti")
+            ids = store.keep(ids.join(nodes.select("node", "low"), "node"), "jaccard-ids")
+            if not ids.isEmpty():
+                more = store.keep(_needed_sets(texts.where("doc_id IS NOT NULL"), ids, size), "jaccard-sets")
+                sets = more if sets is None else sets.unionByName(more)
+            found = store.keep(_verify(likely, sets, num, den), "jaccard-links")
+            if not found.isEmpty():
+                edges = found if edges is None else edges.unionByName(found)
+                labels = components(edges, "jaccard-labels")
+        named = _label(nodes.select("node", "low"), labels, "node", "component")
+        least = named.groupBy("component").agg(F.min("low").alias("low"))
+        named = named.select("node", "component").join(least, "component")
+        members = store.keep(split_join(stage.select("doc_id", "n", "node"), named, "node", ["doc_id"], "left"), "jaccard-members", outer=True)
+        if edges is not None:
+            lows = nodes.select("node", "low")
+            edges = store.keep(_with_ends(edges, lows, {"low": "low_"}), "jaccard-edges", outer=True)
+    return members, edges
 
 
 def link(df: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
@@ -260,63 +357,36 @@ def link(df: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), id_c
     not every linked pair of which is listed once its ends are connected. None if no pair links.
 
     Two sets link if den * |both| >= num * |either|, threshold = (num, den). A text with fewer words than `size` has its
-    whole sequence as one shingle; one without words, empty or null has an empty set and links with nothing. Rows that
-    repeat an id count as one document and should share a text; if they don't and each has the smallest id of its set,
-    one of the texts stands for both. A row with a null id keeps a null component. An empty table gives empty results.
-    Other columns are not read.
+    whole sequence as one shingle; one without words, empty or null has an empty set and links with nothing. Ids are
+    whole numbers. Rows are documents of their own, also those that repeat an id: an id by itself links nothing, so rows
+    with one id and different texts may lie in different components. A row with a null id keeps a null component. An
+    empty table gives empty results. Other columns are not read.
     """
-    spark: SparkSession = df.sparkSession
-    num, den = threshold
-    store.bound_batches(spark)
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = spark.sparkContext.broadcast(slot_counts(texts, size))
-    stage = store.keep(_summaries(texts, size, num, den, counts), "jaccard-stage")
-    known = stage.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("prefix").alias("prefix")), "jaccard-nodes")
-    # Smaller sets link with equal ones only, and those are one node.
-    rows = nodes.where(f"{num} * (2 * n + 1) <= {num + den} * n").select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = rows.groupBy("h").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("h", "low")
-    met = store.keep(rows.join(shared, "h"), "jaccard-met")
-    slim = nodes.select("rep", "n", "bins")
-    edges = labels = sets = tried = None
-    for turn in range(3):
-        pairs = _candidates(turn, met, labels)
-        if pairs is None:
-            break
-        pairs = _possible(pairs, num, den)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        likely = store.keep(_suffix_filter(pairs, slim, num, den), "jaccard-pairs")
-        if likely.isEmpty():
-            continue
-        tried = likely if tried is None else tried.unionByName(likely)
-        ids = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
-        if sets is not None:
-            ids = ids.join(sets.select("rep"), "rep", "left_anti")
-        ids = store.keep(ids, "jaccard-ids")
-        if not ids.isEmpty():
-            more = store.keep(_needed_sets(texts.where("doc_id IS NOT NULL"), ids, size), "jaccard-sets")
-            sets = more if sets is None else sets.unionByName(more)
-        found = store.keep(_verify(likely, sets, num, den), "jaccard-links")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges, "jaccard-labels")
-    members = stage.select("doc_id", "n", "key").join(nodes.select("key", "rep"), "key", "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    members = _label(members, labels, "node", "component")
-    members = members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-    return members, edges
+    members, edges = _linked(df, size, threshold, id_col, text_col)
+    members = members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
+    return members, None if edges is None else edges.select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
 
 
 def keep_one(df: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is their component's id, and those with a null id; of rows that repeat an id, one."""
-    path = store.new_path(df.sparkSession, "jaccard-members")
-    with store.scratch():
-        link(df, size, threshold, id_col, text_col)[0].write.parquet(path)
-    members = df.sparkSession.read.parquet(path)
-    gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    left = df.join(gone, F.col(id_col) == F.col("gone_"), "left_anti")
-    again = members.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_"))
+    """One row of df for each component: of the rows with its smallest id one, of several different ones that with the
+    smallest set number. Rows with a null id stay, and rows without words, one for each id."""
+    members = _linked(df, size, threshold, id_col, text_col)[0].where("doc_id IS NOT NULL").withColumn("low", F.coalesce("low", "doc_id"))
+    gone = members.where("doc_id <> low").select(F.col("doc_id").alias("gone_")).distinct()
+    again = members.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_"))
+    lost = F.col(id_col) == F.col("gone_")
     if again.isEmpty():
-        return left
+        return df.join(gone, lost, "left_anti")
     same = F.col(id_col) == F.col("again_")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
+    plain = df.join(again, same, "left_anti").join(gone, lost, "left_anti")
+    # rows that share an id are told apart by their sets
+    columns, where = [*df.columns, "node_"], df.columns.index(text_col)
+    schema = df.schema.simpleString()[7:-1] + ", node_ bigint"
+
+    def run(batches):
+        for batch in batches:
+            found = [_node(x) if len(x) else None for _, x in _sets(batch.column(where), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=columns)
+
+    kept = members.where("doc_id = low").groupBy(F.coalesce("component", "doc_id"), F.col("node").isNull()).agg(F.min("node").alias("kept_"), F.min("doc_id").alias("id_"))
+    told = df.join(again, same, "left_semi").mapInArrow(run, schema).join(kept, (F.col(id_col) == F.col("id_")) & F.col("node_").eqNullSafe(F.col("kept_")), "left_semi")
+    return plain.unionByName(told.dropDuplicates([id_col, "node_"]).select(*df.columns))

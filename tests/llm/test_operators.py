@@ -409,6 +409,40 @@ def test_jaccard_keeps_one(spark):
     assert sorted(((r.doc_id, r.component_id) for r in jaccard_join.link(lost)[0].collect()), key=str) == [(1, 1), (None, None)]
 
 
+def test_jaccard_doesnt_depend_on_the_order_of_rows_that_repeat_an_id(spark):
+    one, two, three = prose(41, 3)
+    one, two, three = (f"{x} {x} and a tail of {k} words" for k, x in enumerate((one, two, three)))
+    rows = [(1, one), (2, two), (2, one + " more"), (3, two), (1, three), (4, None), (4, ""), (5, three)]
+    for turn in (rows, rows[::-1]):
+        df = spark.createDataFrame(turn, "doc_id long, text string").coalesce(1)
+        members, _ = jaccard_join.link(df)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in members.collect()) == sorted((i, *brute) for (i, _), brute in zip(rows, brute_rows(rows)))
+        kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect()]
+        assert sorted((i, x or "") for i, x in kept) == sorted([(1, one), (1, three), (2, two), (4, "")])
+
+
+def brute_rows(rows):
+    """(set size, component) of rows that may repeat an id."""
+    groups = brute_components([x for _, x in rows], 5, 4, 5)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low[groups[k][1]] = min(i, low.get(groups[k][1], i))
+    return [(groups[k][0], low[groups[k][1]]) for k in range(len(rows))]
+
+
+def test_jaccard_pairs_of_a_common_shingle_are_few(spark, monkeypatch):
+    """Documents that share one early shingle and nothing else are many components in one group."""
+    tried = []
+    plain = jaccard_join._suffix_filter
+    monkeypatch.setattr(jaccard_join, "_suffix_filter", lambda pairs, *more: tried.append(pairs.count()) or plain(pairs, *more))
+    monkeypatch.setattr(jaccard_join, "slot_counts", lambda texts, size: np.zeros(1 << 20, np.uint32))  # no order of rarity
+    common = "aa bb cc dd ee ff gg hh ii jj"
+    texts = [f"{common} {' '.join(f'w{k}x{j}' for j in range(30))}" for k in range(120)] + [f"{common} {' '.join(f'w{k}x{j}' for j in range(29))} z" for k in range(3)]
+    members, _ = jaccard_join.link(docs(spark, texts))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()} == brute_components(texts, 5, 4, 5)
+    assert sum(tried) < 40 * len(texts)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in jaccard_join.components(edges, "t").collect()} == {0}
