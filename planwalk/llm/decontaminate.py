@@ -14,6 +14,7 @@ Terms are 64-bit hashes of words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after l
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,22 +26,33 @@ from . import bytetext as bt
 from . import store
 
 SEGMENT_BYTES = 1 << 22
-#: Words of benchmark items that are held in memory and searched for at once; a larger benchmark takes several blocks.
-BLOCK_WORDS = 250_000
-#: Distinct terms up to which an index can be limited to a benchmark's own; beyond, it holds all terms.
-TERM_LIMIT = 2_000_000
+#: Windows that are held in memory and searched for at once, on average; a larger benchmark takes several blocks.
+BLOCK_WINDOWS = 100_000
 
 _SEGMENT = "segment bigint, doc_ids array<bigint>, doc_words array<int>, terms binary, counts binary, steps binary"
 
 
-def _item_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def benchmark_windows(df: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, words) of each distinct window of each item, stored: `window` consecutive words, as hashes; an item with
+    fewer words is one window, one without words none. A null id is the empty string."""
+
     def run(batches):
         for batch in batches:
             data, bounds = bt.buffers(batch.column(1))
-            _, _, hashes, rows = bt.words(data, bounds, bt.ALNUM)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes[a:b].view(np.int64) for a, b in zip(rows[:-1], rows[1:])], pa.list_(pa.int64()))], names=["item_id", "words"])
+            names = batch.column(0).to_pylist()
+            for low, high in bt.groups(bounds, SEGMENT_BYTES):
+                _, _, hashes, rows = bt.words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], bt.ALNUM)
+                for k in range(high - low):
+                    words = hashes[rows[k] : rows[k + 1]].view(np.int64)
+                    width = min(window, len(words))
+                    if width:
+                        many = np.unique(np.lib.stride_tricks.sliding_window_view(words, width), axis=0)
+                        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1, dtype=np.int32) * width), pa.array(many.ravel()))
+                        yield pa.RecordBatch.from_arrays([pa.array([names[low + k]] * len(many), pa.string()), flat], names=["item_id", "words"])
 
-    return df.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item_id string, words array<bigint>")
+    store.bound_batches(df.sparkSession)
+    items = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    return store.keep(items.mapInArrow(run, "item_id string, words array<bigint>").distinct(), "benchmark-windows")
 
 
 @dataclass
@@ -54,47 +66,34 @@ class Block:
     owners: np.ndarray
 
 
-def make_block(items: list[tuple[str, np.ndarray]], window: int) -> Block:
-    """All windows of `window` consecutive words; an item with fewer words is one window, one without words none."""
-    parts, widths, owners = [], [], []
-    for k, (_, words) in enumerate(items):
-        width = min(window, len(words))
-        if not width:
-            continue
-        many = np.lib.stride_tricks.sliding_window_view(words, width)
-        full = np.zeros((len(many), window), np.uint64)
-        full[:, :width] = many
-        parts.append(full)
-        widths += [width] * len(many)
-        owners += [k] * len(many)
-    words = np.concatenate(parts) if parts else np.zeros((0, window), np.uint64)
-    widths = np.array(widths, np.int64)
+def make_block(rows: list[tuple[str, list[int]]], window: int) -> Block:
+    """The block of some windows (item, words)."""
+    items = sorted({x for x, _ in rows})
+    number = {x: k for k, x in enumerate(items)}
+    words = np.zeros((len(rows), window), np.int64)
+    for k, (_, x) in enumerate(rows):
+        words[k, : len(x)] = x
+    words = words.view(np.uint64)
+    widths = np.array([len(x) for _, x in rows], np.int64)
     inside = np.arange(window) < widths[:, None]
     terms = np.unique(words[inside])
-    places = np.where(inside, np.searchsorted(terms, words), -1)
-    apart, one = np.unique(np.column_stack([places, owners]), axis=0, return_index=True) if len(words) else (places, np.zeros(0, np.int64))
-    return Block([x for x, _ in items], terms, places[one], widths[one], np.array(owners, np.int64)[one])
+    return Block(items, terms, np.where(inside, np.searchsorted(terms, words), -1), widths, np.array([number[x] for x, _ in rows], np.int64))
 
 
-def blocks(items: DataFrame, window: int) -> list[Block]:
-    """The stated query set in blocks of about BLOCK_WORDS words."""
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    n = -(-total // BLOCK_WORDS) or 1
-    out = []
+def blocks(windows: DataFrame, window: int) -> Iterator[Block]:
+    """The stated query set, stored, in blocks of about BLOCK_WINDOWS windows, one after the other; one at least."""
+    n = -(-windows.count() // BLOCK_WINDOWS) or 1
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        rows = [(r["item_id"] if r["item_id"] is not None else "", np.array(r["words"], np.int64).view(np.uint64)) for r in part.toLocalIterator()]
-        out.append(make_block(sorted(rows, key=lambda x: x[0]), window))
-    return out
+        part = windows if n == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(n)) == k)
+        yield make_block([(r["item_id"], r["words"]) for r in part.toLocalIterator()], window)
 
 
-def build_index(df: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored segments of df's whole texts; terms: sorted term hashes to which the postings are limited.
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored segments of df's whole texts, with the postings of all their terms.
 
     A null or empty text has no words but is in its segment. Rows are documents of their own, repeated or not.
     """
     store.bound_batches(df.sparkSession)
-    held = None if terms is None else df.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         from pyspark import TaskContext
@@ -106,22 +105,14 @@ def build_index(df: DataFrame, terms: np.ndarray | None = None, id_col: str = "d
                 _, _, hashes, rows = bt.words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], bt.ALNUM)
                 lens = np.diff(rows)
                 at = np.arange(len(hashes)) + np.repeat(np.arange(high - low), lens)
-                if held is None:
-                    found, code = np.unique(hashes, return_inverse=True)
-                else:
-                    found = held.value
-                    code = np.minimum(np.searchsorted(found, hashes), max(len(found) - 1, 0))
-                    some = found[code] == hashes if len(found) else np.zeros(len(hashes), bool)
-                    code, at = code[some], at[some]
-                order = np.argsort(code.astype(np.int32), kind="stable")
+                order = np.argsort(hashes, kind="stable")
+                new = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0)) if len(order) else order
+                found, counts = hashes[order[new]], np.diff(np.append(new, len(order)))
                 at = at[order]
-                counts = np.bincount(code, minlength=len(found))
-                used = np.flatnonzero(counts)
-                firsts = np.cumsum(counts[used]) - counts[used]
                 steps = np.diff(at, prepend=0)
-                steps[firsts] = at[firsts]
+                steps[new] = at[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int64()), pa.array([batch.column(0).slice(low, high - low).to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (found[used].astype("<u8"), counts[used].astype("<u4"), steps.astype("<u4")))],
+                    [pa.array([segment], pa.int64()), pa.array([batch.column(0).slice(low, high - low).to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (found.astype("<u8"), counts.astype("<u4"), steps.astype("<u4")))],
                     names=["segment", "doc_ids", "doc_words", "terms", "counts", "steps"],
                 )
                 segment += 1
@@ -207,9 +198,11 @@ def _merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 _FOUND = "segment bigint, row int, doc_id bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, items array<string>"
 
 
-def search(index: DataFrame, query: list[Block]) -> DataFrame:
+def search(index: DataFrame, query: Iterable[Block]) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document: merged spans of word positions (last exclusive) that lie in an
-    occurrence of a window, and the sorted distinct ids of the items it belongs to. Blocks are searched in turn."""
+    occurrence of a window, and the sorted distinct ids of the items it belongs to.
+
+    Blocks are searched in turn; what one finds is stored before the next is fetched, so the driver holds one block."""
     spark = index.sparkSession
 
     def find(block):
@@ -240,12 +233,14 @@ def search(index: DataFrame, query: list[Block]) -> DataFrame:
 
         return index.mapInArrow(run, _FOUND)
 
-    parts = [find(block) for block in query]
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "spans", "items")
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
+    query = iter(query)
+    block, more = next(query), next(query, None)
+    if more is None:
+        return find(block).select("doc_id", "n_words", "spans", "items")
+    every = store.keep(find(block), "benchmark-found")
+    while more is not None:
+        found = find(more).where("size(spans) > 0")  # each document is in the first block's rows
+        every, more = every.unionByName(store.keep(found, "benchmark-found")), next(query, None)
     joined = every.groupBy("segment", "row", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.aggregate(
         "all",
@@ -263,12 +258,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
 
     A null or empty text has no words and no hits; an item without words has no window; items that repeat an id count
     once; a null item id counts as the empty string. Without documents or items the result has no rows or no hits.
-    Columns besides the ids and texts are not read.
+    Document ids are whole numbers; item ids may be of any kind. Columns besides the ids and texts are not read.
     """
-    items = store.keep(_item_rows(benchmark, item_col, item_text), "benchmark-words")
-    query = blocks(items, window)
-    terms = np.unique(np.concatenate([b.terms for b in query]))
-    return search(build_index(docs, terms if len(terms) <= TERM_LIMIT else None, id_col, text_col), query)
+    with store.scratch():
+        windows = benchmark_windows(benchmark, window, item_col, item_text)
+        found = search(build_index(docs, id_col, text_col), blocks(windows, window))
+        return store.keep(found, "benchmark-hits", outer=True)
 
 
 def proximity(index: DataFrame, phrases: dict[str, str], within: int) -> DataFrame:
