@@ -3,14 +3,16 @@
 1. Each source's words, documents in ascending id order, are packed end to end into blocks of BLOCK_WORDS words.
 2. Targets: the sources, in code-point order and null last, weigh WEIGHTS over and over and share `share` times all words;
    none gets more than `most` times its own words, and the excess goes to the others by weight.
-3. Each output shard draws how many of its slots each source fills from a multinomial over what the sources still have to
-   give; the last draws take what is left, so that the shards together meet every source's quota.
+3. Each output shard of `shard_slots` slots draws how many of them each source fills from a multinomial, under the
+   condition that all shards together meet every source's quota: the quotas are halved again and again, the first half
+   of the shards drawing from what is to be given and leaving the rest to the second, down to the single shard.
 4. A source's slots run through pseudorandom permutations of its block indices, a new one after each pass, and slots and
    blocks are joined on (source, index). No block is taken twice before all are taken once. The joined table is the mix:
    for each slot of each shard, the spans of documents that its block is packed from. Slots of a shard's sources are
    interleaved by a permutation of the shard.
 
-The driver holds one number per source and one draw per shard; blocks, slots and documents stay distributed.
+The driver holds a few numbers per source, MOST_SOURCES at most; a shard's draw is made in the task that fills it, and
+blocks, slots and documents stay distributed.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from . import store
 from .prefix import running_sum
 
-#: Words of a block; least slots and most number of shards.
-BLOCK_WORDS, SHARD_SLOTS, MOST_SHARDS = 256, 1 << 16, 4096
+#: Words of a block; slots of a shard; sources that a mix may have.
+BLOCK_WORDS, SHARD_SLOTS, MOST_SOURCES = 256, 1024, 10_000
 WEIGHTS = (5.0, 2.0, 1.0)
 ROUNDS = 6
 
@@ -65,19 +67,36 @@ def quotas(sizes: list[int], goals: list[float], block: int) -> list[int]:
     return out
 
 
-def shard_counts(quota: list[int], shard_slots: int, seed: int):
-    """Yields each shard's multinomial draw of slots per source, in order; together they use up every quota."""
-    left = np.array(quota, np.int64)
-    rng = np.random.default_rng(seed)
-    while left.sum() > 0:
-        need, drawn = min(shard_slots, int(left.sum())), np.zeros(len(left), np.int64)
-        while need:
-            rest = left - drawn
-            got = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-            drawn += got
-            need -= int(got.sum())
-        left -= drawn
-        yield drawn
+def _draw(rng: np.random.Generator, left: np.ndarray, need: int) -> np.ndarray:
+    """A draw of `need` slots from what is left of each source: multinomial under the condition that the rest comes after.
+
+    That is hypergeometric. Beyond what numpy draws so, a plain multinomial without more than is left stands in for it;
+    the halves are then so large that their shares hardly differ."""
+    if left.sum() < 10**9:
+        return rng.multivariate_hypergeometric(left, need, method="marginals")
+    drawn = np.zeros(len(left), np.int64)
+    while need:
+        rest = left - drawn
+        got = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
+        drawn += got
+        need -= int(got.sum())
+    return drawn
+
+
+def shard_counts(quota: list[int], shard_slots: int, seed: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in the shard, slots of each source in the shards before); follows from the arguments alone.
+
+    All shards but the last have `shard_slots` slots, and all together use up every quota."""
+    left, before = np.array(quota, np.int64), np.zeros(len(quota), np.int64)
+    low, high = 0, -(-int(left.sum()) // shard_slots)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = _draw(np.random.default_rng([seed, low, high]), left, (middle - low) * shard_slots)
+        if shard < middle:
+            high, left = middle, first
+        else:
+            low, left, before = middle, left - first, before + first
+    return left, before
 
 
 def permuted(index: np.ndarray, n: int, key: bytes) -> np.ndarray:
@@ -99,11 +118,14 @@ def permuted(index: np.ndarray, n: int, key: bytes) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _mixed(df: DataFrame, share: float, most: float, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, slots): df's rows (row, doc_id, code, size, at, source_size, target), and (shard, slot, source, index, spans) of each slot, both stored."""
+def _mixed(df: DataFrame, share: float, most: float, block: int, shard_slots: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, slots): df's rows (row, doc_id, code, size, at, source_size, target), stored, and (shard, slot, source, index, spans) of each slot."""
     spark = df.sparkSession
     sized = store.keep(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "mix-sizes")
-    totals = sorted(((r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"a mix has {MOST_SOURCES} sources at most")
+    totals = sorted(((r["source"], r["n"]) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in totals]
     goals = targets(sizes, share, most)
     quota = quotas(sizes, goals, block)
@@ -116,26 +138,26 @@ def _mixed(df: DataFrame, share: float, most: float, block: int, seed: int, id_c
     placed = running_sum(coded, ["code", "doc_id", "size"], "size", "at", "mix-placed").join(config.drop("source"), "code").withColumn("at", F.col("at") - F.col("first"))
     placed = placed.select("*", F.monotonically_increasing_id().alias("row"))
     placed = store.keep(placed, "mix-rows")
-    used = [0] * len(sizes)
-    shards: list[tuple] = []
-    for shard, drawn in enumerate(shard_counts(quota, max(SHARD_SLOTS, -(-sum(quota) // MOST_SHARDS)), seed)):
-        for code in np.flatnonzero(drawn).tolist():
-            shards.append((shard, code, used[code], int(drawn[code]), -(-sizes[code] // block), int(drawn[:code].sum()), int(drawn.sum())))
-            used[code] += int(drawn[code])
+    n_blocks = [-(-n // block) for n in sizes]
 
     def slots(batches):
         for batch in batches:
-            for shard, code, low, n, blocks, ahead, many in ((s, c, a, min(SHARD_SLOTS, f + m - a), b, h + a - f, w) for s, c, f, m, b, h, w in zip(*(c.to_pylist() for c in batch.columns)) for a in range(f, f + m, SHARD_SLOTS)):
-                at = np.arange(low, low + n)
-                index = np.zeros(n, np.int64)
-                for turn in np.unique(at // blocks).tolist():
-                    some = at // blocks == turn
-                    index[some] = permuted(at[some] % blocks, blocks, f"{seed}/{code}/{turn}".encode())
-                slot = permuted(np.arange(ahead, ahead + n), many, f"{seed}/shard/{shard}".encode())
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard)), "slot": pa.array(slot), "code": pa.array(np.full(n, code)), "index": pa.array(index)})
-
-    plan = spark.createDataFrame(pd.DataFrame(shards, columns=["shard", "code", "first", "n", "blocks", "ahead", "many"], dtype=np.int64), "shard bigint, code bigint, first bigint, n bigint, blocks bigint, ahead bigint, many bigint")
-    drawn = plan.repartition("shard", "code").mapInArrow(slots, "shard bigint, slot bigint, code bigint, index bigint")
+            for shard in batch.column(0).to_pylist():
+                drawn, before = shard_counts(quota, shard_slots, seed, shard)
+                many, ahead = int(drawn.sum()), 0
+                for code in np.flatnonzero(drawn).tolist():
+                    n, blocks = int(drawn[code]), n_blocks[code]
+                    at = before[code] + np.arange(n)
+                    index = np.zeros(n, np.int64)
+                    for turn in np.unique(at // blocks).tolist():
+                        some = at // blocks == turn
+                        index[some] = permuted(at[some] % blocks, blocks, f"{seed}/{code}/{turn}".encode())
+                    slot = permuted(np.arange(ahead, ahead + n), many, f"{seed}/shard/{shard}".encode())
+                    ahead += n
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard)), "slot": pa.array(slot), "code": pa.array(np.full(n, code)), "index": pa.array(index)})
+
+    shards = spark.range(-(-sum(quota) // shard_slots))
+    drawn = shards.mapInArrow(slots, "shard bigint, slot bigint, code bigint, index bigint")
     parts = placed.where("size > 0").select("row", "doc_id", "code", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("index"))
     low = F.greatest(F.col("at"), F.col("index") * block)
     span = F.struct(low.alias("place"), "row", "doc_id", (low - F.col("at")).alias("first"), (F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * block) - low).alias("n"))
@@ -143,18 +165,19 @@ def _mixed(df: DataFrame, share: float, most: float, block: int, seed: int, id_c
     packed = packed.withColumn("spans", F.transform("spans", lambda x: F.struct(x["row"].alias("row"), x["doc_id"].alias("doc_id"), x["first"].alias("first"), x["n"].alias("n"))))
     # slots come of a small plan, by whose size Spark would broadcast them all
     filled = drawn.join(packed.hint("merge"), ["code", "index"]).join(F.broadcast(config.select("code", "source")), "code")
-    return placed, store.keep(filled.select("shard", "slot", "source", "index", "spans"), "mix-shards")
+    return placed, filled.select("shard", "slot", "source", "index", "spans")
 
 
-def mix_shards(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_shards(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself, one row (shard, slot, source, index, spans) for each slot; see the module's text.
 
     spans: in order, (row, doc_id, first, n) of the n words from word `first` of each document that lies in the source's
     block `index`; row tells documents that share an id apart."""
-    return _mixed(df, share, most, block, seed, id_col, text_col, source_col)[1]
+    with store.scratch():
+        return store.keep(_mixed(df, share, most, block, shard_slots, seed, id_col, text_col, source_col)[1], "mix-shards", outer=True)
 
 
-def mix(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row (doc_id, size, source_size, target, taken) for each row of df; see the module's text.
 
     taken counts the document's words in all slots that take a block they lie in. A null text has no words and is not
@@ -162,9 +185,11 @@ def mix(df: DataFrame, share: float = 1.5, most: float = 2.0, block: int = BLOCK
     themselves. An empty table gives an empty result. The same table and seed give the same mix. Other columns are not read.
     Sources are a mix's configuration: one number for each reaches the driver.
     """
-    placed, slots = _mixed(df, share, most, block, seed, id_col, text_col, source_col)
-    counted = slots.select(F.explode("spans").alias("x")).groupBy("x.row").agg(F.sum("x.n").alias("taken"))
-    return placed.join(counted.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    with store.scratch():
+        placed, slots = _mixed(df, share, most, block, shard_slots, seed, id_col, text_col, source_col)
+        counted = store.keep(slots, "mix-shards").select(F.explode("spans").alias("x")).groupBy("x.row").agg(F.sum("x.n").alias("taken"))
+        taken = placed.join(counted.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+        return store.keep(taken, "mix-taken", outer=True)
 
 
 def apply_mix(df: DataFrame, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
