@@ -64,6 +64,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import page_digests
+
+    return page_digests(_table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lang_id, suffix_tree
 
@@ -88,7 +94,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_token_store, op3_chat_examples, op4_source_mix, op5_quality, op6_media_columns, op7_suffix_tree_scores, op8_ngram_jaccard, op9_token_counts, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_token_store, op3_chat_examples, op4_source_mix, op5_quality, op6_media_columns, op7_suffix_tree_scores, op8_ngram_jaccard, op9_token_counts, op10_decontamination, page_sequences)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = "length(replace(replace(replace({0}, '~', '~0'), '<', '~1'), '[', '~2'))"
