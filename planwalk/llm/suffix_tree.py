@@ -8,17 +8,19 @@ token; what a held context ends in is held too. A context's counts are smoothed
 with the weight of its number of distinct next symbols; the root's leaves unknown words the share of tokens met once.
 Each token is scored by the longest suffix of what precedes it that the tree holds.
 
-Everything is learned from counts of all training tokens. Words and runs of words are 64-bit hashes. Texts are cut into
-segments. For runs of 1, 2, ... DEPTH + 1 tokens, each segment sends its distinct runs that follow a context, counted and
-packed, to the buckets their hashes fall in, and gets the counts over all segments back in the same order. Contexts
-(their divergence, numbers of next symbols, and whether they are held) go the same way. Nothing but three sums reaches
-the driver, and nothing that grows with the texts is broadcast.
+Everything is learned from counts of all training tokens. Texts are cut into segments. A segment sends its distinct
+words, counted, to the buckets that their hashes fall in, and gets their counts over all segments and short numbers for
+them back. Then, for contexts of 1, 2, ... tokens, it sends the runs of a frequent context and its next word to buckets
+of contexts. There the next words' counts meet, the divergence is tested, and the runs that are frequent contexts of the
+next length get their numbers. Last, segments tell buckets which contexts others end in. A context with more than a set
+share of all tokens is dealt to several buckets by its next words; the parts of its divergence are added up on the
+driver, of which there are at most 2 * SPLIT_MOST. Nothing that grows with the texts is broadcast or collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,307 +38,362 @@ GAIN_BITS, G_LEAST = 0.02, 2.0
 SEGMENT_BYTES = 1 << 22
 #: The token that ends a text; no word has this hash but by a chance of 2**-64.
 END = np.uint64(0xE4D)
-#: More than the most words of a table of contexts.
-_BASE = 1 << 11
 #: Buckets in which the runs of so many segments meet.
 BUCKETS, BUCKET_SEGMENTS = 64, 512
-#: Divergence travels in whole units of 1 / UNIT nats, so that sums don't depend on their order.
+#: A context is split if it occurs more often than the greater of SPLIT_LEAST and all tokens / SPLIT_MOST.
+SPLIT_LEAST, SPLIT_MOST = 100_000, 5000
+#: Divergence is added up in whole units of 1 / UNIT nats, so that sums don't depend on their order.
 UNIT = 1 << 20
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Integers, byte by byte over all of them, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes())
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers, each byte by byte over all of its numbers, compressed together."""
+    head, body = [len(arrays)], []
+    for x in arrays:
+        wide = np.ascontiguousarray(x, dtype="<i8")
+        size = 0 if not len(x) else 8 if wide.min() < 0 else (int(wide.max()).bit_length() + 7) // 8
+        head += [len(x), size]
+        body.append(wide.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(body))
 
 
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    many = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 1 + 2 * many)[1:].reshape(-1, 2).tolist()
+    at, out = 8 * (1 + 2 * many), []
+    for n, size in head:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+        out.append(wide.view("<i8").ravel())
+        at += n * size
+    return out
 
 
-def _texts(df: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+def refine(p: np.ndarray, seen: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Probabilities after a context of `total` occurrences and `kinds` distinct next symbols, smoothed towards p."""
+    return (seen + kinds * p) / (total + kinds)
 
 
-def _segments(batch: pa.RecordBatch):
-    """Yields (ids, held out, tokens of all texts with their ends, bounds of the texts, whether a token is for training)."""
-    data, bounds = bt.buffers(batch.column(1))
-    held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-    for low, high in bt.groups(bounds, SEGMENT_BYTES):
-        _, _, hashes, rows = bt.words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], bt.SPACED)
-        tokens = np.insert(hashes, rows[1:], END)
-        rows = rows + np.arange(len(rows))
-        yield batch.column(0).slice(low, high - low), held[low:high], tokens, rows, np.repeat(~held[low:high], np.diff(rows))
+def root(c: np.ndarray, n_tokens: int, n_once: int) -> np.ndarray:
+    """Probabilities of tokens met c times; those never met share what tokens met once have."""
+    unknown = max(n_once, 1) / max(n_tokens + (n_once == 0), 1)
+    return np.where(c > 0, (1 - unknown) * c / max(n_tokens, 1), unknown)
 
 
-def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Place of each value in a sorted table, -1 for those it lacks."""
-    if not len(table):
-        return np.full(len(values), -1)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+def passes(units: np.ndarray, kinds: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The divergence test."""
+    nats = units / UNIT
+    return (2 * nats >= G_LEAST * kinds) & (nats / np.log(2) >= GAIN_BITS * total) & (total > 0)
 
 
-@dataclass
-class Contexts:
-    """frequent: sorted hashes. codes[d]: sorted packed contexts of length d + 1; first[d]: number of the first of them."""
-
-    frequent: np.ndarray
-    codes: list[np.ndarray]
-
-    @property
-    def first(self) -> np.ndarray:
-        return np.cumsum([0, *(len(x) for x in self.codes)])
+def _hash(x: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
+    return bt.mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(more).astype(np.uint64))
 
-    def packed(self, word: np.ndarray, rows: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-        """For each d up to depth, the packed d tokens before each token; -1 unless all are frequent and in the same text.
 
-        word: place of each token in `frequent`, -1 for others."""
-        place = np.arange(len(word)) - np.repeat(rows[:-1], np.diff(rows))
-        code, good = np.zeros(len(word), np.int64), np.ones(len(word), bool)
-        for d in range(1, depth + 1):
-            before = np.full(len(word), -1)
-            before[d:] = word[:-d]
-            good = good & (place >= d) & (before >= 0)
-            code = code + before * _BASE ** (d - 1)
-            yield np.where(good, code, -1)
-
-    def numbers(self, word: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-        """For each length, the number of the context before each token, -1 if it isn't one."""
-        for d, packed in enumerate(self.packed(word, rows, len(self.codes))):
-            at = _find(self.codes[d], packed)
-            yield np.where((packed >= 0) & (at >= 0), at + self.first[d], -1)
-
-    def parents(self) -> np.ndarray:
-        """Number of each context without its first token, -1 for the root."""
-        out = [np.full(len(self.codes[0]), -1)] if self.codes else []
-        for d in range(1, len(self.codes)):
-            out.append(_find(self.codes[d - 1], self.codes[d] % _BASE**d) + self.first[d - 1])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+_STAGE = "segment bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, tokens binary"
+_SENT = "bucket int, segment bigint, sent binary"
+_MET = "segment bigint, bucket int, back binary"
+#: The segment under which buckets give what concerns no segment.
+NO_SEGMENT = -1
 
 
-@dataclass
-class Tree:
-    contexts: Contexts | None
-    held: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray
-    n_tokens: int
-    n_distinct: int
-    n_once: int
-
-    def root(self, c: np.ndarray) -> np.ndarray:
-        unknown = max(self.n_once, 1) / max(self.n_tokens + (self.n_once == 0), 1)
-        return np.where(c > 0, (1 - unknown) * c / max(self.n_tokens, 1), unknown)
-
-    def chain(self, p: np.ndarray, steps) -> np.ndarray:
-        """log10 of the probabilities p of tokens at the root, refined by steps of (number of each token's context or -1, times the token was seen after it), shorter contexts first."""
-        for number, seen in steps:
-            some = np.flatnonzero((number >= 0) & self.held[np.maximum(number, 0)]) if len(self.held) else np.zeros(0, np.int64)
-            s = number[some]
-            p[some] = (seen[some] + self.kinds[s] * p[some]) / (self.totals[s] + self.kinds[s])
-        return np.log10(p)
+def _stage(segment_bytes: int):
+    """Segments: their texts' tokens as places among their distinct ones, which are sorted."""
 
-    def log10(self, word: np.ndarray, rows: np.ndarray, place: np.ndarray, c: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Of each token; word: its place among the frequent ones or -1; c: counts by place; key: sorted place * contexts + context with n times that it was seen."""
-        many = max(len(self.held), 1)
+    def run(batches):
+        from pyspark import TaskContext
 
-        def steps():
-            for number in self.contexts.numbers(word, rows):
-                at = np.where(number >= 0, _find(key, place * many + number), -1)
-                yield number, np.where(at >= 0, n[np.maximum(at, 0)], 0) if len(n) else np.zeros(len(number))
+        segment = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            data, bounds = bt.buffers(batch.column(1))
+            for low, high in bt.groups(bounds, segment_bytes):
+                _, _, hashes, rows = bt.words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], bt.SPACED)
+                words, place = np.unique(np.insert(hashes, rows[1:], END), return_inverse=True)
+                ids, held = (batch.column(k).slice(low, high - low).to_pylist() for k in (0, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([segment], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([(np.diff(rows) + 1).tolist()], pa.list_(pa.int32())), pa.array([pack(np.diff(words.view(np.int64), prepend=0), place)], pa.binary())],
+                    names=["segment", "doc_ids", "held_out", "sizes", "tokens"],
+                )
+                segment += 1
 
-        return self.chain(self.root(c)[place], steps())
+    return run
 
 
-_STAGE = "segment bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, words binary, places binary"
-_SENT = "bucket int, segment bigint, keys binary, sent array<binary>"
-
-
-def _stage(batches):
-    """Segments: their distinct tokens, sorted, and each text's tokens as places among them."""
-    from pyspark import TaskContext
-
-    segment = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for ids, held, tokens, rows, _ in _segments(batch):
-            names, place = np.unique(tokens, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([segment], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([np.diff(rows).tolist()], pa.list_(pa.int32())), pa.array([_pack_sorted(names)], pa.binary()), pa.array([pack(place)], pa.binary())],
-                names=["segment", "doc_ids", "held_out", "sizes", "words", "places"],
-            )
-            segment += 1
-
-
-def _pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys.view(np.int64), prepend=0))
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data)).view(np.uint64)
+def _given(back: list[dict] | None, columns: int) -> list[np.ndarray]:
+    """What the buckets gave a segment, in the order in which it was sent."""
+    pieces = [unpack(x["back"]) for x in sorted(back or [], key=lambda x: x["bucket"])]
+    return [np.concatenate(x) for x in zip(*pieces)] if pieces else [np.zeros(0, np.int64)] * columns
 
 
-def _longer(hashes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Hashes of runs with one more token."""
-    x = hashes * np.uint64(0x9E3779B97F4A7C15) + tokens
-    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(k)
-    return x ^ (x >> np.uint64(32))
+def _sent(segment: int, buckets: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([segment] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "segment", "sent"])
 
 
-def _send(segment: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A segment's sorted keys and their values, one row for each bucket that has some."""
-    cuts = np.append(np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)), len(keys))
-    some = np.flatnonzero(np.diff(cuts))
-    pieces = [slice(cuts[b], cuts[b + 1]) for b in some]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), segment)), pa.array([_pack_sorted(keys[x]) for x in pieces], pa.binary()), pa.array([[pack(v[x]) for v in values] for x in pieces], pa.list_(pa.binary()))],
-        names=["bucket", "segment", "keys", "sent"],
-    )
+@dataclass
+class Level:
+    """A segment's contexts of one length and their next words: `at` says which run ends at each token of `place`.
 
+    Runs are sorted by bucket, context and next word. What the buckets tell: how often each run occurs, its number as a
+    context, the number of next words of its context, and whether that is held by the test."""
 
-def _meet(table: pa.Table) -> pa.Table:
-    """For each segment's keys in one bucket: 1 in one segment that has the key and 0 in the others, and the sums of the values over all segments."""
-    parts = [_unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    keys = np.concatenate(parts)
-    order = np.argsort(keys, kind="stable")
-    new = np.append(True, keys[order][1:] != keys[order][:-1])
-    group = np.empty(len(keys), np.int64)
+    place: np.ndarray
+    at: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    total: np.ndarray
+    parent_total: np.ndarray
+    parent_seen: np.ndarray
+    n: np.ndarray
+    bucket: np.ndarray
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    number: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    held: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+
+    def cuts(self) -> np.ndarray:
+        """Where a bucket's part of a context begins, and the end."""
+        new = np.flatnonzero((np.diff(self.context) != 0) | (np.diff(self.bucket) != 0)) + 1
+        return np.concatenate(([0], new, [len(self.context)])) if len(self.context) else np.zeros(1, np.int64)
+
+    def send(self, segment: int) -> pa.RecordBatch:
+        cuts = self.cuts()
+        buckets, firsts = np.unique(self.bucket[cuts[:-1]], return_index=True)
+        blobs = []
+        for a, b in zip(firsts, [*firsts[1:], len(cuts) - 1]):
+            own, some = cuts[a:b], slice(cuts[a], cuts[b])
+            steps = np.diff(self.word[some], prepend=0)
+            steps[own - cuts[a]] = self.word[own]
+            blobs.append(pack(np.diff(self.context[own], prepend=0), np.diff(cuts[a : b + 1]), self.total[own], self.parent_total[own], steps, self.n[some], self.parent_seen[some]))
+        return _sent(segment, buckets, blobs)
+
+    def take(self, back: list[dict] | None, split: dict[str, np.ndarray] | None) -> None:
+        self.seen, self.number, told = _given(back, 3)
+        told = np.repeat(told, np.diff(self.cuts()))
+        if split is not None and len(split["context"]):
+            k = np.minimum(np.searchsorted(split["context"], self.context), len(split["context"]) - 1)
+            told = np.where(split["context"][k] == self.context, split["told"][k], told)
+        self.kinds, self.held = told >> 1, (told & 1).astype(bool)
+
+
+def _meet_level(table: pa.Table, buckets: int, limit: int, last: bool) -> pa.Table:
+    """A bucket's runs over all segments; see Level. Contexts above the limit go to the driver with their part of the divergence."""
+    bucket = table.column("bucket")[0].as_py()
+    parts = [unpack(x) for x in table.column("sent").to_pylist()]
+    lens, many = [x[1] for x in parts], [len(x[4]) for x in parts]
+    context = np.concatenate([np.repeat(np.cumsum(x[0]), x[1]) for x in parts])
+    total, parent_total = (np.concatenate([np.repeat(x[k], x[1]) for x in parts]) for k in (2, 3))
+    word = []
+    for x in parts:
+        run, first = np.cumsum(x[4]), np.cumsum(x[1]) - x[1]
+        word.append(run - np.repeat(run[first] - x[4][first], x[1]))
+    word = np.concatenate(word)
+    n, parent_seen = (np.concatenate([x[k] for x in parts]) for k in (5, 6))
+    del parts
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    new = np.append(True, (np.diff(context) != 0) | (np.diff(word) != 0))
+    first = np.flatnonzero(new)
+    group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
-    own = np.zeros(len(keys), np.int64)
-    own[order[new]] = 1
-    columns = [own]
-    for sent in zip(*table.column("sent").to_pylist()):
-        columns.append(np.add.reduceat(np.concatenate([unpack(x) for x in sent])[order], np.flatnonzero(new))[group])
-    cuts = np.cumsum([0, *(len(x) for x in parts)])
-    back = [[pack(x[a:b]) for x in columns] for a, b in zip(cuts[:-1], cuts[1:])]
-    return pa.table({"segment": table.column("segment"), "bucket": table.column("bucket"), "back": pa.array(back, pa.list_(pa.binary()))})
-
-
-def _exchange(sent: DataFrame, name: str) -> DataFrame:
-    """(segment, name): what the buckets give each segment back."""
-    met = sent.groupBy("bucket").applyInArrow(_meet, "segment bigint, bucket int, back array<binary>")
-    return store.keep(met.groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name)), f"lm-{name}")
-
-
-def _given(back: list[dict] | None, columns: int) -> list[np.ndarray]:
-    """A segment's columns in the order of its keys."""
-    pieces = [[unpack(x) for x in row["back"]] for row in sorted(back or [], key=lambda x: x["bucket"])]
-    return [np.concatenate(x) for x in zip(*pieces)] if pieces else [np.zeros(0, np.int64)] * columns
+    seen = np.add.reduceat(n[order], first)
+    begins = np.flatnonzero(np.append(True, np.diff(context[first]) != 0))
+    whole, whole_parent = total[order][first], parent_total[order][first]
+    share = (seen / whole) / (np.maximum(parent_seen[order][first], 1) / whole_parent)
+    nats = np.add.reduceat(seen * np.log(np.where(seen > 0, share, 1.0)), begins)
+    kinds, whole = np.add.reduceat((seen > 0).astype(np.int64), begins), whole[begins]
+    units = np.rint(nats * UNIT).astype(np.int64)
+    split = whole > limit
+    told = 2 * kinds + (passes(units, kinds, whole) & ~split)
+    number = np.zeros(len(seen), np.int64)
+    if not last:
+        some = np.flatnonzero(seen >= MIN_COUNT)
+        number[some[np.argsort(-seen[some], kind="stable")]] = 1 + np.arange(len(some)) * buckets + bucket
+    told_of_run = told[np.cumsum(np.append(True, np.diff(context[first]) != 0)) - 1]
+    back, at = [], 0
+    for x, size in zip(lens, many):
+        own = group[at : at + size]
+        back.append(pack(seen[own], number[own], told_of_run[own[np.cumsum(x) - x]]))
+        at += size
+    back.append(pack(context[first][begins][split], kinds[split], units[split], whole[split]))
+    segments = table.column("segment").to_pylist() + [NO_SEGMENT]
+    return pa.table({"segment": pa.array(segments, pa.int64()), "bucket": pa.array([bucket] * len(back), pa.int32()), "back": pa.array(back, pa.binary())})
+
+
+def _meet_words(table: pa.Table, buckets: int) -> pa.Table:
+    """Counts and numbers of a bucket's words; 0 numbers all that no training text has."""
+    bucket = table.column("bucket")[0].as_py()
+    parts = [unpack(x) for x in table.column("sent").to_pylist()]
+    words = np.concatenate([np.cumsum(x[0]) for x in parts]).view(np.uint64)
+    _, group = np.unique(words, return_inverse=True)
+    count = np.bincount(group, np.concatenate([x[1] for x in parts])).astype(np.int64)
+    number = np.zeros(len(count), np.int64)
+    some = np.flatnonzero(count)
+    number[some[np.argsort(-count[some], kind="stable")]] = 1 + np.arange(len(some)) * buckets + bucket
+    cuts = np.cumsum([0, *(len(x[0]) for x in parts)])
+    back = [pack(count[group[a:b]], number[group[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+    back.append(pack(np.array([count.sum(), (count > 0).sum(), (count == 1).sum()])))
+    segments = table.column("segment").to_pylist() + [NO_SEGMENT]
+    return pa.table({"segment": pa.array(segments, pa.int64()), "bucket": pa.array([bucket] * len(back), pa.int32()), "back": pa.array(back, pa.binary())})
+
+
+def _meet_raised(table: pa.Table) -> pa.Table:
+    """Of each context, whether any segment says that a held one ends in it."""
+    parts = [unpack(x) for x in table.column("sent").to_pylist()]
+    lens = [[len(x[k]) for k in range(0, len(x), 2)] for x in parts]
+    flags = []
+    for k in range(0, len(parts[0]), 2):
+        _, group = np.unique(np.concatenate([np.cumsum(x[k]) for x in parts]), return_inverse=True)
+        raised = np.bincount(group, np.concatenate([x[k + 1] for x in parts]), minlength=1) > 0
+        cuts = np.cumsum([0, *(x[k // 2] for x in lens)])
+        flags.append([raised[group[a:b]].astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:])])
+    back = [pack(*x) for x in zip(*flags)]
+    return pa.table({"segment": table.column("segment"), "bucket": table.column("bucket"), "back": pa.array(back, pa.binary())})
 
 
 @dataclass
-class Runs:
-    """Distinct runs of one length: sorted hashes; at: which of them ends at each token, -1 for none that follows a context."""
-
-    keys: np.ndarray
-    at: np.ndarray
-    own: np.ndarray | None = None
-    count: np.ndarray | None = None
+class Setting:
+    """What every segment knows; `split` has, by length, what was found of contexts that several buckets share."""
 
-    def ends(self) -> np.ndarray:
-        """A place where each run ends."""
-        out, some = np.zeros(len(self.keys), np.int64), np.flatnonzero(self.at >= 0)
-        out[self.at[some]] = some
-        return out
+    buckets: int
+    depth: int
+    n_tokens: int = 0
+    n_distinct: int = 0
+    n_once: int = 0
+    limit: int = 0
+    split: list[dict[str, np.ndarray]] = field(default_factory=list)
 
 
 class Segment:
-    """A segment's tokens, and its runs of 1, 2, ... tokens up to one more than those whose counts are known, `last` at most."""
+    """A segment's tokens, and its runs of the first `known` lengths and one more, DEPTH at most; of the known ones with what buckets told."""
 
-    def __init__(self, row: dict, known: int, last: int):
+    def __init__(self, row: dict, known: int, setting: Setting):
         self.number, self.doc_ids, self.held = row["segment"], row["doc_ids"], np.array(row["held_out"], bool)
         self.rows = np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
+        steps, self.place = unpack(row["tokens"])
+        self.words = np.cumsum(steps).view(np.uint64)
         self.trained = np.repeat(~self.held, np.diff(self.rows))
-        words, place = _unpack_sorted(row["words"]), unpack(row["places"])
-        tokens = hashes = words[place]
-        first = np.zeros(len(tokens), bool)
+        self.setting, self.levels = setting, []
+        if known == 0:
+            return
+        count, number = (x[self.place] for x in _given(row["n0"], 2))
+        self.count = count
+        _, self.local = np.unique(number, return_inverse=True)
+        first = np.zeros(len(self.place), bool)
         first[self.rows[:-1]] = True
-        self.runs = [Runs(words, place)]
-        for n in range(1, known + 1):
-            runs = self.runs[-1]
-            runs.own, runs.count = _given(row[f"n{n}"], 2)
-            if n == last:
+        some = np.flatnonzero(~first)
+        some = some[count[some - 1] >= MIN_COUNT]
+        context, total, parent_total, parent_seen = number[some - 1], count[some - 1], np.full(len(some), setting.n_tokens), count[some]
+        for d in range(1, setting.depth + 1):
+            level = self._level(some, context, number[some], total, parent_total, parent_seen)
+            self.levels.append(level)
+            if d >= known:
                 break
-            follows, at = np.zeros(len(tokens), bool), np.full(len(tokens), -1)
-            if len(runs.keys):
-                follows[1:] = (np.where(runs.at >= 0, runs.count[runs.at], 0)[:-1] >= MIN_COUNT) & ~first[1:]
-            hashes = np.append(np.uint64(0), _longer(hashes[:-1], tokens[1:]))
-            keys, at[follows] = np.unique(hashes[follows], return_inverse=True)
-            self.runs.append(Runs(keys, at))
-
-    def local(self) -> np.ndarray:
-        """How often the segment's training texts have each of the longest runs."""
-        runs = self.runs[-1]
-        return np.bincount(runs.at[self.trained & (runs.at >= 0)], minlength=len(runs.keys))
-
-    def contexts(self) -> None:
-        """Numbers the segment's contexts, shorter ones first: keys, totals, parents; number[d]: of the context of d + 1 tokens that ends in each such run."""
-        self.number_of, keys, totals, parents, first = [], [], [], [], 0
-        for d, (runs, after) in enumerate(zip(self.runs, self.runs[1:])):
-            some, end = np.unique(runs.at[after.ends() - 1], return_index=True) if len(after.keys) else (np.zeros(0, np.int64),) * 2
-            number = np.full(len(runs.keys), -1)
-            number[some] = first + np.arange(len(some))
-            shorter = self.runs[d - 1].at[after.ends()[end] - 1] if d else None
-            parents.append(self.number_of[d - 1][shorter] if d else np.full(len(some), -1))
-            keys.append(runs.keys[some])
-            totals.append(runs.count[some])
-            self.number_of.append(number)
-            first += len(some)
-        self.keys, self.totals, self.parents = (np.concatenate(x) for x in (keys, totals, parents))
-        self.order = np.argsort(self.keys)
-
-    def divergence(self, n_tokens: int) -> list[np.ndarray]:
-        """Of each context, over the next symbols that are the segment's own to count: units of divergence from its parent, and their number."""
-        nats, kinds = np.zeros(len(self.keys)), np.zeros(len(self.keys), np.int64)
-        for d, (runs, after) in enumerate(zip(self.runs, self.runs[1:])):
-            end = after.ends()
-            some = np.flatnonzero((after.own > 0) & (after.count > 0))
-            end, n = end[some], after.count[some]
-            if not len(some):
-                continue
-            total = self.runs[d - 1].count[self.runs[d - 1].at[end - 1]] if d else n_tokens
-            s, p, q = runs.at[end - 1], n / runs.count[runs.at[end - 1]], runs.count[runs.at[end]] / total
-            number = self.number_of[d][s]
-            nats += np.bincount(number, n * np.log(p / q), minlength=len(nats))
-            kinds += np.bincount(number, minlength=len(nats))
-        return [np.rint(nats * UNIT).astype(np.int64), kinds]
-
-    def in_order(self, given: list[np.ndarray]) -> list[np.ndarray]:
-        """Columns of sorted contexts, by number."""
-        out = []
-        for x in given:
-            y = np.empty_like(x)
-            y[self.order] = x
-            out.append(y)
-        return out
-
-    def good(self, units: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """The contexts that pass the test, and what those end in."""
-        nats = units / UNIT
-        good = (2 * nats >= G_LEAST * kinds) & (nats / np.log(2) >= GAIN_BITS * self.totals) & (self.totals > 0)
-        for number in reversed(self.number_of):
-            some = number[number >= 0]
-            up = self.parents[some[good[some]]]
-            good[up[up >= 0]] = True
-        return good
-
-
-def _each(batches, known: int, last: int, f) -> Iterator[pa.RecordBatch]:
+            level.take(row[f"n{d}"], setting.split[d - 1])
+            # a run is a context of the token behind it
+            told = np.zeros((4, len(first)), np.int64)
+            told[:, level.place] = level.number[level.at], level.seen[level.at], level.total[level.at], level.seen[level.at]
+            some = np.flatnonzero(~first)
+            some = some[told[0, some - 1] > 0]
+            context, total, parent_total, parent_seen = told[0, some - 1], told[1, some - 1], told[2, some], told[3, some]
+
+    def _level(self, some, context, word, total, parent_total, parent_seen) -> Level:
+        setting, names = self.setting, np.unique(context)
+        key = np.searchsorted(names, context) * (int(self.local.max(initial=0)) + 1) + self.local[some]
+        _, one, at = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(at, self.trained[some], minlength=len(one)).astype(np.int64)
+        context, word, total, parent_total, parent_seen = (x[one] for x in (context, word, total, parent_total, parent_seen))
+        part = _hash(word) % np.maximum(-(-total // setting.limit), 1).astype(np.uint64)
+        bucket = (_hash(context, part) % np.uint64(setting.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return Level(some, back[at], *(x[order] for x in (context, word, total, parent_total, parent_seen, n, bucket)))
+
+    def send_words(self) -> pa.RecordBatch:
+        buckets = self.setting.buckets
+        n = np.bincount(self.place, self.trained, minlength=len(self.words)).astype(np.int64)
+        cuts = np.append(np.searchsorted(self.words, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)), len(self.words))
+        some = np.flatnonzero(np.diff(cuts))
+        return _sent(self.number, some, [pack(np.diff(self.words[cuts[b] : cuts[b + 1]].view(np.int64), prepend=0), n[cuts[b] : cuts[b + 1]]) for b in some])
+
+    def unsure(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length but the last: contexts that the test doesn't hold, in order of bucket, their buckets, and whether a held one ends in them here."""
+        above, out = np.zeros(len(self.place), bool), []
+        for d in range(len(self.levels) - 1, 0, -1):
+            longer, level = self.levels[d], self.levels[d - 1]
+            above[longer.place] |= longer.held[longer.at]
+            names, group = np.unique(level.context, return_inverse=True)
+            raised, known = np.zeros(len(names), bool), np.zeros(len(names), bool)
+            raised[group[level.at[above[level.place]]]] = True
+            known[group[level.held]] = True
+            some = np.flatnonzero(~known)
+            bucket = (_hash(names[some], d) % np.uint64(self.setting.buckets)).astype(np.int32)
+            some, bucket = some[np.argsort(bucket, kind="stable")], np.sort(bucket)
+            out.append((names[some], bucket, raised[some]))
+        return out[::-1]
+
+    def send_unsure(self) -> pa.RecordBatch:
+        unsure = self.unsure()
+        buckets = np.unique(np.concatenate([b for _, b, _ in unsure])) if unsure else np.zeros(0, np.int32)
+        blobs = []
+        for k in buckets:
+            parts = []
+            for names, bucket, raised in unsure:
+                a, b = np.searchsorted(bucket, [k, k + 1])
+                parts += [np.diff(names[a:b], prepend=0), raised[a:b].astype(np.int64)]
+            blobs.append(pack(*parts))
+        return _sent(self.number, buckets, blobs)
+
+    def log10(self, back: list[dict] | None) -> np.ndarray:
+        """log10 of each token's probability."""
+        setting = self.setting
+        flags = _given(back, max(len(self.levels) - 1, 0))
+        p = root(self.count, setting.n_tokens, setting.n_once)
+        unsure = self.unsure()
+        for d, level in enumerate(self.levels):
+            held = level.held
+            if d < len(unsure):
+                names = np.sort(unsure[d][0][flags[d] > 0])
+                if len(names):
+                    held = held | (names[np.minimum(np.searchsorted(names, level.context), len(names) - 1)] == level.context)
+            some = held[level.at]
+            at, place = level.at[some], level.place[some]
+            p[place] = refine(p[place], level.seen[at], level.total[at], level.kinds[at])
+        return np.log10(p)
+
+
+def _each(batches, known: int, setting: Setting, f) -> Iterator[pa.RecordBatch]:
     """f(segment, row) of each row; one segment is in memory at a time."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
-            yield f(Segment(row, known, last), row)
+            yield f(Segment(row, known, setting), row)
 
 
-def _tally(batches):
-    """(n, v, once) from what segments were given back of single tokens: training tokens, distinct ones, those met once."""
-    for batch in batches:
-        for back in batch.column(0).to_pylist():
-            own, c = _given(back, 2)
-            c = c[own > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (c.sum(), (c > 0).sum(), (c == 1).sum())], names=["n", "v", "once"])
+def _exchange(frame: DataFrame, name: str, send: Callable, meet: Callable) -> tuple[DataFrame, list[list[np.ndarray]]]:
+    """frame and a column `name` with what the buckets give each segment back, and what they give for no segment."""
+    met = store.keep(frame.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _MET), f"lm-{name}", "none")
+    told = [unpack(bytes(r["back"])) for r in met.where(F.col("segment") == NO_SEGMENT).select("back").collect()]
+    back = met.where(F.col("segment") != NO_SEGMENT).groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name))
+    more = frame.join(back, "segment", "left").persist(StorageLevel.DISK_ONLY)
+    more.count()
+    frame.unpersist()
+    return more, told
+
+
+def _whole(told: list[list[np.ndarray]]) -> dict[str, np.ndarray]:
+    """Contexts whose parts several buckets told, sorted, and the sum of it as a bucket tells it of the others."""
+    context, kinds, units, total = (np.concatenate(x) for x in zip(*told)) if told else [np.zeros(0, np.int64)] * 4
+    names, one, group = np.unique(context, return_index=True, return_inverse=True)
+    kinds, units = (np.array([int(x) for x in _sums(group, v, len(names))], np.int64) for v in (kinds, units))
+    return {"context": names, "told": 2 * kinds + passes(units, kinds, total[one])}
+
+
+def _sums(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, group, values)
+    return out
 
 
 def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -347,57 +404,43 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     the tree's log10 probability of the text's tokens, its end included.
 
     Null and empty text: the end alone. Without training rows the counts are 0 and every token is an unknown one.
-    Repeated rows and ids each count and give a row; null ids stay null; other columns are not read.
+    Repeated rows and ids each count and give a row; ids are whole numbers, null ids stay null; other columns are not
+    read. An empty table gives an empty result.
     """
     spark = df.sparkSession
     store.bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frame = _texts(df, held_out, id_col, text_col).mapInArrow(_stage, _STAGE).repartition(parts, "segment").persist(StorageLevel.DISK_ONLY)
-    buckets = BUCKETS * max(1, -(-frame.count() // BUCKET_SEGMENTS))
-    last = depth + 1
-
-    def send_runs(known):
-        return lambda batches: _each(batches, known, last, lambda segment, _: _send(segment.number, segment.runs[-1].keys, [segment.local()], buckets))
-
-    for n in range(1, last + 1):
-        back = _exchange(frame.mapInArrow(send_runs(n - 1), _SENT), f"n{n}")
-        if n == 1:
-            row = back.select("n1").mapInArrow(_tally, "n bigint, v bigint, once bigint").agg(F.sum("n"), F.sum("v"), F.sum("once")).first()
-            n_tokens, n_distinct, n_once = (x or 0 for x in row)
-        frame = frame.join(back, "segment", "left")
-
-    def divergence(segment, _):
-        segment.contexts()
-        return _send(segment.number, segment.keys[segment.order], [x[segment.order] for x in segment.divergence(n_tokens)], buckets)
-
-    frame = frame.join(_exchange(frame.mapInArrow(lambda batches: _each(batches, last, last, divergence), _SENT), "told"), "segment", "left")
-
-    def good(segment, row):
-        segment.contexts()
-        _, units, kinds = segment.in_order(_given(row["told"], 3))
-        return _send(segment.number, segment.keys[segment.order], [segment.good(units, kinds)[segment.order]], buckets)
-
-    frame = frame.join(_exchange(frame.mapInArrow(lambda batches: _each(batches, last, last, good), _SENT), "held"), "segment", "left")
-
-    def finish(segment, row):
-        base_bottom = n_tokens + n_distinct + 1
-        segment.contexts()
-        kinds = segment.in_order(_given(row["told"], 3))[2]
-        held = segment.in_order(_given(row["held"], 2))[1] > 0
-        tree = Tree(None, held, segment.totals, kinds, n_tokens, n_distinct, n_once)
-        told = segment.runs[0].count[segment.runs[0].at]
-
-        def steps():
-            for number, runs, after in zip(segment.number_of, segment.runs, segment.runs[1:]):
-                some = np.flatnonzero(after.at >= 0)
-                here, seen = np.full(len(told), -1), np.zeros(len(told), np.int64)
-                here[some], seen[some] = number[runs.at[some - 1]], after.count[after.at[some]]
-                yield here, seen
-
-        value, rows = tree.chain(tree.root(told), steps()), segment.rows
-        return pa.RecordBatch.from_arrays(
-            [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.held), pa.array(np.diff(rows)), pa.array(bt.sums((told > 0).astype(np.int64), rows)), pa.array(np.full(len(segment.held), n_tokens, np.int64)), pa.array(bt.sums(np.log10((told + 1) / base_bottom), rows)), pa.array(bt.sums(value, rows))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    return frame.mapInArrow(lambda batches: _each(batches, last, last, finish), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    least, most = SPLIT_LEAST, SPLIT_MOST
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    frame = texts.mapInArrow(_stage(SEGMENT_BYTES), _STAGE).repartition(parts, "segment").persist(StorageLevel.DISK_ONLY)
+    setting = Setting(BUCKETS * max(1, -(-frame.count() // BUCKET_SEGMENTS)), depth)
+
+    def each(known: int, f: Callable, schema_setting: Setting) -> Callable:
+        return lambda batches: _each(batches, known, schema_setting, f)
+
+    buckets = setting.buckets
+    with store.scratch():
+        frame, told = _exchange(frame, "n0", each(0, lambda segment, _: segment.send_words(), setting), lambda table: _meet_words(table, buckets))
+        n, v, once = (sum(int(x[0][k]) for x in told) for k in range(3))
+        limit = max(least, -(-n // most))
+
+        def meet_level(last: bool) -> Callable:
+            return lambda table: _meet_level(table, buckets, limit, last)
+
+        setting = Setting(buckets, depth, n, v, once, limit)
+        for d in range(1, depth + 1):
+            frame, told = _exchange(frame, f"n{d}", each(d, lambda segment, _: segment.levels[-1].send(segment.number), setting), meet_level(d == depth))
+            setting = Setting(buckets, depth, n, v, once, limit, [*setting.split, _whole(told)])
+        frame, _ = _exchange(frame, "raised", each(depth + 1, lambda segment, _: segment.send_unsure(), setting), _meet_raised)
+
+        def finish(segment, row):
+            value, rows, c = segment.log10(row["raised"]), segment.rows, segment.count
+            return pa.RecordBatch.from_arrays(
+                [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.held), pa.array(np.diff(rows)), pa.array(bt.sums((c > 0).astype(np.int64), rows)), pa.array(np.full(len(segment.held), n, np.int64)), pa.array(bt.sums(np.log10((c + 1) / (n + v + 1)), rows)), pa.array(bt.sums(value, rows))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+        scored = frame.mapInArrow(each(depth + 1, finish, setting), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        out = store.keep(scored, "lm-scores", outer=True)
+    frame.unpersist()
+    return out

@@ -230,8 +230,14 @@ def test_permutation_and_draws():
     for n in (1, 2, 3, 17, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, b"k").tolist()) == list(range(n))
     quota = [5, 0, 1000, 77]
-    drawn = list(mixing.shard_counts(quota, 100, 1))
-    assert np.sum(drawn, axis=0).tolist() == quota and all(x.sum() <= 100 for x in drawn)
+    shards = [mixing.shard_counts(quota, 100, 1, k) for k in range(11)]
+    drawn = np.array([x for x, _ in shards])
+    assert drawn.sum(axis=0).tolist() == quota and drawn.sum(axis=1).tolist() == [100] * 10 + [82] and drawn.min() >= 0
+    assert all((drawn[:k].sum(axis=0) == before).all() for k, (_, before) in enumerate(shards))
+    other = np.array([mixing.shard_counts(quota, 100, 2, k)[0] for k in range(11)])
+    assert (other != drawn).any()
+    many = np.array([mixing.shard_counts([6000, 3000, 1000], 100, 3, k)[0] for k in range(100)])
+    assert many.std(axis=0) == pytest.approx([(100 * p * (1 - p)) ** 0.5 for p in (0.6, 0.3, 0.1)], rel=0.35)
 
 
 def test_running_sum(spark):
@@ -329,25 +335,61 @@ def test_quality_gradients():
         assert grads[k][place] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
 
 
+def plain_png(payload):
+    """The stored form, written by the format's description."""
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    rows = b"".join(b"\0" + payload[k : k + 64] for k in range(0, len(payload), 64))
+    header = (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
 def test_media(spark):
-    texts = ODD + ["a"]
+    texts = ODD + ["a", "one\ntwo <b> & three\n\nfour", "é" * 40_000 + "\n" + "q" * 131_072]
     rows = {r.doc_id: r for r in media.text_media(docs(spark, texts, feature=["clash"] * len(texts))).collect()}
     assert len(rows) == len(texts)
     for k, x in enumerate(texts):
         raw = (x or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
-        assert (rows[k].n_bytes, rows[k].payload_bytes, rows[k].payload_sha256, rows[k].tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert rows[3][2:] == rows[len(texts) - 1][2:] and rows[0][1:] == rows[1][1:]
+        form = b"".join(plain_png(payload[at : at + 65_536]) for at in range(0, len(payload), 65_536))
+        parts = [sum(v >> 5 == j for v in payload) * 1000 // len(payload) for j in range(8)]
+        feature = f"rows={len(payload) // 64};mean={sum(payload) * 1000 // len(payload)};hist={'/'.join(map(str, parts))}"
+        assert tuple(rows[k])[1:] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(form), hashlib.sha256(form).hexdigest(), feature)
     assert media.text_media(docs(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_media_frames(monkeypatch):
-    monkeypatch.setattr(media, "MOST_ROWS", 2)
+def test_media_is_stored_once_and_pages_hold_texts_and_figures_in_order(spark, monkeypatch):
+    monkeypatch.setattr(media, "FRAME_BYTES", 128)
+    texts = ["one\ntwo & 2\n" + "x" * 300 + "\nlast", "same", "same", None]
+    df = docs(spark, texts)
+    frames = media.text_frames(df.unionByName(df)).collect()
+    assert len(frames) == len({r.digest for r in frames}) == 3 + 1 + 1
+    pages = media.interleave(media.text_pages(df), "doc_id", "html")
+    items = {r.doc_id: [(x.kind, x.text or x.caption) for x in r["items"]] for r in pages.collect()}
+    assert items[0] == [("text", "one"), ("media", "bytes 0-128 of 317"), ("text", "two & 2"), ("media", "bytes 128-256 of 317"), ("text", "x" * 300), ("media", "bytes 256-317 of 317"), ("text", "last")]
+    held = media.text_frames(df)
+    assert media.read_pages(pages, held).count() == 4
+    for wrong in ("reverse(items)", "filter(items, x -> x.caption IS NULL OR x.caption NOT LIKE 'bytes 128-%')"):
+        with pytest.raises(Exception, match="figures"):
+            media.read_pages(pages.selectExpr("doc_id", f"{wrong} AS items"), held).collect()
+
+
+def test_a_damaged_png_is_noticed(monkeypatch):
+    monkeypatch.setattr(media, "CHUNK_BYTES", 100)
     payload = bytes(range(256)) * 2
     form = media.to_png(payload)
-    assert form.count(media.SIGNATURE) == 4 and media.from_png(form) == payload
-    with pytest.raises(ValueError):
-        media.from_png(form[:-20] + bytes([form[-20] ^ 1]) + form[-19:])
+    assert form.count(b"IDAT") > 1 and media.from_png(form) == payload
+    for bad in (form[:-20] + bytes([form[-20] ^ 1]) + form[-19:], form + b"x", b"no" + form):
+        with pytest.raises(ValueError):
+            media.from_png(bad)
+
+
+def test_page_digests(spark):
+    html = '<p>One &amp; two</p><script>no()</script><figure><img src="cas:ab"><figcaption>A cap</figcaption></figure>tail'
+    df = spark.createDataFrame([(1, html, "x"), (2, None, "x"), (2, "", "x")], "page_id long, html string, n_texts string")
+    got = sorted(tuple(r) for r in media.page_digests(df).collect())
+    told = "text\nOne & two\n\nmedia\nA cap\nab\ntext\ntail\n\n"
+    nothing = (2, 0, 0, 0, 0, hashlib.sha256(b"").hexdigest())
+    assert got == [(1, 2, 1, 1, 13, hashlib.sha256(told.encode()).hexdigest()), nothing, nothing]
 
 
 def test_interleaved_pages(spark):
@@ -465,9 +507,9 @@ def brute_hits(texts, items, window):
     return found
 
 
-@pytest.mark.parametrize("block", [250_000, 20])
+@pytest.mark.parametrize("block", [100_000, 60])
 def test_decontamination_is_that_of_all_windows(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
     monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 2000)
     items = [(k, x) for k, x in enumerate(prose(12, 8, 60))] + [(8, "short one"), (9, ""), (10, None), (None, "x7, y8"), (8, "short one"), (11, "go go go go go go go go go go go go")]
     pool = prose(13, 30, 60)
@@ -492,6 +534,25 @@ def test_proximity(spark):
     assert got == {(0, 0, 3), (4, 1, 4)}
 
 
+def test_index_holds_every_position_of_every_term(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 3000)
+    texts = ODD + prose(51, 30)
+    held = {}
+    for row in decontaminate.build_index(docs(spark, texts)).collect():
+        seg = decontaminate.Segment.open(row.asDict())
+        firsts = seg.doc_starts()
+        for k, term in enumerate(seg.terms.tolist()):
+            for p in seg.positions[seg.bounds[k] : seg.bounds[k + 1]].tolist():
+                d = int(np.searchsorted(firsts, p, side="right")) - 1
+                held.setdefault(seg.doc_ids[d], {})[p - int(firsts[d])] = term
+    names = {}
+    for k, x in enumerate(texts):
+        words = re.findall(ALNUM, fold(x))
+        assert sorted(held.get(k, {})) == list(range(len(words)))
+        assert all(names.setdefault(w, held[k][j]) == held[k][j] for j, w in enumerate(words))
+    assert len(set(names.values())) == len(names)
+
+
 def test_suffix_tree(spark):
     texts = prose(14, 120) + [None, "", "UNSEEN w" + "o" * 3000]
     df = docs(spark, texts, score=["clash"] * 123)
@@ -515,27 +576,19 @@ def test_suffix_tree(spark):
 
 
 def test_suffix_tree_is_a_distribution():
-    words = np.sort(np.array([5, 9, 70, 71], np.uint64))
-    found = suffix_tree.Contexts(words[:2], [np.array([0, 1]), np.array([1])])
-    assert found.parents().tolist() == [-1, -1, 1]
-    tree = suffix_tree.Tree(found, np.array([True, True, True]), np.array([6.0, 4.0, 3.0]), np.array([2.0, 1.0, 1.0]), 20, 4, 2)
-    c = np.array([6, 4, 8, 2, 0])  # the last stands for all unknown words
-    many, seen = 3, {(0, 2): 4, (0, 3): 2, (1, 2): 4, (2, 2): 3}
-    key = np.array(sorted(p * many + s for s, p in seen))
-    n = np.array([seen[k % many, k // many] for k in key])
-    names = np.append(words, np.uint64(99))
-    for before in ([], [5], [9], [5, 9], [9, 5], [70]):
-        total = 0.0
-        for at in range(5):
-            tokens = np.array([*before, names[at]], np.uint64)
-            place = np.searchsorted(names, tokens)
-            total += 10 ** tree.log10(suffix_tree._find(found.frequent, tokens), np.array([0, len(tokens)]), place, c, key, n)[-1]
-        assert total == pytest.approx(1.0)
+    count = np.array([6, 4, 8, 2, 1, 0])  # the last stands for all unknown words
+    p = suffix_tree.root(count, int(count.sum()), 1)
+    assert p.sum() == pytest.approx(1.0)
+    for seen in ([6, 0, 3, 0, 0, 0], [1, 1, 1, 1, 1, 0]):
+        seen = np.array(seen)
+        p = suffix_tree.refine(p, seen, seen.sum(), (seen > 0).sum())
+        assert p.sum() == pytest.approx(1.0) and (p > 0).all()
 
 
 def test_packed_numbers():
-    for values in ([], [0], [5, -3, 2**40, -(2**40)], range(-50, 5000)):
-        assert suffix_tree.unpack(suffix_tree.pack(np.array(values, np.int64))).tolist() == list(values)
+    every = [np.array(x, np.int64) for x in ([], [0], [5, -3, 2**40, -(2**40)], range(5000), [255, 256], [2**63 - 1])]
+    assert [x.tolist() for x in suffix_tree.unpack(suffix_tree.pack(*every))] == [x.tolist() for x in every]
+    assert suffix_tree.unpack(suffix_tree.pack()) == []
 
 
 def test_suffix_tree_learns_contexts(spark):
@@ -576,7 +629,11 @@ def brute_tree_scores(texts, held):
     return scores, tree, total
 
 
-def test_suffix_tree_scores_are_those_of_all_counted_contexts(spark):
+@pytest.mark.parametrize("split,segment", [(100_000, 1 << 22), (200, 3000)])
+def test_suffix_tree_scores_are_those_of_all_counted_contexts(spark, monkeypatch, split, segment):
+    monkeypatch.setattr(suffix_tree, "SPLIT_LEAST", split)
+    monkeypatch.setattr(suffix_tree, "SPLIT_MOST", 10**9)
+    monkeypatch.setattr(suffix_tree, "SEGMENT_BYTES", segment)
     rng = random.Random(21)
     texts = [None, "", "once only"]
     for x in prose(22, 400, 700):
