@@ -136,31 +136,125 @@ def assign(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
     return wanted.join(pool, ["k", "rn"]).select("layout", "number", "section", "id")
 
 
-def configs(profiles: DataFrame, galleries: DataFrame, totals: DataFrame, variations: int, difficulty: str) -> DataFrame:
-    """Task configurations (layout, variation, ...) of a difficulty: easy_spatial, medium or hard, `variations` of each layout.
-
-    profiles(layout, attribute, value, cnt, first_pos); galleries(layout, gallery); totals(layout, total). Values rotate
-    through each attribute's pool in order of frequency. Numbered picks come from a hash, so runs agree.
+def hash_number(*parts: Column) -> Column:
+    """A number below 2**28 from an md5 of the parts as text, the same in every run."""
+    text_ = F.concat_ws("/", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text_.cast("binary")), 1, 7), 16, 10).cast("bigint")
+
+
+def base_config() -> Column:
+    """The fields of a task configuration that asks for nothing but one exhibit."""
+    # Fixed defaults of the configuration format.
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    return F.struct(
+        F.create_map().cast("map<string,string>").alias("gallery_configs"),
+        F.lit(1_000_000_000).cast("bigint").alias("distance_budget_in_mm"),
+        F.lit(1500).cast("bigint").alias("exhibit_see_distance_in_mm"),
+        empty("string").alias("exhibit_categories_to_cover"),
+        F.lit(1).alias("at_least_n_exhibits_to_cover"),
+        empty("int").alias("specific_exhibit_to_cover"),
+    )
+
+
+def configs(profiles: DataFrame, galleries: DataFrame, totals: DataFrame, variations: int, difficulty: str, spans: DataFrame | None = None) -> DataFrame:
+    """Task configurations (layout, variation, ...) of a difficulty: easy_spatial, easy_semantic, medium or hard,
+    `variations` of each layout.
+
+    profiles(layout, attribute, value, cnt, first_pos); galleries(layout, gallery); totals(layout, total); spans(layout,
+    first, last, rank): the candidate date ranges of each layout, best first, in whose absence no dates are asked for.
+    Values rotate through each attribute's pool in order of frequency. An easy_semantic configuration asks for the least
+    common value of one attribute, and by turns for a range of dates. What is drawn at random comes from a hash of layout
+    and variation, so runs agree.
     """
     # Fixed window sizes and phases of the configuration format.
     sizes = {"medium": {"sections": 1, "materials": 2, "countries": 2}, "hard": {"sections": 2, "materials": 3, "techniques": 2, "countries": 3}}.get(difficulty, {})
     phases = {"sections": 0, "materials": 2, "countries": 5, "techniques": 9}
     both = {"materials": 13, "countries": 17}
-    pools = profiles.groupBy("layout").agg(*[F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.struct((-F.col("cnt")).alias("o"), "first_pos", "value")))).alias(a) for a in ("sections", "materials", "techniques", "countries")])
-    pools = pools.select("layout", *[F.transform(a, lambda x: x["value"]).alias(a) for a in ("sections", "materials", "techniques", "countries")])
+    names = ("sections", "materials", "techniques", "countries")
+    none = F.array().cast("array<string>")
+    pools = profiles.groupBy("layout").agg(*[F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.struct((-F.col("cnt")).alias("o"), "first_pos", "value")))).alias(a) for a in names])
+    pools = pools.select("layout", *[F.transform(a, lambda x: x["value"]).alias(a) for a in names])
     seen = galleries.groupBy("layout").agg(F.sort_array(F.collect_set("gallery")).alias("must_see"))
     base = totals.join(pools, "layout", "left").join(seen, "layout", "left").withColumn("variation", F.explode(F.sequence(F.lit(0), F.lit(variations - 1))))
-    low, high, share = {"easy_spatial": (1, 1, 1.0), "medium": (5, 10, 0.1), "hard": (15, 25, 0.25)}[difficulty]
+    if spans is not None:
+        held = spans.groupBy("layout").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "first", "last"))), lambda x: F.array(x["first"], x["last"])).alias("spans"))
+        base = base.join(held, "layout", "left")
+    draw = lambda what, n: F.pmod(hash_number(F.lit(what), F.col("layout"), F.col("variation")), n).cast("int")
+    asks_dates = {"easy_spatial": F.lit(False), "easy_semantic": draw("dated", F.lit(2)) == 0}.get(difficulty, F.lit(True))
+    dates = none if spans is None else F.when(asks_dates & (F.size("spans") > 0), F.get("spans", draw("span", F.greatest(F.size("spans"), F.lit(1))))).otherwise(none)
+    low, high, share = {"medium": (5, 10, 0.1), "hard": (15, 25, 0.25)}.get(difficulty, (1, 1, 1.0))
+    easy = difficulty.startswith("easy_")
     least = F.least(F.lit(high), F.greatest(F.lit(low), (F.col("total") * share).cast("int")))
-    count = F.least((least + (0 if difficulty == "easy_spatial" else F.col("variation"))).cast("bigint"), F.col("total"))
-    columns = [rotated(F.col(a), F.col("variation"), sizes[a], phases[a]).alias(a) if a in sizes else F.array().cast("array<string>").alias(a) for a in ("sections", "materials", "techniques", "countries")]
-    columns += [(rotated(F.col(a), F.col("variation"), 1, phase) if difficulty == "hard" else F.array().cast("array<string>")).alias(f"both_{a}") for a, phase in both.items()]
+    count = F.least((least + (0 if easy else F.col("variation"))).cast("bigint"), F.col("total"))
+    picked = {a: rotated(F.col(a), F.col("variation"), sizes[a], phases[a]) for a in sizes}
+    if difficulty == "easy_semantic":
+        kinds = ("materials", "techniques", "countries")
+        kind = draw("kind", F.lit(3))
+        # the rarest value stands last in a pool; a layout without values of the drawn attribute asks for none
+        picked = {a: F.when((kind == k) & (F.size(a) > 0), F.slice(a, -1, 1)).otherwise(none) for k, a in enumerate(kinds)}
+    columns = [picked.get(a, none).alias(a) for a in names]
+    columns += [(rotated(F.col(a), F.col("variation"), 1, phase) if difficulty == "hard" else none).alias(f"both_{a}") for a, phase in both.items()]
     pick = F.sequence(F.lit(1).cast("bigint"), F.col("total"))
-    order = F.array_sort(F.transform(pick, lambda k: F.struct(F.xxhash64(k, "layout", "variation").alias("h"), k.alias("k"))))
+    order = F.array_sort(F.transform(pick, lambda k: F.struct(F.md5(F.concat_ws("/", k.cast("string"), F.col("layout").cast("string"), F.col("variation").cast("string")).cast("binary")).alias("h"), k.alias("k"))))
     n_specific = F.least(F.lit(10), F.greatest(F.lit(5), (F.col("total") / 20).cast("int")))
     specific = F.transform(F.slice(order, F.lit(1), n_specific), lambda x: x["k"]) if difficulty == "hard" else F.array().cast("array<bigint>")
     budget = F.lit(2_500_000 if difficulty == "hard" else 1_000_000_000).cast("bigint")
-    return base.select("layout", "variation", "must_see", count.alias("min_n"), *columns, specific.alias("specific"), budget.alias("budget_mm"))
+    must_see = none if difficulty == "easy_semantic" else F.col("must_see")
+    return base.select("layout", "variation", must_see.alias("must_see"), count.alias("min_n"), *columns, dates.alias("in_range"), specific.alias("specific"), budget.alias("budget_mm"))
+
+
+def batch(profiles: DataFrame, galleries: DataFrame, totals: DataFrame, spans: DataFrame, variations: dict[str, int]) -> DataFrame:
+    """Configurations of all layouts and difficulties, with `task` (the difficulty, and a number for those with several
+    variations) and, of equal ones of a layout, which is the first; see configs and fingerprints."""
+    out = None
+    for difficulty, n in variations.items():
+        task = F.lit(difficulty) if n == 1 else F.format_string(f"{difficulty}_%02d", F.col("variation") + 1)
+        one = configs(profiles, galleries, totals, n, difficulty, spans).withColumn("task", task).withColumn("difficulty", F.lit(difficulty))
+        out = one if out is None else out.unionByName(one)
+    return fingerprints(out, "task", ["must_see", "sections", "materials", "techniques", "countries", "both_materials", "both_countries", "in_range", "specific"], ["min_n", "budget_mm"])
+
+
+def select_catalogue(artifacts: DataFrame, n_sections: int, n_each: int) -> DataFrame:
+    """The catalogue to work with: artifacts with a numeric date and all of section, materials, technique and find spot,
+    of the n_sections sections with the most of them, n_each of a section by hash of their id."""
+    whole = artifacts.dropna(subset=["section", "materials", "technique", "production_date", "find_spot"]).where(text.has_numeric_date(F.col("production_date")))
+    kept = whole.join(top_sections(whole, n_sections).select("section"), "section", "left_semi")
+    return stratified_sample(kept, "section", "id", n_each)
+
+
+def review(done: DataFrame) -> DataFrame:
+    """The rows of `preprocess` that someone should look at: a date or place that wasn't understood."""
+    return done.where("date_status <> 'success' OR place_status <> 'success'")
+
+
+def section_members(exhibits: DataFrame) -> DataFrame:
+    """(layout, section, members, color): a section's exhibit numbers in order, and its colour's number in a palette of ten,
+    dealt over the layout's sections by name. exhibits(layout, number, section)."""
+    each = exhibits.where("section IS NOT NULL").groupBy("layout", "section").agg(F.sort_array(F.collect_list("number")).alias("members"))
+    place = F.row_number().over(Window.partitionBy("layout").orderBy("section"))
+    return each.withColumn("color", ((place - 1) % 10).cast("bigint"))
+
+
+def annotated_sections(annotations: DataFrame, exhibits: DataFrame) -> DataFrame:
+    """(layout, n_matched, unmatched): annotated exhibits whose number the list has, and the numbers it lacks, sorted.
+
+    annotations(layout, exhibit_number as text); what is no whole number is passed over, the same number twice counts twice."""
+    marked = annotations.select("layout", F.col("exhibit_number").try_cast("bigint").alias("number")).where("number IS NOT NULL")
+    found = marked.join(exhibits.select("layout", "number", F.lit(True).alias("hit")).distinct(), ["layout", "number"], "left")
+    per = found.groupBy("layout").agg(F.count("hit").alias("n_matched"), F.sort_array(F.collect_list(F.when(F.col("hit").isNull(), F.col("number")))).alias("u"))
+    return per.select("layout", "n_matched", F.concat_ws(",", F.transform("u", lambda x: x.cast("string"))).alias("unmatched"))
+
+
+def annotation_order(annotations: DataFrame) -> DataFrame:
+    """annotations with `place`: from 1 in each layout by exhibit number, those without a whole number as 999, ties by id."""
+    number = F.coalesce(F.col("exhibit_number").try_cast("bigint"), F.lit(999))
+    return annotations.withColumn("place", F.row_number().over(Window.partitionBy("layout").orderBy(number, "id")).cast("bigint"))
+
+
+def repeats(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, n, n_distinct, is_unique): whether a key is unique in its group; nulls don't count."""
+    out = df.groupBy(*by).agg(F.count(key).alias("n"), F.count_distinct(key).alias("n_distinct"))
+    return out.withColumn("is_unique", F.col("n") == F.col("n_distinct"))
 
 
 def fingerprints(configs: DataFrame, order: str, lists: list[str], values: list[str]) -> DataFrame:

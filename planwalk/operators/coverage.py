@@ -86,18 +86,42 @@ def minimum_count(tasks: DataFrame, visits: DataFrame) -> DataFrame:
     return every.select("task", "n_visited", pct.alias("pct"), (F.col("n_visited") >= F.col("min_n")).alias("valid"))
 
 
+def needs(tasks: DataFrame, exhibits: DataFrame) -> DataFrame:
+    """(task, ex_id, needs_<check> of each check and `combined`, in_category, section): every exhibit of a task's layout that anything asks for."""
+    pairs = tasks.join(exhibits, "layout")
+    has, fits = {k: _configured(tasks, k) for k in CHECKS}, {k: _matches(k) for k in CHECKS}
+    marked = pairs.select("task", "ex_id", "section", *[has[k].alias(f"has_{k}") for k in CHECKS], *[fits[k].alias(f"fits_{k}") for k in CHECKS], F.coalesce(F.array_contains("categories", F.col("section")), F.lit(False)).alias("in_category"))
+    some, whole = F.lit(False), F.lit(True)
+    for k in CHECKS:
+        some, whole = some | F.col(f"has_{k}"), whole & (~F.col(f"has_{k}") | F.col(f"fits_{k}"))
+    each = [(F.col(f"has_{k}") & F.col(f"fits_{k}")).alias(f"needs_{k}") for k in CHECKS]
+    out = marked.select("task", "ex_id", "section", *each, (some & whole).alias("needs_combined"), "in_category")
+    asked = F.col("in_category") | F.col("needs_combined")
+    for k in CHECKS:
+        asked = asked | F.col(f"needs_{k}")
+    return out.where(asked)
+
+
 def semantic_overall(tasks: DataFrame, exhibits: DataFrame, visits: DataFrame) -> DataFrame:
-    """(task, and one boolean for each check, all_valid)."""
-    out = tasks.select("task")
-    for name in (*CHECKS, "combined"):
-        found = coverage(tasks, required(tasks, exhibits, name), visits).select("task", F.col("valid").alias(f"{name}_ok"))
-        out = out.join(found, "task")
-    whole = category_coverage(tasks, exhibits, visits).groupBy("task").agg(F.bool_and("valid").alias("category_ok"))
-    out = out.join(whole, "task", "left").fillna(True, ["category_ok"])
-    out = out.join(specific_coverage(tasks, visits).select("task", F.col("valid").alias("specific_ok")), "task")
-    out = out.join(minimum_count(tasks, visits).select("task", F.col("valid").alias("count_ok")), "task")
-    checks = [c for c in out.columns if c.endswith("_ok")]
-    return out.withColumn("all_valid", F.forall(F.array(*checks), lambda x: x))
+    """(task, and one boolean for each check, all_valid). Tasks meet their layout's exhibits once and their visits twice."""
+    hit = visits.select("task", "ex_id", F.lit(True).alias("hit")).distinct()
+    met = needs(tasks, exhibits).join(hit, ["task", "ex_id"], "left").withColumn("lost", F.col("hit").isNull())
+    kinds = [*CHECKS, "combined"]
+    per = met.groupBy("task").agg(
+        *[F.count_if(F.col(f"needs_{k}") & F.col("lost")).alias(f"lost_{k}") for k in kinds],
+        F.count_if(F.col("in_category") & F.col("lost")).alias("lost_category"),
+        F.collect_set(F.when(F.col("in_category"), F.col("section"))).alias("met_categories"),
+    )
+    wanted = tasks.select("task", "min_n", F.array_distinct("specific").alias("specific"))
+    seen = hit.join(wanted, "task").groupBy("task").agg(F.count(F.lit(1)).alias("n_visited"), F.count_if(F.array_contains("specific", F.col("ex_id"))).alias("n_specific"))
+    every = tasks.select("task", "min_n", "categories", "specific").join(per, "task", "left").join(seen, "task", "left").fillna(0)
+    n_categories = F.coalesce(F.size(F.array_distinct("categories")), F.lit(0))
+    oks = {f"{k}_ok": F.col(f"lost_{k}") == 0 for k in kinds}
+    oks["category_ok"] = (n_categories <= 0) | ((F.col("lost_category") == 0) & (F.coalesce(F.size("met_categories"), F.lit(0)) == n_categories))
+    oks["specific_ok"] = F.col("n_specific") == F.greatest(F.coalesce(F.size(F.array_distinct("specific")), F.lit(0)), F.lit(0))
+    oks["count_ok"] = F.col("n_visited") >= F.col("min_n")
+    out = every.select("task", *[v.alias(k) for k, v in oks.items()])
+    return out.withColumn("all_valid", F.forall(F.array(*oks), lambda x: x))
 
 
 def simplify(tasks: DataFrame, overall: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planwalk.functions import geometry
 from planwalk.plans import shared
 
 AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
@@ -56,6 +57,11 @@ def fragments(labelled: DataFrame) -> DataFrame:
     return each.withColumn("is_noise", F.col("size") < F.greatest(F.lit(1), F.floor(main * 0.01)))
 
 
+def by_size(parts: DataFrame) -> DataFrame:
+    """parts with `place`: from 1 in each route, the largest first, ties by least pixel."""
+    return parts.withColumn("place", F.row_number().over(Window.partitionBy("route").orderBy(F.desc("size"), "cx", "cy")).cast("bigint"))
+
+
 def connectivity(parts: DataFrame) -> DataFrame:
     """(route, n_fragments, main_size, is_connected) without noise."""
     good = parts.where("NOT is_noise").groupBy("route").agg(F.count(F.lit(1)).alias("n_fragments"), F.max("size").alias("main_size"))
@@ -103,7 +109,8 @@ def dominant_bin(candidates: DataFrame, original: DataFrame, presence: float = 0
     centre = centre.where(F.col("sc") >= least_saturation)
     colors = original.groupBy("img", "h", "s", "v").agg(F.count(F.lit(1)).alias("n"))
     size = colors.groupBy("img").agg(F.sum("n").alias("size"))
-    hl, hh = F.floor(F.col("hc") - 10), F.floor(F.col("hc") + 10)
+    # whole hues, cut off towards zero
+    hl, hh = (F.col("hc") - 10).cast("int"), (F.col("hc") + 10).cast("int")
     hue = F.when(F.col("hc") - 10 < 0, (F.col("h") >= hl + 180) | (F.col("h") <= hh)).when(F.col("hc") + 10 > 179, (F.col("h") >= hl) | (F.col("h") <= hh - 180)).otherwise(F.col("h").between(hl, hh))
     near = centre.join(colors, "img").where(hue & (F.abs(F.col("s") - F.col("sc")) <= 35) & (F.abs(F.col("v") - F.col("vc")) <= 50))
     common = near.groupBy("img", "bin").agg(F.sum("n").alias("n"))
@@ -194,23 +201,171 @@ def farthest(pixels: DataFrame, starts: DataFrame) -> DataFrame:
     return pixels.join(starts, "route").select("route", "x", "y", "sx", "sy").groupBy("route").applyInPandas(run, "route bigint, x bigint, y bigint, length double")
 
 
-def match_circles(found: DataFrame, annotated: DataFrame, radius: float) -> DataFrame:
+def match_circles(found: DataFrame, annotated: DataFrame, *radii: float) -> DataFrame:
     """(img, found_id, ann_id, dist): detected circles (img, found_id, x, y) to annotated ones (img, ann_id, x, y), each used
-    once, the closest pairs first and none farther than `radius`; ties by ids. Candidates come from a grid join."""
-    cell = F.lit(radius)
+    once, the closest pairs first and none farther than the radius; ties by ids. Several radii are passes one after the
+    other, each over what the ones before have left. Candidates come from a grid join.
+
+    A pair that is the closest left for both of its circles is what taking the closest pairs one by one takes, so each
+    round takes all such pairs of all images at once and stores what they leave."""
+    out = None
+    for radius in radii:
+        rest_found, rest_ann = found, annotated
+        if out is not None:
+            rest_found, rest_ann = found.join(out, ["img", "found_id"], "left_anti"), annotated.join(out, ["img", "ann_id"], "left_anti")
+        left = shared.keep(_circle_pairs(rest_found, rest_ann, radius), "circle-pairs")
+        while not left.isEmpty():
+            order = F.struct("dist", "found_id", "ann_id")
+            best = left.groupBy("img", "found_id").agg(F.min(order).alias("b")).select("img", "b.*")
+            mutual = left.groupBy("img", "ann_id").agg(F.min(order).alias("b")).select("img", "b.*").join(best, ["img", "found_id", "ann_id", "dist"], "left_semi")
+            taken = shared.keep(mutual.select("img", "found_id", "ann_id", "dist"), "circle-matches")
+            out = taken if out is None else out.unionByName(taken)
+            left = shared.keep(left.join(taken, ["img", "found_id"], "left_anti").join(taken, ["img", "ann_id"], "left_anti"), "circle-pairs")
+    return out if out is not None else _circle_pairs(found, annotated, 1.0).limit(0)
+
+
+def _circle_pairs(found: DataFrame, annotated: DataFrame, radius: float) -> DataFrame:
+    cell = F.lit(float(radius))
     spread = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     a = found.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
     b = annotated.select("img", "ann_id", F.col("x").alias("ax"), F.col("y").alias("ay")).withColumn("ox", spread).withColumn("oy", spread)
     b = b.withColumn("gx", F.floor(F.col("ax") / cell) + F.col("ox")).withColumn("gy", F.floor(F.col("ay") / cell) + F.col("oy")).drop("ox", "oy")
     pairs = a.join(b, ["img", "gx", "gy"]).withColumn("dist", F.sqrt((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2)).where(F.col("dist") <= radius)
+    return pairs.select("img", "found_id", "ann_id", "dist")
+
+
+def scale_estimate(matches: DataFrame) -> DataFrame:
+    """(img, sx, sy): the median ratio of the annotated to the detected coordinate over matched circles (img, x, y, ax, ay)."""
+    ratio = lambda a, d: F.percentile(F.col(a) / F.greatest(F.col(d), F.lit(1)), F.lit(0.5))
+    return matches.groupBy("img").agg(ratio("ax", "x").alias("sx"), ratio("ay", "y").alias("sy"))
+
+
+def _offsets(brush: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in brush])
+
+
+def square(low: int, high: int) -> list[tuple[int, int]]:
+    """The offsets of a square brush."""
+    return [(dx, dy) for dx in range(low, high + 1) for dy in range(low, high + 1)]
+
+
+CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+
+
+def dilate(pixels: DataFrame, brush: list[tuple[int, int]]) -> DataFrame:
+    """The pixels that the brush covers as it is laid on each pixel."""
+    return pixels.select("route", "x", "y", F.explode(_offsets(brush)).alias("o")).select("route", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct()
+
+
+def erode(pixels: DataFrame, brush: list[tuple[int, int]]) -> DataFrame:
+    """The pixels on which the brush covers pixels only; nothing lies beyond an image's border."""
+    moved = pixels.select("route", "x", "y").distinct().select("route", "x", "y", F.explode(_offsets(brush)).alias("o")).select("route", (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"))
+    return moved.groupBy("route", "x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(brush)).select("route", "x", "y")
+
+
+def closed(pixels: DataFrame, brush: list[tuple[int, int]]) -> DataFrame:
+    """Small gaps filled: dilation, then erosion."""
+    return erode(dilate(pixels, brush), brush)
+
+
+def opened(pixels: DataFrame, brush: list[tuple[int, int]]) -> DataFrame:
+    """Small specks removed: erosion, then dilation."""
+    return dilate(erode(pixels, brush), brush)
+
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, out = set(), set(), []
-        for row in pdf.sort_values(["dist", "found_id", "ann_id"]).itertuples():
-            if row.found_id not in left and row.ann_id not in right:
-                left.add(row.found_id)
-                right.add(row.ann_id)
-                out.append((row.img, row.found_id, row.ann_id, row.dist))
-        return pd.DataFrame(out, columns=["img", "found_id", "ann_id", "dist"])
+def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Pixels of either mask."""
+    return one.select("route", "x", "y").unionByName(other.select("route", "x", "y")).distinct()
 
-    return pairs.select("img", "found_id", "ann_id", "dist").groupBy("img").applyInPandas(greedy, "img bigint, found_id bigint, ann_id bigint, dist double")
+
+def subtracted(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Pixels of the first mask that the second lacks."""
+    return one.select("route", "x", "y").distinct().join(other, ["route", "x", "y"], "left_anti")
+
+
+def morphological_skeleton(pixels: DataFrame, brush: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The pixels that an opening takes from the mask or from any of its erosions, until nothing is left; erosions are stored."""
+    brush = brush or CROSS
+    mask, out = shared.keep(pixels.select("route", "x", "y").distinct(), "skeleton-mask"), None
+    while not mask.isEmpty():
+        less = shared.keep(erode(mask, brush), "skeleton-mask")
+        ends = subtracted(mask, dilate(less, brush))
+        out = ends if out is None else merged(out, ends)
+        mask = less
+    return out if out is not None else pixels.select("route", "x", "y")
+
+
+def drawn_mask(aligned: DataFrame, original: DataFrame, threshold: int = 10, tolerance: int = 3) -> DataFrame:
+    """(route, x, y): what was drawn on an original image, both as (route, x, y, gray), 0 dark to 255.
+
+    Ink is darker than 255 - threshold. Drawn is ink farther than `tolerance` from the original's ink, and what differs by
+    more than the threshold there. Pixels that an image lacks are white. Images come smoothed, if they need it."""
+    round_ = [(dx, dy) for dx, dy in square(-tolerance, tolerance) if dx * dx + dy * dy <= tolerance * tolerance]
+    ink = lambda df: df.where(F.col("gray") <= 255 - threshold)
+    both = aligned.select("route", "x", "y", F.col("gray").alias("a")).join(original.select("route", "x", "y", F.col("gray").alias("o")), ["route", "x", "y"], "full_outer").fillna(255, ["a", "o"])
+    differs = both.where(F.abs(F.col("a") - F.col("o")) > threshold)
+    return subtracted(merged(ink(aligned), differs), dilate(ink(original), round_))
+
+
+# Fixed ranges of the two colours (hue, saturation, value, both ends included) that mark an entrance and an exit.
+BOX_COLORS = {"entrance": ((35, 85), (60, 255), (60, 255)), "exit": ((20, 35), (80, 255), (80, 255))}
+
+
+def color_boxes(pixels: DataFrame, role: str, least_area: int = 100) -> DataFrame:
+    """(route, x, y, w, h, n_pixels): the bounding box of each image's largest part in the role's colour.
+
+    pixels(route, x, y, h, s, v). Gaps up to two pixels are closed and specks taken off with a brush of five; an image
+    without a part of least_area pixels has no box. Ties go to the part with the least first pixel."""
+    (h1, h2), (s1, s2), (v1, v2) = BOX_COLORS[role]
+    mask = pixels.where(F.col("h").between(h1, h2) & F.col("s").between(s1, s2) & F.col("v").between(v1, v2)).select("route", "x", "y")
+    five, nine = square(-2, 2), square(-4, 4)  # twice a brush of five is one of nine
+    parts = components(shared.keep(opened(erode(dilate(mask, nine), nine), five), "box-mask"))
+    each = parts.groupBy("route", "cx", "cy").agg(F.count(F.lit(1)).alias("n_pixels"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("hx"), F.max("y").alias("hy"))
+    best = each.where(F.col("n_pixels") >= least_area).groupBy("route").agg(F.min_by(F.struct("x", "y", (F.col("hx") - F.col("x") + 1).alias("w"), (F.col("hy") - F.col("y") + 1).alias("h"), "n_pixels"), F.struct(-F.col("n_pixels"), "cx", "cy")).alias("b"))
+    return best.select("route", "b.*")
+
+
+def box_anchors(boxes: dict[str, DataFrame], zones: DataFrame) -> DataFrame:
+    """(route, role, corner, x, y, zx, zy): the corners of detected boxes, by role, beside those of the annotated rectangle
+    zones(route, role, shape, x, y, w, h); zones of another shape give no anchors. Corners go round from the upper left."""
+    out = None
+    for role, found in boxes.items():
+        rect = zones.where((F.col("role") == role) & (F.col("shape") == "rectangle")).select("route", geometry.rectangle_corners(F.struct("x", "y", "w", "h")).alias("z"))
+        seen = found.select("route", geometry.rectangle_corners(F.struct("x", "y", "w", "h")).alias("b"))
+        one = seen.join(rect, "route").select("route", F.lit(role).alias("role"), F.posexplode(F.arrays_zip("b", "z")).alias("corner", "p")).select("route", "role", "corner", "p.b.x", "p.b.y", F.col("p.z.x").alias("zx"), F.col("p.z.y").alias("zy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def route_ends(pixels: DataFrame, anchors: DataFrame, connected: DataFrame) -> DataFrame:
+    """(route, sx, sy, ex, ey, length): where a thinned route starts and ends.
+
+    anchors(route, in_x, in_y, out_x, out_y): centres of entrance and exit, null if not known; connected(route,
+    is_connected). The start is the end pixel nearest to the entrance. The end is the only other one; of several, in a
+    connected route the one with the longest way from the start, else the one nearest to the exit. Ties go by (x, y).
+    Without an entrance there is no start, and with several ends then no end but by the exit. length: the way from start
+    to end along the pixels, null where there is none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = set(zip(pdf["x"].tolist(), pdf["y"].tolist()))
+        ends = sorted(p for p in points if sum((p[0] + dx, p[1] + dy) in points for dx, dy in AROUND) == 1)
+        row = pdf.iloc[0]
+        near = lambda some, x, y: min(some, key=lambda p: ((p[0] - x) ** 2 + (p[1] - y) ** 2, p))
+        start = near(ends, row["in_x"], row["in_y"]) if ends and not pd.isna(row["in_x"]) else None
+        rest = [p for p in ends if p != start]
+        dist = geodesic(points, start) if start else {}
+        end = None
+        if len(rest) == 1:
+            end = rest[0]
+        elif rest and start and bool(row["is_connected"]):
+            met = [p for p in rest if p in dist]
+            end = min(met, key=lambda p: (-dist[p], p)) if met else None
+        elif rest and not pd.isna(row["out_x"]):
+            end = near(rest, row["out_x"], row["out_y"])
+        sx, sy = start or (None, None)
+        ex, ey = end or (None, None)
+        length = round(dist[end], 2) if end in dist else None
+        return pd.DataFrame({"route": [row["route"]], "sx": [sx], "sy": [sy], "ex": [ex], "ey": [ey], "length": [length]})
+
+    held = pixels.join(anchors, "route", "left").join(connected.select("route", "is_connected"), "route", "left").fillna(False, ["is_connected"])
+    return held.select("route", "x", "y", "in_x", "in_y", "out_x", "out_y", "is_connected").groupBy("route").applyInPandas(run, "route bigint, sx bigint, sy bigint, ex bigint, ey bigint, length double")

@@ -61,6 +61,47 @@ def failure(difficulty: Column) -> Column:
     return out
 
 
+def quick_metrics(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, svr, scsr, scar): mean share of passed checks in percent over results(svr, scsr, scar maps); a result without
+    any check of a category is left out of that category."""
+    shares = []
+    for name, checks in (("svr", SVR), ("scsr", SCSR), ("scar", SCAR)):
+        f = fraction(F.col(name), checks, False)
+        shares.append(F.when(f["total"] > 0, 100.0 * f["passed"] / f["total"]).alias(name))
+    marked = results.select(*by, *shares)
+    return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("svr", "scsr", "scar")])
+
+
+def totals(runs: DataFrame, by: list[str], succeeded: str) -> DataFrame:
+    """(by, n_success, n_failed, all_failed): a null outcome is a failure."""
+    good = F.coalesce(F.col(succeeded), F.lit(False))
+    out = runs.groupBy(*by).agg(F.count_if(good).alias("n_success"), F.count_if(~good).alias("n_failed"))
+    return out.withColumn("all_failed", F.col("n_success") == 0)
+
+
+def difficulty_order(difficulty: Column) -> Column:
+    """Place of a difficulty in tables; unknown ones come last."""
+    out = F.lit(len(FIELDS))
+    for k, name in reversed(list(enumerate(FIELDS))):
+        out = F.when(difficulty == name, k).otherwise(out)
+    return out
+
+
+def difficulty_label(difficulty: Column) -> Column:
+    """A difficulty as tables show it: words with capitals, without underscores."""
+    return F.initcap(F.replace(difficulty, F.lit("_"), F.lit(" ")))
+
+
+def difficulty_group(difficulty: Column) -> Column:
+    """`easy` for both easy ones, else the difficulty itself."""
+    return F.when(difficulty.startswith("easy_"), "easy").otherwise(difficulty)
+
+
+def runner(difficulty: Column) -> Column:
+    """Name of the program that runs a difficulty's tasks; null for an unknown one."""
+    return F.when(difficulty.isin(*FIELDS), F.concat(F.lit("prompts_"), difficulty, F.lit(".py")))
+
+
 def success_rates(scored: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """by, n, and for each 0/1 metric its sum and its share in percent."""
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -135,6 +176,18 @@ def completion(models: DataFrame, expected: DataFrame, missing: DataFrame) -> Da
     return every.select("model", "n_expected", "n_missing", pct.alias("completion_pct"))
 
 
+def result_folder(task_file: Column, layout: Column) -> Column:
+    """Name of the folder that a task's results go to: `hard_01.json` and `layout_03` give `hard_01_layout_03`."""
+    return F.concat(F.regexp_replace(task_file, r"\.json", ""), F.lit("_"), layout)
+
+
+def missing_paths(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """(model, difficulty, paths, n, n_folders, n_files): what is missing, folders and result files (model, difficulty, path) alike, sorted and comma-joined."""
+    both = folders.select("model", "difficulty", "path", F.lit(1).alias("folder")).unionByName(files.select("model", "difficulty", "path", F.lit(0).alias("folder")))
+    out = both.groupBy("model", "difficulty").agg(F.sort_array(F.collect_list("path")).alias("p"), F.count(F.lit(1)).alias("n"), F.sum("folder").alias("n_folders"))
+    return out.select("model", "difficulty", F.concat_ws(",", "p").alias("paths"), "n", "n_folders", (F.col("n") - F.col("n_folders")).alias("n_files"))
+
+
 def parse_missing_path(path: Column) -> Column:
     """struct(folder, difficulty, complexity, task, layout) of `model/difficulty/complexity/[task_]layout_NN`; null unless it has four parts."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")

@@ -14,7 +14,7 @@ from planwalk.functions import geometry as g
 
 #: Distance beyond an exhibit's edge from which it can be seen, when a task's scale is unknown.
 DEFAULT_REACH = 25
-CELL = 76
+CELL = 32
 
 
 def layout_shapes(walls: DataFrame, regions: DataFrame) -> DataFrame:
@@ -22,33 +22,53 @@ def layout_shapes(walls: DataFrame, regions: DataFrame) -> DataFrame:
 
     walls(layout, wall, points) with points array<struct<x, y>>; regions(layout, id, kind, x, y, w, h, cfg).
     """
-    outlines = walls.groupBy("layout").agg(F.sort_array(F.collect_list(F.struct("wall", g.edges(F.col("points")).alias("outline")))).alias("walls"))
+    outline = g.edges(F.col("points")).alias("outline")
+    sides = [fn(F.col("points")[c]).alias(n) for n, fn, c in (("lx", F.array_min, "x"), ("hx", F.array_max, "x"), ("ly", F.array_min, "y"), ("hy", F.array_max, "y"))]
+    outlines = walls.groupBy("layout").agg(F.sort_array(F.collect_list(F.struct("wall", *sides, outline))).alias("walls"))
     rect = F.struct("id", "x", "y", "w", "h", F.coalesce("cfg", F.lit("normal")).alias("cfg"))
     rects = regions.groupBy("layout").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, rect))).alias(n) for k, n in (("floor", "floors"), ("forbidden", "forbidden"), ("gallery", "galleries"))])
     return outlines.join(rects, "layout", "full_outer").select("layout", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in {**dict(outlines.dtypes), **dict(rects.dtypes)}.items() if c != "layout"])
 
 
-def near_circles(points: DataFrame, circles: DataFrame, reach: float, cell: int = CELL) -> DataFrame:
-    """points x circles of one layout closer than r + reach, with their distance `dist`.
+def _near_box(x: Column, y: Column, box: Column, reach: Column | int) -> Column:
+    return x.between(box["lx"] - reach, box["hx"] + reach) & y.between(box["ly"] - reach, box["hy"] + reach)
 
-    Each circle is copied to the grid cells that its reach touches; a point lies in one cell, so no pair appears twice.
+
+def near_circles(points: DataFrame, circles: DataFrame, reach: float | str, cell: int = CELL) -> DataFrame:
+    """points x circles of one layout closer than r + reach, with their distance `dist`; reach may name a column of points.
+
+    Each circle is copied to the grid cells that its reach touches, once for each reach of its layout; a point lies in
+    one cell, so no pair appears twice.
     """
-    wide = F.col("r") + reach
+    keys = ["layout", "gx", "gy"]
+    if isinstance(reach, str):
+        keys.append(reach)
+        circles = circles.join(points.select("layout", reach).distinct(), "layout")
+        wide = F.col("r") + F.col(reach)
+    else:
+        wide = F.col("r") + reach
     span = lambda c: F.sequence(F.floor((F.col(c) - wide) / cell), F.floor((F.col(c) + wide) / cell))
     dealt = circles.withColumn("gx", F.explode(span("cx"))).withColumn("gy", F.explode(span("cy")))
     placed = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    pairs = placed.join(dealt, ["layout", "gx", "gy"]).drop("gx", "gy")
+    pairs = placed.join(dealt, keys).drop("gx", "gy")
     return pairs.withColumn("dist", g.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).where(F.col("dist") < wide)
 
 
-def sightings(points: DataFrame, circles: DataFrame, shapes: DataFrame, reach: float = DEFAULT_REACH) -> DataFrame:
+def sightings(points: DataFrame, circles: DataFrame, shapes: DataFrame, reach: float | str = DEFAULT_REACH) -> DataFrame:
     """Each close pair of point and exhibit with `kind`: collision (inside the circle), visit, or blocked by a wall.
 
-    A colliding point never counts as a visit. Sight is tested last, for close pairs only."""
-    pairs = near_circles(points, circles, reach).join(shapes.select("layout", "walls"), "layout", "left")
-    hidden = F.exists("walls", lambda w: g.crosses_outline(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), w["outline"]))
+    A colliding point never counts as a visit. A point brings the outline edges that a line of the greatest length from it
+    can meet; most have none, so few pairs are tested against edges."""
+    farthest = circles.groupBy("layout").agg(F.max("r").alias("far_"))
+    held = shapes.select("layout", "walls").join(farthest, "layout", "left")
+    x, y, far = F.col("x"), F.col("y"), F.col("far_") + (F.col(reach) if isinstance(reach, str) else reach)
+    edges = F.flatten(F.transform(F.filter("walls", lambda w: _near_box(x, y, w, far)), lambda w: w["outline"]))
+    close = F.filter(edges, lambda e: x.between(F.least(e["a"]["x"], e["b"]["x"]) - far, F.greatest(e["a"]["x"], e["b"]["x"]) + far) & y.between(F.least(e["a"]["y"], e["b"]["y"]) - far, F.greatest(e["a"]["y"], e["b"]["y"]) + far))
+    placed = points.join(held, "layout", "left").select(*points.columns, close.alias("edges_"))
+    pairs = near_circles(placed, circles, reach)
+    hidden = (F.size("edges_") > 0) & g.crosses_outline(x, y, F.col("cx"), F.col("cy"), F.col("edges_"))
     kind = F.when(F.col("dist") < F.col("r"), "collision").when(F.coalesce(hidden, F.lit(False)), "blocked").otherwise("visit")
-    return pairs.withColumn("kind", kind).drop("walls")
+    return pairs.withColumn("kind", kind).drop("edges_")
 
 
 def exhibit_visits(seen: DataFrame) -> DataFrame:
@@ -66,7 +86,7 @@ def point_flags(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return placed.select(
         *points.columns,
         (~F.coalesce(F.exists("floors", inside), F.lit(False))).alias("outside"),
-        F.get(F.filter("walls", lambda w: g.in_polygon(x, y, w["outline"])), F.lit(0))["wall"].alias("wall"),
+        F.get(F.filter("walls", lambda w: _near_box(x, y, w, g.EDGE_TOLERANCE) & g.in_polygon(x, y, w["outline"])), F.lit(0))["wall"].alias("wall"),
         F.coalesce(F.exists("forbidden", inside), F.lit(False)).alias("forbidden"),
         F.transform(galleries, lambda r: r["id"]).alias("visited"),
         F.exists(galleries, lambda r: r["cfg"] == "restricted").alias("restricted"),
@@ -86,18 +106,35 @@ def point_class(collides: Column) -> Column:
     return F.when(F.col("wall").isNotNull(), "wall").when(F.col("forbidden"), "forbidden").when(F.col("restricted"), "gallery").when(collides, "exhibit").when(F.col("outside"), "floor").otherwise("valid")
 
 
-def violations(flags: DataFrame, seen: DataFrame, missing: DataFrame) -> DataFrame:
-    """(layout, route, n_outside, n_wall, n_collision, n_forbidden, n_gallery, n_must_see, total, is_valid, reasons)."""
-    per = flags.groupBy("layout", "route").agg(F.count_if("outside").alias("n_outside"), F.count("wall").alias("n_wall"), F.count_if("forbidden").alias("n_forbidden"), F.count_if("restricted").alias("n_gallery"))
-    hit = seen.where("kind = 'collision'").groupBy("layout", "route").agg(F.count(F.lit(1)).alias("n_collision"))
-    lost = missing.groupBy("layout", "route").agg(F.count(F.lit(1)).alias("n_must_see"))
-    every = per.join(hit, ["layout", "route"], "left").join(lost, ["layout", "route"], "left").fillna(0, ["n_collision", "n_must_see"])
+def _counted(flags: DataFrame, collisions: DataFrame, *more: Column) -> DataFrame:
+    per = flags.groupBy("layout", "route").agg(F.count_if("outside").alias("n_outside"), F.count("wall").alias("n_wall"), F.count_if("forbidden").alias("n_forbidden"), F.count_if("restricted").alias("n_gallery"), *more)
+    hit = collisions.groupBy("layout", "route").agg(F.count(F.lit(1)).alias("n_collision"))
+    return per.join(hit, ["layout", "route"], "left").fillna(0, ["n_collision"])
+
+
+def _summed(every: DataFrame) -> DataFrame:
     kinds = ["collision", "forbidden", "gallery", "must_see", "outside", "wall"]
     total = sum((F.col(f"n_{k}") for k in kinds[1:]), F.col("n_collision"))
     reasons = F.concat_ws(",", *[F.when(F.col(f"n_{k}") > 0, k) for k in kinds])
     return every.select("layout", "route", *[f"n_{k}" for k in kinds], total.alias("total"), (total == 0).alias("is_valid"), reasons.alias("reasons"))
 
 
+def violations(flags: DataFrame, seen: DataFrame, missing: DataFrame) -> DataFrame:
+    """(layout, route, n_outside, n_wall, n_collision, n_forbidden, n_gallery, n_must_see, total, is_valid, reasons), from
+    `point_flags`, `sightings` and `must_see_missing`, where these are there anyway."""
+    lost = missing.groupBy("layout", "route").agg(F.count(F.lit(1)).alias("n_must_see"))
+    return _summed(_counted(flags, seen.where("kind = 'collision'")).join(lost, ["layout", "route"], "left").fillna(0, ["n_must_see"]))
+
+
+def route_violations(flags: DataFrame, collisions: DataFrame, regions: DataFrame) -> DataFrame:
+    """The result of `violations` in one pass over the flags, without sight lines.
+
+    collisions: a row (layout, route, ...) for each pair of a point and an exhibit that it lies in."""
+    wanted = regions.where("kind = 'gallery' AND cfg = 'must_see'").groupBy("layout").agg(F.collect_set("id").alias("must_see"))
+    every = _counted(flags, collisions, F.flatten(F.collect_set("visited")).alias("seen")).join(wanted, "layout", "left")
+    return _summed(every.withColumn("n_must_see", F.coalesce(F.size(F.array_except("must_see", "seen")).cast("bigint"), F.lit(0))))
+
+
 def segments(points: DataFrame) -> DataFrame:
     """Consecutive points of each route as (layout, route, i, ax, ay, bx, by)."""
     path = Window.partitionBy("layout", "route").orderBy("i")
@@ -109,14 +146,21 @@ def polyline_length(points: DataFrame) -> DataFrame:
     return segments(points).groupBy("layout", "route").agg(F.sum(g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).alias("length"))
 
 
+#: Points of a route that meet its segments in one group.
+STRETCH = 1024
+
+
 def fidelity(points: DataFrame, lines: DataFrame, tolerance: float) -> DataFrame:
     """How close a route's points lie to its polyline(s) `lines` (as `segments` gives them): share within tolerance in
     percent, mean and largest deviation, counts. A route without a line has null figures.
 
-    A route's line travels as one array with its points, so no row is made for a pair of point and segment."""
-    line = lines.groupBy("layout", "route").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("line"))
-    dist = F.array_min(F.transform("line", lambda s: g.segment_distance(F.col("x"), F.col("y"), s["ax"], s["ay"], s["bx"], s["by"])))
-    near = points.join(line, ["layout", "route"], "left").select("layout", "route", dist.alias("d"))
+    Points meet the segments of their route as rows; a long route is dealt in stretches of STRETCH points, each of which
+    gets the route's segments, so no route lands in one task."""
+    dealt = points.withColumn("part_", F.expr(f"i div {STRETCH}"))
+    parts = dealt.groupBy("layout", "route").agg(F.max("part_").alias("last_"))
+    copied = lines.join(parts, ["layout", "route"]).select("layout", "route", "ax", "ay", "bx", "by", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_"))).alias("part_"))
+    dist = g.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    near = dealt.join(copied, ["layout", "route", "part_"], "left").groupBy("layout", "route", "part_", "i").agg(F.min(F.when(F.col("ax").isNotNull(), dist)).alias("d"))
     return near.groupBy("layout", "route").agg(
         F.round(100.0 * F.count_if(F.col("d") <= tolerance) / F.nullif(F.count("d"), F.lit(0)), 2).alias("similarity"),
         F.round(F.avg("d"), 3).alias("mean_deviation"),
@@ -145,6 +189,26 @@ def start_end(points: DataFrame, entrance: DataFrame, exit_: DataFrame) -> DataF
     return held.select("layout", "route", F.coalesce(inside, F.lit(False)).alias("start_inside"), F.coalesce(near, F.lit(False)).alias("end_inside"))
 
 
+def ends_in_zones(ends: DataFrame, zones: DataFrame) -> DataFrame:
+    """(layout, route, entrance_violation, exit_violation, start_end_ok) of ends(layout, route, sx, sy, ex, ey).
+
+    zones(layout, role, id, shape, x, y, w, h, cx, cy, r, points) with role `entrance` or `exit`; a layout's first one by id
+    counts. A rectangle, circle or polygon must hold its end; another shape, or no zone, lets every end pass. A route
+    without an end (null) violates."""
+
+    def first(role: str) -> DataFrame:
+        return zones.where(F.col("role") == role).groupBy("layout").agg(F.min_by(F.struct("shape", "x", "y", "w", "h", "cx", "cy", "r", g.edges(F.col("points")).alias("outline")), "id").alias(role))
+
+    def lost(x: str, y: str, role: str) -> Column:
+        px, py, z = F.col(x), F.col(y), F.col(role)
+        inside = F.when(z["shape"] == "rectangle", g.in_rectangle(px, py, z)).when(z["shape"] == "circle", g.distance(px, py, z["cx"], z["cy"]) <= z["r"]).when(z["shape"] == "polygon", g.in_polygon(px, py, z["outline"]))
+        return px.isNull() | ~F.coalesce(inside, F.lit(True))
+
+    held = ends.join(first("entrance"), "layout", "left").join(first("exit"), "layout", "left")
+    marked = held.select("layout", "route", lost("sx", "sy", "entrance").alias("entrance_violation"), lost("ex", "ey", "exit").alias("exit_violation"))
+    return marked.withColumn("start_end_ok", ~F.col("entrance_violation") & ~F.col("exit_violation"))
+
+
 def nearest_region(points: DataFrame, regions: DataFrame) -> DataFrame:
     """(layout, route, start_region, end_region): the region whose centre is nearest to a route's first and last point; ties go to the smaller id."""
     ends = points.groupBy("layout", "route").agg(F.min_by(F.struct("x", "y"), "i").alias("s"), F.max_by(F.struct("x", "y"), "i").alias("e"))
@@ -172,3 +236,12 @@ def rasterise(points: DataFrame, width: int = 5) -> DataFrame:
     dots = along.select("layout", "route", at("x").alias("x"), at("y").alias("y")).distinct()
     inked = dots.select("layout", "route", "x", "y", F.explode(brush).alias("o"))
     return inked.select("layout", "route", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct()
+
+
+def stroke_pixels(points: DataFrame, width: int = 5) -> DataFrame:
+    """(layout, route, i, n_pixels): how many pixels the stroke from point i to the next one covers."""
+    path = Window.partitionBy("layout", "route").orderBy("i")
+    ends = points.withColumn("bx", F.lead("x").over(path)).withColumn("by", F.lead("y").over(path)).where("bx IS NOT NULL")
+    two = F.explode(F.array(F.struct(F.lit(0).alias("i"), "x", "y"), F.struct(F.lit(1).alias("i"), F.col("bx").alias("x"), F.col("by").alias("y"))))
+    lines = ends.select(F.struct("layout", "route").alias("layout"), F.col("i").alias("route"), two.alias("p")).select("layout", "route", "p.*")
+    return rasterise(lines, width).groupBy("layout", "route").agg(F.count(F.lit(1)).alias("n_pixels")).select("layout.layout", "layout.route", F.col("route").alias("i"), "n_pixels")

@@ -27,6 +27,7 @@ VIEWS = {
     "wed": "SELECT layout, wall, x + a AS ax, y + b AS ay, x + c AS bx, y + d AS by FROM wal CROSS JOIN (VALUES (0, 0, 40, 5), (40, 5, 35, 30), (35, 30, 5, 25), (5, 25, 0, 0)) AS e(a, b, c, d)",
     "reg": "SELECT k % 4 AS layout, k AS id, CASE (k // 4) % 3 WHEN 0 THEN 'floor' WHEN 1 THEN 'forbidden' ELSE 'gallery' END AS kind, k * 53 % 300 AS x, k * 97 % 300 AS y, 120 + k % 5 * 30 AS w, 100 + k % 4 * 30 AS h, CASE g WHEN 0 THEN 'must_see' WHEN 1 THEN 'restricted' WHEN 2 THEN 'normal' END AS cfg FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, n_regionkey AS g FROM nation)",
     "seen": f"SELECT p.layout, p.route, p.i, e.ex_id, sqrt((p.x - e.cx) * (p.x - e.cx) + (p.y - e.cy) * (p.y - e.cy)) AS dist, CASE WHEN sqrt((p.x - e.cx) * (p.x - e.cx) + (p.y - e.cy) * (p.y - e.cy)) < e.r THEN 'collision' WHEN EXISTS (SELECT 1 FROM wed w WHERE w.layout = p.layout AND {_SIGHT}) THEN 'blocked' ELSE 'visit' END AS kind FROM pts p JOIN exh e ON p.layout = e.layout AND sqrt((p.x - e.cx) * (p.x - e.cx) + (p.y - e.cy) * (p.y - e.cy)) < e.r + 25",
+    "seer": f"SELECT p.layout, p.route, p.i, p.reach, e.ex_id, CASE WHEN sqrt((p.x - e.cx) * (p.x - e.cx) + (p.y - e.cy) * (p.y - e.cy)) < e.r THEN 'collision' WHEN EXISTS (SELECT 1 FROM wed w WHERE w.layout = p.layout AND {_SIGHT}) THEN 'blocked' ELSE 'visit' END AS kind FROM (SELECT *, CASE WHEN route % 3 > 0 THEN CAST(trunc((1000 + route % 4 * 250) / 20.5::DOUBLE) AS INT) ELSE 25 END AS reach FROM pts) p JOIN exh e ON p.layout = e.layout AND sqrt((p.x - e.cx) * (p.x - e.cx) + (p.y - e.cy) * (p.y - e.cy)) < e.r + p.reach",
     "whit": f"SELECT layout, route, i, min(wall) AS wall FROM (SELECT p.layout, p.route, p.i, w.wall FROM pts p JOIN wed w ON p.layout = w.layout GROUP BY p.layout, p.route, p.i, w.wall HAVING count(*) FILTER (WHERE {_RAY}) % 2 = 1 OR min({seg_dist('p.x', 'p.y', 'w.ax', 'w.ay', 'w.bx', 'w.by')}) <= 2) GROUP BY layout, route, i",
     "inr": f"SELECT p.layout, p.route, p.i, r.id, r.kind, coalesce(r.cfg, 'normal') AS cfg FROM pts p JOIN reg r ON p.layout = r.layout AND {_INSIDE}",
     "flags": "SELECT p.layout, p.route, p.i, count(*) FILTER (WHERE n.kind = 'floor') = 0 AS outside, any_value(h.wall) AS wall, count(*) FILTER (WHERE n.kind = 'forbidden') > 0 AS forbidden, count(*) FILTER (WHERE n.kind = 'gallery' AND n.cfg = 'restricted') > 0 AS restricted FROM pts p LEFT JOIN inr n ON p.layout = n.layout AND p.route = n.route AND p.i = n.i LEFT JOIN whit h ON p.layout = h.layout AND p.route = h.route AND p.i = h.i GROUP BY p.layout, p.route, p.i",
@@ -67,3 +68,21 @@ VIEWS = {
     "gone": "SELECT CASE k % 4 WHEN 0 THEN f || '/hard/simple/hard_0' || (k % 7) || '_layout_' || (k % 48) WHEN 1 THEN f || '\\medium\\complex\\medium_0' || (k % 3) || '_layout_' || (k % 48) WHEN 2 THEN f || '/easy_spatial/simple/easy_spatial_layout_' || (k % 48) ELSE f || '/short/path' END AS path FROM (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'm' || (o_orderkey % 5) || '(high)' ELSE 'm' || (o_orderkey % 5) END AS f FROM orders)".replace("\\\\", "\\"),
     "prof": "SELECT attribute, value, count(*) AS cnt, min(id) AS first_pos FROM (SELECT 'sections' AS attribute, section AS value, id FROM facts UNION ALL SELECT 'techniques', technique, id FROM facts UNION ALL SELECT 'cities', city, id FROM facts UNION ALL SELECT 'countries', country, id FROM facts UNION ALL SELECT 'materials', trim(unnest(string_split(materials, ';'))), id FROM facts) WHERE value IS NOT NULL AND value <> '' GROUP BY attribute, value",
 }
+VIEWS["rtasks"] = VIEWS["tasks"].replace("k % 20 AS layout", "k % 4 AS layout").replace("SELECT s_suppkey AS k FROM supplier", "SELECT DISTINCT user_id AS k FROM events")
+VIEWS["rfacts"] = "SELECT * REPLACE (id % 4 AS layout) FROM facts"
+VIEWS["rvis"] = "SELECT DISTINCT route AS task, ex_id FROM seer WHERE kind = 'visit'"
+VIEWS["tfile"] = "SELECT 'plans/' || CASE k % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'complex' ELSE 'draft' END || '/layout_' || (k % 24) || '/' || CASE k % 5 WHEN 0 THEN 'easy_semantic' WHEN 1 THEN 'easy_spatial' WHEN 2 THEN 'medium_' || (k % 11) WHEN 3 THEN 'hard_' || (k % 7) ELSE 'notes' END || '.json' AS path FROM (SELECT c_custkey AS k FROM customer)"
+VIEWS["rfile"] = "SELECT 'm' || (k % 3) || '/' || CASE k % 4 WHEN 0 THEN 'medium/' || c || '/medium_' || (k % 11) WHEN 1 THEN 'hard/' || c || '/hard_' || (k % 7) WHEN 2 THEN 'easy_semantic/' || c || '/easy_semantic' ELSE 'easy_spatial/' || c || '/easy_spatial' END || '_layout_' || (k % 24) || CASE WHEN k % 6 = 5 THEN '/run.log' ELSE '/final_results.json' END AS path FROM (SELECT o_orderkey AS k, CASE o_orderkey % 2 WHEN 0 THEN 'simple' ELSE 'complex' END AS c FROM orders)"
+VIEWS["ann"] = "SELECT k % 4 AS layout, 'exhibit_' || k AS id, CASE k % 6 WHEN 0 THEN 'x' WHEN 1 THEN NULL WHEN 2 THEN '' || (k % 90) ELSE '' || k END AS exhibit_number FROM (SELECT p_partkey AS k FROM part)"
+
+
+def for_routes(name: str) -> str:
+    """A view over tasks, catalogue and visits as one over what routes were asked for and saw."""
+    import re
+
+    return re.sub(r"\b(tasks|facts|vis|match|need|cover|cats|spec|least|overall)\b(?=[ ,)]|$|\.)", r"r\1", VIEWS[name]).replace("unnest(rcats)", "unnest(cats)")
+
+
+for _name in ("match", "need", "cover", "cats", "spec", "overall"):
+    VIEWS[f"r{_name}"] = for_routes(_name)
+VIEWS["rleast"] = for_routes("least")

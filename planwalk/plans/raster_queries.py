@@ -8,13 +8,16 @@ from planwalk.operators import raster
 from planwalk.plans.registry import query
 from planwalk.sources import bindings as b
 
+#: Labels whose centres may be part of a plan.
+MOST_LABELS = 256
+
 
 @query("drawn bins", "SELECT * FROM bins")
 def hsv_histogram(spark, sf_dir):
     return raster.histogram(b.colors(spark, sf_dir, False))
 
 
-@query("drawn orig bins", "WITH rk AS (SELECT img, bin, cnt, cnt / CAST(sum(cnt) OVER (PARTITION BY img) AS DOUBLE) AS share, row_number() OVER (PARTITION BY img ORDER BY cnt DESC, bin) AS rank FROM bins), ok AS (SELECT img FROM rk WHERE rank = 1 AND share >= 0.1), ce AS (SELECT img, bin, cnt, share, rank, bin // 32 * 5 + 2.5::DOUBLE AS hc, bin % 32 // 4 * 32 + 16 AS sc, bin % 4 * 64 + 32 AS vc FROM rk WHERE cnt >= 5 AND img IN (SELECT img FROM ok)), pr AS (SELECT c.img, c.bin, c.cnt, c.share, c.rank, count(*) FILTER (WHERE abs(o.s - c.sc) <= 35 AND abs(o.v - c.vc) <= 50 AND CASE WHEN c.hc - 10 < 0 THEN o.h >= floor(c.hc - 10) + 180 OR o.h <= floor(c.hc + 10) WHEN c.hc + 10 > 179 THEN o.h >= floor(c.hc - 10) OR o.h <= floor(c.hc + 10) - 180 ELSE o.h BETWEEN floor(c.hc - 10) AND floor(c.hc + 10) END) / CAST(count(*) AS DOUBLE) AS presence FROM ce c JOIN orig o ON c.img = o.img WHERE c.sc >= 50 GROUP BY c.img, c.bin, c.cnt, c.share, c.rank) SELECT img, bin, cnt, round(share, 4) AS share FROM pr WHERE presence <= 0.01 QUALIFY row_number() OVER (PARTITION BY img ORDER BY rank) = 1")
+@query("drawn orig bins", "WITH rk AS (SELECT img, bin, cnt, cnt / CAST(sum(cnt) OVER (PARTITION BY img) AS DOUBLE) AS share, row_number() OVER (PARTITION BY img ORDER BY cnt DESC, bin) AS rank FROM bins), ok AS (SELECT img FROM rk WHERE rank = 1 AND share >= 0.1), ce AS (SELECT img, bin, cnt, share, rank, bin // 32 * 5 + 2.5::DOUBLE AS hc, bin % 32 // 4 * 32 + 16 AS sc, bin % 4 * 64 + 32 AS vc FROM rk WHERE cnt >= 5 AND img IN (SELECT img FROM ok)), pr AS (SELECT c.img, c.bin, c.cnt, c.share, c.rank, count(*) FILTER (WHERE abs(o.s - c.sc) <= 35 AND abs(o.v - c.vc) <= 50 AND CASE WHEN c.hc - 10 < 0 THEN o.h >= trunc(c.hc - 10) + 180 OR o.h <= trunc(c.hc + 10) WHEN c.hc + 10 > 179 THEN o.h >= trunc(c.hc - 10) OR o.h <= trunc(c.hc + 10) - 180 ELSE o.h BETWEEN trunc(c.hc - 10) AND trunc(c.hc + 10) END) / CAST(count(*) AS DOUBLE) AS presence FROM ce c JOIN orig o ON c.img = o.img WHERE c.sc >= 50 GROUP BY c.img, c.bin, c.cnt, c.share, c.rank) SELECT img, bin, cnt, round(share, 4) AS share FROM pr WHERE presence <= 0.01 QUALIFY row_number() OVER (PARTITION BY img ORDER BY rank) = 1")
 def dominant_bin(spark, sf_dir):
     return raster.dominant_bin(b.colors(spark, sf_dir, False), b.colors(spark, sf_dir, True))
 
@@ -62,16 +65,121 @@ def circle_matches(spark, sf_dir):
     """Parts' circles matched one to one with those of the shifted plan; greedy matching is tested on its own."""
     found = b.exhibits(spark, sf_dir).selectExpr("layout AS img", "ex_id AS found_id", "cx AS x", "cy AS y")
     drawn = b.exhibits(spark, sf_dir).selectExpr("layout AS img", "ex_id AS ann_id", "cx + ex_id % 7 - 3 AS x", "cy + ex_id % 5 - 2 AS y")
-    return raster.match_circles(found, drawn, 4.0)
+    return raster.match_circles(found, drawn, 2.4, 4.0)
 
 
 @query("", "SELECT a.vec_id, arg_min(c.label, struct_pack(d := round(list_distance(CAST(a.embedding AS DOUBLE[]), c.m), 9), l := c.label)) AS nearest FROM embeddings a CROSS JOIN (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label) c GROUP BY a.vec_id")
 def nearest_vector(spark, sf_dir):
-    """Nearest label centre of each vector; the centres, one a label, travel in one row."""
+    """Nearest label centre of each vector. Labels are few: their number is checked, and their centres are in the plan."""
     v = b.vectors(spark, sf_dir)
     flat = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-    centres = flat.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
-    table = centres.agg(F.collect_list(F.struct("label", "m")).alias("centres")).withColumn("one", F.lit(1))
-    dist = lambda m: F.sqrt(F.aggregate(F.zip_with("v", m, lambda a, c: (a - c) * (a - c)), F.lit(0.0), lambda s, d: s + d))
-    best = F.array_min(F.transform("centres", lambda c: F.struct(F.round(dist(c["m"]), 9).alias("d"), c["label"].alias("l"))))["l"]
-    return v.withColumn("one", F.lit(1)).join(table, "one").select("vec_id", best.alias("nearest"))
+    centres = flat.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m")).limit(MOST_LABELS + 1).collect()
+    if len(centres) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    dist = lambda m: F.sqrt(F.aggregate(F.zip_with("v", F.array(*map(F.lit, m)), lambda a, c: (a - c) * (a - c)), F.lit(0.0), lambda s, d: s + d))
+    near = [F.struct(F.round(dist(c["m"]), 9).alias("d"), F.lit(c["label"]).alias("l")) for c in centres]
+    best = F.array_min(F.array(*near))["l"] if near else F.lit(None).cast("bigint")
+    return v.select("vec_id", best.alias("nearest"))
+
+
+_BRUSH = "(SELECT unnest(range({0}, {1} + 1)) AS dx) CROSS JOIN (SELECT unnest(range({0}, {1} + 1)) AS dy)"
+
+
+def _dilated(mask: str, low: int, high: int) -> str:
+    return f"SELECT DISTINCT route, x + dx AS x, y + dy AS y FROM {mask} CROSS JOIN {_BRUSH.format(low, high)}"
+
+
+def _eroded(mask: str, low: int, high: int) -> str:
+    return f"SELECT route, x - dx AS x, y - dy AS y FROM {mask} CROSS JOIN {_BRUSH.format(low, high)} GROUP BY 1, 2, 3 HAVING count(*) = {(high - low + 1) ** 2}"
+
+
+@query("pix", f"WITH cd AS ({_dilated('pix', 0, 1)}), cl AS ({_eroded('cd', 0, 1)}), oe AS ({_eroded('cl', 0, 1)}), op AS ({_dilated('oe', 0, 1)}) SELECT route, count(*) AS n_pixels, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM op GROUP BY route")
+def closed_opened(spark, sf_dir):
+    """Routes with gaps closed and specks taken off by a brush of two."""
+    two = raster.square(0, 1)
+    done = raster.opened(raster.closed(b.pixels(spark, sf_dir), two), two)
+    return done.groupBy("route").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query("pix", "SELECT route, count(*) FILTER (WHERE a OR o) AS n_merged, count(*) FILTER (WHERE a AND NOT o) AS n_left FROM (SELECT route, x, y, bool_or(k = 0) AS a, bool_or(k = 1) AS o FROM (SELECT route, x, y, 0 AS k FROM pix UNION ALL SELECT route, x + 1, y, 1 FROM pix) GROUP BY route, x, y) GROUP BY route")
+def mask_sets(spark, sf_dir):
+    """A mask and its shift by one pixel: how many pixels they have together, and how many are left of the first."""
+    one = b.pixels(spark, sf_dir)
+    other = one.withColumn("x", F.col("x") + 1)
+    both = raster.merged(one, other).groupBy("route").agg(F.count(F.lit(1)).alias("n_merged"))
+    left = raster.subtracted(one, other).groupBy("route").agg(F.count(F.lit(1)).alias("n_left"))
+    return both.join(left, "route", "left").fillna(0, ["n_left"])
+
+
+_GRAY = "gr AS (SELECT route, x, y, min((x * 37 + y * 91 + route) % 256) AS a FROM pix GROUP BY route, x, y), go AS (SELECT route, x, y, CASE WHEN (x + y) % 3 = 0 THEN 255 - a ELSE a END AS o FROM gr WHERE x % 5 > 0)"
+
+
+@query("pix", f"WITH {_GRAY}, fat AS (SELECT DISTINCT route, x + dx AS x, y + dy AS y FROM go CROSS JOIN {_BRUSH.format(-1, 1)} WHERE dx * dx + dy * dy <= 1 AND o <= 155), new AS (SELECT coalesce(g.route, o.route) AS route, coalesce(g.x, o.x) AS x, coalesce(g.y, o.y) AS y FROM gr g FULL JOIN go o ON g.route = o.route AND g.x = o.x AND g.y = o.y WHERE coalesce(a, 255) <= 155 OR abs(coalesce(a, 255) - coalesce(o, 255)) > 100) SELECT route, x, y FROM new n WHERE NOT EXISTS (SELECT 1 FROM fat f WHERE f.route = n.route AND f.x = n.x AND f.y = n.y)")
+def drawn_mask(spark, sf_dir):
+    """What an image has more than its original, which lacks some pixels and has others the other way round."""
+    image = b.pixels(spark, sf_dir).withColumn("gray", (F.col("x") * 37 + F.col("y") * 91 + F.col("route")) % 256)
+    plain = image.where("x % 5 > 0").withColumn("gray", F.when((F.col("x") + F.col("y")) % 3 == 0, 255 - F.col("gray")).otherwise(F.col("gray")))
+    return raster.drawn_mask(image, plain, 100, 1)
+
+
+def _coloured(spark, sf_dir):
+    """Images with a green and a yellow box, each with a hole, and specks far from them."""
+    n = b.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS route")
+    grid = n.selectExpr("route", "explode(sequence(0L, 49L)) AS x").selectExpr("route", "x", "explode(sequence(0L, 59L)) AS y")
+    box = "CASE WHEN x BETWEEN 3 + route % 4 AND 18 + route % 4 AND y BETWEEN 4 AND 18 + route % 5 AND NOT (x = 10 AND y = 10) THEN 60 WHEN x BETWEEN 28 AND 39 + route % 7 AND y BETWEEN 12 AND 25 AND NOT (x = 33 AND y = 20) AND route % 6 > 0 THEN 25 WHEN y > 40 AND (x * 7 + y * 13 + route) % 97 = 0 THEN 60 ELSE 120 END"
+    return grid.selectExpr("route", "x", "y", f"{box} AS h", "200 AS s", "180 AS v")
+
+
+@query("", "SELECT route, role, x, y, w, h, n_pixels FROM (SELECT s_suppkey AS route, 'entrance' AS role, 3 + s_suppkey % 4 AS x, 4::BIGINT AS y, 16::BIGINT AS w, 15 + s_suppkey % 5 AS h, 16 * (15 + s_suppkey % 5) AS n_pixels FROM supplier UNION ALL SELECT s_suppkey, 'exit', 28::BIGINT, 12::BIGINT, 12 + s_suppkey % 7, 14::BIGINT, 14 * (12 + s_suppkey % 7) FROM supplier WHERE s_suppkey % 6 > 0)")
+def color_boxes(spark, sf_dir):
+    """The boxes of entrances and exits, found by their colour with holes closed and specks off."""
+    pixels = _coloured(spark, sf_dir)
+    found = [raster.color_boxes(pixels, role).withColumn("role", F.lit(role)) for role in raster.BOX_COLORS]
+    return found[0].unionByName(found[1])
+
+
+@query("", "SELECT s_suppkey AS route, corner::BIGINT AS corner, 3 + s_suppkey % 4 + CASE WHEN corner IN (1, 2) THEN 16 ELSE 0 END AS x, 4 + CASE WHEN corner >= 2 THEN 15 + s_suppkey % 5 ELSE 0 END AS y, 5 + CASE WHEN corner IN (1, 2) THEN 20 ELSE 0 END AS zx, 6 + CASE WHEN corner >= 2 THEN 18 ELSE 0 END AS zy FROM supplier CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS corner)")
+def box_anchors(spark, sf_dir):
+    """Corners of detected entrances beside the annotated ones; exits are annotated as polygons and give none."""
+    pixels = _coloured(spark, sf_dir)
+    boxes = {role: raster.color_boxes(pixels, role) for role in raster.BOX_COLORS}
+    routes = pixels.select("route").distinct()
+    zones = routes.selectExpr("route", "'entrance' AS role", "'rectangle' AS shape", "5L AS x", "6L AS y", "20L AS w", "18L AS h").unionByName(routes.selectExpr("route", "'exit' AS role", "'polygon' AS shape", "0L AS x", "0L AS y", "9L AS w", "9L AS h"))
+    return raster.box_anchors(boxes, zones).select("route", F.col("corner").cast("bigint").alias("corner"), "x", "y", "zx", "zy")
+
+
+@query("exh", "SELECT layout AS img, round(median((cx + ex_id % 7 - 3) / CAST(greatest(cx, 1) AS DOUBLE)), 6) AS sx, round(median((cy + ex_id % 5 - 2) / CAST(greatest(cy, 1) AS DOUBLE)), 6) AS sy FROM exh GROUP BY layout")
+def scale_estimates(spark, sf_dir):
+    pairs = b.exhibits(spark, sf_dir).selectExpr("layout AS img", "cx AS x", "cy AS y", "cx + ex_id % 7 - 3 AS ax", "cy + ex_id % 5 - 2 AS ay")
+    return raster.scale_estimate(pairs).select("img", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
+
+
+@query("drawn", "SELECT count(*) AS n, CAST(sum(h) AS BIGINT) AS sum_h, CAST(sum(s) AS BIGINT) AS sum_s, CAST(sum(v) AS BIGINT) AS sum_v FROM (SELECT CASE WHEN half >= 180 THEN half - 180 ELSE half END AS h, s, v FROM (SELECT round(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 2) AS half, round(255.0::DOUBLE * d / m) AS s, m AS v FROM (SELECT *, greatest(r, g, b) AS m, greatest(r, g, b) - least(r, g, b) AS d, CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0 WHEN greatest(r, g, b) = r THEN 60.0::DOUBLE * (g - b) / (greatest(r, g, b) - least(r, g, b)) WHEN greatest(r, g, b) = g THEN 120 + 60.0::DOUBLE * (b - r) / (greatest(r, g, b) - least(r, g, b)) ELSE 240 + 60.0::DOUBLE * (r - g) / (greatest(r, g, b) - least(r, g, b)) END AS hue FROM (SELECT h + 60 AS r, s AS g, v AS b FROM drawn)) WHERE m > 0))")
+def hsv_conversion(spark, sf_dir):
+    """Hues, saturations and values of colours given as red, green and blue."""
+    rgb = b.colors(spark, sf_dir, False).select((F.col("h") + 60).alias("r"), F.col("s").alias("g"), F.col("v").alias("b")).where("greatest(r, g, b) > 0")
+    done = rgb.select(raster.hsv(F.col("r"), F.col("g"), F.col("b")).alias("c"))
+    return done.agg(F.count(F.lit(1)).alias("n"), F.sum("c.h").alias("sum_h"), F.sum("c.s").alias("sum_s"), F.sum("c.v").alias("sum_v"))
+
+
+@query("pix nbr", f"{_CLOSE}, fr AS (SELECT route, cx, cy, count(*) AS size FROM lab GROUP BY route, cx, cy) SELECT route, cx, cy, size, row_number() OVER (PARTITION BY route ORDER BY size DESC, cx, cy) AS place FROM fr")
+def fragment_order(spark, sf_dir):
+    """Connected parts of each route, the largest first."""
+    parts = raster.fragments(raster.components(b.pixels(spark, sf_dir)))
+    return raster.by_size(parts).select("route", "cx", "cy", "size", "place")
+
+
+@query()
+def morphological_skeletons(spark, sf_dir):
+    """What openings take from routes and their erosions; tested against a plain loop."""
+    return raster.morphological_skeleton(b.pixels(spark, sf_dir))
+
+
+@query()
+def route_ends(spark, sf_dir):
+    """Starts and ends of thinned routes; walks have no SQL form here and are tested on their own."""
+    pixels = b.pixels(spark, sf_dir)
+    lines = raster.skeletons(pixels, 1)
+    anchors = pixels.select("route").distinct().selectExpr("route", "CASE WHEN route % 10 > 0 THEN 0.0D END AS in_x", "CASE WHEN route % 10 > 0 THEN 0.0D END AS in_y", "CASE WHEN route % 7 > 0 THEN 23.0D END AS out_x", "CASE WHEN route % 7 > 0 THEN 23.0D END AS out_y")
+    connected = raster.connectivity(raster.fragments(raster.components(pixels)))
+    return raster.route_ends(lines, anchors, connected)

@@ -8,6 +8,7 @@ from planwalk.functions import text
 from planwalk.operators import scoring
 from planwalk.plans.registry import query
 from planwalk.sources import bindings as b
+from planwalk.sources import discovery, files
 
 
 @query("res score", "SELECT k, svr_passed, 4::BIGINT AS svr_total, scsr_passed::BIGINT AS scsr_passed, scsr_total::BIGINT AS scsr_total, scar_passed::BIGINT AS scar_passed, scar_total::BIGINT AS scar_total FROM (SELECT * REPLACE (svr_passed::BIGINT AS svr_passed) FROM score)")
@@ -109,3 +110,60 @@ def rerun_groups(spark, sf_dir):
 def model_names(spark, sf_dir):
     folder = F.get(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), F.lit(0))
     return b.missing_paths(spark, sf_dir).select(folder.alias("folder")).distinct().select("folder", text.model_parts(F.col("folder")).alias("p")).select("folder", "p.model", "p.reasoning")
+
+
+_SHARE = "round(avg(CASE WHEN {0}_total > 0 THEN 100.0::DOUBLE * {0}_passed / {0}_total END), 4) AS {0}"
+
+
+@query("res score", f"SELECT model, difficulty, count(*) AS n, {', '.join(_SHARE.format(m) for m in ('scsr', 'scar'))}, round(avg(100.0::DOUBLE * svr_passed / 4), 4) AS svr FROM score GROUP BY model, difficulty")
+def quick_metrics(spark, sf_dir):
+    return scoring.quick_metrics(b.results(spark, sf_dir), ["model", "difficulty"])
+
+
+@query("res", "SELECT model, complexity, count(*) FILTER (WHERE coalesce(budget, false)) AS n_success, count(*) FILTER (WHERE NOT coalesce(budget, false)) AS n_failed, count(*) FILTER (WHERE coalesce(budget, false)) = 0 AS all_failed FROM (SELECT *, CASE WHEN full_scsr THEN budget END AS b FROM res) GROUP BY model, complexity".replace("budget, false", "b, false"))
+def run_totals(spark, sf_dir):
+    runs = b.results(spark, sf_dir).withColumn("good", F.try_element_at("scsr", F.lit("distance_budget")))
+    return scoring.totals(runs, ["model", "complexity"], "good")
+
+
+_NAMES = "(VALUES ('easy_spatial', 0), ('easy_semantic', 1), ('medium', 2), ('hard', 3)) AS d(difficulty, place)"
+
+
+@query("tfile", rf"WITH t AS (SELECT regexp_extract(path, '([^/]+)/([^/]+)/([^/]+)\.json$', 3) AS task FROM tfile), k AS (SELECT CASE WHEN task IN ('easy_semantic', 'easy_spatial') THEN task WHEN regexp_matches(task, '^(medium|hard)_') THEN regexp_extract(task, '^(medium|hard)_', 1) ELSE task END AS difficulty FROM t) SELECT k.difficulty, coalesce(any_value(d.place), 4)::BIGINT AS place, any_value(CASE k.difficulty WHEN 'easy_semantic' THEN 'Easy Semantic' WHEN 'easy_spatial' THEN 'Easy Spatial' WHEN 'medium' THEN 'Medium' WHEN 'hard' THEN 'Hard' ELSE 'Notes' END) AS label, CASE WHEN k.difficulty LIKE 'easy\_%' ESCAPE '\' THEN 'easy' ELSE k.difficulty END AS grp, CASE WHEN any_value(d.place) IS NOT NULL THEN 'prompts_' || k.difficulty || '.py' END AS runner, to_base64(encode(k.difficulty)) AS coded, count(*) AS n FROM k LEFT JOIN {_NAMES} ON k.difficulty = d.difficulty GROUP BY k.difficulty")
+def difficulty_labels(spark, sf_dir):
+    """Names of difficulties as tables show them, in their order, with those of unknown task files last."""
+    task = F.regexp_extract("path", r"([^/]+)\.json$", 1)
+    name = F.when(task.rlike("^(medium|hard)_"), F.regexp_extract(task, "^(medium|hard)_", 1)).otherwise(task)
+    each = b.task_files(spark, sf_dir).groupBy(name.alias("difficulty")).agg(F.count(F.lit(1)).alias("n"))
+    d = F.col("difficulty")
+    return each.select("difficulty", scoring.difficulty_order(d).cast("bigint").alias("place"), scoring.difficulty_label(d).alias("label"), scoring.difficulty_group(d).alias("grp"), scoring.runner(d).alias("runner"), F.base64(F.encode(d, "utf-8")).alias("coded"), "n")
+
+
+_TASKS = r"tk AS (SELECT DISTINCT complexity, layout, task || '.json' AS task_file, CASE WHEN task IN ('easy_semantic', 'easy_spatial') THEN task ELSE regexp_extract(task, '^(medium|hard)_', 1) END AS difficulty FROM (SELECT regexp_extract(path, '([^/]+)/([^/]+)/([^/]+)\.json$', 1) AS complexity, regexp_extract(path, '([^/]+)/([^/]+)/([^/]+)\.json$', 2) AS layout, regexp_extract(path, '([^/]+)/([^/]+)/([^/]+)\.json$', 3) AS task FROM tfile) WHERE complexity IN ('simple', 'complex') AND (task IN ('easy_semantic', 'easy_spatial') OR regexp_matches(task, '^(medium|hard)_')))"
+
+
+@query("tfile", f"WITH {_TASKS} SELECT * FROM tk")
+def expected_tasks(spark, sf_dir):
+    return discovery.tasks(b.task_files(spark, sf_dir))
+
+
+@query("tfile", r"SELECT DISTINCT regexp_extract(path, '([^/]+)/(layout_[^/]+)/[^/]+$', 1) AS complexity, regexp_extract(path, '([^/]+)/(layout_[^/]+)/[^/]+$', 2) AS layout FROM tfile WHERE path LIKE 'plans/complex/%'")
+def layout_selection(spark, sf_dir):
+    return discovery.select(discovery.layouts(b.task_files(spark, sf_dir)), complexity="complex", layout=None)
+
+
+@query("tfile", r"SELECT complexity, layout, variant, row_number() OVER (PARTITION BY complexity, layout ORDER BY variant) AS place FROM (SELECT DISTINCT regexp_extract(path, '([^/]+)/(layout_[^/]+)/([^/]+)\.json$', 1) AS complexity, regexp_extract(path, '([^/]+)/(layout_[^/]+)/([^/]+)\.json$', 2) AS layout, regexp_extract(path, '([^/]+)/(layout_[^/]+)/([^/]+)\.json$', 3) AS variant FROM tfile) WHERE variant LIKE 'medium\_%' ESCAPE '\'")
+def config_variants(spark, sf_dir):
+    return discovery.variants(b.task_files(spark, sf_dir), "medium_*.json")
+
+
+_LOST = rf"{_TASKS}, ff AS (SELECT regexp_extract(path, '^([^/]+)/', 1) AS model, regexp_extract(path, '^[^/]+/([^/]+)/', 1) AS difficulty, regexp_extract(path, '^(.*)/[^/]+$', 1) AS dir, regexp_extract(path, '([^/]+)$', 1) AS file FROM rfile), lf AS (SELECT m.model, t.difficulty, m.model || '/' || t.difficulty || '/' || t.complexity || '/' || replace(t.task_file, '.json', '') || '_' || t.layout AS path FROM tk t CROSS JOIN (SELECT DISTINCT model FROM ff) m WHERE path NOT IN (SELECT dir FROM ff)), lr AS (SELECT DISTINCT model, difficulty, dir AS path FROM ff GROUP BY model, difficulty, dir HAVING NOT bool_or(file = 'final_results.json'))"
+
+
+@query("tfile rfile", f"WITH {_LOST} SELECT model, difficulty, string_agg(path, ',' ORDER BY path) AS paths, count(*) AS n, sum(f)::BIGINT AS n_folders, (count(*) - sum(f))::BIGINT AS n_files FROM (SELECT *, 1 AS f FROM lf UNION ALL SELECT *, 0 FROM lr) GROUP BY model, difficulty")
+def missing_merged(spark, sf_dir):
+    """Missing result folders and folders without a result, of each model and difficulty."""
+    there = b.result_files(spark, sf_dir)
+    folders = discovery.missing_folders(discovery.tasks(b.task_files(spark, sf_dir)), there)
+    empty = files.folders_without(there, "final_results.json").select(F.split("dir", "/").alias("p"), F.col("dir").alias("path")).select(F.get("p", F.lit(0)).alias("model"), F.get("p", F.lit(1)).alias("difficulty"), "path")
+    return scoring.missing_paths(folders, empty)

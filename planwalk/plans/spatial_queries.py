@@ -26,8 +26,8 @@ def _flags(spark, sf_dir):
 
 
 def _violations(spark, sf_dir):
-    flags = _flags(spark, sf_dir)
-    return spatial.violations(flags, _seen(spark, sf_dir), spatial.must_see_missing(flags, b.regions(spark, sf_dir)))
+    hit = spatial.near_circles(b.points(spark, sf_dir), b.exhibits(spark, sf_dir), 0)
+    return spatial.route_violations(_flags(spark, sf_dir), hit, b.regions(spark, sf_dir))
 
 
 @query("pts exh wal wed seen", "SELECT layout, route, count(DISTINCT CASE WHEN kind = 'visit' THEN ex_id END) AS n_visited, count(*) FILTER (WHERE kind = 'collision') AS n_collisions, count(*) FILTER (WHERE kind = 'blocked') AS n_blocked FROM seen GROUP BY layout, route")
@@ -152,11 +152,10 @@ def fidelity_macro(spark, sf_dir):
     return scoring.macro_average(_by_model(spark, sf_dir), "similarity")
 
 
-@query("pts seg", "WITH dots AS (SELECT DISTINCT route, layout, CAST(floor(ax + (bx - ax) * k / CAST(n AS DOUBLE) + 0.5) AS BIGINT) AS x, CAST(floor(ay + (ey - ay) * k / CAST(n AS DOUBLE) + 0.5) AS BIGINT) AS y FROM (SELECT *, greatest(abs(bx - ax), abs(ey - ay), 1) AS n, unnest(range(0, greatest(abs(bx - ax), abs(ey - ay), 1) + 1)) AS k FROM seg WHERE i < 3)), ink AS (SELECT DISTINCT layout, route, x + dx AS x, y + dy AS y FROM dots CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS dx) CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE dx * dx + dy * dy <= 6) SELECT layout, route, count(*) AS n_pixels, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM ink GROUP BY layout, route")
+@query("pts seg", "WITH dots AS (SELECT DISTINCT layout, route, i, CAST(floor(ax + (bx - ax) * k / CAST(n AS DOUBLE) + 0.5) AS BIGINT) AS x, CAST(floor(ay + (ey - ay) * k / CAST(n AS DOUBLE) + 0.5) AS BIGINT) AS y FROM (SELECT *, greatest(abs(bx - ax), abs(ey - ay), 1) AS n, unnest(range(0, greatest(abs(bx - ax), abs(ey - ay), 1) + 1)) AS k FROM seg)) SELECT layout, route, i, count(DISTINCT (x + dx) * 10000 + y + dy) AS n_pixels FROM dots CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS dx) CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE dx * dx + dy * dy <= 6 GROUP BY layout, route, i")
 def rasterised_strokes(spark, sf_dir):
-    """Pixels of each route's first three strokes."""
-    drawn = spatial.rasterise(b.points(spark, sf_dir).where("i <= 3"))
-    return drawn.groupBy("layout", "route").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    """Pixels of every stroke of each route."""
+    return spatial.stroke_pixels(b.points(spark, sf_dir))
 
 
 @query("pts seg", "WITH dots AS (SELECT DISTINCT route, layout, CAST(floor(ax + (bx - ax) * k / CAST(n AS DOUBLE) + 0.5) AS BIGINT) AS x, CAST(floor(ay + (ey - ay) * k / CAST(n AS DOUBLE) + 0.5) AS BIGINT) AS y FROM (SELECT *, greatest(abs(bx - ax), abs(ey - ay), 1) AS n, unnest(range(0, greatest(abs(bx - ax), abs(ey - ay), 1) + 1)) AS k FROM seg)), ink AS (SELECT DISTINCT layout, route, x + dx AS x, y + dy AS y FROM dots CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS dx) CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE dx * dx + dy * dy <= 6) SELECT layout, route, count(*) AS n_pixels, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM ink GROUP BY layout, route")
@@ -164,3 +163,47 @@ def rasterised_routes(spark, sf_dir):
     """Pixels of each whole route."""
     drawn = spatial.rasterise(b.points(spark, sf_dir))
     return drawn.groupBy("layout", "route").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+def _zones(spark, sf_dir):
+    """Entrances and exits of all shapes, a layout's first region as rectangle, circle, polygon or an unknown shape by turns."""
+    r = b.regions(spark, sf_dir)
+    shapes = F.array(*[F.lit(x) for x in ("rectangle", "circle", "polygon", "star")])
+    near = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0, 0), (250, 20), (200, 300), (-20, 150))])
+    at = lambda turn: F.get(shapes, ((F.col("layout") + turn) % 4).cast("int")).alias("shape")
+    made = [r.select("layout", F.lit(role).alias("role"), "id", at(turn), "x", "y", "w", "h", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("w").alias("r"), near.alias("points")) for turn, role in enumerate(("entrance", "exit"))]
+    return made[0].unionByName(made[1])
+
+
+_ENDS = "SELECT layout, route, arg_min(x, i) AS sx, arg_min(y, i) AS sy, CASE WHEN route % 9 > 0 THEN arg_max(x, i) END AS ex, CASE WHEN route % 9 > 0 THEN arg_max(y, i) END AS ey FROM pts GROUP BY layout, route"
+_CORNERS = "(VALUES (0, 0, 250, 20), (250, 20, 200, 300), (200, 300, -20, 150), (-20, 150, 0, 0)) AS c(a, b, c, d)"
+
+
+def _lost(x: str, y: str, turn: int) -> str:
+    ray = f"(z.y + b > {y}) <> (z.y + d > {y}) AND {x} < (c - a) * ({y} - (z.y + b)) / CAST(d - b AS DOUBLE) + z.x + a"
+    polygon = f"(SELECT count(*) FILTER (WHERE {ray}) % 2 = 1 OR min({seg_dist(x, y, '(z.x + a)', '(z.y + b)', '(z.x + c)', '(z.y + d)')}) <= 2 FROM {_CORNERS})"
+    kind = f"(e.layout + {turn}) % 4"
+    return f"({x} IS NULL OR NOT coalesce(CASE {kind} WHEN 0 THEN {x} BETWEEN z.x AND z.x + z.w AND {y} BETWEEN z.y AND z.y + z.h WHEN 1 THEN sqrt(({x} - z.x) * ({x} - z.x) + ({y} - z.y) * ({y} - z.y)) <= z.w WHEN 2 THEN {polygon} END, true))"
+
+
+@query("pts reg", f"WITH ends AS ({_ENDS}), z AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY layout ORDER BY id) = 1) SELECT *, NOT entrance_violation AND NOT exit_violation AS start_end_ok FROM (SELECT e.layout, e.route, {_lost('e.sx', 'e.sy', 0)} AS entrance_violation, {_lost('e.ex', 'e.ey', 1)} AS exit_violation FROM ends e JOIN z ON e.layout = z.layout)")
+def zone_ends(spark, sf_dir):
+    """Starts and ends against zones of every shape; every ninth route has no end."""
+    ends = b.points(spark, sf_dir).groupBy("layout", "route").agg(F.min_by(F.struct("x", "y"), "i").alias("s"), F.max_by(F.struct("x", "y"), "i").alias("e"))
+    last = F.when(F.col("route") % 9 > 0, F.col("e"))
+    ends = ends.select("layout", "route", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), last["x"].alias("ex"), last["y"].alias("ey"))
+    return spatial.ends_in_zones(ends, _zones(spark, sf_dir))
+
+
+def _reach():
+    """A task's viewing distance in pixels; every third route's plan has no scale."""
+    return spatial.reach_pixels(1000 + F.col("route") % 4 * 250, F.when(F.col("route") % 3 > 0, F.lit(_MM_PER_PX)))
+
+
+@query("pts exh wal wed seer", "SELECT layout, route, reach, count(DISTINCT CASE WHEN kind = 'visit' THEN ex_id END) AS n_visited FROM seer GROUP BY layout, route, reach")
+def visits_by_reach(spark, sf_dir):
+    """Exhibits visited at each task's own viewing distance."""
+    points = b.points(spark, sf_dir).withColumn("reach", _reach())
+    seen = spatial.sightings(points, b.exhibits(spark, sf_dir), _shapes(spark, sf_dir), "reach")
+    per = seen.groupBy("layout", "route", "reach", "ex_id").agg(F.bool_or(F.col("kind") == "visit").alias("v"))
+    return per.groupBy("layout", "route", "reach").agg(F.count_if("v").alias("n_visited"))

@@ -67,9 +67,18 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task, layout, in_range, before_year, after_year, materials, places, techniques, categories, specific, min_n)"""
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").selectExpr(
+    return _asked(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k"), 20)
+
+
+def route_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each route was asked for, as `tasks` with the route's number and layout."""
+    return _asked(table(spark, sf_dir, "events").selectExpr("user_id AS k").distinct(), 4)
+
+
+def _asked(numbers: DataFrame, layouts: int) -> DataFrame:
+    return numbers.selectExpr(
         "k AS task",
-        "k % 20 AS layout",
+        f"k % {layouts} AS layout",
         "CASE k % 4 WHEN 0 THEN array(concat(480 + k % 40, ' BC'), concat(100 + k % 300, ' AD')) WHEN 1 THEN array('150', '900') WHEN 2 THEN cast(array() AS array<string>) END AS in_range",
         "CASE WHEN k % 4 = 3 THEN concat(200 + k % 100, ' BC') END AS before_year",
         "CASE WHEN k % 8 = 3 THEN '450 BC' END AS after_year",
@@ -138,6 +147,25 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.selectExpr("k % 50 AS layout", "k AS line_no", line)
 
 
+def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path): task files of layouts, and files that are none"""
+    name = "CASE k % 5 WHEN 0 THEN 'easy_semantic' WHEN 1 THEN 'easy_spatial' WHEN 2 THEN concat('medium_', k % 11) WHEN 3 THEN concat('hard_', k % 7) ELSE 'notes' END"
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr(f"concat('plans/', CASE k % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'complex' ELSE 'draft' END, '/layout_', k % 24, '/', {name}, '.json') AS path")
+
+
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path): files in result folders, some of which lack final_results.json"""
+    name = "CASE k % 4 WHEN 0 THEN concat('medium/', c, '/medium_', k % 11) WHEN 1 THEN concat('hard/', c, '/hard_', k % 7) WHEN 2 THEN concat('easy_semantic/', c, '/easy_semantic') ELSE concat('easy_spatial/', c, '/easy_spatial') END"
+    keys = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CASE o_orderkey % 2 WHEN 0 THEN 'simple' ELSE 'complex' END AS c")
+    return keys.selectExpr(f"concat('m', k % 3, '/', {name}, '_layout_', k % 24, CASE WHEN k % 6 = 5 THEN '/run.log' ELSE '/final_results.json' END) AS path")
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(layout, id, exhibit_number): annotations, some of which have no whole number"""
+    number = "CASE k % 6 WHEN 0 THEN 'x' WHEN 1 THEN cast(null AS string) WHEN 2 THEN concat(k % 90, '') ELSE concat(k, '') END"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS k").selectExpr("k % 4 AS layout", "concat('exhibit_', k) AS id", f"{number} AS exhibit_number")
+
+
 def missing_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path)"""
     folder = "CASE k % 3 WHEN 0 THEN concat('m', k % 5, '(high)') ELSE concat('m', k % 5) END"

@@ -33,6 +33,35 @@ def write_artifacts_csv(df: DataFrame, path: str) -> None:
     df.select([c for c, t in df.dtypes if t != "binary"]).write.csv(path, header=True, escape='"')
 
 
+def sections_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(number, section) of a numbered list's CSV file with at least the columns exhibit_number and Section."""
+    raw = require(spark.read.csv(path, header=True, multiLine=True, escape='"'), ["exhibit_number", "Section"])
+    return raw.select(F.col("exhibit_number").try_cast("bigint").alias("number"), F.col("Section").alias("section"))
+
+
+def gallery_names(table: DataFrame) -> DataFrame:
+    """(layout, gallery) of an annotation table's named galleries."""
+    return table.where("kind = 'gallery' AND gallery_name IS NOT NULL").select("layout", F.col("gallery_name").alias("gallery")).distinct()
+
+
+def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """One JSON object a line; nulls are left out; `by` columns become folders."""
+    df.write.partitionBy(*(by or [])).json(path)
+
+
+def write_raw_output(df: DataFrame, path: str) -> None:
+    """A model's raw answer (`raw`) and all else about its run as one member `metadata`, side by side in one JSON table."""
+    others = [c for c in df.columns if c not in ("task", "raw")]
+    df.select("task", "raw", F.struct(*others).alias("metadata")).write.json(path)
+
+
+def output_paths(root: str, model: Column, difficulty: Column, complexity: Column, variant: Column, layout: Column) -> Column:
+    """struct(folder, raw, result, log) of where a run's files lie; a model's `/` becomes `-`, a null variant is left out."""
+    folder = F.concat_ws("/", F.lit(root), F.replace(model, F.lit("/"), F.lit("-")), difficulty, complexity, F.concat_ws("_", variant, layout))
+    names = (("raw", "raw_output.txt"), ("result", "final_results.json"), ("log", "processing.log"))
+    return F.struct(folder.alias("folder"), *[F.concat(folder, F.lit(f"/{name}")).alias(k) for k, name in names])
+
+
 def path_parts(path: Column) -> Column:
     """struct(complexity, layout) of `.../complexity/layout_NN/...`."""
     pattern = r"/([^/]+)/(layout_[^/]+)(?:/|$)"
