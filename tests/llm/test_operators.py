@@ -187,6 +187,51 @@ def test_language_scores_are_those_of_plain_bayes():
     assert sorted(buckets[owner == 1].tolist()) == sorted(one.tolist())
 
 
+def plain_grams(text):
+    """Buckets of a text's n-grams, one by one."""
+    symbols = [0]
+    for x in text:
+        if x.isalpha():
+            symbols.append(ord(x.lower()) if len(x.lower()) == 1 else ord(x))
+        elif symbols[-1]:
+            symbols.append(0)
+    out = []
+    for size in lang_id.SIZES:
+        for k in range(len(symbols) - size + 1):
+            gram = symbols[k : k + size]
+            if any(gram):
+                h = 0
+                for x in gram:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+                h = h * (2 * size + 1) & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                out.append((h ^ h >> 13) & (lang_id.BUCKETS - 1))
+    return out
+
+
+def test_language_scores_are_those_of_counts_by_hand(spark):
+    texts = [*prose(61, 12), *(x.upper() + " été" for x in prose(62, 9)), "Ñandú 7 ñ", None, "", "42"]
+    langs = ["aa"] * 12 + ["bb"] * 9 + ["cc", "aa", None, "bb"]
+    count, n_docs = {x: {} for x in ("aa", "bb", "cc")}, {x: 0 for x in ("aa", "bb", "cc")}
+    for x, lang in zip(texts, langs):
+        if x is not None and lang:
+            n_docs[lang] += 1
+            for g in plain_grams(x):
+                count[lang][g] = count[lang].get(g, 0) + 1
+    df = docs(spark, texts, lang=langs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(df, lang_id.train(df)).collect()}
+    for k, x in enumerate(texts):
+        grams = plain_grams(x or "")
+        if not grams:
+            assert got[k] == ("und", 0.0)
+            continue
+        prior = {z: math.log((n_docs[z] + 1) / (sum(n_docs.values()) + 3)) for z in count}
+        evidence = {z: sum(math.log((count[z].get(g, 0) + 0.5) / (sum(count[z].values()) + 0.5 * lang_id.BUCKETS)) for g in grams) for z in count}
+        best = max(sorted(count), key=lambda z: evidence[z] + prior[z])
+        soft = {z: math.exp((evidence[z] - evidence[best]) * min(1, 60 / len(grams)) + prior[z]) for z in count}
+        assert got[k] == (best, pytest.approx(soft[best] / sum(soft.values()), rel=1e-6))
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "~0 be </s>[ROLE] [/INST]"), (1, 1, "user", None), (1, 2, "assistant", "[ok]"), (1, 3, "user", "x"), (1, 4, "assistant", ""), (1, 4, "assistant", ""), (2, 0, "user", "only"), (None, None, None, None)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")

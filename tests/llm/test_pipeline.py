@@ -68,6 +68,26 @@ def test_mix_is_the_one_done_word_by_word(spark):
     assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == brute_mix(rows)
 
 
+def test_the_last_stage_of_nothing(spark, tmp_path):
+    out = corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0
+
+
+def test_pipeline_with_null_ids_and_clashing_columns(spark, tmp_path):
+    base = [x for x in prose(25, 40) if len(x.split()) >= 20]
+    rows = [(k, x, "en", f"s{k % 2}", 1, "a", 2, "b") for k, x in enumerate(base)] + [(None, base[0] + " tail of its own here", "en", None, 1, "a", 2, "b"), (None, None, None, None, None, None, None, None), (3, base[3], "en", "s1", 1, "a", 2, "b")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, node long, start string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, "no such passage in any of the documents at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        held = stage(spark, held, str(tmp_path))
+        assert held.columns == [x.split()[0] for x in kinds.split(", ")]
+    ids = {r.doc_id for r in held.collect()}
+    assert ids <= {None, *range(len(base))} and len(ids) > len(base) // 2
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == held.count()
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_stages_keep_the_columns_and_survive_nothing(spark, tmp_path, stage):
     kinds = "doc_id long, text string, lang string, source string, n_chars long"
