@@ -138,14 +138,11 @@ def _summaries(texts: DataFrame, size: int, num: int, den: int, counts) -> DataF
 
 def _with_ends(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """pairs (a, b), stored, with columns of table (node, ...) for both ends, named by end; a hot end is split."""
+    out = pairs
     for end, other in ("ab", "ba"):
         side = table.select(F.col("node").alias(end), *(F.col(c).alias(short + end) for c, short in columns.items()))
-        pairs = split_join(pairs, side, end, [other], counts=None if end == "a" else _pair_counts(pairs, end))
-    return pairs
-
-
-def _pair_counts(pairs: DataFrame, end: str) -> DataFrame:
-    return pairs.select(end).groupBy(end).count()
+        out = split_join(out, side, end, [other], counts=pairs.groupBy(end).count())
+    return out
 
 
 def _suffix_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -277,7 +274,7 @@ def _of_different(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 def _candidates(turn: int, met: DataFrame, shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame | None:
     """Pairs to look at in a turn, from the prefix rows whose shingle several sets have; None if none can be left."""
     if turn == 0:
-        return _possible(split_join(_ends(met, "b", "h"), _ends(met.where("node = low"), "a", "h"), "h", ["b"], counts=shared.select("h", "count")), num, den)
+        return _possible(split_join(_ends(met, "b", "h"), _ends(met.where("node = hub"), "a", "h"), "h", ["b"], counts=shared.select("h", "count")), num, den)
     marked = store.keep(_label(met.select("h", "node", "n", "pos"), labels, "node", "c"), "jaccard-marked")
     rows, groups = _apart(marked, "h", "jaccard-groups")
     if groups.isEmpty():
@@ -313,9 +310,10 @@ def _linked(df: DataFrame, size: int, threshold: tuple[int, int], id_col: str, t
         known = stage.where("node IS NOT NULL AND doc_id IS NOT NULL")
         nodes = store.keep(known.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("prefix").alias("prefix")), "jaccard-nodes")
         # Smaller sets link with equal ones only, and those are one node.
-        rows = nodes.where(f"{num} * (2 * n + 1) <= {num + den} * n").select("node", "n", F.posexplode("prefix").alias("pos", "h")).where(f"pos <= n - ({num} * n + {den - 1}) div {den}")
-        shared = store.keep(rows.groupBy("h").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("count")).where("count > 1"), "jaccard-shared")
-        met = store.keep(split_join(rows, shared.select("h", "low"), "h", ["node"], counts=shared.select("h", "count")), "jaccard-met")
+        rows = nodes.where(f"{num} * (2 * n + 1) <= {num + den} * n").select("node", "n", "low", F.posexplode("prefix").alias("pos", "h")).where(f"pos <= n - ({num} * n + {den - 1}) div {den}")
+        # The set of the smallest id goes first: copies are like what they were made from more than like each other.
+        shared = store.keep(rows.groupBy("h").agg(F.min(F.struct("low", "node")).alias("first"), F.count(F.lit(1)).alias("count")).where("count > 1").select("h", "first.node", "count").withColumnRenamed("node", "hub"), "jaccard-shared")
+        met = store.keep(split_join(rows.drop("low"), shared.select("h", "hub"), "h", ["node"], counts=shared.select("h", "count")), "jaccard-met")
         slim = nodes.select("node", "n", "bins")
         edges = labels = sets = tried = None
         for turn in range(3):
