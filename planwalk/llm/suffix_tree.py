@@ -19,6 +19,7 @@ driver, of which there are at most 2 * SPLIT_MOST. Nothing that grows with the t
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -70,6 +71,25 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys (not negative), a place of each, and each key's number among them: np.unique, by sorting numbers
+    that hold key and place together where 63 bits are enough."""
+    n = len(keys)
+    bits = max(n - 1, 1).bit_length()
+    if not n or int(keys.max()) >> (63 - bits):
+        return np.unique(keys, return_index=True, return_inverse=True)
+    both = (keys.astype(np.int64) << bits) | np.arange(n)
+    both.sort()
+    place = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    number = np.empty(n, np.int64)
+    number[place] = np.cumsum(new) - 1
+    return both[new], place[new], number
+
+
 def refine(p: np.ndarray, seen: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Probabilities after a context of `total` occurrences and `kinds` distinct next symbols, smoothed towards p."""
     return (seen + kinds * p) / (total + kinds)
@@ -91,7 +111,7 @@ def _hash(x: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
     return bt.mix(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(more).astype(np.uint64))
 
 
-_STAGE = "segment bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, tokens binary"
+_STAGE = "segment bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, places binary, words binary"
 _SENT = "bucket int, segment bigint, sent binary"
 _MET = "segment bigint, bucket int, back binary"
 #: The segment under which buckets give what concerns no segment.
@@ -112,8 +132,8 @@ def _stage(segment_bytes: int):
                 words, place = np.unique(np.insert(hashes, rows[1:], END), return_inverse=True)
                 ids, held = (batch.column(k).slice(low, high - low).to_pylist() for k in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([(np.diff(rows) + 1).tolist()], pa.list_(pa.int32())), pa.array([pack(np.diff(words.view(np.int64), prepend=0), place)], pa.binary())],
-                    names=["segment", "doc_ids", "held_out", "sizes", "tokens"],
+                    [pa.array([segment], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([(np.diff(rows) + 1).tolist()], pa.list_(pa.int32())), pa.array([pack(place)], pa.binary()), pa.array([pack(np.diff(words.view(np.int64), prepend=0))], pa.binary())],
+                    names=["segment", "doc_ids", "held_out", "sizes", "places", "words"],
                 )
                 segment += 1
 
@@ -190,16 +210,19 @@ def _meet_level(table: pa.Table, buckets: int, limit: int, last: bool) -> pa.Tab
     word = np.concatenate(word)
     n, parent_seen = (np.concatenate([x[k] for x in parts]) for k in (5, 6))
     del parts
-    order = np.lexsort((word, context))
-    context, word = context[order], word[order]
-    new = np.append(True, (np.diff(context) != 0) | (np.diff(word) != 0))
-    first = np.flatnonzero(new)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    seen = np.add.reduceat(n[order], first)
-    begins = np.flatnonzero(np.append(True, np.diff(context[first]) != 0))
-    whole, whole_parent = total[order][first], parent_total[order][first]
-    share = (seen / whole) / (np.maximum(parent_seen[order][first], 1) / whole_parent)
+    wide = int(word.max(initial=0)).bit_length()
+    if int(context.max(initial=0)) >> (63 - wide):
+        raise ValueError("more contexts and words than one number tells apart")
+    keys = (context << wide) | word
+    found = np.unique(keys)
+    group = np.searchsorted(found, keys)
+    seen = np.bincount(group, n, minlength=len(found)).astype(np.int64)
+    one = np.empty(len(found), np.int64)
+    one[group] = np.arange(len(keys))
+    context = found >> wide
+    begins = np.flatnonzero(np.append(True, np.diff(context) != 0))
+    whole, whole_parent = total[one], parent_total[one]
+    share = (seen / whole) / (np.maximum(parent_seen[one], 1) / whole_parent)
     nats = np.add.reduceat(seen * np.log(np.where(seen > 0, share, 1.0)), begins)
     kinds, whole = np.add.reduceat((seen > 0).astype(np.int64), begins), whole[begins]
     units = np.rint(nats * UNIT).astype(np.int64)
@@ -209,13 +232,13 @@ def _meet_level(table: pa.Table, buckets: int, limit: int, last: bool) -> pa.Tab
     if not last:
         some = np.flatnonzero(seen >= MIN_COUNT)
         number[some[np.argsort(-seen[some], kind="stable")]] = 1 + np.arange(len(some)) * buckets + bucket
-    told_of_run = told[np.cumsum(np.append(True, np.diff(context[first]) != 0)) - 1]
+    told_of_run = np.repeat(told, np.diff(np.append(begins, len(context))))
     back, at = [], 0
     for x, size in zip(lens, many):
         own = group[at : at + size]
         back.append(pack(seen[own], number[own], told_of_run[own[np.cumsum(x) - x]]))
         at += size
-    back.append(pack(context[first][begins][split], kinds[split], units[split], whole[split]))
+    back.append(pack(context[begins][split], kinds[split], units[split], whole[split]))
     segments = table.column("segment").to_pylist() + [NO_SEGMENT]
     return pa.table({"segment": pa.array(segments, pa.int64()), "bucket": pa.array([bucket] * len(back), pa.int32()), "back": pa.array(back, pa.binary())})
 
@@ -270,15 +293,16 @@ class Segment:
     def __init__(self, row: dict, known: int, setting: Setting):
         self.number, self.doc_ids, self.held = row["segment"], row["doc_ids"], np.array(row["held_out"], bool)
         self.rows = np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
-        steps, self.place = unpack(row["tokens"])
-        self.words = np.cumsum(steps).view(np.uint64)
+        (self.place,) = unpack(row["places"])
         self.trained = np.repeat(~self.held, np.diff(self.rows))
         self.setting, self.levels = setting, []
         if known == 0:
+            self.words = np.cumsum(unpack(row["words"])[0]).view(np.uint64)
             return
-        count, number = (x[self.place] for x in _given(row["n0"], 2))
+        counts, numbers = _given(row["n0"], 2)
+        count, number = counts[self.place], numbers[self.place]
         self.count = count
-        _, self.local = np.unique(number, return_inverse=True)
+        self.local = np.unique(numbers, return_inverse=True)[1][self.place]
         first = np.zeros(len(self.place), bool)
         first[self.rows[:-1]] = True
         some = np.flatnonzero(~first)
@@ -298,9 +322,9 @@ class Segment:
             context, total, parent_total, parent_seen = told[0, some - 1], told[1, some - 1], told[2, some], told[3, some]
 
     def _level(self, some, context, word, total, parent_total, parent_seen) -> Level:
-        setting, names = self.setting, np.unique(context)
-        key = np.searchsorted(names, context) * (int(self.local.max(initial=0)) + 1) + self.local[some]
-        _, one, at = np.unique(key, return_index=True, return_inverse=True)
+        setting = self.setting
+        names, _, number = distinct(context)
+        _, one, at = distinct(number * (int(self.local.max(initial=0)) + 1) + self.local[some])
         n = np.bincount(at, self.trained[some], minlength=len(one)).astype(np.int64)
         context, word, total, parent_total, parent_seen = (x[one] for x in (context, word, total, parent_total, parent_seen))
         part = _hash(word) % np.maximum(-(-total // setting.limit), 1).astype(np.uint64)
@@ -323,7 +347,7 @@ class Segment:
         for d in range(len(self.levels) - 1, 0, -1):
             longer, level = self.levels[d], self.levels[d - 1]
             above[longer.place] |= longer.held[longer.at]
-            names, group = np.unique(level.context, return_inverse=True)
+            names, _, group = distinct(level.context)
             raised, known = np.zeros(len(names), bool), np.zeros(len(names), bool)
             raised[group[level.at[above[level.place]]]] = True
             known[group[level.held]] = True
@@ -372,14 +396,22 @@ def _each(batches, known: int, setting: Setting, f) -> Iterator[pa.RecordBatch]:
 
 
 def _exchange(frame: DataFrame, name: str, send: Callable, meet: Callable) -> tuple[DataFrame, list[list[np.ndarray]]]:
-    """frame and a column `name` with what the buckets give each segment back, and what they give for no segment."""
+    """(segment, name) with what the buckets give each segment back, and what they give for no segment."""
     met = store.keep(frame.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _MET), f"lm-{name}", "none")
     told = [unpack(bytes(r["back"])) for r in met.where(F.col("segment") == NO_SEGMENT).select("back").collect()]
-    back = met.where(F.col("segment") != NO_SEGMENT).groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name))
-    more = frame.join(back, "segment", "left").persist(StorageLevel.DISK_ONLY)
-    more.count()
-    frame.unpersist()
-    return more, told
+    return met.where(F.col("segment") != NO_SEGMENT).groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name)), told
+
+
+def _held(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """df on the executors' disks, dealt as it is; what it came of is let go."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    if before is not None:
+        before.unpersist()
+    # Spark removes the shuffle files of plans that nobody refers to when the driver's JVM collects them
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
 
 
 def _whole(told: list[list[np.ndarray]]) -> dict[str, np.ndarray]:
@@ -412,26 +444,34 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least, most = SPLIT_LEAST, SPLIT_MOST
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    frame = texts.mapInArrow(_stage(SEGMENT_BYTES), _STAGE).repartition(parts, "segment").persist(StorageLevel.DISK_ONLY)
-    setting = Setting(BUCKETS * max(1, -(-frame.count() // BUCKET_SEGMENTS)), depth)
 
-    def each(known: int, f: Callable, schema_setting: Setting) -> Callable:
-        return lambda batches: _each(batches, known, schema_setting, f)
+    def each(known: int, f: Callable, setting: Setting) -> Callable:
+        return lambda batches: _each(batches, known, setting, f)
 
-    buckets = setting.buckets
     with store.scratch():
-        frame, told = _exchange(frame, "n0", each(0, lambda segment, _: segment.send_words(), setting), lambda table: _meet_words(table, buckets))
+        with store.scratch():
+            stage = store.keep(texts.mapInArrow(_stage(SEGMENT_BYTES), _STAGE), "lm-stage", "none")
+            buckets = BUCKETS * max(1, -(-stage.count() // BUCKET_SEGMENTS))
+            setting = Setting(buckets, depth)
+            back, told = _exchange(stage, "n0", each(0, lambda segment, _: segment.send_words(), setting), lambda table: _meet_words(table, buckets))
+            # segments from here on know their words by number, and lie as what they are given back does
+            frame = _held(stage.drop("words").repartition(parts, "segment").join(back, "segment"))
         n, v, once = (sum(int(x[0][k]) for x in told) for k in range(3))
         limit = max(least, -(-n // most))
 
         def meet_level(last: bool) -> Callable:
             return lambda table: _meet_level(table, buckets, limit, last)
 
-        setting = Setting(buckets, depth, n, v, once, limit)
+        setting, known = Setting(buckets, depth, n, v, once, limit), None
         for d in range(1, depth + 1):
-            frame, told = _exchange(frame, f"n{d}", each(d, lambda segment, _: segment.levels[-1].send(segment.number), setting), meet_level(d == depth))
+            with store.scratch():
+                rows = frame if known is None else frame.join(known, "segment", "left")
+                back, told = _exchange(rows, f"n{d}", each(d, lambda segment, _: segment.levels[-1].send(segment.number), setting), meet_level(d == depth))
+                known = _held((frame.select("segment") if known is None else known).join(back, "segment", "left"), known)
             setting = Setting(buckets, depth, n, v, once, limit, [*setting.split, _whole(told)])
-        frame, _ = _exchange(frame, "raised", each(depth + 1, lambda segment, _: segment.send_unsure(), setting), _meet_raised)
+        with store.scratch():
+            back, _ = _exchange(frame.join(known, "segment", "left"), "raised", each(depth + 1, lambda segment, _: segment.send_unsure(), setting), _meet_raised)
+            known = _held(known.join(back, "segment", "left"), known)
 
         def finish(segment, row):
             value, rows, c = segment.log10(row["raised"]), segment.rows, segment.count
@@ -440,7 +480,8 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-        scored = frame.mapInArrow(each(depth + 1, finish, setting), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        scored = frame.join(known, "segment", "left").mapInArrow(each(depth + 1, finish, setting), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
         out = store.keep(scored, "lm-scores", outer=True)
     frame.unpersist()
+    known.unpersist()
     return out
