@@ -67,4 +67,4 @@ def rectangle_corners(rect: Column) -> Column:
 def centre(points: Column) -> Column:
     """Mean of a polygon's vertices."""
     n = F.size(points)
-    return F.struct(*[(F.aggregate(points, F.lit(0.0), lambda s, p, c=c: s + p[c]) / n).alias(c) for c in ("x", "y")])
+    return F.struct(*[(F.aggregate(points[c], F.lit(0.0), lambda s, v: s + v) / n).alias(c) for c in ("x", "y")])

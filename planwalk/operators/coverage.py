@@ -87,19 +87,29 @@ def minimum_count(tasks: DataFrame, visits: DataFrame) -> DataFrame:
 
 
 def needs(tasks: DataFrame, exhibits: DataFrame) -> DataFrame:
-    """(task, ex_id, needs_<check> of each check and `combined`, in_category, section): every exhibit of a task's layout that anything asks for."""
-    pairs = tasks.join(exhibits, "layout")
-    has, fits = {k: _configured(tasks, k) for k in CHECKS}, {k: _matches(k) for k in CHECKS}
-    marked = pairs.select("task", "ex_id", "section", *[has[k].alias(f"has_{k}") for k in CHECKS], *[fits[k].alias(f"fits_{k}") for k in CHECKS], F.coalesce(F.array_contains("categories", F.col("section")), F.lit(False)).alias("in_category"))
-    some, whole = F.lit(False), F.lit(True)
-    for k in CHECKS:
-        some, whole = some | F.col(f"has_{k}"), whole & (~F.col(f"has_{k}") | F.col(f"fits_{k}"))
-    each = [(F.col(f"has_{k}") & F.col(f"fits_{k}")).alias(f"needs_{k}") for k in CHECKS]
-    out = marked.select("task", "ex_id", "section", *each, (some & whole).alias("needs_combined"), "in_category")
-    asked = F.col("in_category") | F.col("needs_combined")
+    """(task, ex_id, needs_<check> of each check and `combined`, in_category, section): every exhibit of a task's layout that anything asks for.
+
+    Years are parsed and texts lower-cased before tasks and exhibits meet."""
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda n: F.lower(n))
+    year = lambda k: text.parse_year(F.get("in_range", F.lit(k)))
+    asked = tasks.select(
+        "task", "layout", "categories",
+        *[_configured(tasks, k).alias(f"has_{k}") for k in CHECKS],
+        (F.size(F.coalesce("in_range", F.array().cast("array<string>"))) >= 2).alias("ranged"), year(0).alias("from"), year(1).alias("to"),
+        F.col("before_year").isNotNull().alias("ends"), text.parse_year(F.col("before_year")).alias("before"),
+        F.col("after_year").isNotNull().alias("begins"), text.parse_year(F.col("after_year")).alias("after"),
+        *[low(F.col(f"{k}s")).alias(f"{k}s") for k in CHECKS[1:]],
+    )
+    shown = exhibits.select("layout", "ex_id", "section", "year_min", "year_max", *[F.lower(c).alias(c) for c in ("material", "technique", "city", "country")])
+    holds = lambda value, needles: F.coalesce(F.exists(needles, lambda n: F.contains(F.col(value), n)), F.lit(False))
+    inside = ~F.col("ranged") | ((F.col("year_min") >= F.col("from")) & (F.col("year_max") <= F.col("to")))
+    date = inside & (~F.col("ends") | (F.col("year_max") < F.col("before"))) & (~F.col("begins") | (F.col("year_min") > F.col("after")))
+    fits = {"date": F.coalesce(date, F.lit(False)), "material": holds("material", "materials"), "place": holds("city", "places") | holds("country", "places"), "technique": holds("technique", "techniques")}
+    marked = asked.join(shown, "layout").select("task", "ex_id", "section", *[f"has_{k}" for k in CHECKS], *[(F.col(f"has_{k}") & fits[k]).alias(f"needs_{k}") for k in CHECKS], F.coalesce(F.array_contains("categories", F.col("section")), F.lit(False)).alias("in_category"))
+    some, whole, any_ = F.lit(False), F.lit(True), F.col("in_category")
     for k in CHECKS:
-        asked = asked | F.col(f"needs_{k}")
-    return out.where(asked)
+        some, whole, any_ = some | F.col(f"has_{k}"), whole & (~F.col(f"has_{k}") | F.col(f"needs_{k}")), any_ | F.col(f"needs_{k}")
+    return marked.where(any_).select("task", "ex_id", "section", *[f"needs_{k}" for k in CHECKS], (some & whole).alias("needs_combined"), "in_category")
 
 
 def semantic_overall(tasks: DataFrame, exhibits: DataFrame, visits: DataFrame) -> DataFrame:

@@ -37,15 +37,18 @@ def components(pixels: DataFrame) -> DataFrame:
     Each round takes the least label around, then that label's own label, so distances halve; rounds are stored."""
     pixels = pixels.select("route", "x", "y").distinct()
     near = shared.keep(neighbours(pixels), "pixel-neighbours")
-    labels = shared.keep(pixels.withColumn("c", F.struct("x", "y")), "pixel-labels")
+    held = shared.keep(pixels.withColumn("c", F.struct("x", "y")), "pixel-labels")
+    labels = held
     while True:
         around = near.join(labels.select("route", F.col("x").alias("nx"), F.col("y").alias("ny"), "c"), ["route", "nx", "ny"]).groupBy("route", "x", "y").agg(F.min("c").alias("low"))
         lower = labels.join(around, ["route", "x", "y"], "left").select("route", "x", "y", F.col("c").alias("old"), F.least("c", F.coalesce("low", "c")).alias("c"))
         top = labels.select("route", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("c").alias("up"))
         jumped = lower.join(top, (lower["route"] == top["route"]) & (F.col("c.x") == F.col("tx")) & (F.col("c.y") == F.col("ty")), "left").select(lower["route"], "x", "y", "old", F.least("c", F.coalesce("up", "c")).alias("c"))
         jumped = shared.keep(jumped, "pixel-labels")
-        labels = jumped.select("route", "x", "y", "c")
+        shared.drop(held)
+        held, labels = jumped, jumped.select("route", "x", "y", "c")
         if not jumped.where("c < old").take(1):
+            shared.drop(near)
             return labels.select("route", "x", "y", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
 
 
@@ -220,7 +223,10 @@ def match_circles(found: DataFrame, annotated: DataFrame, *radii: float) -> Data
             mutual = left.groupBy("img", "ann_id").agg(F.min(order).alias("b")).select("img", "b.*").join(best, ["img", "found_id", "ann_id", "dist"], "left_semi")
             taken = shared.keep(mutual.select("img", "found_id", "ann_id", "dist"), "circle-matches")
             out = taken if out is None else out.unionByName(taken)
-            left = shared.keep(left.join(taken, ["img", "found_id"], "left_anti").join(taken, ["img", "ann_id"], "left_anti"), "circle-pairs")
+            rest = shared.keep(left.join(taken, ["img", "found_id"], "left_anti").join(taken, ["img", "ann_id"], "left_anti"), "circle-pairs")
+            shared.drop(left)
+            left = rest
+        shared.drop(left)
     return out if out is not None else _circle_pairs(found, annotated, 1.0).limit(0)
 
 

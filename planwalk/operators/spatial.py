@@ -238,6 +238,15 @@ def rasterise(points: DataFrame, width: int = 5) -> DataFrame:
     return inked.select("layout", "route", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).distinct()
 
 
+def zone_centres(zones: DataFrame) -> DataFrame:
+    """(layout, role, x, y): the centre of a layout's first zone of each role by id; zones as in `ends_in_zones`."""
+    mid = g.centre(F.col("z.points"))
+    x = F.when(F.col("z.shape") == "rectangle", F.col("z.x") + F.col("z.w") / 2).when(F.col("z.shape") == "circle", F.col("z.cx")).otherwise(mid["x"])
+    y = F.when(F.col("z.shape") == "rectangle", F.col("z.y") + F.col("z.h") / 2).when(F.col("z.shape") == "circle", F.col("z.cy")).otherwise(mid["y"])
+    first = zones.groupBy("layout", "role").agg(F.min_by(F.struct("shape", "x", "y", "w", "h", "cx", "cy", "points"), "id").alias("z"))
+    return first.select("layout", "role", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
 def stroke_pixels(points: DataFrame, width: int = 5) -> DataFrame:
     """(layout, route, i, n_pixels): how many pixels the stroke from point i to the next one covers."""
     path = Window.partitionBy("layout", "route").orderBy("i")

@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if held:
         return held.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     held = "file://" + tempfile.mkdtemp(prefix="spark-planwalk-")
     spark.conf.set("spark.checkpoint.dir", held)
@@ -25,4 +25,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planwalk/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Removes tables of `keep` that nothing reads any more."""
+    for df in kept:
+        spark = df.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

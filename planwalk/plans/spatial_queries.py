@@ -207,3 +207,11 @@ def visits_by_reach(spark, sf_dir):
     seen = spatial.sightings(points, b.exhibits(spark, sf_dir), _shapes(spark, sf_dir), "reach")
     per = seen.groupBy("layout", "route", "reach", "ex_id").agg(F.bool_or(F.col("kind") == "visit").alias("v"))
     return per.groupBy("layout", "route", "reach").agg(F.count_if("v").alias("n_visited"))
+
+
+_CENTRE = "CASE (layout + {1}) % 4 WHEN 0 THEN {0} + {2} / 2 WHEN 1 THEN {0} ELSE {0} + {3}::DOUBLE END"
+
+
+@query("reg", f"WITH z AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY layout ORDER BY id) = 1) SELECT layout, 'entrance' AS role, CAST({_CENTRE.format('x', 0, 'w', 107.5)} AS DOUBLE) AS x, CAST({_CENTRE.format('y', 0, 'h', 117.5)} AS DOUBLE) AS y FROM z UNION ALL SELECT layout, 'exit', CAST({_CENTRE.format('x', 1, 'w', 107.5)} AS DOUBLE), CAST({_CENTRE.format('y', 1, 'h', 117.5)} AS DOUBLE) FROM z")
+def zone_centres(spark, sf_dir):
+    return spatial.zone_centres(_zones(spark, sf_dir))
