@@ -155,13 +155,6 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def crc_rows(ids: np.ndarray) -> np.ndarray:
-    """Unsigned crc32 of each number's decimal text."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(str(x).encode()) for x in ids), dtype=np.int64, count=len(ids))
-
-
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values[bounds[i]:bounds[i+1]] for each i, 0 for empty runs."""
     total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
