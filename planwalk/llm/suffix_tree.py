@@ -19,7 +19,6 @@ driver, of which there are at most 2 * SPLIT_MOST. Nothing that grows with the t
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -408,9 +407,7 @@ def _held(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
     df.count()
     if before is not None:
         before.unpersist()
-    # Spark removes the shuffle files of plans that nobody refers to when the driver's JVM collects them
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    store.release(df.sparkSession)
     return df
 
 
