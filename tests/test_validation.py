@@ -166,6 +166,18 @@ def test_records_of_a_clean_route_and_of_none(spark):
     assert got[2].status == "no route" and got[2].svr["wall_crossings"] is True and not any(got[2].scar.values())
 
 
+def test_extraction_of_a_line_and_of_nothing(spark):
+    plan = [(1, x, 0, 10) for x in range(40)] + [(2, x, 0, 10) for x in range(40)]
+    line = [(1, x, y, 60) for x in range(5, 36) for y in range(10, 14)]
+    kinds = "route long, x long, y long, gray int"
+    original, aligned = spark.createDataFrame(plan, kinds), spark.createDataFrame(plan + line, kinds)
+    anchors = spark.createDataFrame([(1, 40.0, 12.0, 0.0, 12.0), (2, 0.0, 0.0, 0.0, 0.0)], "route long, in_x double, in_y double, out_x double, out_y double")
+    got = {r.route: r for r in validation.extract_routes(aligned, original, anchors, 0).collect()}
+    assert (got[1].n_pixels, got[1].n_fragments, got[1].is_connected, got[1].status) == (len(line), 1, True, "ok")
+    assert got[1].sx > got[1].ex and got[1].length == pytest.approx(got[1].sx - got[1].ex, abs=2)
+    assert tuple(got[2])[1:] == (0, 0, False, None, None, None, None, None, "no route")
+
+
 def png(image, kind, filters):
     step, (height, width) = image.shape[2], image.shape[:2]
     raw, above = b"", np.zeros((width, step), np.int64)
