@@ -143,6 +143,8 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_co
         docs = stage.where("kind = 0").select("doc_id", "n_tokens", "root", "chunks")
         placed = running_sum(docs, ["doc_id", "root"], "n_tokens", "start", "token-recipes", "number")
         placed.repartitionByRange("number").sortWithinPartitions("number").select("number", "doc_id", "start", "n_tokens", "root", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
+        del stage, chunks, docs, placed
+    store.release(spark)
     level, nodes = 0, _tree_level(_leaves(spark.read.parquet(f"{path}/recipes")))
     while True:
         nodes.select(F.lit(level).alias("level"), "node", "n_docs", "n_tokens", "root").write.mode("append").parquet(f"{path}/manifest")
