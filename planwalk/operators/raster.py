@@ -1,14 +1,14 @@
 """Routes as pixels: rows (route, x, y). Neighbours are the eight around a pixel.
 
-Adjacency is an equi-join on shifted coordinates. Thinning, pruning and geodesic walks, which have no relational form,
-run in numpy for one route at a time; a route's image is what one task holds.
+Adjacency is an equi-join on shifted coordinates. Geodesic walks, which would take a round for each step, run for one
+route at a time; a route's line is what one task holds. Thinning and pruning are in `lines`.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +17,12 @@ from planwalk.functions import geometry
 from planwalk.plans import shared
 
 AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
+FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 
 
-def neighbours(pixels: DataFrame) -> DataFrame:
+def neighbours(pixels: DataFrame, around: list[tuple[int, int]] = AROUND) -> DataFrame:
     """(route, x, y, nx, ny): each pair of neighbouring pixels in both directions."""
-    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in AROUND])
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in around])
     near = pixels.select("route", "x", "y", F.explode(shifts).alias("o")).select("route", "x", "y", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"))
     return near.join(pixels.select("route", F.col("x").alias("nx"), F.col("y").alias("ny")), ["route", "nx", "ny"]).select("route", "x", "y", "nx", "ny")
 
@@ -31,12 +32,12 @@ def endpoints(pixels: DataFrame) -> DataFrame:
     return neighbours(pixels).groupBy("route", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("route", "x", "y")
 
 
-def components(pixels: DataFrame) -> DataFrame:
+def components(pixels: DataFrame, around: list[tuple[int, int]] = AROUND) -> DataFrame:
     """(route, x, y, cx, cy): each pixel with the least (x, y) of its connected pixels.
 
     Each round takes the least label around, then that label's own label, so distances halve; rounds are stored."""
     pixels = pixels.select("route", "x", "y").distinct()
-    near = shared.keep(neighbours(pixels), "pixel-neighbours")
+    near = shared.keep(neighbours(pixels, around), "pixel-neighbours")
     held = shared.keep(pixels.withColumn("c", F.struct("x", "y")), "pixel-labels")
     labels = held
     while True:
@@ -98,81 +99,41 @@ def histogram(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("img", color_bin().alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def dominant_bin(candidates: DataFrame, original: DataFrame, presence: float = 0.01, least_saturation: int = 50) -> DataFrame:
+def in_bin(number: Column, h: Column, s: Column, v: Column) -> Column:
+    """Whether a colour lies in a bin's range: 10 hues, 35 saturations and 50 values around its centre, hues closing to a circle."""
+    hc, sc, vc = F.floor(number / 32) * 5 + 2.5, F.floor(number % 32 / 4) * 32 + 16, number % 4 * 64 + 32
+    # whole hues, cut off towards zero
+    low, high = (hc - 10).cast("int"), (hc + 10).cast("int")
+    hue = F.when(hc - 10 < 0, (h >= low + 180) | (h <= high)).when(hc + 10 > 179, (h >= low) | (h <= high - 180)).otherwise(h.between(low, high))
+    return hue & (F.abs(s - sc) <= 35) & (F.abs(v - vc) <= 50)
+
+
+def dominant_bin(candidates: DataFrame, original: DataFrame, presence: float = 0.01, least_saturation: int = 50, sizes: DataFrame | None = None) -> DataFrame:
     """(img, bin, cnt, share): the most frequent bin of the candidate pixels that is coloured and rare in the original image.
 
     Bins below 5 pixels are ignored; an image whose first bin has less than a tenth of its pixels has none. A bin's range
-    is 10 hues, 35 saturations and 50 values around its centre, hues closing to a circle. The original image is
-    reduced to its distinct colours first."""
+    is in_bin()'s. sizes(img, size): the pixels of the original images, if the table lacks some (white ones). The original
+    image is reduced to its distinct colours first."""
     bins = histogram(candidates)
     total = F.sum("cnt").over(Window.partitionBy("img"))
     place = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("cnt"), "bin"))
     ranked = bins.withColumn("share", F.col("cnt") / total).withColumn("rank", place).withColumn("top", F.max("share").over(Window.partitionBy("img")))
-    centre = ranked.where("top >= 0.1 AND cnt >= 5").select("img", "bin", "cnt", "share", "rank", (F.floor(F.col("bin") / 32) * 5 + 2.5).alias("hc"), (F.floor(F.col("bin") % 32 / 4) * 32 + 16).alias("sc"), (F.col("bin") % 4 * 64 + 32).alias("vc"))
-    centre = centre.where(F.col("sc") >= least_saturation)
+    centre = ranked.where("top >= 0.1 AND cnt >= 5").select("img", "bin", "cnt", "share", "rank").where(F.floor(F.col("bin") % 32 / 4) * 32 + 16 >= least_saturation)
     colors = original.groupBy("img", "h", "s", "v").agg(F.count(F.lit(1)).alias("n"))
-    size = colors.groupBy("img").agg(F.sum("n").alias("size"))
-    # whole hues, cut off towards zero
-    hl, hh = (F.col("hc") - 10).cast("int"), (F.col("hc") + 10).cast("int")
-    hue = F.when(F.col("hc") - 10 < 0, (F.col("h") >= hl + 180) | (F.col("h") <= hh)).when(F.col("hc") + 10 > 179, (F.col("h") >= hl) | (F.col("h") <= hh - 180)).otherwise(F.col("h").between(hl, hh))
-    near = centre.join(colors, "img").where(hue & (F.abs(F.col("s") - F.col("sc")) <= 35) & (F.abs(F.col("v") - F.col("vc")) <= 50))
+    size = colors.groupBy("img").agg(F.sum("n").alias("size")) if sizes is None else sizes
+    near = centre.join(colors, "img").where(in_bin(F.col("bin"), F.col("h"), F.col("s"), F.col("v")))
     common = near.groupBy("img", "bin").agg(F.sum("n").alias("n"))
     tested = centre.join(common, ["img", "bin"], "left").join(size, "img").where(F.coalesce("n", F.lit(0)) / F.col("size") <= presence)
     return tested.groupBy("img").agg(F.min_by(F.struct("bin", "cnt", "share"), "rank").alias("b")).select("img", "b.bin", "b.cnt", F.round("b.share", 4).alias("share"))
 
 
-def _grid(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """A mask with a free pixel all round, and where its corner lies."""
-    left, up = int(x.min()) - 1, int(y.min()) - 1
-    mask = np.zeros((int(y.max()) - up + 2, int(x.max()) - left + 2), bool)
-    mask[y - up, x - left] = True
-    return mask, left, up
-
-
-def _ring(mask: np.ndarray) -> np.ndarray:
-    """The eight neighbours of each inner pixel, clockwise from above, as [8, rows, columns]."""
-    rows, cols = mask.shape
-    order = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    return np.stack([mask[1 + dy : rows - 1 + dy, 1 + dx : cols - 1 + dx] for dy, dx in order])
-
-
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Zhang and Suen's thinning (1984) of a mask whose border is free: two tests in turn until nothing is removed."""
-    mask = mask.copy()
-    while True:
-        removed = False
-        for step in (0, 1):
-            ring = _ring(mask)
-            count = ring.sum(axis=0)
-            turns = (~ring & np.roll(ring, -1, axis=0)).sum(axis=0)
-            n, e, s, w = ring[0], ring[2], ring[4], ring[6]
-            edge = ~(n & e & s) & ~(e & s & w) if step == 0 else ~(n & e & w) & ~(n & s & w)
-            drop = mask[1:-1, 1:-1] & (count >= 2) & (count <= 6) & (turns == 1) & edge
-            if drop.any():
-                mask[1:-1, 1:-1] &= ~drop
-                removed = True
-        if not removed:
-            return mask
-
-
-def prune(mask: np.ndarray, passes: int) -> np.ndarray:
-    """The mask without its end pixels, taken off `passes` times or until there are none."""
-    mask = mask.copy()
-    for _ in range(passes):
-        ends = mask[1:-1, 1:-1] & (_ring(mask).sum(axis=0) == 1)
-        if not ends.any():
-            break
-        mask[1:-1, 1:-1] &= ~ends
-    return mask
-
-
 def geodesic(points: set[tuple[int, int]], start: tuple[int, int]) -> dict[tuple[int, int], float]:
-    """Length of the path with the fewest steps from start to each pixel it reaches; of equal ones the first found, straight steps first."""
-    steps = sorted(AROUND, key=lambda d: (abs(d[0]) + abs(d[1]), d))
+    """Length of the path with the fewest steps from start to each pixel it reaches; of equal ones the first found, as pixels
+    look around by columns and each column from above."""
     dist, queue = {start: 0.0}, deque([start])
     while queue:
         x, y = queue.popleft()
-        for dx, dy in steps:
+        for dx, dy in AROUND:
             at = x + dx, y + dy
             if at in points and at not in dist:
                 dist[at] = dist[x, y] + (2**0.5 if dx and dy else 1.0)
@@ -180,17 +141,6 @@ def geodesic(points: set[tuple[int, int]], start: tuple[int, int]) -> dict[tuple
     return dist
 
 
-def skeletons(pixels: DataFrame, passes: int = 0) -> DataFrame:
-    """(route, x, y): each route thinned to lines one pixel wide, then pruned `passes` times. Repeated pixels count once."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask, left, up = _grid(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64))
-        y, x = np.nonzero(prune(thin(mask), passes))
-        return pd.DataFrame({"route": pdf["route"].iloc[0], "x": x + left, "y": y + up})
-
-    return pixels.select("route", "x", "y").groupBy("route").applyInPandas(run, "route bigint, x bigint, y bigint")
-
-
 def farthest(pixels: DataFrame, starts: DataFrame) -> DataFrame:
     """(route, x, y, length): the pixel farthest from the route's start along its pixels; ties by (x, y). starts(route, sx, sy)."""
 
@@ -255,6 +205,12 @@ def square(low: int, high: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dx in range(low, high + 1) for dy in range(low, high + 1)]
 
 
+def ellipse(radius: int) -> list[tuple[int, int]]:
+    """The offsets of a round brush: in each row as many as the circle is wide there, rounded."""
+    reach = lambda dy: round(math.sqrt(radius * radius - dy * dy))
+    return [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-reach(dy), reach(dy) + 1)]
+
+
 CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
 
 
@@ -292,43 +248,72 @@ def subtracted(one: DataFrame, other: DataFrame) -> DataFrame:
 def morphological_skeleton(pixels: DataFrame, brush: list[tuple[int, int]] | None = None) -> DataFrame:
     """The pixels that an opening takes from the mask or from any of its erosions, until nothing is left; erosions are stored."""
     brush = brush or CROSS
-    mask, out = shared.keep(pixels.select("route", "x", "y").distinct(), "skeleton-mask"), None
-    while not mask.isEmpty():
-        less = shared.keep(erode(mask, brush), "skeleton-mask")
-        ends = subtracted(mask, dilate(less, brush))
-        out = ends if out is None else merged(out, ends)
-        mask = less
-    return out if out is not None else pixels.select("route", "x", "y")
+    with shared.scratch():
+        mask, out = shared.keep(pixels.select("route", "x", "y").distinct(), "skeleton-mask"), None
+        while not mask.isEmpty():
+            less = shared.keep(erode(mask, brush), "skeleton-mask")
+            ends = subtracted(mask, dilate(less, brush))
+            out = ends if out is None else out.unionByName(ends)
+            mask = less
+        # a pixel may be left over by several erosions
+        return shared.keep(out.distinct() if out is not None else mask, "skeleton", outer=True)
 
 
 def drawn_mask(aligned: DataFrame, original: DataFrame, threshold: int = 10, tolerance: int = 3) -> DataFrame:
     """(route, x, y): what was drawn on an original image, both as (route, x, y, gray), 0 dark to 255.
 
     Ink is darker than 255 - threshold. Drawn is ink farther than `tolerance` from the original's ink, and what differs by
-    more than the threshold there. Pixels that an image lacks are white. Images come smoothed, if they need it."""
-    round_ = [(dx, dy) for dx, dy in square(-tolerance, tolerance) if dx * dx + dy * dy <= tolerance * tolerance]
+    more than the threshold there. Pixels that an image lacks are white. Images come smoothed; for coloured ones see `extraction`."""
     ink = lambda df: df.where(F.col("gray") <= 255 - threshold)
     both = aligned.select("route", "x", "y", F.col("gray").alias("a")).join(original.select("route", "x", "y", F.col("gray").alias("o")), ["route", "x", "y"], "full_outer").fillna(255, ["a", "o"])
     differs = both.where(F.abs(F.col("a") - F.col("o")) > threshold)
-    return subtracted(merged(ink(aligned), differs), dilate(ink(original), round_))
+    return subtracted(merged(ink(aligned), differs), dilate(ink(original), ellipse(tolerance)))
 
 
 # Fixed ranges of the two colours (hue, saturation, value, both ends included) that mark an entrance and an exit.
 BOX_COLORS = {"entrance": ((35, 85), (60, 255), (60, 255)), "exit": ((20, 35), (80, 255), (80, 255))}
 
 
-def color_boxes(pixels: DataFrame, role: str, least_area: int = 100) -> DataFrame:
-    """(route, x, y, w, h, n_pixels): the bounding box of each image's largest part in the role's colour.
+def outlines(labelled: DataFrame, least_area: float = 0) -> DataFrame:
+    """(route, cx, cy, area, n_pixels, x, y, w, h) of the components (route, x, y, cx, cy) that may have least_area.
+
+    area: that of the polygon through the centres of a component's outer border, so a box of w by h pixels has
+    (w - 1) * (h - 1), a line none, and holes count. Holes are what a flood of the background, side by side from
+    around the component, doesn't reach. Of every square of four centres the polygon holds all, if they are all filled, half
+    if three are, else nothing."""
+    key = ["route", "cx", "cy"]
+    boxes = labelled.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pixels"), *[fn(c).alias(n + c) for c in "xy" for n, fn in (("l", F.min), ("h", F.max))])
+    boxes = boxes.where((F.col("hx") - F.col("lx")) * (F.col("hy") - F.col("ly")) >= least_area)
+    own = labelled.join(boxes, key, "left_semi").select(F.struct(*key).alias("route"), "x", "y")
+    framed = boxes.select(F.struct(*key).alias("route"), "lx", "ly", "hy", F.explode(F.sequence(F.col("lx") - 1, F.col("hx") + 1)).alias("x"))
+    framed = framed.select("route", "lx", "ly", "x", F.explode(F.sequence(F.col("ly") - 1, F.col("hy") + 1)).alias("y"))
+    flooded = components(framed.join(own, ["route", "x", "y"], "left_anti"), FOUR)
+    corner = boxes.select(F.struct(*key).alias("route"), (F.col("lx") - 1).alias("cx"), (F.col("ly") - 1).alias("cy"))
+    filled = own.unionByName(flooded.join(corner, ["route", "cx", "cy"], "left_anti").select("route", "x", "y"))
+    squares = square_counts(filled)
+    area = squares.groupBy("route").agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("area")).select("route.*", "area")
+    out = boxes.join(area, key).where(F.col("area") >= least_area)
+    return out.select(*key, "area", "n_pixels", F.col("lx").alias("x"), F.col("ly").alias("y"), (F.col("hx") - F.col("lx") + 1).alias("w"), (F.col("hy") - F.col("ly") + 1).alias("h"))
+
+
+def square_counts(pixels: DataFrame) -> DataFrame:
+    """(route, x, y, n): how many of the four pixels (x, y), (x + 1, y), (x, y + 1), (x + 1, y + 1) there are, where any is."""
+    spread = pixels.select("route", "x", "y", F.explode(_offsets(square(-1, 0))).alias("o"))
+    return spread.select("route", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).groupBy("route", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def color_boxes(pixels: DataFrame, role: str, least_area: float = 100) -> DataFrame:
+    """(route, x, y, w, h, area): the bounding box of each image's largest part in the role's colour.
 
-    pixels(route, x, y, h, s, v). Gaps up to two pixels are closed and specks taken off with a brush of five; an image
-    without a part of least_area pixels has no box. Ties go to the part with the least first pixel."""
+    pixels(route, x, y, h, s, v). Gaps are closed by a brush of five, twice, and specks taken off by it once; an image
+    without a part whose outline has least_area (see outlines()) has no box. Ties go to the part with the least first pixel."""
     (h1, h2), (s1, s2), (v1, v2) = BOX_COLORS[role]
     mask = pixels.where(F.col("h").between(h1, h2) & F.col("s").between(s1, s2) & F.col("v").between(v1, v2)).select("route", "x", "y")
     five, nine = square(-2, 2), square(-4, 4)  # twice a brush of five is one of nine
-    parts = components(shared.keep(opened(erode(dilate(mask, nine), nine), five), "box-mask"))
-    each = parts.groupBy("route", "cx", "cy").agg(F.count(F.lit(1)).alias("n_pixels"), F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("hx"), F.max("y").alias("hy"))
-    best = each.where(F.col("n_pixels") >= least_area).groupBy("route").agg(F.min_by(F.struct("x", "y", (F.col("hx") - F.col("x") + 1).alias("w"), (F.col("hy") - F.col("y") + 1).alias("h"), "n_pixels"), F.struct(-F.col("n_pixels"), "cx", "cy")).alias("b"))
-    return best.select("route", "b.*")
+    with shared.scratch():
+        parts = shared.keep(components(shared.keep(opened(erode(dilate(mask, nine), nine), five), "box-mask")), "box-parts")
+        best = outlines(parts, least_area).groupBy("route").agg(F.min_by(F.struct("x", "y", "w", "h", "area"), F.struct(-F.col("area"), "cx", "cy")).alias("b"))
+        return shared.keep(best.select("route", "b.*"), "boxes", outer=True)
 
 
 def box_anchors(boxes: dict[str, DataFrame], zones: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwalk.functions import geometry as g
+from planwalk.plans import shared
 
 #: Distance beyond an exhibit's edge from which it can be seen, when a task's scale is unknown.
 DEFAULT_REACH = 25
@@ -65,10 +66,11 @@ def sightings(points: DataFrame, circles: DataFrame, shapes: DataFrame, reach: f
     edges = F.flatten(F.transform(F.filter("walls", lambda w: _near_box(x, y, w, far)), lambda w: w["outline"]))
     close = F.filter(edges, lambda e: x.between(F.least(e["a"]["x"], e["b"]["x"]) - far, F.greatest(e["a"]["x"], e["b"]["x"]) + far) & y.between(F.least(e["a"]["y"], e["b"]["y"]) - far, F.greatest(e["a"]["y"], e["b"]["y"]) + far))
     placed = points.join(held, "layout", "left").select(*points.columns, close.alias("edges_"))
-    pairs = near_circles(placed, circles, reach)
-    hidden = (F.size("edges_") > 0) & g.crosses_outline(x, y, F.col("cx"), F.col("cy"), F.col("edges_"))
-    kind = F.when(F.col("dist") < F.col("r"), "collision").when(F.coalesce(hidden, F.lit(False)), "blocked").otherwise("visit")
-    return pairs.withColumn("kind", kind).drop("edges_")
+    free = near_circles(placed.where("coalesce(size(edges_), 0) = 0").drop("edges_"), circles, reach).withColumn("hidden_", F.lit(False))
+    shut = near_circles(placed.where("size(edges_) > 0"), circles, reach)
+    shut = shut.withColumn("hidden_", g.crosses_outline(x, y, F.col("cx"), F.col("cy"), F.col("edges_"))).drop("edges_")
+    kind = F.when(F.col("dist") < F.col("r"), "collision").when(F.coalesce("hidden_", F.lit(False)), "blocked").otherwise("visit")
+    return free.unionByName(shut).withColumn("kind", kind).drop("hidden_")
 
 
 def exhibit_visits(seen: DataFrame) -> DataFrame:
@@ -146,22 +148,55 @@ def polyline_length(points: DataFrame) -> DataFrame:
     return segments(points).groupBy("layout", "route").agg(F.sum(g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).alias("length"))
 
 
-#: Points of a route that meet its segments in one group.
-STRETCH = 1024
+#: Width of the first cells in which points look for segments; how much wider the next ones are.
+NEAR_CELL, WIDER = 16, 4
+
+
+def _around_cells(lines: DataFrame, cell: float) -> DataFrame:
+    """lines with gx, gy: a row for each cell that a segment crosses or that borders on such a cell."""
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    low, high = F.least(ax, bx), F.greatest(ax, bx)
+    columns = lines.withColumn("gx", F.explode(F.sequence(F.floor(low / cell) - 1, F.floor(high / cell) + 1)))
+    # the part of the segment in this column of cells and its two neighbours, a little longer than it is
+    at = lambda x: F.when(ax == bx, None).otherwise(ay + (by - ay) * (x - ax) / F.nullif(bx - ax, F.lit(0)))
+    y1, y2 = at(F.greatest(low, (F.col("gx") - 1) * cell)), at(F.least(high, (F.col("gx") + 2) * cell))
+    down, up = F.least(F.coalesce(y1, ay), F.coalesce(y2, by)) - 1e-6 * cell, F.greatest(F.coalesce(y1, ay), F.coalesce(y2, by)) + 1e-6 * cell
+    return columns.withColumn("gy", F.explode(F.sequence(F.floor(down / cell) - 1, F.floor(up / cell) + 1)))
+
+
+def nearest_segment(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """(layout, route, i, d): each point's distance to the nearest segment of its route, null if the route has none.
+
+    lines(layout, route, ax, ay, bx, by). Points and segments meet in cells: a point sees what crosses its cell or a
+    neighbour, so what it finds within a cell's width is the nearest. Points that find nothing so near look again in
+    cells WIDER times as wide, and so on until a cell is as wide as everything. What a round leaves open is stored."""
+    keys = ["layout", "route"]
+    lined = lines.select(*keys).distinct()
+    one, other = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first(), lines.agg(F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
+    ends = [(x, y) for x, y in zip(one, other) if x is not None and y is not None]
+    wide = max((max(*b) - min(*a) for a, b in (ends[:2], ends[2:])), default=0) if len(ends) == 4 else 0
+    far = g.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    out = points.select(*keys, "i").join(lined, keys, "left_anti").withColumn("d", F.lit(None).cast("double"))
+    rest, cell, last = points.select(*keys, "i", "x", "y").join(lined, keys, "left_semi"), NEAR_CELL, False
+    with shared.scratch():
+        while not last:
+            last = cell >= wide
+            placed = rest.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+            met = placed.join(_around_cells(lines.select(*keys, "ax", "ay", "bx", "by"), cell), [*keys, "gx", "gy"], "left")
+            near = met.groupBy(*keys, "i", "x", "y").agg(F.min(F.when(F.col("ax").isNotNull(), far)).alias("d"))
+            near = shared.keep(near, "nearest-segment", outer=True)
+            settled = F.col("d").isNotNull() & (F.lit(last) | (F.col("d") <= cell))
+            out = out.unionByName(near.where(settled).select(*keys, "i", "d"))
+            rest = near.where(~settled).drop("d")
+            last = last or rest.isEmpty()
+            cell *= WIDER
+    return out
 
 
 def fidelity(points: DataFrame, lines: DataFrame, tolerance: float) -> DataFrame:
     """How close a route's points lie to its polyline(s) `lines` (as `segments` gives them): share within tolerance in
-    percent, mean and largest deviation, counts. A route without a line has null figures.
-
-    Points meet the segments of their route as rows; a long route is dealt in stretches of STRETCH points, each of which
-    gets the route's segments, so no route lands in one task."""
-    dealt = points.withColumn("part_", F.expr(f"i div {STRETCH}"))
-    parts = dealt.groupBy("layout", "route").agg(F.max("part_").alias("last_"))
-    copied = lines.join(parts, ["layout", "route"]).select("layout", "route", "ax", "ay", "bx", "by", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_"))).alias("part_"))
-    dist = g.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    near = dealt.join(copied, ["layout", "route", "part_"], "left").groupBy("layout", "route", "part_", "i").agg(F.min(F.when(F.col("ax").isNotNull(), dist)).alias("d"))
-    return near.groupBy("layout", "route").agg(
+    percent, mean and largest deviation, counts. A route without a line has null figures. See nearest_segment()."""
+    return nearest_segment(points, lines).groupBy("layout", "route").agg(
         F.round(100.0 * F.count_if(F.col("d") <= tolerance) / F.nullif(F.count("d"), F.lit(0)), 2).alias("similarity"),
         F.round(F.avg("d"), 3).alias("mean_deviation"),
         F.round(F.max("d"), 3).alias("max_deviation"),

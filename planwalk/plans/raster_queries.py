@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planwalk.operators import raster
+from planwalk.operators import lines, raster
+from planwalk.plans import pixel_sql as px
 from planwalk.plans.registry import query
 from planwalk.sources import bindings as b
 
@@ -46,15 +47,15 @@ def pixel_length(spark, sf_dir):
     return raster.path_length(pixels, raster.components(pixels))
 
 
-@query()
+@query("pix", f"WITH RECURSIVE {px.thinned('pix', 'thn')}, {px.pruned('thn', 'line', 2)} SELECT * FROM line")
 def skeleton_pixels(spark, sf_dir):
-    """Thinned and pruned routes; thinning has no SQL form and is tested on its own."""
-    return raster.skeletons(b.pixels(spark, sf_dir), 2)
+    """Thinned and pruned routes."""
+    return lines.skeletons(b.pixels(spark, sf_dir), 2)
 
 
-@query()
+@query("pix", f"WITH RECURSIVE beg AS (SELECT route, min(x * 1000 + y) // 1000 AS x, min(x * 1000 + y) % 1000 AS y FROM pix GROUP BY route), {px.walked('pix', 'beg', 'way')} SELECT route, x, y, round(len, 2) AS length FROM way QUALIFY row_number() OVER (PARTITION BY route ORDER BY -len, x, y) = 1")
 def farthest_pixel(spark, sf_dir):
-    """The end of the longest walk along a route from its least pixel; walks have no SQL form here and are tested on their own."""
+    """The end of the longest walk along a route from its least pixel."""
     pixels = b.pixels(spark, sf_dir)
     starts = pixels.groupBy("route").agg(F.min(F.struct("x", "y")).alias("s")).select("route", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"))
     return raster.farthest(pixels, starts)
@@ -122,23 +123,36 @@ def drawn_mask(spark, sf_dir):
     return raster.drawn_mask(image, plain, 100, 1)
 
 
+_GREEN = "CASE WHEN route % 8 = 7 THEN x BETWEEN 2 AND 26 AND y BETWEEN 3 AND 27 + route % 5 AND NOT (x BETWEEN 9 AND 19 AND y BETWEEN 10 AND 20) WHEN route % 8 >= 5 THEN x BETWEEN 5 AND 4 + (16 - route % 8) AND y BETWEEN 4 AND 3 + (16 - route % 8) ELSE x BETWEEN 3 + route % 4 AND 18 + route % 4 AND y BETWEEN 4 AND 18 + route % 5 AND NOT (x = 10 AND y = 10) END"
+_HUE = f"CASE WHEN {_GREEN} THEN 60 WHEN x BETWEEN 31 AND 39 + route % 7 AND y BETWEEN 12 AND 25 AND NOT (x = 35 AND y = 20) AND route % 6 > 0 THEN 25 WHEN y > 40 AND (x * 7 + y * 13 + route) % 97 = 0 THEN 60 ELSE 120 END"
+
+
 def _coloured(spark, sf_dir):
-    """Images with a green and a yellow box, each with a hole, and specks far from them."""
+    """Images with a green and a yellow box: solid, as a ring, with a hole, at the least size and below it; and specks."""
     n = b.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS route")
     grid = n.selectExpr("route", "explode(sequence(0L, 49L)) AS x").selectExpr("route", "x", "explode(sequence(0L, 59L)) AS y")
-    box = "CASE WHEN x BETWEEN 3 + route % 4 AND 18 + route % 4 AND y BETWEEN 4 AND 18 + route % 5 AND NOT (x = 10 AND y = 10) THEN 60 WHEN x BETWEEN 28 AND 39 + route % 7 AND y BETWEEN 12 AND 25 AND NOT (x = 33 AND y = 20) AND route % 6 > 0 THEN 25 WHEN y > 40 AND (x * 7 + y * 13 + route) % 97 = 0 THEN 60 ELSE 120 END"
-    return grid.selectExpr("route", "x", "y", f"{box} AS h", "200 AS s", "180 AS v")
+    return grid.selectExpr("route", "x", "y", f"{_HUE} AS h", "200 AS s", "180 AS v")
+
+
+def _box_sql(role: str, hue: int) -> str:
+    """The largest part of a hue, closed, opened and outlined, as r_{role} (route, x, y, w, h, area)."""
+    t = role[:2] + "_"
+    return f"""{t}m AS (SELECT route, x, y FROM img WHERE h = {hue}), {t}a AS ({px.dilated(t + 'm', px.brush(-4, 4))}), {t}b AS ({px.eroded(t + 'a', px.brush(-4, 4))}), {t}c AS ({px.eroded(t + 'b', px.brush(-2, 2))}), {t}d AS ({px.dilated(t + 'c', px.brush(-2, 2))}),
+    {px.labelled(t + 'd', t + 'l')}, {px.outlined(t + 'l', t + 'o', 100)}, r_{role} AS (SELECT route, x, y, w, h, area FROM {t}o QUALIFY row_number() OVER (PARTITION BY route ORDER BY area DESC, cx, cy) = 1)"""
 
 
-@query("", "SELECT route, role, x, y, w, h, n_pixels FROM (SELECT s_suppkey AS route, 'entrance' AS role, 3 + s_suppkey % 4 AS x, 4::BIGINT AS y, 16::BIGINT AS w, 15 + s_suppkey % 5 AS h, 16 * (15 + s_suppkey % 5) AS n_pixels FROM supplier UNION ALL SELECT s_suppkey, 'exit', 28::BIGINT, 12::BIGINT, 12 + s_suppkey % 7, 14::BIGINT, 14 * (12 + s_suppkey % 7) FROM supplier WHERE s_suppkey % 6 > 0)")
+_IMAGES = f"img AS (SELECT route, x, y, {_HUE} AS h FROM (SELECT s_suppkey AS route FROM supplier) CROSS JOIN (SELECT unnest(range(50)) AS x) CROSS JOIN (SELECT unnest(range(60)) AS y))"
+
+
+@query("", f"WITH RECURSIVE {_IMAGES}, {_box_sql('entrance', 60)}, {_box_sql('exit', 25)} SELECT *, 'entrance' AS role FROM r_entrance UNION ALL SELECT *, 'exit' FROM r_exit")
 def color_boxes(spark, sf_dir):
-    """The boxes of entrances and exits, found by their colour with holes closed and specks off."""
+    """The boxes of entrances and exits, found by their colour with holes closed and specks off, large enough by their outline."""
     pixels = _coloured(spark, sf_dir)
     found = [raster.color_boxes(pixels, role).withColumn("role", F.lit(role)) for role in raster.BOX_COLORS]
     return found[0].unionByName(found[1])
 
 
-@query("", "SELECT s_suppkey AS route, corner::BIGINT AS corner, 3 + s_suppkey % 4 + CASE WHEN corner IN (1, 2) THEN 16 ELSE 0 END AS x, 4 + CASE WHEN corner >= 2 THEN 15 + s_suppkey % 5 ELSE 0 END AS y, 5 + CASE WHEN corner IN (1, 2) THEN 20 ELSE 0 END AS zx, 6 + CASE WHEN corner >= 2 THEN 18 ELSE 0 END AS zy FROM supplier CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS corner)")
+@query("", f"WITH RECURSIVE {_IMAGES}, {_box_sql('entrance', 60)} SELECT route, corner::BIGINT AS corner, x + CASE WHEN corner IN (1, 2) THEN w ELSE 0 END AS x, y + CASE WHEN corner >= 2 THEN h ELSE 0 END AS y, 5 + CASE WHEN corner IN (1, 2) THEN 20 ELSE 0 END AS zx, 6 + CASE WHEN corner >= 2 THEN 18 ELSE 0 END AS zy FROM r_entrance CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS corner)")
 def box_anchors(spark, sf_dir):
     """Corners of detected entrances beside the annotated ones; exits are annotated as polygons and give none."""
     pixels = _coloured(spark, sf_dir)
@@ -169,17 +183,20 @@ def fragment_order(spark, sf_dir):
     return raster.by_size(parts).select("route", "cx", "cy", "size", "place")
 
 
-@query()
+@query("pix", f"WITH RECURSIVE fat AS ({px.dilated('pix', px.CROSS)}), {px.skeleton('fat', 'msk')} SELECT * FROM msk")
 def morphological_skeletons(spark, sf_dir):
-    """What openings take from routes and their erosions; tested against a plain loop."""
-    return raster.morphological_skeleton(b.pixels(spark, sf_dir))
+    """What openings take from widened routes and their erosions."""
+    return raster.morphological_skeleton(raster.dilate(b.pixels(spark, sf_dir), raster.CROSS))
 
 
-@query()
+_ANCHORS = "anc AS (SELECT DISTINCT route, CASE WHEN route % 10 > 0 THEN 0.0 END AS in_x, CASE WHEN route % 10 > 0 THEN 0.0 END AS in_y, CASE WHEN route % 7 > 0 THEN 23.0 END AS out_x, CASE WHEN route % 7 > 0 THEN 23.0 END AS out_y FROM pix)"
+_CONNECTED = f"{px.labelled('pix', 'lab')}, con AS (SELECT route, count(*) = 1 AS is_connected FROM (SELECT *, size < greatest(1, floor(max(size) OVER (PARTITION BY route) * 0.01)) AS noise FROM (SELECT route, cx, cy, count(*) AS size FROM lab GROUP BY ALL)) WHERE NOT noise GROUP BY route)"
+
+
+@query("pix", f"WITH RECURSIVE {px.thinned('pix', 'thn')}, {px.pruned('thn', 'line', 1)}, {_ANCHORS}, {_CONNECTED}, {px.ended('line', 'anc', 'con', 'ends')} SELECT * FROM ends")
 def route_ends(spark, sf_dir):
-    """Starts and ends of thinned routes; walks have no SQL form here and are tested on their own."""
+    """Starts and ends of thinned routes."""
     pixels = b.pixels(spark, sf_dir)
-    lines = raster.skeletons(pixels, 1)
     anchors = pixels.select("route").distinct().selectExpr("route", "CASE WHEN route % 10 > 0 THEN 0.0D END AS in_x", "CASE WHEN route % 10 > 0 THEN 0.0D END AS in_y", "CASE WHEN route % 7 > 0 THEN 23.0D END AS out_x", "CASE WHEN route % 7 > 0 THEN 23.0D END AS out_y")
     connected = raster.connectivity(raster.fragments(raster.components(pixels)))
-    return raster.route_ends(lines, anchors, connected)
+    return raster.route_ends(lines.skeletons(pixels, 1), anchors, connected)

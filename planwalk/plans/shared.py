@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables that were kept inside when it ends; what must outlive it is kept with outer=True."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(*_scopes.pop())
+
+
+def keep(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """df written once to the shared folder and read back, so that its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planwalk/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
+    scopes = _scopes[:-1] if outer else _scopes
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from planwalk.operators import raster
+from planwalk.operators import extraction, lines, raster
 
 
 def pixels(spark, *routes):
@@ -51,14 +52,78 @@ def test_noise_is_below_a_hundredth(spark):
     assert raster.connectivity(raster.fragments(raster.components(df))).first().n_fragments == 2
 
 
-def test_thinning_and_pruning():
-    mask = np.zeros((9, 30), bool)
-    mask[3:6, 3:27] = True
-    line = raster.thin(mask)
-    assert line.any(axis=0).sum() >= 20 and line.sum(axis=0).max() == 1
-    assert (raster.thin(line) == line).all() and not (line & ~mask).any()
-    assert raster.prune(line, 3).sum() == line.sum() - 6
-    assert raster.prune(np.zeros((5, 5), bool), 5).sum() == 0
+def plain_thin(mask):
+    """Zhang and Suen's thinning by plain loops over a set of pixels."""
+    mask = set(mask)
+    while True:
+        before = len(mask)
+        for step in (0, 1):
+            gone = set()
+            for x, y in mask:
+                n = [(x + dx, y + dy) in mask for dx, dy in lines.RING]
+                turns = sum(not a and b for a, b in zip(n, n[1:] + n[:1]))
+                ups = ((n[0] and n[2] and n[4]), (n[2] and n[4] and n[6])) if step == 0 else ((n[0] and n[2] and n[6]), (n[0] and n[4] and n[6]))
+                if 2 <= sum(n) <= 6 and turns == 1 and not any(ups):
+                    gone.add((x, y))
+            mask -= gone
+        if len(mask) == before:
+            return mask
+
+
+def test_thinning_and_pruning(spark):
+    rng = random.Random(5)
+    masks = [{(x, y) for x in range(3, 27) for y in range(3, 6)}, {(x, y) for x in range(20) for y in range(20) if rng.random() < 0.7}, {(x, y) for x in range(-9, 9) for y in range(-9, 9) if 20 < x * x + y * y < 70}]
+    df = spark.createDataFrame([(k, x, y) for k, m in enumerate(masks) for x, y in m], "route long, x long, y long")
+    got = {k: set() for k in range(3)}
+    for r in lines.thin(df.union(df.limit(9))).collect():
+        got[r.route].add((r.x, r.y))
+    assert [got[k] for k in range(3)] == [plain_thin(m) for m in masks]
+    straight = spark.createDataFrame([(0, x, 5) for x in range(12)], "route long, x long, y long")
+    assert lines.prune(straight, 3).count() == 6 and lines.prune(straight, 20).count() == 0
+    assert lines.skeletons(df.limit(0), 2).count() == 0
+
+
+def plain_smooth(image, parts):
+    half = len(parts) // 2
+    out = np.zeros(image.shape, np.int64)
+    at = lambda k, n: abs(k) if k < n else 2 * (n - 1) - k
+    rows, cols = image.shape[:2]
+    for y in range(rows):
+        for x in range(cols):
+            total = sum(a * b * image[at(y + i - half, rows), at(x + j - half, cols)] for i, a in enumerate(parts) for j, b in enumerate(parts))
+            out[y, x] = (total + 32768) >> 16
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 3, 5, 7, 9])
+def test_smoothing_mirrors_borders(spark, width):
+    rng = np.random.default_rng(width)
+    image = np.where(rng.random((9, 11, 3)) < 0.4, rng.integers(0, 256, (9, 11, 3)), 255)
+    rows = [(0, x, y, *map(int, image[y, x])) for y in range(9) for x in range(11) if (image[y, x] < 255).any()]
+    df = spark.createDataFrame(rows, "route long, x long, y long, r int, g int, b int")
+    sizes = spark.createDataFrame([(0, 11, 9)], "route long, w int, h int")
+    got = np.full(image.shape, 255)
+    for r in extraction.smoothed(df, sizes, width).collect():
+        got[r.y, r.x] = r.r, r.g, r.b
+    assert sum(extraction.weights(width)) == 256
+    assert (got == plain_smooth(image.astype(np.int64), extraction.weights(width))).all()
+
+
+def test_outlines_of_boxes_rings_and_lines(spark):
+    shapes = {
+        1: ({(x, y) for x in range(10) for y in range(10)}, 81.0),
+        2: ({(x, y) for x in range(12) for y in range(12) if not (3 <= x < 9 and 3 <= y < 9)}, 121.0),
+        3: ({(x, 4) for x in range(9)}, 0.0),
+        4: ({(x, y) for x in range(7) for y in range(7) if abs(x - 3) + abs(y - 3) <= 3}, 18.0),
+        5: ({(x, y) for x in range(7) for y in range(7) if abs(x - 3) + abs(y - 3) == 3}, 18.0),
+        6: ({(x, x) for x in range(5)}, 0.0),
+    }
+    df = spark.createDataFrame([(k, x, y) for k, (s, _) in shapes.items() for x, y in s], "route long, x long, y long")
+    parts = raster.components(df)
+    assert {r.route: r.area for r in raster.outlines(parts).collect()} == {k: a for k, (_, a) in shapes.items()}
+    assert {r.route for r in raster.outlines(parts, 100).collect()} == {2}
+    hued = df.selectExpr("route", "x", "y", "60 AS h", "200 AS s", "200 AS v")
+    assert [r.route for r in raster.color_boxes(hued, "entrance").collect()] == [2]
 
 
 def test_walks(spark):
@@ -68,7 +133,7 @@ def test_walks(spark):
     df = pixels(spark, points)
     far = raster.farthest(df, spark.createDataFrame([(0, 0, 0)], "route long, sx long, sy long")).first()
     assert (far.x, far.y, far.length) == (3, 1, 3.41)
-    assert raster.skeletons(df.union(df)).count() <= 5
+    assert lines.skeletons(df.union(df)).count() <= 5
 
 
 def test_matching_is_greedy_and_one_to_one(spark):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planwalk.operators import catalogue, raster, scoring, spatial, validation
+from planwalk.operators import catalogue, extraction, raster, scoring, spatial, validation
 from planwalk.sources import discovery, files, images
 
 
@@ -100,14 +100,27 @@ def test_route_ends(spark):
     assert got[5] == (None,) * 5
 
 
-def test_long_routes_meet_their_lines_in_stretches(spark, monkeypatch):
+def plain_distance(x, y, ax, ay, bx, by):
+    long = (bx - ax) ** 2 + (by - ay) ** 2
+    t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / long)) if long else 0.0
+    return ((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2) ** 0.5
+
+
+@pytest.mark.parametrize("cell", [16, 2, 0.5])
+def test_nearest_segments_are_found_in_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(spatial, "NEAR_CELL", cell)
     rng = random.Random(7)
-    points = spark.createDataFrame([(0, 1, i, float(rng.randrange(50)), float(rng.randrange(50))) for i in range(200)], "layout long, route long, i long, x double, y double")
-    lines = spatial.segments(points.where("i % 9 = 0"))
-    whole = spatial.fidelity(points, lines, 5.0).collect()
-    monkeypatch.setattr(spatial, "STRETCH", 16)
-    assert spatial.fidelity(points, lines, 5.0).collect() == whole
-    assert spatial.fidelity(points, lines.limit(0), 5.0).first().similarity is None
+    points = [(0, k % 3, i, rng.uniform(-90, 400), rng.uniform(-50, 60)) for i, k in enumerate([0] * 120 + [1] * 30 + [2] * 5)]
+    made = [(0, k % 2, *(float(rng.choice([0, rng.uniform(-60, 60), 300])) for _ in range(4))) for k in range(24)] + [(0, 0, 5.0, 5.0, 5.0, 5.0), (0, 0, 7.0, -20.0, 7.0, 30.0), (0, 9, 1.0, 1.0, 2.0, 2.0)]
+    df = spark.createDataFrame(points, "layout long, route long, i long, x double, y double")
+    lined = spark.createDataFrame(made, "layout long, route long, ax double, ay double, bx double, by double")
+    got = {r.i: r.d for r in spatial.nearest_segment(df, lined).collect()}
+    assert len(got) == len(points)
+    for _, route, i, x, y in points:
+        near = [plain_distance(x, y, *s[2:]) for s in made if s[1] == route]
+        assert got[i] == (pytest.approx(min(near), abs=1e-9) if near else None)
+    assert spatial.fidelity(df, lined.limit(0), 5.0).first().similarity is None
+    assert spatial.nearest_segment(df.limit(0), lined).count() == 0
 
 
 def test_selection(spark):
@@ -158,24 +171,36 @@ def test_records_of_a_clean_route_and_of_none(spark):
     none = "array<string>"
     tasks = spark.createDataFrame([(k, 0, "hard", [], None, None, [], [], [], ["S"], [7], 1) for k in (1, 2)], f"route long, layout long, difficulty string, in_range {none}, before_year string, after_year string, materials {none}, places {none}, techniques {none}, categories {none}, specific array<long>, min_n long")
     facts = spark.createDataFrame([(0, 7, "S", "m", "t", 1, 2, "c", "d")], "layout long, ex_id long, section string, material string, technique string, year_min int, year_max int, city string, country string")
-    fidelity = spark.createDataFrame([(1, 99.5)], "route long, similarity double")
+    fidelity = spark.createDataFrame([(1, 99.5), (2, 1.0)], "route long, similarity double")
     got = {r.route: r for r in validation.final_records(checks, tasks, facts, visits, fidelity).collect()}
     assert got[1].svr == {"connectivity": True, "wall_crossings": False, "exhibit_collision": False, "out_of_area_violations": False}
     assert got[1].scsr == {"start_end_location": True, "must_pass_regions": True, "restricted_area_violations": False, "distance_budget": True}
     assert all(got[1].scar.values()) and len(got[1].scar) == 4 and (got[1].similarity, got[1].status) == (99.5, "ok")
-    assert got[2].status == "no route" and got[2].svr["wall_crossings"] is True and not any(got[2].scar.values())
-
-
-def test_extraction_of_a_line_and_of_nothing(spark):
-    plan = [(1, x, 0, 10) for x in range(40)] + [(2, x, 0, 10) for x in range(40)]
-    line = [(1, x, y, 60) for x in range(5, 36) for y in range(10, 14)]
-    kinds = "route long, x long, y long, gray int"
-    original, aligned = spark.createDataFrame(plan, kinds), spark.createDataFrame(plan + line, kinds)
-    anchors = spark.createDataFrame([(1, 40.0, 12.0, 0.0, 12.0), (2, 0.0, 0.0, 0.0, 0.0)], "route long, in_x double, in_y double, out_x double, out_y double")
-    got = {r.route: r for r in validation.extract_routes(aligned, original, anchors, 0).collect()}
-    assert (got[1].n_pixels, got[1].n_fragments, got[1].is_connected, got[1].status) == (len(line), 1, True, "ok")
+    assert (got[2].status, got[2].similarity) == ("no route", None) and got[2].svr["wall_crossings"] is True and not any(got[2].scar.values())
+
+
+def test_extraction_of_lines_and_of_nothing(spark):
+    plan = [(k, x, 0, 10, 10, 10) for k in (1, 2, 3) for x in range(60)]
+    gray = [(1, x, y, 60, 60, 60) for x in range(8, 50) for y in range(20, 25)]
+    red = [(3, x, y, 200, 20, 20) for x in range(8, 50) for y in range(20, 25) if x not in (30, 31)]
+    kinds = "route long, x long, y long, r int, g int, b int"
+    original, aligned = spark.createDataFrame(plan, kinds), spark.createDataFrame(plan + gray + red, kinds)
+    sizes = spark.createDataFrame([(k, 60, 60) for k in (1, 2, 3)], "route long, w int, h int")
+    anchors = spark.createDataFrame([(k, 60.0, 22.0, 0.0, 22.0) for k in (1, 2, 3)], "route long, in_x double, in_y double, out_x double, out_y double")
+    answers = spark.createDataFrame([(1, 8, 22, 30, 22), (1, 30, 22, 49, 32), (2, 0, 0, 9, 9)], "route long, ax long, ay long, bx long, by long")
+    found = extraction.extract(aligned, original, sizes, anchors, answers, passes=2)
+    got = {r.route: r for r in found.facts.collect()}
+    assert (got[1].by_color, got[3].by_color, got[2].by_color) == (False, True, False)
+    assert got[1].status == got[3].status == "ok" and got[1].n_fragments == 1
+    assert got[3].n_pixels == len(red) and (got[3].n_fragments, got[3].is_connected) == (2, False)
     assert got[1].sx > got[1].ex and got[1].length == pytest.approx(got[1].sx - got[1].ex, abs=2)
-    assert tuple(got[2])[1:] == (0, 0, False, None, None, None, None, None, "no route")
+    assert 40 < got[1].similarity < 100 and got[1].max_deviation > 3 and got[1].n_line == found.line.where("route = 1").count()
+    # no answer: nothing is like it
+    assert (got[3].similarity, got[3].mean_deviation, got[3].n_within) == (0.0, None, 0)
+    assert got[3].length is not None
+    assert tuple(got[2])[1:] == (0, 0, 0, False, None, None, None, None, None, None, None, None, None, None, False, "no route")
+    nothing = extraction.extract(aligned.limit(0), original.limit(0), sizes.limit(0), anchors, None)
+    assert nothing.facts.count() == nothing.points.count() == 0
 
 
 def png(image, kind, filters):
