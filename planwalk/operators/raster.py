@@ -35,22 +35,29 @@ def endpoints(pixels: DataFrame) -> DataFrame:
 def components(pixels: DataFrame, around: list[tuple[int, int]] = AROUND) -> DataFrame:
     """(route, x, y, cx, cy): each pixel with the least (x, y) of its connected pixels.
 
-    Each round takes the least label around, then that label's own label, so distances halve; rounds are stored."""
+    Neighbouring regions, at first the pixels, are pairs. In each round every region joins the one around it that comes
+    first in a hashed order, and goes on to what that one joins, up to four steps; pairs of what has become one go. Ways
+    down in a hashed order are short, whatever the regions' shape, so rounds are few and pairs dwindle fast. Pairs and
+    moves are stored, and pixels follow all moves at the end."""
     pixels = pixels.select("route", "x", "y").distinct()
-    near = shared.keep(neighbours(pixels, around), "pixel-neighbours")
-    held = shared.keep(pixels.withColumn("c", F.struct("x", "y")), "pixel-labels")
-    labels = held
-    while True:
-        around = near.join(labels.select("route", F.col("x").alias("nx"), F.col("y").alias("ny"), "c"), ["route", "nx", "ny"]).groupBy("route", "x", "y").agg(F.min("c").alias("low"))
-        lower = labels.join(around, ["route", "x", "y"], "left").select("route", "x", "y", F.col("c").alias("old"), F.least("c", F.coalesce("low", "c")).alias("c"))
-        top = labels.select("route", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("c").alias("up"))
-        jumped = lower.join(top, (lower["route"] == top["route"]) & (F.col("c.x") == F.col("tx")) & (F.col("c.y") == F.col("ty")), "left").select(lower["route"], "x", "y", "old", F.least("c", F.coalesce("up", "c")).alias("c"))
-        jumped = shared.keep(jumped, "pixel-labels")
-        shared.drop(held)
-        held, labels = jumped, jumped.select("route", "x", "y", "c")
-        if not jumped.where("c < old").take(1):
-            shared.drop(near)
-            return labels.select("route", "x", "y", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    name = lambda x, y: F.struct(F.xxhash64(x, y).alias("h"), F.col(x).alias("x"), F.col(y).alias("y"))
+    with shared.scratch():
+        labels = shared.keep(pixels, "pixel-labels")
+        pairs = shared.keep(neighbours(labels, around).select("route", name("x", "y").alias("a"), name("nx", "ny").alias("b")), "pixel-pairs")
+        labels, moves = labels.withColumn("c", name("x", "y")), []
+        while not pairs.isEmpty():
+            low = shared.keep(pairs.groupBy("route", "a").agg(F.min("b").alias("b")).select("route", "a", F.least("a", "b").alias("to")), "pixel-moves")
+            for _ in range(2):
+                low = low.join(low.select("route", F.col("a").alias("to"), F.col("to").alias("far")), ["route", "to"]).select("route", "a", F.col("far").alias("to"))
+            moved = shared.keep(low, "pixel-moves")
+            moves.append(moved.withColumnRenamed("a", "c"))
+            new = pairs.join(moved.withColumnRenamed("to", "na"), ["route", "a"]).join(moved.select("route", F.col("a").alias("b"), F.col("to").alias("nb")), ["route", "b"])
+            pairs = shared.keep(new.where("na <> nb").select("route", F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), "pixel-pairs")
+        for moved in moves:
+            labels = labels.join(moved, ["route", "c"], "left").select("route", "x", "y", F.coalesce("to", "c").alias("c"))
+        labels = shared.keep(labels, "pixel-labels")
+        least = labels.groupBy("route", "c").agg(F.min(F.struct("x", "y")).alias("m"))
+        return shared.keep(labels.join(least, ["route", "c"]).select("route", "x", "y", F.col("m.x").alias("cx"), F.col("m.y").alias("cy")), "pixel-components", outer=True)
 
 
 def fragments(labelled: DataFrame) -> DataFrame:
