@@ -11,9 +11,11 @@
    What remains is verified on the two sets, once.
 4. Pairs in a shingle's group are first taken between one member and the others, twice with different members, and those
    that pass are verified; pairs whose ends already are in one component are then needless for the components. In the
-   groups that still hold several components, sets that link must share two shingles at least of prefixes that are one
-   longer, so members meet on (group, second shingle), each pair at the first such shingle only. All pairs that meet and
-   pass the filters are verified, so no link is lost. Hot shingles are split over tasks.
+   groups that still hold several components, a pair is taken only where none of the BEFORE shingles ahead of it in one
+   prefix is among those in the other, which holds where the two first meet: sets that share a long run of their prefixes
+   meet there once. In large groups, sets that link must share two shingles at least of prefixes that are one longer, so
+   members with short prefixes meet on (group, second shingle). All pairs that meet and pass the filters are verified,
+   so no link is lost. Hot shingles are split over tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .skew import split_join
 LEAST_SLOTS, MOST_SLOTS, LEAST_BITS, MOST_BITS, SLICES = 1 << 20, 1 << 22, 1 << 20, 1 << 27, 64
 #: Members outside its largest component up to which a group's pairs are taken without a second shingle.
 FEW = 32
+#: Longest prefixes that meet on two shingles, of which they hold the square; places ahead at which a pair may have met before.
+SHORT, BEFORE = 16, 8
 #: Histogram buckets of the suffix filter.
 BINS = 64
 BATCH_BYTES = 1 << 20
@@ -265,10 +269,12 @@ def _apart(table: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]
     return split_join(table, groups, key, ["node"], counts=groups.select(key, "count")), groups
 
 
-def _of_different(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Pairs in each group between a member outside its largest component and those of other components."""
+def _of_different(rows: DataFrame, groups: DataFrame, key: str, where: str = "true") -> DataFrame:
+    """Pairs in each group between a member outside its largest component and those of other components, unless they meet
+    at one of the shingles ahead, too."""
     outside = rows.where("c <> most")
-    return split_join(_ends(rows, "b", key, "c"), _ends(outside, "a", key, "c"), key, ["b"], counts=groups.select(key, "count")).where("ca <> cb")
+    met = split_join(_ends(rows, "b", key, "c", "before"), _ends(outside, "a", key, "c", "before", "few"), key, ["b"], counts=groups.select(key, "count"))
+    return met.where(f"ca <> cb AND ({where}) AND NOT arrays_overlap(beforea, beforeb)").drop("beforea", "beforeb", "fewa")
 
 
 def _candidates(turn: int, met: DataFrame, shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame | None:
@@ -279,18 +285,23 @@ def _candidates(turn: int, met: DataFrame, shared: DataFrame, nodes: DataFrame,
     rows, groups = _apart(marked, "h", "jaccard-groups")
     if groups.isEmpty():
         return None
-    rows = store.keep(rows, "jaccard-open")
     if turn == 1:
+        rows = store.keep(rows, "jaccard-open")
         hub = rows.groupBy("h").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
         hubs = rows.join(hub, "h").where("node = hub")
         return _possible(split_join(_ends(rows, "b", "h", "c"), _ends(hubs, "a", "h", "c"), "h", ["b"], counts=groups.select("h", "count")).where("ca <> cb"), num, den)
+    ahead = F.expr(f"slice(prefix, greatest(pos - {BEFORE}, 0) + 1, least(pos, {BEFORE}))")
+    rows = rows.join(nodes.select("node", "prefix"), "node").withColumn("before", ahead).withColumn("few", F.expr(f"count - in_most <= {FEW}"))
+    rows = store.keep(rows.drop("prefix"), "jaccard-open")
     if 2 * num <= den:  # two sets may then link by a single shingle
         return _possible(_of_different(rows, groups, "h"), num, den)
-    small = f"count - in_most <= {FEW}"
-    direct = _possible(_of_different(rows.where(small), groups.where(small), "h"), num, den)
-    again = rows.where(f"NOT ({small})").select("h", "node", "n", "c", F.col("pos").alias("pos1"))
+    short = SHORT * den // (den - num)
+    # whatever links with a set of more than `short` shingles has at least num / den of them
+    direct = _of_different(rows.where(f"few OR {den} * n >= {num} * {short}"), groups, "h", f"fewa OR greatest(na, nb) > {short}")
+    direct = _possible(direct, num, den)
+    again = rows.where(f"NOT few AND n <= {short}").select("h", "node", "n", "c", "before", F.col("pos").alias("pos1"))
     second = again.join(nodes.select("node", F.posexplode("prefix").alias("pos", "h2")), "node").where("pos > pos1")
-    second = store.keep(second.select(F.xxhash64("h", "h2").alias("hh"), "node", "n", "pos", "c"), "jaccard-second")
+    second = store.keep(second.select(F.xxhash64("h", "h2").alias("hh"), "node", "n", "pos", "c", "before", F.lit(False).alias("few")), "jaccard-second")
     if second.isEmpty():
         return direct
     rows, groups = _apart(second, "hh", "jaccard-groups")

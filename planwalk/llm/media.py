@@ -290,7 +290,6 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     other columns aren't read. An empty table gives an empty result."""
     with store.scratch():
         media = store.keep(text_frames(df, text_col), "media", "none")
-        store.release(df.sparkSession)
         return store.keep(read_pages(interleave(text_pages(df, id_col, text_col), "doc_id", "html"), media), "media-facts", outer=True)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,17 +41,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of plans that nobody refers to: Spark removes them when the driver's JVM collects the plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's setting by which a plan's shuffle files go as soon as the plan is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind; they are needed only until the table is there."""
+    held = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, held)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/planwalk/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[tuple[SparkSession, str]]] = []
+_scopes: list[list[tuple[SparkSession, str, str | None]]] = []
 
 
 @contextlib.contextmanager
@@ -62,19 +70,37 @@ def scratch() -> Iterator[None]:
     try:
         yield
     finally:
-        for spark, path in _scopes.pop():
+        for spark, path, table in _scopes.pop():
+            if table is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def _new(spark: SparkSession, name: str, outer: bool, table: str | None = None) -> str:
+    path = new_path(spark, name)
+    scopes = _scopes[:-1] if outer else _scopes
+    if scopes:
+        scopes[-1].append((spark, path, table))
+    return path
+
+
 def keep(df: DataFrame, name: str, codec: str = "zstd", outer: bool = False) -> DataFrame:
     """Writes df once to the shared folder and returns the stored table: its lineage ends there, and a lost executor costs no recomputation.
 
     outer: the table outlives the innermost scratch() and goes with the one around it, if there is one."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    scopes = _scopes[:-1] if outer else _scopes
-    if scopes:
-        scopes[-1].append((spark, path))
-    df.write.option("compression", codec).parquet(path)
+    path = _new(spark, name, outer)
+    with releasing(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_by(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zstd", outer: bool = False) -> DataFrame:
+    """As keep, in buckets by the key: tables with as many buckets by one key meet without a shuffle."""
+    spark = df.sparkSession
+    table = f"planwalk_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = _new(spark, name, outer, table)
+    with releasing(spark):
+        df.write.option("compression", codec).option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)

@@ -25,7 +25,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +112,11 @@ def _hash(x: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
 _STAGE = "segment bigint, doc_ids array<bigint>, held_out array<boolean>, sizes array<int>, places binary, words binary"
 _SENT = "bucket int, segment bigint, sent binary"
 _MET = "segment bigint, bucket int, back binary"
-#: The segment under which buckets give what concerns no segment.
-NO_SEGMENT = -1
+
+
+def _no_segment(bucket: int) -> int:
+    """The segment under which a bucket gives what concerns no segment."""
+    return -1 - bucket
 
 
 def _stage(segment_bytes: int):
@@ -238,7 +240,7 @@ def _meet_level(table: pa.Table, buckets: int, limit: int, last: bool) -> pa.Tab
         back.append(pack(seen[own], number[own], told_of_run[own[np.cumsum(x) - x]]))
         at += size
     back.append(pack(context[begins][split], kinds[split], units[split], whole[split]))
-    segments = table.column("segment").to_pylist() + [NO_SEGMENT]
+    segments = table.column("segment").to_pylist() + [_no_segment(bucket)]
     return pa.table({"segment": pa.array(segments, pa.int64()), "bucket": pa.array([bucket] * len(back), pa.int32()), "back": pa.array(back, pa.binary())})
 
 
@@ -255,7 +257,7 @@ def _meet_words(table: pa.Table, buckets: int) -> pa.Table:
     cuts = np.cumsum([0, *(len(x[0]) for x in parts)])
     back = [pack(count[group[a:b]], number[group[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
     back.append(pack(np.array([count.sum(), (count > 0).sum(), (count == 1).sum()])))
-    segments = table.column("segment").to_pylist() + [NO_SEGMENT]
+    segments = table.column("segment").to_pylist() + [_no_segment(bucket)]
     return pa.table({"segment": pa.array(segments, pa.int64()), "bucket": pa.array([bucket] * len(back), pa.int32()), "back": pa.array(back, pa.binary())})
 
 
@@ -394,21 +396,12 @@ def _each(batches, known: int, setting: Setting, f) -> Iterator[pa.RecordBatch]:
             yield f(Segment(row, known, setting), row)
 
 
-def _exchange(frame: DataFrame, name: str, send: Callable, meet: Callable) -> tuple[DataFrame, list[list[np.ndarray]]]:
-    """(segment, name) with what the buckets give each segment back, and what they give for no segment."""
-    met = store.keep(frame.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _MET), f"lm-{name}", "none")
-    told = [unpack(bytes(r["back"])) for r in met.where(F.col("segment") == NO_SEGMENT).select("back").collect()]
-    return met.where(F.col("segment") != NO_SEGMENT).groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name)), told
-
-
-def _held(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """df on the executors' disks, dealt as it is; what it came of is let go."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    if before is not None:
-        before.unpersist()
-    store.release(df.sparkSession)
-    return df
+def _exchange(frame: DataFrame, name: str, parts: int, send: Callable, meet: Callable, outer: bool = False) -> tuple[DataFrame, list[list[np.ndarray]]]:
+    """(segment, name), stored by segment, with what the buckets give each segment back, and what they give for no segment."""
+    met = frame.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _MET)
+    back = store.keep_by(met.groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name)), f"lm-{name}", "segment", parts, "none", outer)
+    told = [unpack(bytes(x["back"])) for r in back.where(F.col("segment") < 0).select(name).collect() for x in r[name]]
+    return back.where(F.col("segment") >= 0), told
 
 
 def _whole(told: list[list[np.ndarray]]) -> dict[str, np.ndarray]:
@@ -447,28 +440,26 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     with store.scratch():
         with store.scratch():
+            # stored before it is dealt, so that a task done again sends what it sent at first
             stage = store.keep(texts.mapInArrow(_stage(SEGMENT_BYTES), _STAGE), "lm-stage", "none")
             buckets = BUCKETS * max(1, -(-stage.count() // BUCKET_SEGMENTS))
             setting = Setting(buckets, depth)
-            back, told = _exchange(stage, "n0", each(0, lambda segment, _: segment.send_words(), setting), lambda table: _meet_words(table, buckets))
+            back, told = _exchange(stage, "n0", parts, each(0, lambda segment, _: segment.send_words(), setting), lambda table: _meet_words(table, buckets), outer=True)
             # segments from here on know their words by number, and lie as what they are given back does
-            frame = _held(stage.drop("words").repartition(parts, "segment").join(back, "segment"))
+            rows = store.keep_by(stage.drop("words").repartition(parts, "segment"), "lm-frame", "segment", parts, "none", outer=True).join(back, "segment")
         n, v, once = (sum(int(x[0][k]) for x in told) for k in range(3))
         limit = max(least, -(-n // most))
 
         def meet_level(last: bool) -> Callable:
             return lambda table: _meet_level(table, buckets, limit, last)
 
-        setting, known = Setting(buckets, depth, n, v, once, limit), None
+        setting = Setting(buckets, depth, n, v, once, limit)
         for d in range(1, depth + 1):
-            with store.scratch():
-                rows = frame if known is None else frame.join(known, "segment", "left")
-                back, told = _exchange(rows, f"n{d}", each(d, lambda segment, _: segment.levels[-1].send(segment.number), setting), meet_level(d == depth))
-                known = _held((frame.select("segment") if known is None else known).join(back, "segment", "left"), known)
+            back, told = _exchange(rows, f"n{d}", parts, each(d, lambda segment, _: segment.levels[-1].send(segment.number), setting), meet_level(d == depth))
+            rows = rows.join(back, "segment", "left")
             setting = Setting(buckets, depth, n, v, once, limit, [*setting.split, _whole(told)])
-        with store.scratch():
-            back, _ = _exchange(frame.join(known, "segment", "left"), "raised", each(depth + 1, lambda segment, _: segment.send_unsure(), setting), _meet_raised)
-            known = _held(known.join(back, "segment", "left"), known)
+        back, _ = _exchange(rows, "raised", parts, each(depth + 1, lambda segment, _: segment.send_unsure(), setting), _meet_raised)
+        rows = rows.join(back, "segment", "left")
 
         def finish(segment, row):
             value, rows, c = segment.log10(row["raised"]), segment.rows, segment.count
@@ -477,8 +468,5 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-        scored = frame.join(known, "segment", "left").mapInArrow(each(depth + 1, finish, setting), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-        out = store.keep(scored, "lm-scores", outer=True)
-    frame.unpersist()
-    known.unpersist()
-    return out
+        scored = rows.mapInArrow(each(depth + 1, finish, setting), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return store.keep(scored, "lm-scores", outer=True)

@@ -139,12 +139,13 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_co
         texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         stage = store.keep(texts.mapInArrow(_encode(tokenizer, end_id), _STAGE), "token-stage")
         chunks = stage.where("kind = 1").select("digest", "width", "ids").dropDuplicates(["digest"])
-        chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+        with store.releasing(spark):
+            chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
         docs = stage.where("kind = 0").select("doc_id", "n_tokens", "root", "chunks")
         placed = running_sum(docs, ["doc_id", "root"], "n_tokens", "start", "token-recipes", "number")
-        placed.repartitionByRange("number").sortWithinPartitions("number").select("number", "doc_id", "start", "n_tokens", "root", "chunks").write.option("compression", "zstd").parquet(f"{path}/recipes")
-        del stage, chunks, docs, placed
-    store.release(spark)
+        recipes = placed.repartitionByRange("number").sortWithinPartitions("number").select("number", "doc_id", "start", "n_tokens", "root", "chunks")
+        with store.releasing(spark):
+            recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
     level, nodes = 0, _tree_level(_leaves(spark.read.parquet(f"{path}/recipes")))
     while True:
         nodes.select(F.lit(level).alias("level"), "node", "n_docs", "n_tokens", "root").write.mode("append").parquet(f"{path}/manifest")

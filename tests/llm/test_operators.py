@@ -530,6 +530,24 @@ def test_jaccard_pairs_of_a_common_shingle_are_few(spark, monkeypatch):
     assert sum(tried) < 40 * len(texts)
 
 
+@pytest.mark.parametrize("few,short", [(32, 16), (0, 1), (0, 10**6)])
+def test_jaccard_pairs_that_share_long_prefixes_meet_once(spark, monkeypatch, few, short):
+    """Long documents that share most of their text and just don't link, and some that do, by each way to meet."""
+    met, plain = [], jaccard_join._of_different
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "_of_different", lambda *more: met.append(plain(*more).count()) or plain(*more))
+    size, many = (2000, 120) if short == 16 else (150, 40)
+    base = [f"w{j}" for j in range(size - size * 56 // 1000)]
+    texts = [" ".join([*base, *(f"k{k}x{j}" for j in range(size - len(base)))]) for k in range(many)]
+    texts += [f"{texts[k]} and one" for k in (3, 3, 5)] + [f"{base[0]} {texts[7]}"]
+    members, _ = jaccard_join.link(docs(spark, texts), 3, (90, 100))
+    got = {r.doc_id: r.component_id for r in members.collect()}
+    assert got == {k: {many: 3, many + 1: 3, many + 2: 5, many + 3: 7}.get(k, k) for k in range(many + 4)}
+    if short == 16:
+        assert sum(met) < 20_000
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in jaccard_join.components(edges, "t").collect()} == {0}
