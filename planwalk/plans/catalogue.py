@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planwalk.plans import catalogue_queries, raster_queries, request_queries, scoring_queries, semantic_queries, spatial_queries, validation_queries  # noqa: F401
+from planwalk.plans import catalogue_queries, circle_queries, raster_queries, request_queries, scoring_queries, semantic_queries, spatial_queries, validation_queries  # noqa: F401
 from planwalk.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
