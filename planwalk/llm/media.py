@@ -198,8 +198,10 @@ def text_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, html string")
 
 
-def text_frames(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, media): the frames of all texts' payloads in stored form, each distinct one once."""
+def text_frames(df: DataFrame, text_col: str = "text", unique: bool = True) -> DataFrame:
+    """(digest, media): the frames of all texts' payloads in stored form, each distinct one once.
+
+    unique=False: frames stay where their texts lie, so nothing moves, and one comes once from each task that has it."""
 
     def run(batches):
         seen: set[str] = set()
@@ -215,11 +217,12 @@ def text_frames(df: DataFrame, text_col: str = "text") -> DataFrame:
                         forms.append(to_png(frame))
                 if names:
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(forms, pa.binary())], names=["digest", "media"])
-                if len(seen) > 500_000:  # a frame may then be handed on twice; the store still keeps one
+                if len(seen) > 500_000:  # a frame may then be handed on twice
                     seen.clear()
 
     store.bound_batches(df.sparkSession)
-    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])
+    frames = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "digest string, media binary")
+    return frames.dropDuplicates(["digest"]) if unique else frames
 
 
 _FACTS = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -254,9 +257,12 @@ def features(media: DataFrame) -> DataFrame:
 _SPAN = r"^bytes (\d+)-(\d+) of (\d+)$"
 
 
-def read_pages(pages: DataFrame, media: DataFrame) -> DataFrame:
+def read_pages(pages: DataFrame, media: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_bytes, facts) of each page of `text_pages`, from its figures in order and media(digest, media), stored.
 
+    parts(digest, media): where the figures of pages with several are, each once; media, if it isn't given, which then
+    must hold each once. Given parts, media may hold a figure several times.
+
     What concerns a single figure is computed where its bytes lie, and only small rows move; the bytes of a page with
     several figures meet in one row, as they are one text's."""
     found = pages.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.filter(F.transform("items", lambda x, k: F.struct(k.alias("pos"), x["kind"].alias("kind"), x["digest"].alias("digest"), x["caption"].alias("caption"))), lambda x: x["kind"] == "media").alias("items"))
@@ -264,8 +270,9 @@ def read_pages(pages: DataFrame, media: DataFrame) -> DataFrame:
     refs = found.select("row", "doc_id", F.size("items").alias("figures"), F.explode("items").alias("item")).select("row", "doc_id", "figures", "item.pos", "item.digest", number(1).alias("first"), number(2).alias("last"), number(3).alias("n_bytes"))
     refs = store.keep(refs, "media-references")
     columns = ["doc_id", "n_bytes", *(x.split()[0] for x in _FACTS.split(", "))]
-    single = split_join(refs.where("figures = 1"), features(media), "digest", ["row"], "left").select(*columns, "first", "last", F.lit(True).alias("fits"))
-    wide = split_join(refs.where("figures > 1"), media, "digest", ["row"], "left")
+    known = features(media) if parts is None else features(media).dropDuplicates(["digest"])
+    single = split_join(refs.where("figures = 1"), known, "digest", ["row"], "left").select(*columns, "first", "last", F.lit(True).alias("fits"))
+    wide = split_join(refs.where("figures > 1"), media if parts is None else parts, "digest", ["row"], "left")
     wide = wide.groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("pos", "first", "last", "media"))).alias("parts"))
     follow = F.forall(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.get("parts", k)["first"] == F.get("parts", k - 1)["last"])
     wide = wide.select("doc_id", "n_bytes", F.get("parts", F.lit(0))["first"].alias("first"), F.get("parts", F.size("parts") - 1)["last"].alias("last"), follow.alias("fits"), F.transform("parts", lambda x: x["media"]).alias("forms"))
@@ -286,11 +293,16 @@ def read_pages(pages: DataFrame, media: DataFrame) -> DataFrame:
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's digest: each text stored as media, its page parsed, its references resolved by digest and read back.
 
+    Payloads of one frame are stored by the tasks that read their texts, so that no bytes move: one is stored once a task
+    that has it. The frames of longer ones are stored once altogether.
+
     Null and empty texts are 64 zero bytes; rows that repeat an id or a text give a row each; ids are whole numbers;
     other columns aren't read. An empty table gives an empty result."""
     with store.scratch():
-        media = store.keep(text_frames(df, text_col), "media", "none")
-        return store.keep(read_pages(interleave(text_pages(df, id_col, text_col), "doc_id", "html"), media), "media-facts", outer=True)
+        longer = F.coalesce(F.octet_length(F.col(text_col).cast("string")) > FRAME_BYTES, F.lit(False))
+        media = store.keep(text_frames(df.where(~longer), text_col, unique=False), "media", "none")
+        parts = store.keep(text_frames(df.where(longer), text_col), "media-parts", "none")
+        return store.keep(read_pages(interleave(text_pages(df, id_col, text_col), "doc_id", "html"), media, parts), "media-facts", outer=True)
 
 
 def page_digests(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

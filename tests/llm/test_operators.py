@@ -402,6 +402,14 @@ def test_media(spark):
     assert media.text_media(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_texts_that_several_tasks_have_give_a_row_each(spark):
+    df = docs(spark, ["same", "other", "é" * 40_000, None, ""])
+    both = df.unionByName(df).repartition(5).unionByName(df)
+    got = sorted(tuple(r) for r in media.text_media(both).collect())
+    once = sorted(tuple(r) for r in media.text_media(df).collect())
+    assert got == sorted(once * 3)
+
+
 def test_media_is_stored_once_and_pages_hold_texts_and_figures_in_order(spark, monkeypatch):
     monkeypatch.setattr(media, "FRAME_BYTES", 128)
     texts = ["one\ntwo & 2\n" + "x" * 300 + "\nlast", "same", "same", None]
