@@ -123,6 +123,30 @@ def test_nearest_segments_are_found_in_cells(spark, monkeypatch, cell):
     assert spatial.nearest_segment(df.limit(0), lined).count() == 0
 
 
+def test_short_routes_meet_their_segments_without_cells(spark):
+    far = 10**9
+    df = spark.createDataFrame([(0, 1, 0, 3.0, 4.0), (0, 2, 0, 1.0, 1.0)], "layout long, route long, i long, x double, y double")
+    lined = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 0.0), (0, 1, 9.0, 9.0, float(far), 9.0)], "layout long, route long, ax double, ay double, bx double, by double")
+    found = spatial.nearest_segment(df, lined)
+    # a segment as long as this one would be told to 10**7 cells
+    assert "gx" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.route, r.d) for r in found.collect()} == {(1, 5.0), (2, None)}
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_long_and_short_routes_have_equal_distances(spark, monkeypatch, few):
+    monkeypatch.setattr(spatial, "FEW_SEGMENTS", few)
+    rng = random.Random(3)
+    points = [(0, k % 2, k, rng.uniform(0, 90), rng.uniform(0, 90)) for k in range(60)]
+    made = [(0, int(k >= 70), *(rng.uniform(0, 90) for _ in range(4))) for k in range(75)]
+    df = spark.createDataFrame(points, "layout long, route long, i long, x double, y double")
+    lined = spark.createDataFrame(made, "layout long, route long, ax double, ay double, bx double, by double")
+    got = {r.i: r.d for r in spatial.nearest_segment(df, lined).collect()}
+    assert len(got) == 60
+    for _, route, i, x, y in points:
+        assert got[i] == pytest.approx(min(plain_distance(x, y, *s[2:]) for s in made if s[1] == route), abs=1e-9)
+
+
 def test_selection(spark):
     paths = ["a/simple/layout_01/hard_01.json", "a/simple/layout_01/hard_02.json", "a/complex/layout_02/easy_semantic.json", "a/draft/layout_03/medium_1.json", "a/simple/layout_01/map.png"]
     listed = spark.createDataFrame([(x,) for x in paths], "path string")
