@@ -50,7 +50,7 @@ def _coverage(name):
     def run(spark, sf_dir):
         """Coverage of one constraint."""
         tasks, exhibits, visits = _tables(spark, sf_dir)
-        return coverage.coverage(tasks, coverage.required(tasks, exhibits, name), visits)
+        return coverage.constraint_coverage(tasks, exhibits, visits, name)
 
 
 for _name in (*coverage.CHECKS, "combined"):

@@ -144,3 +144,26 @@ def test_readers(spark, tmp_path):
     art = spark.createDataFrame([("1", 'a "b"\nc', b"x")], "id string, description string, Image binary")
     files.write_artifacts_csv(art, f"{root}/csv")
     assert spark.read.csv(f"{root}/csv", header=True, multiLine=True, escape='"').first().description == 'a "b"\nc'
+
+
+def test_coverage_meets_different_requests_and_facts_only(spark):
+    none = "array<string>"
+    kinds = f"task long, layout long, in_range {none}, before_year string, after_year string, materials {none}, places {none}, techniques {none}, categories {none}, specific array<long>, min_n long"
+    asked = [(k, k % 2, ["100", "300"] if k % 3 else [], "250" if k % 5 == 0 else None, None, ["RED"] if k % 2 else None, ["os"] if k % 7 == 0 else [], [], ["S", "T"] if k % 4 else None, [], 1) for k in range(40)]
+    shown = [(k % 2, k, "ST"[k % 3 // 2], ("dark red", "blue", None)[k % 3], "t", 100 + k % 9 * 20, 120 + k % 9 * 20, "Kos" if k % 4 else None, "c") for k in range(60)]
+    shown += [shown[3], (1, 5, "S", "red", "t", 150, 160, "Kos", "c")]  # one exhibit again, and one with other facts
+    seen = [(t, e) for t in range(40) for e in range(60) if (t * 7 + e * 3) % 5] + [(99, 1), (0, 999)]
+    tasks, rooms = spark.createDataFrame(asked, kinds), spark.createDataFrame(shown, "layout long, ex_id long, section string, material string, technique string, year_min int, year_max int, city string, country string")
+    visits = spark.createDataFrame(seen, "task long, ex_id long")
+
+    def needs(t, e):
+        date = (not t[2] or (e[5] >= 100 and e[6] <= 300)) and (t[3] is None or e[6] < 250)
+        each = {"date": (bool(t[2]) or t[3] is not None, date), "material": (bool(t[5]), "red" in (e[3] or "")), "place": (bool(t[6]), "os" in (e[7] or ""))}
+        return {k: has and fits for k, (has, fits) in each.items()} | {"combined": any(h for h, _ in each.values()) and all(f for h, f in each.values() if h)}
+
+    for name in ("date", "material", "place", "combined"):
+        df = coverage.constraint_coverage(tasks, rooms, visits, name)
+        got = {r.task: (r.n_required, r.n_visited) for r in df.collect()}
+        for t in asked:
+            wanted = {e[1] for e in shown if e[0] == t[1] and needs(t, e)[name]}
+            assert got[t[0]] == (len(wanted), len(wanted & {e for k, e in seen if k == t[0]})), (name, t)
