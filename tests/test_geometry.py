@@ -101,3 +101,21 @@ def test_lengths_ends_and_bounds(spark):
 def test_reach_is_cut_off(spark):
     row = spark.range(1).select(spatial.reach_pixels(F.lit(1500.0), F.lit(20.5)).alias("a"), spatial.reach_pixels(F.lit(1500.0), F.lit(0.0)).alias("b")).first()
     assert tuple(row) == (73, 25)
+
+
+def test_equal_circles_meet_points_once_and_are_told_apart_after(spark):
+    # exhibits 0 to 8 are alike; 9 lies elsewhere; 10 is listed twice, in two places
+    rings = [(0, k, 5.0, 5.0, 2.0) for k in range(9)] + [(0, 9, 40.0, 5.0, 2.0), (0, 10, 5.0, 5.0, 2.0), (0, 10, 8.0, 5.0, 2.0)]
+    held = spark.createDataFrame(rings, "layout long, ex_id long, cx double, cy double, r double")
+    once = spatial.alike(held)
+    assert sorted((r.cx, r.own, r.n) for r in once.collect() if r.own is None) == [(5.0, None, 9), (40.0, None, 1)]
+    points = route(spark, (6, 5), (5, 9), (8, 5))
+    pairs = spatial.near_circles(points, once, 0)
+    assert pairs.count() == 3
+    per = pairs.groupBy("layout", "route", spatial.by_circle(), "own").agg(F.count(F.lit(1)).alias("n_points"))
+    got = {(r.ex_id, r.n_points) for r in spatial.each_exhibit(per, held).collect()}
+    plain = spatial.near_circles(points, held, 0).groupBy("ex_id").agg(F.count(F.lit(1)).alias("n_points"))
+    assert got == {(r.ex_id, r.n_points) for r in plain.collect()} == {(k, 1) for k in range(9)} | {(10, 2)}
+    flags = spatial.point_flags(points, shapes(spark))
+    none = spark.createDataFrame([], "layout long, id long, kind string, x double, y double, w double, h double, cfg string")
+    assert [spatial.route_violations(flags, c, none).first().n_collision for c in (pairs, spatial.near_circles(points, held, 0))] == [11, 11]
