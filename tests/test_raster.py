@@ -174,3 +174,23 @@ def test_all_annotated_circles_are_matched(spark, monkeypatch):
     monkeypatch.setattr(raster_queries.b, "exhibits", lambda spark, sf_dir: circles)
     got = {(r.found_id, r.ann_id) for r in raster_queries.circle_matches(spark, "").collect()}
     assert got == {(k, k) for k in range(1, 7)}
+
+
+def test_rounds_of_components_leave_one_table_of_pairs(spark, monkeypatch):
+    from planwalk.plans import shared
+
+    held, most = set(), []
+    keep, drop = shared.keep, shared.drop
+
+    def kept(df, name, outer=False):
+        out = keep(df, name, outer)
+        held.add(out.kept_path) if name == "pixel-pairs" else None
+        most.append(len(held))
+        return out
+
+    monkeypatch.setattr(shared, "keep", kept)
+    monkeypatch.setattr(shared, "drop", lambda *some: (held.difference_update(x.kept_path for x in some), drop(*some)))
+    line = spark.range(60).selectExpr("1L AS route", "id AS x", "id % 2 AS y")
+    assert {(r.cx, r.cy) for r in raster.components(line).collect()} == {(0, 0)}
+    # the new pairs and those they are made of
+    assert max(most) == 2 and not held
