@@ -26,7 +26,7 @@ def windows(annotated: DataFrame) -> DataFrame:
 
 def gradients(image: DataFrame, sizes: DataFrame, width: int = 5) -> DataFrame:
     """(route, x, y, gx, gy) of smoothed images where it isn't zero, by weights of 1, 2 and 1 across; borders mirror."""
-    dark = extraction.smoothed(image, sizes, width, ("gray",)).join(sizes.select("route", "w", "h"), "route").select(*_PIXEL, "w", "h", (255 - F.col("gray")).alias("d")).where("d > 0")
+    dark = shared.meet(extraction.smoothed(image, sizes, width, ("gray",)), sizes.select("route", "w", "h"), "route").select(*_PIXEL, "w", "h", (255 - F.col("gray")).alias("d")).where("d > 0")
     for axis, size in (("x", "w"), ("y", "h")):
         at, end = F.col(axis), F.col(size)
         dark = dark.withColumn(f"p{axis}", F.explode(F.array_distinct(F.array(at, -at, 2 * (end - 1) - at)))).where(F.col(f"p{axis}").between(-1, end))
@@ -49,15 +49,15 @@ def edges(slopes: DataFrame) -> DataFrame:
     weak = held.where(F.col("m") * 2 > STRONG)
     before = held.select("route", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("m").alias("before"))
     after = held.select("route", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("m").alias("after"))
-    weak = weak.withColumn("bx", F.col("x") - F.col("ux")).withColumn("by", F.col("y") - F.col("uy")).join(before, ["route", "bx", "by"], "left")
-    weak = weak.withColumn("ax", F.col("x") + F.col("ux")).withColumn("ay", F.col("y") + F.col("uy")).join(after, ["route", "ax", "ay"], "left")
+    weak = shared.meet(weak.withColumn("bx", F.col("x") - F.col("ux")).withColumn("by", F.col("y") - F.col("uy")), before, ["route", "bx", "by"], "left")
+    weak = shared.meet(weak.withColumn("ax", F.col("x") + F.col("ux")).withColumn("ay", F.col("y") + F.col("uy")), after, ["route", "ax", "ay"], "left")
     thin = weak.where("m > coalesce(before, 0) AND m >= coalesce(after, 0)").select(*_PIXEL, "gx", "gy", "m")
     with shared.scratch():
         thin = shared.keep(thin, "edge-pixels")
         parts = raster.components(thin.select(*_PIXEL))
-        strong = parts.join(thin.where(F.col("m") > STRONG), _PIXEL, "left_semi").select("route", "cx", "cy").distinct()
-        hung = parts.join(strong, ["route", "cx", "cy"], "left_semi").select(*_PIXEL)
-        return shared.keep(thin.join(hung, _PIXEL, "left_semi").select(*_PIXEL, "gx", "gy"), "edges", outer=True)
+        strong = shared.meet(parts, thin.where(F.col("m") > STRONG), _PIXEL, "left_semi").select("route", "cx", "cy").distinct()
+        hung = shared.meet(parts, strong, ["route", "cx", "cy"], "left_semi").select(*_PIXEL)
+        return shared.keep(shared.meet(thin, hung, _PIXEL, "left_semi").select(*_PIXEL, "gx", "gy"), "edges", outer=True)
 
 
 def _whole(x: Column) -> Column:
@@ -66,7 +66,8 @@ def _whole(x: Column) -> Column:
 
 def votes(edge: DataFrame, sizes: DataFrame, window: DataFrame) -> DataFrame:
     """(route, x, y, votes): how many edge pixels may lie around a pixel, up or down their slope, at a radius of the window."""
-    held = edge.join(window.select("route", "low", "high"), "route").join(sizes.select("route", "w", "h"), "route")
+    # what an edge pixel votes for is dealt with it
+    held = shared.meet(shared.meet(shared.dealt(edge, 16), window.select("route", "low", "high"), "route"), sizes.select("route", "w", "h"), "route")
     steps = held.withColumn("k", F.explode(F.flatten(F.array(F.sequence(-F.col("high"), -F.col("low")), F.sequence("low", "high")))))
     length = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double"))
     at = lambda c: _whole(F.col(c) + F.col("k") * F.col(f"g{c}") / length)
@@ -91,21 +92,21 @@ def spaced(found: DataFrame, window: DataFrame) -> DataFrame:
     cells. Peaks are local, so few of them are near to each other."""
     names = [*_PIXEL, "votes"]
     with shared.scratch():
-        held = shared.keep(found.join(window.select("route", "apart"), "route"), "circle-peaks")
+        held = shared.keep(shared.meet(found, window.select("route", "apart"), "route"), "circle-peaks")
         placed = held.withColumn("gx", F.floor(F.col("x") / F.col("apart"))).withColumn("gy", F.floor(F.col("y") / F.col("apart")))
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         other = placed.select("route", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("votes").alias("ov"), "gx", "gy").withColumn("i", around).withColumn("j", around)
         other = other.withColumn("gx", F.col("gx") + F.col("i")).withColumn("gy", F.col("gy") + F.col("j")).drop("i", "j")
-        near = placed.join(other, ["route", "gx", "gy"]).where("(x - ox) * (x - ox) + (y - oy) * (y - oy) < apart * apart AND (-votes, x, y) < (-ov, ox, oy)")
+        near = shared.meet(placed, other, ["route", "gx", "gy"]).where("(x - ox) * (x - ox) + (y - oy) * (y - oy) < apart * apart AND (-votes, x, y) < (-ov, ox, oy)")
         near = shared.keep(near.select(*_PIXEL, "ox", "oy"), "circle-near")
         out, left = None, held.select(*names)
         while out is None or not left.isEmpty():
-            live = near.join(left, _PIXEL, "left_semi")
+            live = shared.meet(near, left, _PIXEL, "left_semi")
             under = live.select("route", F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
-            taken = shared.keep(left.join(under, _PIXEL, "left_anti"), "circle-taken", outer=True)
+            taken = shared.keep(shared.meet(left, under, _PIXEL, "left_anti"), "circle-taken", outer=True)
             out = taken if out is None else out.unionByName(taken)
-            gone = near.join(taken, _PIXEL, "left_semi").select("route", F.col("ox").alias("x"), F.col("oy").alias("y"))
-            left = shared.keep(left.join(taken, _PIXEL, "left_anti").join(gone, _PIXEL, "left_anti"), "circle-left")
+            gone = shared.meet(near, taken, _PIXEL, "left_semi").select("route", F.col("ox").alias("x"), F.col("oy").alias("y"))
+            left = shared.keep(shared.meet(shared.meet(left, taken, _PIXEL, "left_anti"), gone, _PIXEL, "left_anti"), "circle-left")
         return out
 
 
@@ -115,13 +116,14 @@ def circles(image: DataFrame, sizes: DataFrame, annotated: DataFrame) -> DataFra
     A centre's radius is the one of its window that most edge pixels have for their distance, in proportion to it, the
     smaller one if equal; LEAST_VOTES or fewer such pixels make no circle. Blank images have none."""
     window = windows(annotated)
+    image = shared.keep(image.select(*_PIXEL, "gray"), "circle-images")
     edge = edges(gradients(image, sizes))
-    centres = spaced(peaks(votes(edge, sizes, window)), window).join(window, "route")
+    centres = shared.meet(spaced(peaks(votes(edge, sizes, window)), window), window, "route")
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     dealt = centres.withColumn("i", around).withColumn("j", around).withColumn("gx", F.floor(F.col("x") / F.col("high")) + F.col("i")).withColumn("gy", F.floor(F.col("y") / F.col("high")) + F.col("j"))
-    rim = edge.join(window.select("route", "high"), "route").select("route", F.col("x").alias("ex"), F.col("y").alias("ey"), F.floor(F.col("x") / F.col("high")).alias("gx"), F.floor(F.col("y") / F.col("high")).alias("gy"))
+    rim = shared.meet(edge, window.select("route", "high"), "route").select("route", F.col("x").alias("ex"), F.col("y").alias("ey"), F.floor(F.col("x") / F.col("high")).alias("gx"), F.floor(F.col("y") / F.col("high")).alias("gy"))
     far = F.sqrt(((F.col("ex") - F.col("x")) * (F.col("ex") - F.col("x")) + (F.col("ey") - F.col("y")) * (F.col("ey") - F.col("y"))).cast("double"))
-    rings = dealt.join(rim, ["route", "gx", "gy"]).select(*_PIXEL, "votes", "low", "high", _whole(far).alias("r")).where("r BETWEEN low AND high")
+    rings = shared.meet(dealt, rim, ["route", "gx", "gy"]).select(*_PIXEL, "votes", "low", "high", _whole(far).alias("r")).where("r BETWEEN low AND high")
     counted = rings.groupBy(*_PIXEL, "votes", "r").agg(F.count(F.lit(1)).alias("n_edge"))
     best = F.max_by(F.struct("r", "n_edge"), F.struct(F.col("n_edge") / F.col("r"), -F.col("r")))
     return counted.groupBy(*_PIXEL, "votes").agg(best.alias("b")).select(*_PIXEL, "b.r", "votes", "b.n_edge").where(F.col("n_edge") > LEAST_VOTES)

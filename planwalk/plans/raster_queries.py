@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from planwalk.operators import lines, raster
 from planwalk.plans import pixel_sql as px
+from planwalk.plans import shared
 from planwalk.plans.registry import query
 from planwalk.sources import bindings as b
 
@@ -98,7 +99,7 @@ def _eroded(mask: str, low: int, high: int) -> str:
 def closed_opened(spark, sf_dir):
     """Routes with gaps closed and specks taken off by a brush of two."""
     two = raster.square(0, 1)
-    done = raster.opened(raster.closed(b.pixels(spark, sf_dir), two), two)
+    done = raster.opened(raster.closed(shared.dealt(shared.keep(b.pixels(spark, sf_dir), "pixels")), two), two)
     return done.groupBy("route").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
 

@@ -1,5 +1,6 @@
 """Pixel kernels against plain Python."""
 
+import math
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planwalk.operators import extraction, lines, raster
+from planwalk.plans import shared
 
 
 def pixels(spark, *routes):
@@ -194,3 +196,9 @@ def test_rounds_of_components_leave_one_table_of_pairs(spark, monkeypatch):
     assert {(r.cx, r.cy) for r in raster.components(line).collect()} == {(0, 0)}
     # the new pairs and those they are made of
     assert max(most) == 2 and not held
+
+
+def test_no_pixel_table_is_broadcast(spark):
+    pixels = shared.keep(spark.range(200).selectExpr("id % 2 AS route", "id AS x", "id AS y"), "test-pixels")
+    plans = [raster.neighbours(pixels), raster.subtracted(pixels, pixels.where("x > 3")), raster.path_length(pixels, pixels.selectExpr("*", "x AS cx", "y AS cy"))]
+    assert not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
