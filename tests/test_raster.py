@@ -198,6 +198,25 @@ def test_rounds_of_components_leave_one_table_of_pairs(spark, monkeypatch):
     assert max(most) == 2 and not held
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_copies_of_circles_pair_by_ids_in_few_rounds(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    found = [(1, k, 5 * rng.randrange(4), rng.randrange(2)) for k in rng.sample(range(500), 60)] + [(2, k, 0, 0) for k in range(40)]
+    drawn = [(1, k, 5 * rng.randrange(4) + rng.randrange(-2, 3), rng.randrange(2)) for k in rng.sample(range(500), 60)] + [(2, k, (-1) ** k, 0) for k in range(30)]
+    pairs = sorted((math.dist(f[2:], a[2:]), f[1], a[1], f[0]) for f in found for a in drawn if f[0] == a[0] and math.dist(f[2:], a[2:]) <= 3)
+    want = set()
+    for _, f, a, img in pairs:
+        if not any(i == img and (f == g or a == b) for i, g, b in want):
+            want.add((img, f, a))
+    rounds, closest = [], raster._closest
+    monkeypatch.setattr(raster, "_closest", lambda *tables: rounds.append(1) or closest(*tables))
+    tables = spark.createDataFrame(found, "img long, found_id long, x long, y long"), spark.createDataFrame(drawn, "img long, ann_id long, x long, y long")
+    assert {(r.img, r.found_id, r.ann_id) for r in raster.match_circles(*tables, 3.0).collect()} == want
+    few = [t.where("img = 2") for t in tables]
+    rounds.clear()
+    assert raster.match_circles(*few, 3.0).count() == 30 and len(rounds) == 1
+
+
 def test_no_pixel_table_is_broadcast(spark):
     pixels = shared.keep(spark.range(200).selectExpr("id % 2 AS route", "id AS x", "id AS y"), "test-pixels")
     plans = [raster.neighbours(pixels), raster.subtracted(pixels, pixels.where("x > 3")), raster.path_length(pixels, pixels.selectExpr("*", "x AS cx", "y AS cy"))]
