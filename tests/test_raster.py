@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planwalk.operators import extraction, lines, raster
+from planwalk.operators import extraction, lines, raster, spatial
 from planwalk.plans import shared
 
 
@@ -221,3 +221,14 @@ def test_no_pixel_table_is_broadcast(spark):
     pixels = shared.keep(spark.range(200).selectExpr("id % 2 AS route", "id AS x", "id AS y"), "test-pixels")
     plans = [raster.neighbours(pixels), raster.subtracted(pixels, pixels.where("x > 3")), raster.path_length(pixels, pixels.selectExpr("*", "x AS cx", "y AS cy"))]
     assert not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
+def test_strokes_are_drawn_without_rows_of_pixels(spark):
+    """Only points are exchanged, whatever their strokes cover; runs are disjoint."""
+    rng = random.Random(4)
+    points = spark.createDataFrame([(0, k % 3, k, rng.randrange(90), rng.randrange(90)) for k in range(1800)], "layout long, route long, i long, x long, y long")
+    runs = spatial.ink_runs(points)
+    for df in (runs, spatial.stroke_pixels(points)):
+        assert "generate explode" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    drawn = [(r.route, x, r.y) for r in runs.collect() for x in range(r.low, r.high + 1)]
+    assert len(drawn) == len(set(drawn)) == spatial.rasterise(points).distinct().count()
