@@ -41,15 +41,15 @@ def preprocess_stats(spark, sf_dir):
     return done.select(F.explode(F.array_compact(facts)).alias("f")).groupBy("f.kind", "f.status").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _tables(spark, sf_dir):
-    return b.tasks(spark, sf_dir), b.exhibit_facts(spark, sf_dir), b.visits(spark, sf_dir)
+def _tables(spark, sf_dir, placed=True):
+    return b.tasks(spark, sf_dir), b.exhibit_facts(spark, sf_dir, placed), b.visits(spark, sf_dir)
 
 
 def _coverage(name):
     @query(f"{_FACTS} vis tasks match need cover", f"SELECT task, n_required, n_visited, pct, valid FROM cover WHERE kind = '{name}'", f"{name}_coverage")
     def run(spark, sf_dir):
         """Coverage of one constraint."""
-        tasks, exhibits, visits = _tables(spark, sf_dir)
+        tasks, exhibits, visits = _tables(spark, sf_dir, placed=name in ("place", "combined"))
         return coverage.constraint_coverage(tasks, exhibits, visits, name)
 
 
@@ -59,7 +59,7 @@ for _name in (*coverage.CHECKS, "combined"):
 
 @query(f"{_FACTS} vis tasks cats", "SELECT * FROM cats")
 def category_coverage(spark, sf_dir):
-    return coverage.category_coverage(*_tables(spark, sf_dir))
+    return coverage.category_coverage(*_tables(spark, sf_dir, placed=False))
 
 
 @query("vis tasks spec", "SELECT * FROM spec")

@@ -167,3 +167,22 @@ def test_coverage_meets_different_requests_and_facts_only(spark):
         for t in asked:
             wanted = {e[1] for e in shown if e[0] == t[1] and needs(t, e)[name]}
             assert got[t[0]] == (len(wanted), len(wanted & {e for k, e in seen if k == t[0]})), (name, t)
+
+
+def test_coverage_moves_visits_once_and_knows_exhibits_by_needs(spark):
+    none = "array<string>"
+    kinds = f"task long, layout long, in_range {none}, before_year string, after_year string, materials {none}, places {none}, techniques {none}, categories {none}, specific array<long>, min_n long"
+    tasks = spark.createDataFrame([(t, 0, [], None, None, ["RED"] if t % 2 else ["blue", "tan"], [], [], ["S"], [1, 900], 2) for t in range(20)], kinds)
+    # as many different materials as exhibits, but two needs only
+    rooms = [(0, e, "ST"[e % 2], ("red", "blue", "gray")[e % 3] + f" {e}", "t", None, None, None, None) for e in range(300)]
+    rooms = spark.createDataFrame([*rooms, (0, 1, "S", "red too", "t", None, None, None, None)], "layout long, ex_id long, section string, material string, technique string, year_min int, year_max int, city string, country string")
+    needs = coverage._needs(tasks, ("material",))
+    shown = coverage._shown(rooms, ("material",), needs).select("fits").distinct()
+    assert sorted(r.fits.material for r in shown.collect()) == [[], [1], [2]]
+    visits = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (1, 999), (2, 1), (2, 1)], "task long, ex_id long")
+    (plan,) = [str(coverage._meet(coverage._visited(tasks, visits).distinct(), rooms)._jdf.queryExecution().executedPlan())]
+    assert "BroadcastHashJoin [layout" not in plan and plan.count("hashpartitioning(layout") == 2
+    got = {r.task: r for r in coverage.constraint_coverage(tasks, rooms, visits, "material").collect()}
+    assert (got[1].n_required, got[1].n_visited) == (101, 2) and (got[2].n_required, got[2].n_visited) == (100, 1)
+    found = {r.task: r for r in coverage.semantic_overall(tasks, rooms, visits).collect()}
+    assert found[1].count_ok and not found[2].count_ok and not found[1].specific_ok
