@@ -181,11 +181,15 @@ class Level:
         cuts = self.cuts()
         buckets, firsts = np.unique(self.bucket[cuts[:-1]], return_index=True)
         blobs = []
+        # what the shorter context expects of the runs' occurrences, added up by context: a term is a whole number, so sums
+        # don't depend on how texts are cut
+        terms = self.n * np.rint(-np.log(np.maximum(self.parent_seen, 1) / self.parent_total) * UNIT).astype(np.int64)
+        expected = np.add.reduceat(terms, cuts[:-1]) if len(terms) else terms
         for a, b in zip(firsts, [*firsts[1:], len(cuts) - 1]):
             own, some = cuts[a:b], slice(cuts[a], cuts[b])
             steps = np.diff(self.word[some], prepend=0)
             steps[own - cuts[a]] = self.word[own]
-            blobs.append(pack(np.diff(self.context[own], prepend=0), np.diff(cuts[a : b + 1]), self.total[own], self.parent_total[own], steps, self.n[some], self.parent_seen[some]))
+            blobs.append(pack(np.diff(self.context[own], prepend=0), np.diff(cuts[a : b + 1]), self.total[own], expected[a:b], steps, self.n[some]))
         return _sent(segment, buckets, blobs)
 
     def take(self, back: list[dict] | None, split: dict[str, np.ndarray] | None) -> None:
@@ -203,13 +207,14 @@ def _meet_level(table: pa.Table, buckets: int, limit: int, last: bool) -> pa.Tab
     parts = [unpack(x) for x in table.column("sent").to_pylist()]
     lens, many = [x[1] for x in parts], [len(x[4]) for x in parts]
     context = np.concatenate([np.repeat(np.cumsum(x[0]), x[1]) for x in parts])
-    total, parent_total = (np.concatenate([np.repeat(x[k], x[1]) for x in parts]) for k in (2, 3))
+    total = np.concatenate([np.repeat(x[2], x[1]) for x in parts])
+    own_context, own_expected = np.concatenate([np.cumsum(x[0]) for x in parts]), np.concatenate([x[3] for x in parts])
     word = []
     for x in parts:
         run, first = np.cumsum(x[4]), np.cumsum(x[1]) - x[1]
         word.append(run - np.repeat(run[first] - x[4][first], x[1]))
     word = np.concatenate(word)
-    n, parent_seen = (np.concatenate([x[k] for x in parts]) for k in (5, 6))
+    n = np.concatenate([x[5] for x in parts])
     del parts
     wide = int(word.max(initial=0)).bit_length()
     if int(context.max(initial=0)) >> (63 - wide):
@@ -222,11 +227,11 @@ def _meet_level(table: pa.Table, buckets: int, limit: int, last: bool) -> pa.Tab
     one[group] = np.arange(len(keys))
     context = found >> wide
     begins = np.flatnonzero(np.append(True, np.diff(context) != 0))
-    whole, whole_parent = total[one], parent_total[one]
-    share = (seen / whole) / (np.maximum(parent_seen[one], 1) / whole_parent)
-    nats = np.add.reduceat(seen * np.log(np.where(seen > 0, share, 1.0)), begins)
+    whole = total[one]
+    nats = np.add.reduceat(seen * np.log(np.where(seen > 0, seen / whole, 1.0)), begins)
     kinds, whole = np.add.reduceat((seen > 0).astype(np.int64), begins), whole[begins]
-    units = np.rint(nats * UNIT).astype(np.int64)
+    expected = _sums(np.searchsorted(context[begins], own_context), own_expected, len(begins))
+    units = np.rint(nats * UNIT).astype(np.int64) + expected
     split = whole > limit
     told = 2 * kinds + (passes(units, kinds, whole) & ~split)
     number = np.zeros(len(seen), np.int64)

@@ -718,3 +718,12 @@ def test_suffix_tree_scores_are_those_of_all_counted_contexts(spark, monkeypatch
     assert {len(s) for s in tree} == {1, 2, 3} and 1 in rare
     got = {r.doc_id: r.score for r in suffix_tree.score(docs(spark, texts), lang_id.held_out("doc_id", 7, 2)).collect()}
     assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_suffix_tree_sends_what_is_expected_by_context_not_by_run():
+    some = [np.array(x) for x in ([0, 1, 2], [0, 1, 2], [7, 7, 9], [1, 2, 1], [30, 30, 40], [100] * 3, [50, 25, 50], [4, 2, 0])]
+    level = suffix_tree.Level(*some, np.zeros(3, np.int32))
+    (sent,) = level.send(5).column("sent").to_pylist()
+    context, runs, total, expected, steps, n = suffix_tree.unpack(sent)
+    assert (np.cumsum(context).tolist(), runs.tolist(), total.tolist(), n.tolist()) == ([7, 9], [2, 1], [30, 40], [4, 2, 0])
+    assert expected.tolist() == [4 * round(math.log(2) * suffix_tree.UNIT) + 2 * round(math.log(4) * suffix_tree.UNIT), 0]
