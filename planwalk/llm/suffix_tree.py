@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +115,35 @@ _SENT = "bucket int, segment bigint, sent binary"
 _MET = "segment bigint, bucket int, back binary"
 
 
+def pack_counts(number: np.ndarray, count: np.ndarray, buckets: int, bucket: int, *more: np.ndarray) -> bytes:
+    """A bucket's numbers (0: none) and counts: counts don't grow with the number, so in its order their steps are nearly all 0."""
+    some = np.flatnonzero(number)
+    sorted_counts = count[some[np.argsort(number[some])]]
+    rank = np.where(number > 0, (number - 1 - bucket) // buckets + 1, 0)
+    return pack(rank, sorted_counts[:1], -np.diff(sorted_counts), count[number == 0], *more)
+
+
+def unpack_counts(data: bytes, buckets: int, bucket: int) -> list[np.ndarray]:
+    """Counts, numbers and what was packed with them."""
+    rank, first, steps, rest, *more = unpack(data)
+    some, count = np.flatnonzero(rank), np.empty(len(rank), np.int64)
+    count[some[np.argsort(rank[some])]] = np.concatenate((first, first - np.cumsum(steps)))
+    count[rank == 0] = rest
+    return [count, np.where(rank > 0, 1 + (rank - 1) * buckets + bucket, 0), *more]
+
+
 def _no_segment(bucket: int) -> int:
     """The segment under which a bucket gives what concerns no segment."""
     return -1 - bucket
 
 
+def _by_frequency(many: np.ndarray) -> np.ndarray:
+    return np.argsort(-many, kind="stable")
+
+
 def _stage(segment_bytes: int):
-    """Segments: their texts' tokens as places among their distinct ones, which are sorted."""
+    """Segments: their texts' tokens as places among their distinct ones, the most frequent first, as small numbers pack well;
+    the distinct ones are sorted, and `places` has also how often each occurs, from which their order follows."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -131,9 +154,12 @@ def _stage(segment_bytes: int):
             for low, high in bt.groups(bounds, segment_bytes):
                 _, _, hashes, rows = bt.words(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], bt.SPACED)
                 words, place = np.unique(np.insert(hashes, rows[1:], END), return_inverse=True)
+                many = np.bincount(place)
+                rank = np.empty(len(many), np.int64)
+                rank[_by_frequency(many)] = np.arange(len(many))
                 ids, held = (batch.column(k).slice(low, high - low).to_pylist() for k in (0, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([(np.diff(rows) + 1).tolist()], pa.list_(pa.int32())), pa.array([pack(place)], pa.binary()), pa.array([pack(np.diff(words.view(np.int64), prepend=0))], pa.binary())],
+                    [pa.array([segment], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([(np.diff(rows) + 1).tolist()], pa.list_(pa.int32())), pa.array([pack(rank[place], many)], pa.binary()), pa.array([pack(np.diff(words.view(np.int64), prepend=0))], pa.binary())],
                     names=["segment", "doc_ids", "held_out", "sizes", "places", "words"],
                 )
                 segment += 1
@@ -141,9 +167,10 @@ def _stage(segment_bytes: int):
     return run
 
 
-def _given(back: list[dict] | None, columns: int) -> list[np.ndarray]:
-    """What the buckets gave a segment, in the order in which it was sent."""
-    pieces = [unpack(x["back"]) for x in sorted(back or [], key=lambda x: x["bucket"])]
+def _given(back: list[dict] | None, columns: int, buckets: int = 0) -> list[np.ndarray]:
+    """What the buckets gave a segment, in the order in which it was sent; with their number, counts are unpacked."""
+    back = sorted(back or [], key=lambda x: x["bucket"])
+    pieces = [unpack_counts(x["back"], buckets, x["bucket"]) if buckets else unpack(x["back"]) for x in back]
     return [np.concatenate(x) for x in zip(*pieces)] if pieces else [np.zeros(0, np.int64)] * columns
 
 
@@ -192,8 +219,8 @@ class Level:
             blobs.append(pack(np.diff(self.context[own], prepend=0), np.diff(cuts[a : b + 1]), self.total[own], expected[a:b], steps, self.n[some]))
         return _sent(segment, buckets, blobs)
 
-    def take(self, back: list[dict] | None, split: dict[str, np.ndarray] | None) -> None:
-        self.seen, self.number, told = _given(back, 3)
+    def take(self, back: list[dict] | None, split: dict[str, np.ndarray] | None, buckets: int) -> None:
+        self.seen, self.number, told = _given(back, 3, buckets)
         told = np.repeat(told, np.diff(self.cuts()))
         if split is not None and len(split["context"]):
             k = np.minimum(np.searchsorted(split["context"], self.context), len(split["context"]) - 1)
@@ -242,7 +269,7 @@ def _meet_level(table: pa.Table, buckets: int, limit: int, last: bool) -> pa.Tab
     back, at = [], 0
     for x, size in zip(lens, many):
         own = group[at : at + size]
-        back.append(pack(seen[own], number[own], told_of_run[own[np.cumsum(x) - x]]))
+        back.append(pack_counts(number[own], seen[own], buckets, bucket, told_of_run[own[np.cumsum(x) - x]]))
         at += size
     back.append(pack(context[begins][split], kinds[split], units[split], whole[split]))
     segments = table.column("segment").to_pylist() + [_no_segment(bucket)]
@@ -260,7 +287,7 @@ def _meet_words(table: pa.Table, buckets: int) -> pa.Table:
     some = np.flatnonzero(count)
     number[some[np.argsort(-count[some], kind="stable")]] = 1 + np.arange(len(some)) * buckets + bucket
     cuts = np.cumsum([0, *(len(x[0]) for x in parts)])
-    back = [pack(count[group[a:b]], number[group[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+    back = [pack_counts(number[group[a:b]], count[group[a:b]], buckets, bucket) for a, b in zip(cuts[:-1], cuts[1:])]
     back.append(pack(np.array([count.sum(), (count > 0).sum(), (count == 1).sum()])))
     segments = table.column("segment").to_pylist() + [_no_segment(bucket)]
     return pa.table({"segment": pa.array(segments, pa.int64()), "bucket": pa.array([bucket] * len(back), pa.int32()), "back": pa.array(back, pa.binary())})
@@ -299,13 +326,14 @@ class Segment:
     def __init__(self, row: dict, known: int, setting: Setting):
         self.number, self.doc_ids, self.held = row["segment"], row["doc_ids"], np.array(row["held_out"], bool)
         self.rows = np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
-        (self.place,) = unpack(row["places"])
+        rank, many = unpack(row["places"])
+        self.place = _by_frequency(many)[rank]
         self.trained = np.repeat(~self.held, np.diff(self.rows))
         self.setting, self.levels = setting, []
         if known == 0:
             self.words = np.cumsum(unpack(row["words"])[0]).view(np.uint64)
             return
-        counts, numbers = _given(row["n0"], 2)
+        counts, numbers = _given(row["n0"], 2, setting.buckets)
         count, number = counts[self.place], numbers[self.place]
         self.count = count
         self.local = np.unique(numbers, return_inverse=True)[1][self.place]
@@ -313,29 +341,42 @@ class Segment:
         first[self.rows[:-1]] = True
         some = np.flatnonzero(~first)
         some = some[count[some - 1] >= MIN_COUNT]
-        context, total, parent_total, parent_seen = number[some - 1], count[some - 1], np.full(len(some), setting.n_tokens), count[some]
+        order, facts = self.local[some - 1], lambda i: (number[i - 1], count[i - 1], np.full(len(i), setting.n_tokens), count[i])
         for d in range(1, setting.depth + 1):
-            level = self._level(some, context, number[some], total, parent_total, parent_seen)
+            level = self._level(some, order, number, facts)
             self.levels.append(level)
             if d >= known:
                 break
-            level.take(row[f"n{d}"], setting.split[d - 1])
-            # a run is a context of the token behind it
-            told = np.zeros((4, len(first)), np.int64)
-            told[:, level.place] = level.number[level.at], level.seen[level.at], level.total[level.at], level.seen[level.at]
+            level.take(row[f"n{d}"], setting.split[d - 1], setting.buckets)
+            # a run is a context of the token behind it; the last of `run` stands for none
+            run = np.full(len(first), len(level.n))
+            run[level.place] = level.at
+            number_of, seen_of, total_of = (np.append(x, 0) for x in (level.number, level.seen, level.total))
+            order_of = np.zeros(len(number_of), np.int64)
+            named = np.flatnonzero(number_of)
+            order_of[named[np.argsort(number_of[named])]] = np.arange(len(named))
             some = np.flatnonzero(~first)
-            some = some[told[0, some - 1] > 0]
-            context, total, parent_total, parent_seen = told[0, some - 1], told[1, some - 1], told[2, some], told[3, some]
-
-    def _level(self, some, context, word, total, parent_total, parent_seen) -> Level:
+            some = some[number_of[run[some - 1]] > 0]
+            order = order_of[run[some - 1]]
+            facts = partial(self._facts, run, number_of, seen_of, total_of)
+
+    @staticmethod
+    def _facts(run, number, seen, total, i) -> tuple[np.ndarray, ...]:
+        before, own = run[i - 1], run[i]
+        return number[before], seen[before], total[own], seen[own]
+
+    def _level(self, some, order, number, facts) -> Level:
+        """`order` numbers the contexts as they are sorted; `facts` tells, of the tokens that end runs, the context, its
+        total, and the shorter context's total and count."""
         setting = self.setting
-        names, _, number = distinct(context)
-        _, one, at = distinct(number * (int(self.local.max(initial=0)) + 1) + self.local[some])
+        _, one, at = distinct(order * (int(self.local.max(initial=0)) + 1) + self.local[some])
         n = np.bincount(at, self.trained[some], minlength=len(one)).astype(np.int64)
-        context, word, total, parent_total, parent_seen = (x[one] for x in (context, word, total, parent_total, parent_seen))
-        part = _hash(word) % np.maximum(-(-total // setting.limit), 1).astype(np.uint64)
+        ends = some[one]
+        word, (context, total, parent_total, parent_seen) = number[ends], facts(ends)
+        part, large = np.zeros(len(word), np.uint64), np.flatnonzero(total > setting.limit)
+        part[large] = _hash(word[large]) % (-(-total[large] // setting.limit)).astype(np.uint64)
         bucket = (_hash(context, part) % np.uint64(setting.buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if setting.buckets <= 1 << 16 else bucket, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         return Level(some, back[at], *(x[order] for x in (context, word, total, parent_total, parent_seen, n, bucket)))
@@ -401,10 +442,12 @@ def _each(batches, known: int, setting: Setting, f) -> Iterator[pa.RecordBatch]:
             yield f(Segment(row, known, setting), row)
 
 
-def _exchange(frame: DataFrame, name: str, parts: int, send: Callable, meet: Callable, outer: bool = False) -> tuple[DataFrame, list[list[np.ndarray]]]:
+def _exchange(frame: DataFrame, name: str, parts: int, send: Callable, meet: Callable, outer: int = 0) -> tuple[DataFrame, list[list[np.ndarray]]]:
     """(segment, name), stored by segment, with what the buckets give each segment back, and what they give for no segment."""
-    met = frame.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _MET)
-    back = store.keep_by(met.groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name)), f"lm-{name}", "segment", parts, "none", outer)
+    with store.scratch():
+        # stored before it goes back, so that what was sent is gone by then
+        met = store.keep(frame.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _MET), f"lm-met-{name}", "none")
+        back = store.keep_by(met.groupBy("segment").agg(F.collect_list(F.struct("bucket", "back")).alias(name)), f"lm-{name}", "segment", parts, "none", outer + 1)
     told = [unpack(bytes(x["back"])) for r in back.where(F.col("segment") < 0).select(name).collect() for x in r[name]]
     return back.where(F.col("segment") >= 0), told
 
@@ -445,13 +488,14 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     with store.scratch():
         with store.scratch():
-            # stored before it is dealt, so that a task done again sends what it sent at first
-            stage = store.keep(texts.mapInArrow(_stage(SEGMENT_BYTES), _STAGE), "lm-stage", "none")
+            # stored before anything is sent, so that a task done again sends what it sent at first; a segment is one file at
+            # most, so tables lie by segment without having moved
+            stage = store.keep_by(texts.mapInArrow(_stage(SEGMENT_BYTES), _STAGE), "lm-stage", "segment", parts, "none")
             buckets = BUCKETS * max(1, -(-stage.count() // BUCKET_SEGMENTS))
             setting = Setting(buckets, depth)
-            back, told = _exchange(stage, "n0", parts, each(0, lambda segment, _: segment.send_words(), setting), lambda table: _meet_words(table, buckets), outer=True)
+            back, told = _exchange(stage, "n0", parts, each(0, lambda segment, _: segment.send_words(), setting), lambda table: _meet_words(table, buckets), outer=1)
             # segments from here on know their words by number, and lie as what they are given back does
-            rows = store.keep_by(stage.drop("words").repartition(parts, "segment"), "lm-frame", "segment", parts, "none", outer=True).join(back, "segment")
+            rows = store.keep_by(stage.drop("words"), "lm-frame", "segment", parts, "none", outer=True).join(back, "segment")
         n, v, once = (sum(int(x[0][k]) for x in told) for k in range(3))
         limit = max(least, -(-n // most))
 

@@ -720,6 +720,23 @@ def test_suffix_tree_scores_are_those_of_all_counted_contexts(spark, monkeypatch
     assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
 
 
+def test_suffix_tree_gives_counts_back_by_number_in_few_bytes():
+    rng, buckets, bucket = np.random.default_rng(5), 64, 9
+    count = np.sort(rng.zipf(1.3, 5000) % 10**6)[::-1].astype(np.int64)
+    number = np.where(count >= 20, 1 + np.arange(5000) * buckets + bucket, 0)
+    own = rng.permutation(5000)[:2000]
+    sent = suffix_tree.pack_counts(number[own], count[own], buckets, bucket, np.arange(3))
+    assert [x.tolist() for x in suffix_tree.unpack_counts(sent, buckets, bucket)] == [count[own].tolist(), number[own].tolist(), [0, 1, 2]]
+    assert len(sent) < 0.8 * len(suffix_tree.pack(count[own], number[own], np.arange(3)))
+
+
+def test_suffix_tree_stores_its_segments_without_moving_them(spark, monkeypatch):
+    plans, plain = {}, store.keep_by
+    monkeypatch.setattr(store, "keep_by", lambda df, name, *more, **kind: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name, *more, **kind))
+    suffix_tree.score(spark.createDataFrame([(k, "a b") for k in range(9)], "doc_id long, text string"), lang_id.held_out("doc_id", 7, 2))
+    assert "Exchange" not in plans["lm-stage"] and "Exchange" not in plans["lm-frame"]
+
+
 def test_suffix_tree_sends_what_is_expected_by_context_not_by_run():
     some = [np.array(x) for x in ([0, 1, 2], [0, 1, 2], [7, 7, 9], [1, 2, 1], [30, 30, 40], [100] * 3, [50, 25, 50], [4, 2, 0])]
     level = suffix_tree.Level(*some, np.zeros(3, np.int32))
