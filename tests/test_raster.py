@@ -46,6 +46,22 @@ def test_components_endpoints_length(spark):
     assert length[2] == 39.0 and length[3] == 0.0
 
 
+@pytest.mark.parametrize("tile,rows", [(3, 40), (32, 40), (32, 10**5)])
+def test_components_are_the_same_however_pixels_are_tiled(spark, monkeypatch, tile, rows):
+    monkeypatch.setattr(raster, "TILE", tile)
+    monkeypatch.setattr(shared, "ROWS", rows)
+    routes = [[(x * 3 - 20, y - 7) for x, y in blobs(4)], [(x - 7, y - 7) for x, y in blobs(3)], [(k, k % 2) for k in range(-40, 40)]]
+    labelled = raster.components(pixels(spark, *routes))
+    assert {(r.route, r.x, r.y): (r.cx, r.cy) for r in labelled.collect()} == {(k, *p): c for k, route in enumerate(routes) for p, c in plain_components(route).items()}
+
+
+def test_length_moves_each_pixel_once(spark):
+    df = pixels(spark, *[blobs(k) for k in range(8)])
+    labelled = raster.components(df)
+    plan = raster.path_length(df, labelled)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Repartition") == 1
+
+
 def test_noise_is_below_a_hundredth(spark):
     big = [(x, y) for x in range(20) for y in range(15)]
     df = pixels(spark, big + [(50, 0), (50, 1), (50, 2)] + [(60, 0), (60, 1)])
