@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planwalk.operators import extraction, lines, raster, spatial
 from planwalk.plans import shared
+from planwalk.sources import bindings
 
 
 def pixels(spark, *routes):
@@ -62,6 +63,14 @@ def test_length_moves_each_pixel_once(spark):
     assert "LeftSemi" not in plan and plan.count("Repartition") == 1
 
 
+def test_no_task_makes_more_pixels_distinct_than_it_can_hold(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "ROWS", 500)
+    spark.range(20_000).selectExpr("id AS event_id", "id % 300 AS user_id", "CAST(id * 7 % 24 AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    df = bindings.pixels(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 40
+    assert df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).sum() == 600
+
+
 def test_noise_is_below_a_hundredth(spark):
     big = [(x, y) for x in range(20) for y in range(15)]
     df = pixels(spark, big + [(50, 0), (50, 1), (50, 2)] + [(60, 0), (60, 1)])
