@@ -56,6 +56,12 @@ def test_components_are_the_same_however_pixels_are_tiled(spark, monkeypatch, ti
     assert {(r.route, r.x, r.y): (r.cx, r.cy) for r in labelled.collect()} == {(k, *p): c for k, route in enumerate(routes) for p, c in plain_components(route).items()}
 
 
+def test_components_of_routes_with_several_fields(spark):
+    df = pixels(spark, blobs(5), blobs(6)).selectExpr("named_struct('a', route, 'b', nullif(route, 0)) AS route", "x", "y")
+    got = {(r.route.a, r.x, r.y): (r.cx, r.cy) for r in raster.components(df).collect()}
+    assert got == {(k, *p): c for k in (0, 1) for p, c in plain_components(blobs(5 + k)).items()}
+
+
 def test_length_moves_each_pixel_once(spark):
     df = pixels(spark, *[blobs(k) for k in range(8)])
     labelled = raster.components(df)
