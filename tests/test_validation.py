@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planwalk.operators import catalogue, extraction, raster, scoring, spatial, validation
+from planwalk.operators import catalogue, coverage, extraction, raster, scoring, spatial, validation
 from planwalk.sources import discovery, files, images
 
 
@@ -203,6 +203,24 @@ def test_records_of_a_clean_route_and_of_none(spark):
     assert (got[2].status, got[2].similarity) == ("no route", None) and got[2].svr["wall_crossings"] is True and not any(got[2].scar.values())
 
 
+def test_visits_by_spot_count_as_visits_by_exhibit(spark):
+    # alike exhibits of two layouts, one that both list (8) and one that is listed twice at different places (9)
+    rows = [(k % 2, k, k % 3 * 40, 10, 2) for k in range(8)] + [(0, 8, 0, 10, 2), (1, 8, 40, 10, 2), (0, 9, 0, 10, 2), (0, 9, 80, 10, 3)]
+    exhibits = spark.createDataFrame(rows, "layout long, ex_id long, cx long, cy long, r long")
+    circles, members = spatial.spots(exhibits)
+    assert (circles.count(), circles.select("spot").distinct().count(), members.count()) == (10, 8, 10)
+    none = "array<string>"
+    asked = [([], [], [], ["S"], [8, 9, 3]), (["m"], [], [], ["T", "U"], [0]), (["m"], ["d"], ["t"], [], [])]
+    tasks = spark.createDataFrame([(k, k % 2, None, None, None, *asked[k % 3], 1 + k % 4) for k in range(12)], f"task long, layout long, in_range {none}, before_year string, after_year string, materials {none}, places {none}, techniques {none}, categories {none}, specific array<long>, min_n long")
+    facts = [(k % 2, k, "STU"[k % 3], "mx"[k % 2], "t", 1, 2, "c", "dx"[k // 2 % 2]) for k in range(9)] + [(1, 8, "S", "x", "x", 1, 2, "c", "x"), (0, 9, "T", "m", "t", 1, 2, "c", "d"), (0, 9, "S", "x", "t", 1, 2, "c", "d")]
+    facts = spark.createDataFrame(facts, "layout long, ex_id long, section string, material string, technique string, year_min int, year_max int, city string, country string")
+    seen = circles.select("spot", "n").distinct().crossJoin(tasks.select("task")).where("pmod(hash(spot, task), 3) > 0").select("task", "spot", "n")
+    visits = seen.join(members, "spot").select("task", "ex_id")
+    assert seen.count() < visits.count()
+    same = [sorted(map(tuple, coverage.semantic_overall(tasks, facts, *v).collect())) for v in ((visits,), (seen, members))]
+    assert same[0] == same[1] and len({r[1:] for r in same[0]}) > 2
+
+
 def test_extraction_of_lines_and_of_nothing(spark):
     plan = [(k, x, 0, 10, 10, 10) for k in (1, 2, 3) for x in range(60)]
     gray = [(1, x, y, 60, 60, 60) for x in range(8, 50) for y in range(20, 25)]
