@@ -245,6 +245,28 @@ def test_extraction_of_lines_and_of_nothing(spark):
     assert nothing.facts.count() == nothing.points.count() == 0
 
 
+def test_extraction_in_memory_and_by_rounds(spark, monkeypatch):
+    rng, aligned, original, sizes = random.Random(5), [], [], [(1, 40, 30), (2, 40, 30), (3, 25, 45), (4, 50, 34), (5, 40, 30), (6, 40, 30)]
+    for k, w, h in sizes:
+        dots = {(rng.randrange(w), rng.randrange(h)) for _ in range(25)}
+        original += [(k, x, y, 30, 40, 50) for x, y in dots]
+        ink = {(x, y): (40, 40, 40) for x, y in dots}
+        for _ in range(3):
+            x, y, dx, dy = rng.randrange(w), rng.randrange(h), rng.choice((-1, 0, 1)), rng.choice((-1, 1))
+            for i in range(20):
+                ink |= {(x + i * dx + a, y + i * dy + b): ((210, 30, 25 + k), (90, 90, 90), (20, 60, 200))[k % 3] for a in range(k % 2 + 2) for b in range(3)}
+        aligned += [(k, x, y, *c) for (x, y), c in ink.items() if 0 <= x < w and 0 <= y < h]
+    aligned += aligned[:30] + [(6, 50, 3, 20, 20, 20), (None, 3, 3, 1, 1, 1)]  # repeated, outside of its image, of no image
+    kinds = "route long, x long, y long, r int, g int, b int"
+    tables = [spark.createDataFrame(aligned, kinds), spark.createDataFrame(original, kinds), spark.createDataFrame(sizes, "route long, w int, h int")]
+    anchors = spark.createDataFrame([(k, 0.0, 0.0, 40.0, 30.0) if k < 4 else (k, None, None, 5.0, 5.0) for k in range(1, 6)], "route long, in_x double, in_y double, out_x double, out_y double")
+    found = []
+    for most in (4_000_000, 1200, 0):
+        monkeypatch.setattr(extraction, "MOST_CELLS", most)
+        found.append([sorted(map(str, df.collect())) for df in extraction.extract(*tables, anchors, None, 2, 10, 1)])
+    assert found[0] == found[1] == found[2] and len(found[0][2]) == 7 and any("by_color=True" in r for r in found[0][2])
+
+
 def png(image, kind, filters):
     step, (height, width) = image.shape[2], image.shape[:2]
     raw, above = b"", np.zeros((width, step), np.int64)
